@@ -161,3 +161,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     e = encode(docs)
     return e.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", decode(F.col("ids")).alias("decoded"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last one: doc_id, the pieces and the text that they decode to."""
+    e = encode(docs)
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", decode(F.col("ids")).alias("decoded"))
