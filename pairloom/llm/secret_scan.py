@@ -1,6 +1,6 @@
 """Secret scan: candidates judged by a random forest, on DataFrame and SQL functions only.
 
-A candidate is a run of 16 or more of ``A-Z a-z 0-9 + / = _ -`` that holds a digit, inside a word of a text (words end at ASCII white
+A candidate is a run of 16 or more of ``A-Z a-z 0-9 + / _ -`` that holds a digit or an issuer's prefix, inside a word of a text (words end at ASCII white
 space). The forest sees its length, shares of character kinds, how often the kind changes from one character to the next, how much of
 it dictionary words cover, signs of a path, address or identifier, quotes and assignment before it, and what the neighbouring words
 say. It is trained from labelled findings, a table with ``text`` (holding one candidate) and ``secret`` (0 or 1); without one,
@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import SPACE, table
 
-CANDIDATE = r"[A-Za-z0-9+/=_\-]{16,}"
+CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: A candidate holds a digit or begins as issued keys do.
+WANTED = r"[0-9]|AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk[_-]|pk_live|xox[abprs]-|hf_|npm_|SG\.|eyJ"
 SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|apikey|access.?key|private|credential|auth|bearer|signature)"
+#: Beginnings that issuers give their keys.
+ISSUED = r"^(AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk[_-](live|test|proj)|sk-|pk_live|xox[abprs]-|hf_|npm_|SG\.|eyJ)"
 HARMLESS_WORDS = r"(?i)(commit|sha1|sha256|md5|checksum|digest|uuid|guid|version|revision|example|placeholder|dummy|order|invoice|phone|card|isbn|file|path)"
 #: A fixed list of words that make identifiers, paths and placeholders.
 DICTIONARY = (
@@ -40,7 +44,7 @@ DICTIONARY = (
     "sink size snapshot socket sort source space spark stage start state static status storage store stream string style submit summary support switch sync system table target "
     "task template test text theme thread time timer title token track transfer type union unit update upload user util value vector version video view widget width window work write your"
 ).split()
-FEATURES = ["size", "digits", "upper", "lower", "marks", "changes", "runs", "covered", "hex", "uuid", "path", "address", "assigned", "quoted", "secret_near", "harmless_near", "different"]
+FEATURES = ["issued", "size", "digits", "upper", "lower", "marks", "changes", "runs", "covered", "hex", "uuid", "path", "address", "assigned", "quoted", "secret_near", "harmless_near", "different"]
 TREES, DEPTH, SEED = 20, 6, 7
 
 
@@ -49,20 +53,20 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     w = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda x: x != "")
     words = df.select(*(F.col(c) for c in df.columns if c != text), F.explode(F.array(w)).alias("__w"))
     found = F.filter(
-        F.transform("__w", lambda x, i: F.when((F.length(x) >= 16) & x.rlike(r"[0-9]") & x.rlike(CANDIDATE), F.struct(i.alias("i"), x.alias("word"), F.concat_ws(" ", F.get("__w", i - 2), F.get("__w", i - 1)).alias("before"), F.coalesce(F.get("__w", i + 1), F.lit("")).alias("behind")))),
+        F.transform("__w", lambda x, i: F.when((F.length(x) >= 16) & x.rlike(WANTED) & x.rlike(CANDIDATE), F.struct(i.alias("i"), x.alias("word"), F.concat_ws(" ", F.get("__w", i - 2), F.get("__w", i - 1)).alias("before"), F.coalesce(F.get("__w", i + 1), F.lit("")).alias("behind")))),
         lambda x: x.isNotNull(),
     )
     keep = [c for c in df.columns if c != text]
     hits = words.select(*keep, F.explode(found).alias("__h"))
-    each = hits.select(*keep, "__h", F.posexplode(F.regexp_extract_all(F.col("__h.word"), F.lit(CANDIDATE), F.lit(0))).alias("__n", "__v")).filter(F.col("__v").rlike("[0-9]"))
+    each = hits.select(*keep, "__h", F.posexplode(F.regexp_extract_all(F.col("__h.word"), F.lit(CANDIDATE), F.lit(0))).alias("__n", "__v")).filter(F.col("__v").rlike(WANTED))
     first = F.instr(F.col("__h.word"), F.col("__v"))
     return each.select(
         *keep,
         F.struct(
             F.col("__h.i").cast("long").alias("word_index"),
             F.col("__n").cast("int").alias("nth"),
-            F.regexp_replace("__v", "^[=/_-]+|[=]+$", "").alias("value"),
-            F.concat(F.substring(F.col("__h.word"), F.lit(1), first - 1), F.regexp_extract("__v", "^[=/_-]*", 0)).alias("glued"),
+            F.regexp_replace("__v", "^[/_-]+|=+$", "").alias("value"),
+            F.concat(F.substring(F.col("__h.word"), F.lit(1), first - 1), F.regexp_extract("__v", "^[/_-]*", 0)).alias("glued"),
             F.substring(F.col("__h.word"), first + F.length("__v"), F.lit(2**30)).alias("after"),
             F.col("__h.before").alias("before"),
             F.col("__h.behind").alias("behind"),
@@ -80,6 +84,7 @@ def features(f: str = "__f") -> list[Column]:
     known = F.regexp_replace(F.lower(v), "|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=lambda w: (-len(w), w))), "")
     around = F.concat(glued, F.col(f"{f}.after"))
     named = dict(
+        issued=yes(v.rlike(ISSUED)),
         size=F.least(n, F.lit(200.0)), digits=share("[0-9]"), upper=share("[A-Z]"), lower=share("[a-z]"), marks=share(r"[+/=_\-]"),
         changes=F.regexp_count(kinds, F.lit("(?<=d)[^d]|(?<=l)[^l]|(?<=u)[^u]|(?<=m)[^m]")) / n,
         runs=F.regexp_count(v, F.lit(r"(.)\1\1")) / n, covered=1 - F.length(known) / n,
@@ -102,8 +107,9 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     name = pick(1, "token", "api_key", "apiKey", "secret", "password", "AUTH_TOKEN", "access-key", "client_secret", "bearer", "private_key")
     sign, quote = pick(2, " = ", "=", ": ", " := ", " "), pick(3, '"', "'", "")
     lead, tail = pick(4, "", "export ", "the value of ", "set ", "and with "), pick(5, "", " here", " then it ends", ";", ",")
-    value = F.when(F.pmod("id", F.lit(8)) < 3, part(h, 1, F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), size(6, 1, 3)))).when(F.pmod("id", F.lit(8)) < 6, part(b64, 1, size(7, 20, 60))).otherwise(F.concat(pick(8, "sk_live_", "ghx_", "AKIX", "xoxq-"), part(F.translate(b64, "/", "C"), 9, size(9, 16, 40))))
-    bad = F.concat(lead, name, sign, quote, value, quote, tail)
+    value = F.when(F.pmod("id", F.lit(8)) < 3, part(h, 1, size(6, 16, 64))).when(F.pmod("id", F.lit(8)) < 6, part(b64, 1, size(7, 20, 60))).otherwise(F.concat(pick(8, "sk_live_", "ghp_", "AIza", "xoxb-", "glpat-", "hf_"), part(F.translate(b64, "/", "C"), 9, size(9, 20, 40))))
+    issued = F.when(F.pmod("id", F.lit(2)) == 0, F.concat(F.lit("AKIA"), part(F.translate(F.upper(b64), "/01", "C23"), 9, 16))).otherwise(F.concat(pick(33, "sk_live_", "ghp_", "AIza", "xoxb-", "glpat-"), part(F.translate(b64, "/", "C"), 9, size(9, 20, 40))))
+    bad = F.when(F.pmod(F.xxhash64("id", F.lit(34)), F.lit(4)) == 0, F.concat(pick(35, "", "the of ", "and with "), quote, issued, quote, tail)).otherwise(F.concat(lead, name, sign, quote, value, quote, tail))
     word = lambda salt: pick(salt, *DICTIONARY)
     uuid = F.concat_ws("-", part(h, 1, 8), part(h, 9, 4), part(h, 13, 4), part(h, 17, 4), part(h, 21, 12))
     digits = F.translate(h, "abcdef", "012345")
