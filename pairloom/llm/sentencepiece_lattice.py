@@ -6,15 +6,17 @@ to the longest piece are exploded and equi-joined to the piece table (bounded, c
 grouped, and a fold over them in order of their ends keeps the best score for each position: Viterbi over the sum of piece scores,
 ties going to the longer last piece. Characters that no piece covers cost the least score minus 10 and become byte pieces.
 
-Each distinct fragment of a block of documents is encoded once. Blocks hold about ``BLOCK_BYTES`` of text; their number follows the
-input. One shuffle deals the texts to blocks; fragments, lattices and texts of a block meet there without another. Repeated rows are
-encoded alike, empty texts give no pieces, empty tables give empty results, and other columns are not touched.
+Each different fragment is encoded once. Texts are dealt once to blocks of about ``BLOCK_BYTES``, whose number follows the input; the
+fragments of a block go to the lattice and come back with their pieces to the block's texts, where they are put in a row. A fragment
+passes at most once for each block, however often it occurs. Repeated rows are encoded alike, empty texts give no pieces, empty
+tables give empty results, and other columns are not touched.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pairloom.llm.common import table
 
@@ -75,38 +78,38 @@ def encode_fragments(words: DataFrame, model: str = MODEL, keys: tuple[str, ...]
     pieces, byte_ids, _ = read_model(model)
     longest = max(len(p) for p, _, _ in pieces)
     unknown = min(s for _, _, s in pieces) - UNKNOWN_PENALTY
-    vocabulary = spark.createDataFrame(pd.DataFrame(pieces, columns=["__sub", "id", "score"]), "__sub string, id int, score double")
+    vocabulary = spark.createDataFrame(pd.DataFrame([p[:2] for p in pieces], columns=["__sub", "id"]), "__sub string, id int")
     if len(pieces) <= MAX_BROADCAST_PIECES:
         vocabulary = F.broadcast(vocabulary)
     at = words.select(*keys, F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
     spans = at.select(*keys, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("n"))
     subs = spans.select(*keys, "s", "n", F.col("word").substr(F.col("s"), F.col("n")).alias("__sub"))
     edges = subs.join(vocabulary, "__sub", "left").filter("id IS NOT NULL OR n = 1")
-    edge = F.struct((F.col("s") + F.col("n") - 1).alias("e"), (F.col("s") - 1).alias("b"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
+    # an edge is one number, its end, its beginning and its piece (0: none), so that it sorts fast and takes little memory
+    end, begin = (F.col("s") + F.col("n") - 1).cast("long"), (F.col("s") - 1).cast("long")
+    edge = F.shiftleft(end, 40).bitwiseOR(F.shiftleft(begin, 20)).bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))
     grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    # state: for each position from 0 the best score, where its last piece begins and that piece
-    node = lambda score, b, i: F.struct(score.alias("score"), b.cast("int").alias("b"), i.cast("int").alias("id"))
-    start = F.array(node(F.lit(0.0), F.lit(0), F.lit(-2)))
+    known_scores = dict((i, s) for _, i, s in pieces)
+    scores = F.split(F.lit(",".join(repr(known_scores.get(i, unknown)) for i in range(-1, max(known_scores) + 1))), ",").cast("array<double>")
+    low = (1 << 20) - 1
+    # state: for each position from 0 the best score and the pieces on the way there (below 0: a character without a piece, by its end)
+    node = lambda score, path: F.struct(score.alias("score"), path.alias("path"))
+    start = F.array(node(F.lit(0.0), F.array().cast("array<int>")))
 
     def step(best: Column, x: Column) -> Column:
-        new = node(F.get(best, x["b"])["score"] + x["score"], x["b"], x["id"])
-        known = F.get(best, x["e"])
-        return F.when(known.isNull(), F.concat(best, F.array(new))).when(new["score"] > known["score"], F.concat(F.slice(best, F.lit(1), x["e"]), F.array(new))).otherwise(best)
-
-    folded = grouped.select(*keys, F.explode(F.array(F.aggregate("edges", start, step))).alias("best"))
-    # back from the end: positions on the path carry the next position to visit
-    walked = folded.select(*keys, "best", F.explode(F.array(F.aggregate(
-        F.reverse(F.sequence(F.lit(1), F.size("best") - 1)),
-        F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("path")),
-        lambda a, i: F.when(a["at"] == i, F.struct(F.get(F.col("best"), i)["b"].alias("at"), F.concat(a["path"], F.array(i)).alias("path"))).otherwise(a),
-    )["path"])).alias("path"))
-    ends = F.reverse(F.col("path"))
+        e, b, i = (F.shiftright(x, k).bitwiseAND(F.lit(low)).cast("int") for k in (40, 20, 0))
+        score = F.get(best, b)["score"] + F.get(scores, i)
+        new = F.array(node(score, F.concat(F.get(best, b)["path"], F.array(F.when(i > 0, i - 1).otherwise(-e)))))
+        # edges come in order of their ends, so that the end is either new or the last known
+        return F.when(e == F.size(best), F.concat(best, new)).when(score > F.get(best, e)["score"], F.concat(F.slice(best, F.lit(1), e), new)).otherwise(best)
+
+    folded = grouped.select(*keys, F.element_at(F.aggregate("edges", start, step), -1)["path"].alias("path"))
     byte_table = F.array(*(F.lit(i) for i in byte_ids))
     pairs = lambda i: F.regexp_extract_all(F.hex(F.encode(F.substring(F.col("word"), i, F.lit(1)), "UTF-8")), F.lit(".."), F.lit(0))
     as_bytes = lambda i: F.transform(pairs(i), lambda x: F.get(byte_table, F.conv(x, 16, 10).cast("int")))
-    known_ids = F.transform(ends, lambda i: F.get(F.col("best"), i)["id"])
-    all_ids = F.flatten(F.transform(ends, lambda i: F.when(F.get(F.col("best"), i)["id"] >= 0, F.array(F.get(F.col("best"), i)["id"])).otherwise(as_bytes(i))))
-    return walked.select(*keys, F.when(F.exists(known_ids, lambda i: i < 0), all_ids).otherwise(known_ids).alias("ids"))
+    bound = folded.select(*keys, F.explode(F.array("path")).alias("path"))
+    spelled = F.flatten(F.transform("path", lambda i: F.when(i >= 0, F.array(i)).otherwise(as_bytes(-i))))
+    return bound.select(*keys, F.when(F.array_min("path") < 0, spelled).otherwise(F.col("path")).alias("ids"))
 
 
 def _finder(pattern: str):
@@ -116,6 +119,21 @@ def _finder(pattern: str):
     return lambda text: find(MARK + text.replace(" ", MARK)) if text else []
 
 
+def _fragments_of_blocks(pattern: str):
+    """The different fragments of each block; a block lies in one task, which holds them as a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, seen = _finder(pattern), {}
+        for b in batches:
+            for block, text in zip(b["__block"].to_pylist(), b["__text"].to_pylist(), strict=True):
+                seen.setdefault(block, set()).update(find(text))
+        for block, words in seen.items():
+            t = pa.table({"__block": pa.array(np.full(len(words), block, np.int32)), "word": pa.array(list(words), pa.string())})
+            yield from t.to_batches(max_chunksize=20_000)
+
+    return run
+
+
 def _assemble(pattern: str, key: str):
     """Pieces of a block's texts: look up each fragment's row in the lattice, then take all lists at once."""
 
@@ -144,8 +162,10 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", model: str =
     n = max(1, math.ceil(size / block_bytes))
     t = F.coalesce(F.col(text), F.lit(""))
     dealt = df.select(F.col(key), t.alias("__text"), F.pmod(F.xxhash64(F.col(key), F.length(t)), F.lit(n)).cast("int").alias("__block")).repartition(n, "__block")
-    found = dealt.select("__block", F.explode(F.array_distinct(fragments(F.col("__text"), pattern))).alias("word")).groupBy("__block", "word").agg(F.count("*").alias("__n"))
-    lattice = encode_fragments(found.select("__block", "word"), model, ("__block", "word"))
+    found = dealt.mapInArrow(_fragments_of_blocks(pattern), "__block int, word string").repartition("word")
+    # each fragment is encoded once; the count is there so that both uses of ``found`` read the same columns and share one shuffle
+    words = found.groupBy("word").agg(F.count("__block").alias("__n")).filter("__n > 0").select("word")
+    lattice = found.join(encode_fragments(words, model).hint("merge"), "word").select("__block", "word", "ids")
     lattice = lattice.toDF("__lattice_block", "word", "ids")
     return dealt.groupBy("__block").cogroup(lattice.groupBy("__lattice_block")).applyInArrow(_assemble(pattern, key), f"{key} {df.schema[key].dataType.simpleString()}, ids array<int>")
 
@@ -157,13 +177,34 @@ def decode(ids: Column, model: str = MODEL) -> Column:
     return F.substring(F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")), "UTF-8"), 2, 2**31 - 1)
 
 
+def decoded(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
+    """``df`` plus ``out``, the text of ``ids``, put together by Arrow; as ``decode``, for tables."""
+    _, _, hexes = read_model(model)
+    pieces = pa.array([bytes.fromhex(h) for h in hexes], pa.large_binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(start, TEXTS_AT_ONCE)
+                lists = part[ids]
+                ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
+                taken = pieces.take(lists.flatten())
+                # the bytes of all pieces lie in a row; each text is a stretch of them
+                at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][ends].tolist()
+                data = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
+                texts = pa.array([data[x + 1 : y].decode(errors="replace") for x, y in zip(at, at[1:], strict=False)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     e = encode(docs)
-    return e.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", decode(F.col("ids")).alias("decoded"))
+    return decoded(e).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last one: doc_id, the pieces and the text that they decode to."""
     e = encode(docs)
-    return e.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", decode(F.col("ids")).alias("decoded"))
+    return decoded(e).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded")
