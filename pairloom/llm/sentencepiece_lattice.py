@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pairloom.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 #: More pieces than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST_PIECES = 1_000_000
 MARK = "▁"
