@@ -134,7 +134,19 @@ def _fragments_of_blocks(pattern: str):
     return run
 
 
-def _assemble(pattern: str, key: str):
+def _piece_bytes(model: str) -> pa.Array:
+    return pa.array([bytes.fromhex(h) for h in read_model(model)[2]], pa.large_binary())
+
+
+def _texts(pieces: pa.Array, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+    """The texts of lists of ``ids`` that end at ``ends``: the bytes of all pieces lie in a row, and each text is a stretch of them."""
+    taken = pieces.take(ids)
+    at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][ends].tolist()
+    data = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
+    return pa.array([data[x + 1 : y].decode(errors="replace") for x, y in zip(at, at[1:], strict=False)], pa.string())
+
+
+def _assemble(pattern: str, key: str, pieces: pa.Array | None):
     """Pieces of a block's texts: look up each fragment's row in the lattice, then take all lists at once."""
 
     def glue(texts: pa.Table, lattice: pa.Table) -> pa.Table:
@@ -148,14 +160,17 @@ def _assemble(pattern: str, key: str):
             flat = np.concatenate(rows)
             ends = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum([len(r) for r in rows])])]
             ids = lists.take(pa.array(flat)).flatten()
-            out.append(pa.table({key: part[key], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.cast(pa.int32()))}))
+            found = {key: part[key], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.cast(pa.int32()))}
+            out.append(pa.table(found if pieces is None else found | {"decoded": _texts(pieces, ids, ends)}))
+        del row, lists, lattice
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     return glue
 
 
-def encode(df: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``key`` and ``ids`` array<int> of each row."""
+def encode(df: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL, block_bytes: int = BLOCK_BYTES, and_decode: bool = False) -> DataFrame:
+    """``key`` and ``ids`` array<int> of each row; with ``and_decode`` also ``decoded``, the text of the pieces."""
     pieces, _, _ = read_model(model)
     pattern = fragment_pattern([p for p, _, _ in pieces])
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -167,7 +182,9 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", model: str =
     words = found.groupBy("word").agg(F.count("__block").alias("__n")).filter("__n > 0").select("word")
     lattice = found.join(encode_fragments(words, model).hint("merge"), "word").select("__block", "word", "ids")
     lattice = lattice.toDF("__lattice_block", "word", "ids")
-    return dealt.groupBy("__block").cogroup(lattice.groupBy("__lattice_block")).applyInArrow(_assemble(pattern, key), f"{key} {df.schema[key].dataType.simpleString()}, ids array<int>")
+    return dealt.groupBy("__block").cogroup(lattice.groupBy("__lattice_block")).applyInArrow(
+        _assemble(pattern, key, _piece_bytes(model) if and_decode else None), f"{key} {df.schema[key].dataType.simpleString()}, ids array<int>" + ", decoded string" * and_decode
+    )
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:
@@ -179,32 +196,25 @@ def decode(ids: Column, model: str = MODEL) -> Column:
 
 def decoded(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """``df`` plus ``out``, the text of ``ids``, put together by Arrow; as ``decode``, for tables."""
-    _, _, hexes = read_model(model)
-    pieces = pa.array([bytes.fromhex(h) for h in hexes], pa.large_binary())
+    pieces = _piece_bytes(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, TEXTS_AT_ONCE):
                 part = b.slice(start, TEXTS_AT_ONCE)
-                lists = part[ids]
-                ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
-                taken = pieces.take(lists.flatten())
-                # the bytes of all pieces lie in a row; each text is a stretch of them
-                at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][ends].tolist()
-                data = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
-                texts = pa.array([data[x + 1 : y].decode(errors="replace") for x, y in zip(at, at[1:], strict=False)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out])
+                ends = np.concatenate([[0], np.cumsum(np.asarray(part[ids].value_lengths().fill_null(0)))])
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(pieces, part[ids].flatten(), ends)], names=[*part.schema.names, out])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = encode(docs)
-    return decoded(e).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded")
+    e = encode(docs, and_decode=True)
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last one: doc_id, the pieces and the text that they decode to."""
-    e = encode(docs)
-    return decoded(e).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded")
+    e = encode(docs, and_decode=True)
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded")
