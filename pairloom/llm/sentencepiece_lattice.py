@@ -125,9 +125,12 @@ def _fragments_of_blocks(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = _finder(pattern), {}
         for b in batches:
-            for block, text in zip(b["__block"].to_pylist(), b["__text"].to_pylist(), strict=True):
-                seen.setdefault(block, set()).update(find(text))
-        for block, words in seen.items():
+            for start in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(start, TEXTS_AT_ONCE)
+                for block, text in zip(part["__block"].to_pylist(), part["__text"].to_pylist(), strict=True):
+                    seen.setdefault(block, set()).update(find(text))
+        for block in list(seen):
+            words = seen.pop(block)
             t = pa.table({"__block": pa.array(np.full(len(words), block, np.int32)), "word": pa.array(list(words), pa.string())})
             yield from t.to_batches(max_chunksize=20_000)
 
