@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +73,8 @@ def fragments(text: Column, pattern: str) -> Column:
 
 def encode_fragments(words: DataFrame, model: str = MODEL, keys: tuple[str, ...] = ("word",)) -> DataFrame:
     """Distinct ``keys`` (with ``word``) plus ``ids`` array<int>, the pieces on the best path."""
+    import pandas as pd  # on the driver only: the tasks' processes do without it
+
     spark = words.sparkSession
     pieces, byte_ids, _ = read_model(model)
     longest = max(len(p) for p, _, _ in pieces)
