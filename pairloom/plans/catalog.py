@@ -33,19 +33,24 @@ def rounded(df: DataFrame, n: int = 6) -> DataFrame:
     return df.select(*(F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-W1 = prior.before(["id"])
-_W1 = "OVER (PARTITION BY id ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-WIN = (F.col("res") == 1).cast("double")
+def w1():
+    return prior.before(["id"])
+
+
+def win() -> Column:
+    return (F.col("res") == 1).cast("double")
 
 
+_W1 = "OVER (PARTITION BY id ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
 @query("prior_form", C + f""", f AS (SELECT contest_id, side, count(*) {_W1} AS n, (coalesce(sum(CASE WHEN res = 1 THEN 1 ELSE 0 END) {_W1}, 0) + 1.0::DOUBLE) / (coalesce(sum(CASE WHEN res IN (0, 1) THEN 1 ELSE 0 END) {_W1}, 0) + 2) AS rate, day - max(day) {_W1} AS idle FROM sides)
 SELECT c.contest_id, a.n - b.n AS d_n, round(a.rate - b.rate, 6) AS d_rate, (a.idle - b.idle)::DOUBLE AS d_idle, round(a.rate, 6) AS s1_rate, round(b.rate, 6) AS s2_rate, class, y
 FROM contests c JOIN f a ON a.contest_id = c.contest_id AND a.side = 'a' JOIN f b ON b.contest_id = c.contest_id AND b.side = 'b'""")
 def prior_form(spark, d):
     """Strictly-prior counts, smoothed win rates and rest, as a difference design for each contest."""
     c = contests(spark, d)
-    rate = (F.coalesce(F.sum(WIN).over(W1), F.lit(0.0)) + 1) / (F.coalesce(F.sum(F.when(F.col("res").isin(0.0, 1.0), 1).otherwise(0)).over(W1), F.lit(0)) + 2)
-    p = participants(c).select("contest_id", "side", F.count("*").over(W1).alias("n"), rate.alias("rate"), (F.col("day") - F.max("day").over(W1)).cast("double").alias("idle"), "day")
+    rate = (F.coalesce(F.sum(win()).over(w1()), F.lit(0.0)) + 1) / (F.coalesce(F.sum(F.when(F.col("res").isin(0.0, 1.0), 1).otherwise(0)).over(w1()), F.lit(0)) + 2)
+    p = participants(c).select("contest_id", "side", F.count("*").over(w1()).alias("n"), rate.alias("rate"), (F.col("day") - F.max("day").over(w1())).cast("double").alias("idle"), "day")
     both = p.groupBy("contest_id").pivot("side", ["a", "b"]).agg(F.first("n").alias("n"), F.first("rate").alias("rate"), F.first("idle").alias("idle"))
     return rounded(sides.design(c.join(both, "contest_id"), ["n", "rate", "idle"], ["rate"], ["contest_id", "class", "y"]))
 
@@ -56,11 +61,11 @@ def prior_form(spark, d):
 SELECT contest_id, side, n, n_365, best, round(mean_score, 6) AS mean_score, round(CASE WHEN n > 0 THEN r_rate END, 6) AS r_rate, round(decayed, 4) AS decayed, best_beaten, tenure::DOUBLE AS tenure FROM j""")
 def career_form(spark, d):
     """Counts, rates, means, extremes and exponentially decayed sums over strictly-prior contests."""
-    n = F.count("*").over(W1)
+    n = F.count("*").over(w1())
     return participants(contests(spark, d)).select(
-        "contest_id", "side", n.alias("n"), F.count("*").over(prior.before(["id"], days=365)).alias("n_365"), F.max("score").over(W1).alias("best"), r(F.avg("score").over(W1)).alias("mean_score"),
-        r(F.when(n > 0, F.coalesce(F.sum(((F.col("method") == "R") & (F.col("res") == 1)).cast("int")).over(W1), F.lit(0)) / (n + 2))).alias("r_rate"),
-        r(F.coalesce(prior.decayed(F.col("score"), "day", W1), F.lit(0.0)), 4).alias("decayed"), F.max(F.when(F.col("res") == 1, F.col("opp_score"))).over(W1).alias("best_beaten"), (F.col("day") - F.min("day").over(W1)).cast("double").alias("tenure"),
+        "contest_id", "side", n.alias("n"), F.count("*").over(prior.before(["id"], days=365)).alias("n_365"), F.max("score").over(w1()).alias("best"), r(F.avg("score").over(w1())).alias("mean_score"),
+        r(F.when(n > 0, F.coalesce(F.sum(((F.col("method") == "R") & (F.col("res") == 1)).cast("int")).over(w1()), F.lit(0)) / (n + 2))).alias("r_rate"),
+        r(F.coalesce(prior.decayed(F.col("score"), "day", w1()), F.lit(0.0)), 4).alias("decayed"), F.max(F.when(F.col("res") == 1, F.col("opp_score"))).over(w1()).alias("best_beaten"), (F.col("day") - F.min("day").over(w1())).cast("double").alias("tenure"),
     )
 
 
@@ -71,7 +76,7 @@ SELECT s.contest_id, s.side, coalesce(CASE WHEN last1 = 1 THEN coalesce(not_win
 FROM sides s LEFT JOIN f USING (contest_id, side) LEFT JOIN l USING (contest_id, side)""")
 def streaks(spark, d):
     """Signed streaks (no contests skipped, a draw ends one), last result and mean of the last three."""
-    past = F.transform(F.sort_array(F.collect_list(F.when(F.col("res").isNotNull(), F.struct("day", "contest_id", "res"))).over(W1)), lambda x: x["res"])
+    past = F.transform(F.sort_array(F.collect_list(F.when(F.col("res").isNotNull(), F.struct("day", "contest_id", "res"))).over(w1())), lambda x: x["res"])
     p = participants(contests(spark, d)).select("contest_id", "side", past.alias("past"))
     last = F.slice("past", -3, 3)
     tail = F.when(F.size("past") >= 3, last).otherwise(F.col("past"))
@@ -86,14 +91,14 @@ def league_priors(spark, d):
     p = participants(contests(spark, d))
     league = prior.daily_prior(p, "day", {"s": F.sum("score"), "n": F.count("*")})
     mean = F.when(F.col("n") > 100, F.col("s") / F.col("n")).otherwise(25.0)
-    own = p.select("contest_id", "side", "day", F.sum("score").over(W1).alias("num"), F.count("*").over(W1).cast("double").alias("den"))
+    own = p.select("contest_id", "side", "day", F.sum("score").over(w1()).alias("num"), F.count("*").over(w1()).cast("double").alias("den"))
     return own.join(league, "day").select("contest_id", "side", r(prior.shrunk(F.col("num"), F.col("den"), mean, 12.0)).alias("rate"))
 
 
 @query("residuals", C + f""", f AS (SELECT contest_id, side, avg(opp_score) {_W1} AS allows FROM sides) SELECT s.contest_id, s.side, round(s.score - f.allows, 6) AS residual FROM sides s JOIN f ON f.contest_id = s.contest_id AND f.side <> s.side""")
 def residuals(spark, d):
     """What a side scored beyond what its opponent had allowed before."""
-    p = participants(contests(spark, d)).select("contest_id", "side", "score", F.avg("opp_score").over(W1).alias("allows"))
+    p = participants(contests(spark, d)).select("contest_id", "side", "score", F.avg("opp_score").over(w1()).alias("allows"))
     other = p.select("contest_id", F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), "allows")
     return p.drop("allows").join(other, ["contest_id", "side"]).select("contest_id", "side", r(F.col("score") - F.col("allows")).alias("residual"))
 

@@ -11,7 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pairloom.session import local_session
 
-    s = local_session("4", "tests", "4g", **{"spark.sql.shuffle.partitions": "4"})
-    s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pairloom-"))
+    s = local_session("8", "tests", "6g", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="pairloom-")})
     yield s
     s.stop()
