@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,10 @@ def owner(doc_id: Column) -> Column:
 
 def sql_list(items) -> str:
     return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+
+
+def texts(column: pa.Array, at_once: int = 256) -> Iterator[bytes | None]:
+    """The texts of a batch as bytes, a few at a time; Arrow's memory goes back when the batch is done."""
+    for start in range(0, len(column), at_once):
+        yield from column.slice(start, at_once).cast(pa.large_binary()).to_pylist()
+    pa.default_memory_pool().release_unused()

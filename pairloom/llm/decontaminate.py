@@ -21,12 +21,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from pairloom.llm.common import table
+from pairloom.llm.common import table, texts
 from pairloom.llm.repeats import BASES, Rolling
 from pairloom.llm.substring_dedup import word_hashes
 
@@ -128,15 +128,19 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity, differing_bits: the best window of each text for each item it holds."""
     kinds = {doc_id: docs.schema[doc_id].dataType.simpleString(), "__item": benchmark.schema[item_id].dataType.simpleString()}
+    item_kind = to_arrow_type(benchmark.schema[item_id].dataType)
     rows, out = docs.select(F.col(doc_id).alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("__text")), None
     for items in item_blocks(benchmark, item_id, item_text):
 
-        def run(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(d, *f) for d, t in zip(b["__doc"], b["__text"], strict=True) for f in items.find(t.encode())]
-                yield pd.DataFrame(found, columns=["__doc", item_id, "first_word", "n_words", "similarity", "differing_bits"])
+                found = [(i, *f) for i, t in enumerate(texts(b["__text"])) for f in items.find(t)]
+                at, ids, *rest = zip(*found, strict=True) if found else [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+                named = [b["__doc"].take(pa.array(at, pa.int64())), pa.array(ids, item_kind), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(named, names=["__doc", item_id, "first_word", "n_words", "similarity", "differing_bits"])
 
-        part = rows.mapInPandas(run, f"__doc {kinds[doc_id]}, {item_id} {kinds['__item']}, first_word long, n_words long, similarity double, differing_bits int")
+        part = rows.mapInArrow(run, f"__doc {kinds[doc_id]}, {item_id} {kinds['__item']}, first_word long, n_words long, similarity double, differing_bits int")
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("__doc", doc_id)
 
@@ -147,7 +151,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not (t and items.find(t)) for t in b[text].cast(pa.large_binary()).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not (t and items.find(t)) for t in texts(b[text])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -28,13 +28,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pairloom.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: More pieces than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST_PIECES = 1_000_000
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Texts of a block that are glued at a time, to bound memory.
-TEXTS_AT_ONCE = 512
+TEXTS_AT_ONCE = 128
 LETTERS = r"[\p{L}\p{M}]"
 
 
@@ -134,6 +134,7 @@ def _fragments_of_blocks(pattern: str):
             words = seen.pop(block)
             t = pa.table({"__block": pa.array(np.full(len(words), block, np.int32)), "word": pa.array(list(words), pa.string())})
             yield from t.to_batches(max_chunksize=20_000)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialized, owner, table
+from pairloom.llm.common import materialized, owner, table, texts
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENT, SEGMENTS = 4, 16
@@ -52,7 +52,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        f = np.array([fingerprint(t) for t in b["text"].cast(pa.large_binary()).to_pylist()], np.uint64)
+        f = np.array([fingerprint(t) for t in texts(b["text"])], np.uint64)
         yield pa.RecordBatch.from_arrays([b["doc"], b["own"], b["tx"], pa.array(f.view(np.int64))], names=["doc", "own", "tx", "fp"])
 
 
@@ -73,10 +73,10 @@ def links(fps: DataFrame) -> DataFrame:
     chain = lambda i: F.struct((F.lit(i << width) + F.shiftrightunsigned(turned(i), bits - width)).alias("bucket"), F.lit(signed(back(i))).alias("free"))
     buckets = fps.select("fp", F.explode(F.array(*(chain(i) for i in range(SEGMENTS)))).alias("c")).select("fp", "c.*")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    left = materialized(buckets.join(shared, "bucket", "left_semi").groupBy("fp").agg(F.bit_or("free").alias("free")))
+    left = materialized(buckets.join(shared.hint("merge"), "bucket", "left_semi").groupBy("fp").agg(F.bit_or("free").alias("free")))
     moved = left.select("fp", F.explode(F.expr(f"concat(array(fp), transform(filter(sequence(0, {bits - 1}), i -> shiftright(free, i) & 1 = 1), i -> fp ^ shiftleft(1L, i)))")).alias("near"))
     least = moved.groupBy("near").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("near", "lo")
-    pairs = moved.join(least, "near").filter(F.col("fp") > F.col("lo")).select("lo", F.col("fp").alias("hi"))
+    pairs = moved.join(least.hint("merge"), "near").filter(F.col("fp") > F.col("lo")).select("lo", F.col("fp").alias("hi"))
     return pairs.filter(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= RADIUS).distinct()
 
 
