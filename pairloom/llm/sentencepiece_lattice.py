@@ -6,8 +6,8 @@ to the longest piece are exploded and equi-joined to the piece table (bounded, c
 grouped, and a fold over them in order of their ends keeps the best score for each position: Viterbi over the sum of piece scores,
 ties going to the longer last piece. Characters that no piece covers cost the least score minus 10 and become byte pieces.
 
-Each different fragment is encoded once. Texts are dealt once to blocks of about ``BLOCK_BYTES``, whose number follows the input; the
-fragments of a block go to the lattice and come back with their pieces to the block's texts, where they are put in a row. A fragment
+Each different fragment is encoded once. Texts are dealt once, compressed, to blocks of about ``BLOCK_BYTES``, whose number follows the
+input; the fragments of a block go to the lattice and come back with their pieces to the block's texts, where they are put in a row. A fragment
 passes at most once for each block, however often it occurs. Repeated rows are encoded alike, empty texts give no pieces, empty
 tables give empty results, and other columns are not touched.
 """
@@ -35,6 +35,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Texts of a block that are glued at a time, to bound memory.
 TEXTS_AT_ONCE = 128
+#: Bytes of text that a task holds before it deals them.
+PACK_BYTES = 16 << 20
 LETTERS = r"[\p{L}\p{M}]"
 
 
@@ -120,16 +122,59 @@ def _finder(pattern: str):
     return lambda text: find(MARK + text.replace(" ", MARK)) if text else []
 
 
+def _pack(key: str):
+    """One row for the texts that a stretch of the input sends to a block: their keys, their sizes in bytes and all of them compressed."""
+
+    def packs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        t = t.take(pa.array(np.argsort(t["__block"].to_numpy(), kind="stable")))
+        blocks = t["__block"].to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(blocks, prepend=-1)), len(blocks))
+        data = t["__text"].combine_chunks().cast(pa.large_binary()).to_pylist()
+        offsets = pa.array(cuts, pa.int32())
+        keys = pa.ListArray.from_arrays(offsets, t[key].combine_chunks())
+        sizes = pa.ListArray.from_arrays(offsets, pa.array([len(x) for x in data], pa.int32()))
+        packed = pa.array([pa.compress(b"".join(data[i:j]), codec="zstd", asbytes=True) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(blocks[cuts[:-1]], pa.int32()), keys, sizes, packed], names=["__block", "__keys", "__sizes", "__packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for start in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(start, TEXTS_AT_ONCE)
+                held.append(part)
+                size += part["__text"].nbytes
+                if size >= PACK_BYTES:
+                    yield packs(held)
+                    held, size = [], 0
+        if held:
+            yield packs(held)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _unpacked(sizes: list[int], packed: bytes) -> Iterator[list[str]]:
+    """The texts of one pack, some at a time."""
+    data, at = pa.decompress(packed, decompressed_size=sum(sizes), codec="zstd", asbytes=True), 0
+    for start in range(0, len(sizes), TEXTS_AT_ONCE):
+        out = []
+        for n in sizes[start : start + TEXTS_AT_ONCE]:
+            out.append(data[at : at + n].decode())
+            at += n
+        yield out
+
+
 def _fragments_of_blocks(pattern: str):
     """The different fragments of each block; a block lies in one task, which holds them as a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = _finder(pattern), {}
         for b in batches:
-            for start in range(0, b.num_rows, TEXTS_AT_ONCE):
-                part = b.slice(start, TEXTS_AT_ONCE)
-                for block, text in zip(part["__block"].to_pylist(), part["__text"].to_pylist(), strict=True):
-                    seen.setdefault(block, set()).update(find(text))
+            for i in range(b.num_rows):
+                words = seen.setdefault(b["__block"][i].as_py(), set())
+                for texts in _unpacked(b["__sizes"][i].as_py(), b["__packed"][i].as_py()):
+                    words.update(*map(find, texts))
         for block in list(seen):
             words = seen.pop(block)
             t = pa.table({"__block": pa.array(np.full(len(words), block, np.int32)), "word": pa.array(list(words), pa.string())})
@@ -159,14 +204,16 @@ def _assemble(pattern: str, key: str, pieces: pa.Array | None):
         lists = lattice["ids"].combine_chunks()
         size = np.asarray(lists.value_lengths())
         find, out = _finder(pattern), []
-        for start in range(0, texts.num_rows, TEXTS_AT_ONCE):
-            part = texts.slice(start, TEXTS_AT_ONCE)
-            rows = [np.fromiter(map(row.__getitem__, f), np.int64, len(f)) for f in map(find, part["__text"].to_pylist())]
-            flat = np.concatenate(rows)
-            ends = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum([len(r) for r in rows])])]
-            ids = lists.take(pa.array(flat)).flatten()
-            found = {key: part[key], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.cast(pa.int32()))}
-            out.append(pa.table(found if pieces is None else found | {"decoded": _texts(pieces, ids, ends)}))
+        for i in range(texts.num_rows):
+            keys, at = texts["__keys"][i].values, 0
+            for part in _unpacked(texts["__sizes"][i].as_py(), texts["__packed"][i].as_py()):
+                rows = [np.fromiter(map(row.__getitem__, f), np.int64, len(f)) for f in map(find, part)]
+                flat = np.concatenate(rows)
+                ends = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum([len(r) for r in rows])])]
+                ids = lists.take(pa.array(flat)).flatten()
+                found = {key: keys.slice(at, len(part)), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.cast(pa.int32()))}
+                at += len(part)
+                out.append(pa.table(found if pieces is None else found | {"decoded": _texts(pieces, ids, ends)}))
         del row, lists, lattice
         pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
@@ -181,14 +228,17 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", model: str =
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     t = F.coalesce(F.col(text), F.lit(""))
-    dealt = df.select(F.col(key), t.alias("__text"), F.pmod(F.xxhash64(F.col(key), F.length(t)), F.lit(n)).cast("int").alias("__block")).repartition(n, "__block")
+    key_type = df.schema[key].dataType.simpleString()
+    texts = df.select(F.col(key), t.alias("__text"), F.pmod(F.xxhash64(F.col(key), F.length(t)), F.lit(n)).cast("int").alias("__block"))
+    packed = texts.mapInArrow(_pack(key), f"__block int, __keys array<{key_type}>, __sizes array<int>, __packed binary")
+    dealt = packed.repartition(n, "__block")
     found = dealt.mapInArrow(_fragments_of_blocks(pattern), "__block int, word string").repartition("word")
     # each fragment is encoded once; the count is there so that both uses of ``found`` read the same columns and share one shuffle
     words = found.groupBy("word").agg(F.count("__block").alias("__n")).filter("__n > 0").select("word")
     lattice = found.join(encode_fragments(words, model).hint("merge"), "word").select("__block", "word", "ids")
     lattice = lattice.toDF("__lattice_block", "word", "ids")
     return dealt.groupBy("__block").cogroup(lattice.groupBy("__lattice_block")).applyInArrow(
-        _assemble(pattern, key, _piece_bytes(model) if and_decode else None), f"{key} {df.schema[key].dataType.simpleString()}, ids array<int>" + ", decoded string" * and_decode
+        _assemble(pattern, key, _piece_bytes(model) if and_decode else None), f"{key} {key_type}, ids array<int>" + ", decoded string" * and_decode
     )
 
 
