@@ -40,3 +40,19 @@ def upsert(old: DataFrame, new: DataFrame, page: str, key: list[str], order: Col
     w = Window.partitionBy(*key).orderBy(order.desc())
     latest = new.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
     return old.join(new.select(page).distinct(), page, "left_anti").unionByName(latest, allowMissingColumns=True)
+
+
+def frontier(edges: DataFrame, seeds: DataFrame, source: str, target: str, rounds: int) -> DataFrame:
+    """node, depth: what is reached from ``seeds`` (column node) in at most ``rounds`` steps, by the least number of steps.
+
+    Each round joins only the nodes that the round before added and drops known ones; ``checkpoint`` cuts lineage where a folder is set.
+    """
+    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("__next")).distinct()
+    seen = last = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    folder = seeds.sparkSession.conf.get("spark.checkpoint.dir", None)
+    for n in range(1, rounds + 1):
+        last = last.join(steps, "node").select(F.col("__next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(n))
+        if folder:
+            last = last.checkpoint()
+        seen = seen.unionByName(last)
+    return seen

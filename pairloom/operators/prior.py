@@ -53,3 +53,10 @@ def streak(results: Column) -> Column:
         (a["on"] & (((r == 1) & (a["n"] >= 0)) | ((r == 0) & (a["n"] <= 0)))).alias("on"),
     )
     return F.aggregate(known, start, step)["n"]
+
+
+def trailing_mean(df: DataFrame, keys: list[str], day_column: str, value: Column, days: int, k: float, start: float) -> DataFrame:
+    """For each of ``keys`` and day the mean of ``value`` over the ``days`` before, shrunk to ``start`` with weight ``k``. Rows are summed by day first."""
+    daily = df.groupBy(*keys, day_column).agg(F.sum(value).alias("__sum"), F.count(value).alias("__n"))
+    w = before(keys, day_column, days)
+    return daily.select(*keys, day_column, shrunk(F.sum("__sum").over(w), F.sum("__n").over(w).cast("double"), start, k).alias("strength"))

@@ -51,3 +51,16 @@ def summary(bets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         F.count("*").alias("n"), F.sum("stake").alias("staked"), F.sum("profit").alias("profit"), (F.sum("profit") / F.sum("stake")).alias("roi"),
         F.avg((F.col("profit") > 0).cast("double")).alias("hit"), F.max("down").alias("max_drawdown"), F.avg("price").alias("avg_price"), F.avg("stake").alias("avg_units"),
     )
+
+
+def bankroll_paths(bets: DataFrame, keys: list[str], day: str = "day", floor: float = 1e-9) -> DataFrame:
+    """``keys``, day, ``log_bank`` (log growth since the beginning), ``down`` (log distance below the highest so far).
+
+    Stakes are per cent of the bankroll at the day's beginning; all bets of a day settle at its end. Stakes above the whole bankroll are
+    scaled to it, and a day never leaves less than ``floor`` of it. Bets are summed by day first, so that a window holds days.
+    """
+    days = bets.groupBy(*keys, day).agg((F.sum("stake") / 100).alias("__staked"), (F.sum("profit") / 100).alias("__profit"))
+    grown = F.ln(F.greatest(1 + F.col("__profit") * F.least(F.lit(1.0), 1 / F.col("__staked")), F.lit(floor)))
+    w = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    run = days.withColumn("log_bank", F.sum(grown).over(w))
+    return run.select(*keys, day, "log_bank", (F.greatest(F.max("log_bank").over(w), F.lit(0.0)) - F.col("log_bank")).alias("down"))

@@ -409,3 +409,109 @@ def bootstrap_gain(spark, d):
     c = contests(spark, d).filter(F.col("y").isin(0.0, 1.0))
     gain = evaluate.log_loss(F.col("y"), F.col("p_open")) - evaluate.log_loss(F.col("y"), F.col("p_close"))
     return evaluate.clustered_bootstrap(c, "day", gain, F.lit(1.0), 200)
+
+
+_BANK = C + """, g AS (SELECT unnest([0.125::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE]) AS fraction), s AS (SELECT day, y, p_close * a_dec - 1 >= (1 - p_close) * b_dec - 1 AS on_a, CASE WHEN p_close * a_dec - 1 >= (1 - p_close) * b_dec - 1 THEN p_close ELSE 1 - p_close END AS p, CASE WHEN p_close * a_dec - 1 >= (1 - p_close) * b_dec - 1 THEN a_dec ELSE b_dec END AS price FROM contests),
+k AS (SELECT *, least(greatest(fraction * 100 * (p * price - 1) / (price - 1), 0), 5.0::DOUBLE) AS stake FROM s, g WHERE p * price - 1 > 0.05::DOUBLE),
+e AS (SELECT fraction, day, sum(stake) / 100 AS staked, sum(CASE WHEN y IS NULL THEN 0 WHEN y = CASE WHEN on_a THEN 1 ELSE 0 END THEN stake * (price - 1) ELSE -stake END) / 100 AS profit FROM k WHERE stake > 0 GROUP BY 1, 2),
+b AS (SELECT fraction, day, sum(ln(greatest(1 + profit * least(1.0::DOUBLE, 1 / staked), 1e-9::DOUBLE))) OVER (PARTITION BY fraction ORDER BY day) AS log_bank FROM e)
+SELECT fraction, day, round(log_bank, 6) AS log_bank, round(greatest(max(log_bank) OVER (PARTITION BY fraction ORDER BY day), 0) - log_bank, 6) AS down FROM b"""
+
+
+@query("bankroll_paths", _BANK)
+def bankroll_paths(spark, d):
+    """Growth and drawdown of a bankroll in three Kelly fractions."""
+    grid = contests(spark, d).select("contest_id", "day", "p_close", "a_dec", "b_dec", "y", F.explode(F.array(*(F.lit(f) for f in (0.125, 0.25, 0.5)))).alias("fraction"))
+    return rounded(staking.bankroll_paths(staking.simulate(grid, "p_close", "a_dec", "b_dec", "y", 0.05, F.col("fraction")), ["fraction"]))
+
+
+@query("promotion_strength", C + """, s AS (SELECT class, day, sum(round(a_price)) AS v, count(*) AS n FROM contests GROUP BY 1, 2), w AS (SELECT class, day, (coalesce(sum(v) OVER w, 0) + 10 * 1500.0::DOUBLE) / (coalesce(sum(n) OVER w, 0) + 10) AS strength FROM s WINDOW w AS (PARTITION BY class ORDER BY day RANGE BETWEEN 1095 PRECEDING AND 1 PRECEDING))
+SELECT class, day, round(strength, 4) AS strength FROM w""")
+def promotion_strength(spark, d):
+    """Strength of a promotion: mean rating of who met there in the three years before, shrunk to the starting rating."""
+    return rounded(prior.trailing_mean(contests(spark, d), ["class"], "day", F.round("a_price"), 1095, 10.0, 1500.0), 4)
+
+
+@query("promotion_names", """WITH n AS (SELECT p_partkey, trim(regexp_replace(string_split(p_brand || ' ' || (p_size % 20) || ' - ' || p_name, ' - ')[1], '[ #]*([0-9]+|[IVX]+)$', '')) AS name FROM part) SELECT p_partkey, CASE regexp_replace(name, '[ #]*[0-9]+$', '') WHEN 'Brand' THEN 'House Brand' ELSE regexp_replace(name, '[ #]*[0-9]+$', '') END AS promotion FROM n""")
+def promotion_names(spark, d):
+    """Canonical promotions: the part before a dash, without numbers at its end, by an alias map."""
+    end = lambda c: F.regexp_replace(c, "[ #]*([0-9]+|[IVX]+)$", "")
+    title = F.concat("p_brand", F.lit(" "), (F.col("p_size") % 20).cast("string"), F.lit(" - "), "p_name")
+    name = end(F.trim(end(F.get(F.split(title, " - "), 0))))
+    alias = F.create_map(F.lit("Brand"), F.lit("House Brand"))
+    return table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(alias, name), name).alias("promotion"))
+
+
+_METHOD = C + """, tr AS (SELECT class, method FROM contests WHERE year(date) <= 1996), n AS (SELECT class, method, count(*) AS n FROM tr GROUP BY 1, 2), z AS (SELECT class, sum(n) AS size FROM n GROUP BY 1), h AS (SELECT method, sum(n) / (SELECT sum(n) FROM n)::DOUBLE AS share FROM n GROUP BY 1),
+p AS (SELECT z.class, h.method, (coalesce(n.n, 0) + 20 * share) / (size + 20)::DOUBLE AS p FROM z CROSS JOIN h LEFT JOIN n ON n.class = z.class AND n.method = h.method)
+SELECT year(date)::INT AS year, count(*) AS n, round(avg(-ln(p)), 6) AS log_loss, round(avg((p > 0.34::DOUBLE)::INT), 6) AS likely FROM contests JOIN p USING (class, method) WHERE year(date) > 1996 GROUP BY 1"""
+
+
+@query("method_rates", _METHOD)
+def method_rates(spark, d):
+    """Shrunk rates of methods by class, learned before 1997; multiclass log loss in the years after."""
+    c = contests(spark, d).select(F.year("date").alias("year"), "class", "method")
+    p = evaluate.class_rates(c.filter("year <= 1996"), "class", "method", ["A", "N", "R"])
+    return rounded(c.filter("year > 1996").join(p, ["class", "method"]).groupBy("year").agg(F.count("*").alias("n"), F.avg(-F.ln("p")).alias("log_loss"), F.avg((F.col("p") > 0.34).cast("double")).alias("likely")))
+
+
+@query("hypotheses", C + """, s AS (SELECT y, a_dec, b_dec, unnest([CASE WHEN p_open >= 0.5 THEN 'favourite a' ELSE 'favourite b' END, CASE WHEN p_close > p_open THEN 'steam a' ELSE 'steam b' END, CASE WHEN class = 0 THEN 'class a' END, CASE WHEN a_price > b_price THEN 'dear a' ELSE 'dear b' END]) AS bet FROM contests),
+b AS (SELECT string_split(bet, ' ')[1] AS hypothesis, CASE WHEN y IS NULL THEN 0 WHEN y = CASE WHEN bet LIKE '% a' THEN 1 ELSE 0 END THEN CASE WHEN bet LIKE '% a' THEN a_dec ELSE b_dec END - 1 ELSE -1 END AS profit FROM s WHERE bet IS NOT NULL)
+SELECT hypothesis, count(*) AS n, round(avg(profit), 6) AS roi, round(avg((profit > 0)::INT), 6) AS hit, round(sqrt(count(*)) * avg(profit) / stddev_samp(profit), 4) AS t FROM b GROUP BY 1""")
+def hypotheses(spark, d):
+    """Folk rules as flat bets, all in one pass: each contest is exploded to the rules that bet on it."""
+    name = lambda label, a: F.struct(F.lit(label).alias("hypothesis"), a.alias("on_a"))
+    rules = F.array(name("favourite", F.col("p_open") >= 0.5), name("steam", F.col("p_close") > F.col("p_open")), F.when(F.col("class") == 0, name("class", F.lit(True))), name("dear", F.col("a_price") > F.col("b_price")))
+    b = contests(spark, d).select("y", "a_dec", "b_dec", F.explode(F.array_compact(rules)).alias("r")).select("y", "r.hypothesis", "r.on_a", F.when(F.col("r.on_a"), F.col("a_dec")).otherwise(F.col("b_dec")).alias("dec"))
+    profit = F.when(F.col("y").isNull(), 0.0).when(F.col("y") == F.col("on_a").cast("double"), F.col("dec") - 1).otherwise(-1.0)
+    g = b.select("hypothesis", profit.alias("profit")).groupBy("hypothesis")
+    return g.agg(F.count("*").alias("n"), r(F.avg("profit")).alias("roi"), r(F.avg((F.col("profit") > 0).cast("double"))).alias("hit"), r(F.sqrt(F.count("*")) * F.avg("profit") / F.stddev_samp("profit"), 4).alias("t"))
+
+
+@query("page_items", """WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS hrefs, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS names FROM pages), x AS (SELECT page_id, unnest(range(len(hrefs))) AS item, hrefs, names FROM l)
+SELECT page_id, item::INT AS item, hrefs[item + 1] AS href, replace(names[item + 1], '&amp;', '&') AS name FROM x""")
+def page_items(spark, d):
+    """Rows of list markup as records, in order, with references resolved."""
+    item = r'<li><a href="([^"]*)">([^<]*)</a></li>'
+    found = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(item), F.lit(i)).alias(n) for i, n in ((1, "href"), (2, "name"))))
+    return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("item", "x")).select("page_id", "item", F.col("x.href").alias("href"), F.replace(F.col("x.name"), F.lit("&amp;"), F.lit("&")).alias("name"))
+
+
+@query("news_sentences", """WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \\n\\t]+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents) SELECT doc_id, count(*) AS n_sentences, sum(CASE WHEN regexp_matches(lower(sentence), '(licen[cs]e|copyright|password)') THEN 1 ELSE 0 END)::BIGINT AS n_notices, max(length(sentence))::INT AS longest FROM s GROUP BY 1""")
+def news_sentences(spark, d):
+    """Sentences of texts and those that hold a trigger."""
+    s = F.split("text", r"(?<=[.!?])[ \n\t]+")
+    hit = lambda x: F.lower(x).rlike("(licen[cs]e|copyright|password)")
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.size(F.filter(s, hit)).cast("long").alias("n_notices"), F.array_max(F.transform(s, F.length)).alias("longest"))
+
+
+@query("opponent_reach", C + """, e AS (SELECT DISTINCT a_id, b_id FROM contests WHERE class = 1 AND y = 1), r AS (SELECT min(a_id) AS node, 0 AS depth FROM e), r1 AS (SELECT DISTINCT b_id AS node FROM e JOIN r ON a_id = node WHERE b_id NOT IN (SELECT node FROM r)), k1 AS (SELECT node, depth FROM r UNION ALL SELECT node, 1 FROM r1), r2 AS (SELECT DISTINCT b_id AS node FROM e JOIN r1 ON a_id = node WHERE b_id NOT IN (SELECT node FROM k1)), k2 AS (SELECT * FROM k1 UNION ALL SELECT node, 2 FROM r2),
+r3 AS (SELECT DISTINCT b_id AS node FROM e JOIN r2 ON a_id = node WHERE b_id NOT IN (SELECT node FROM k2)) SELECT node, depth::INT AS depth FROM k2 UNION ALL SELECT node, 3 FROM r3""")
+def opponent_reach(spark, d):
+    """Whom a crawl over beaten opponents reaches in three rounds."""
+    e = contests(spark, d).filter("class = 1 AND y = 1").select("a_id", "b_id").distinct()
+    return joins.frontier(e, e.agg(F.min("a_id").alias("node")), "a_id", "b_id", 3)
+
+
+@query("skill_filters")
+def skill_filters(spark, d):
+    """Poisson attack and defence from counts, by league of contest classes."""
+    c = contests(spark, d).select("contest_id", "date", "a_id", "b_id", "class", F.lit(False).alias("finished"), F.array("a_score", "b_score", F.lit(25.0)).alias("counts"))
+    return folds.rated(c, "class", {"skill": folds.PoissonSkills}, {"skill": "counts"})
+
+
+@query("stage_stack")
+def stage_stack(spark, d):
+    """A stack of line and ratings over stages of a line, with interactions, learned without an intercept on mirrored rows before each year."""
+    form = QUERIES["prior_form"](spark, d).select("contest_id", F.coalesce("d_rate", F.lit(0.0)).alias("model"))
+    c = contests(spark, d).filter(F.col("y").isin(0.0, 1.0)).join(form, "contest_id")
+    k = F.col("s")
+    m = c.select("contest_id", "date", "y", "model", "p_open", "p_close", F.explode(F.array(*(F.lit(i / 9) for i in (0, 3, 6, 9)))).alias("s"))
+    m = m.select("contest_id", "date", "y", "s", staking.logit(F.col("p_open") + (F.col("p_close") - F.col("p_open")) * k).alias("line"), "model")
+    m = m.select("*", (F.col("line") * k).alias("line_s"), (F.col("model") * k).alias("model_s"))
+    x = ["line", "model", "line_s", "model_s"]
+
+    def predict(train: DataFrame, test: DataFrame) -> DataFrame:
+        return test.select("contest_id", "s", "date", "y", learn.score_logit(x, learn.ridge_logit(learn.mirrored(train, x, "y"), x, "y", 0.1)).alias("p"))
+
+    return learn.walk_forward(m, "date", [1998, 1999], predict)
