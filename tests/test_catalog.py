@@ -56,7 +56,8 @@ def test_skills_follow_counts():
     for i in range(30):
         f.update("strong", "weak", (60, 10, 25.0), day + datetime.timedelta(days=i))
     f.update("strong", "weak", (None, 10, 25.0), day)
-    assert f.get("strong") > 0.4 and f.get("weak") < -0.4
+    later = day + datetime.timedelta(days=60)
+    assert f.get("strong", later) > 0.4 and f.get("weak", later) < -0.4
     assert all(0 < v <= 0.3 for _, v, _ in f.state.values())
 
 
