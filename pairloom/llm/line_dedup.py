@@ -7,6 +7,8 @@ anywhere are removed, all but the first: the one in the smallest ``doc_id`` (nul
 earliest. Rows that share an id count as one owner and each keep the copy that this owner is first with. Chunks are counted by digest,
 then repeated digests are compared byte for byte: a digest that stands for two different chunks is never removed. Texts without a
 repeated chunk, empty texts, single lines and empty tables pass unchanged; a null text stays null.
+
+A short repeat mostly holds no complete chunk. So the pipeline's stage compares every two neighbouring lines instead.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import owner, table
+from pairloom.llm.common import materialized, owner, table
 
 #: First hex digit of the rolling hash in this set: a cut candidate (half of all lines).
 CUT_DIGITS = list("01234567")
@@ -95,9 +97,45 @@ def op4(spark, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "kept_text", "line_dedup.*")
 
 
+def _pair(lines: Column, i: Column) -> Column:
+    """Lines ``i`` and ``i + 1`` as one text."""
+    return F.concat(F.get(lines, i), F.lit("\n"), F.get(lines, i + 1))
+
+
+def dedup_line_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept_text", removed: str = "n_removed_lines") -> DataFrame:
+    """``df`` plus ``out`` (the remaining text) and ``removed``: every repeat of two or more lines goes, wherever chunks would be cut.
+
+    Each two neighbouring lines with a word count by their digest. All but the first occurrence (by id, text hash and place; null ids
+    after all others) lose both lines, so that a longer passage goes as a chain of pairs. Rows with equal id and text keep the same
+    lines. The first occurrence of a line is in no later pair, so that one copy of each line stays. Digests that stand for two
+    different pairs are found byte for byte and never removed.
+    """
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    rows = df.select("*", owner(F.col(doc_id)).alias("__own"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__tx"))
+    digests = _bind(lines, lambda ls: F.transform(F.slice(ls, 1, F.size(ls) - 1), lambda _, i: _bind(_pair(ls, i), lambda t: F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(t))))))
+    pairs = materialized(rows.select("__own", "__tx", F.posexplode(digests).alias("__i", "__key")).filter("__key IS NOT NULL"))
+    place = F.struct("__own", "__tx", "__i")
+
+    def marked(pairs: DataFrame) -> DataFrame:
+        repeated = pairs.groupBy("__key").agg(F.count("*").alias("n"), F.min(place).alias("__first")).filter("n > 1").drop("n")
+        at = pairs.join(repeated.hint("merge"), "__key").groupBy("__own", "__tx").agg(F.collect_set(F.when(place > F.col("__first"), F.col("__i"))).alias("__later"), F.collect_set(F.when(place == F.col("__first"), F.col("__i"))).alias("__here"))
+        return materialized(rows.join(at.hint("merge"), ["__own", "__tx"], "left"))
+
+    m = marked(pairs)
+    copies = m.filter("__later IS NOT NULL").select(F.explode(_bind(lines, lambda ls: F.transform(F.array_union("__later", "__here"), lambda i: _pair(ls, i)))).alias("t"))
+    mixed = materialized(copies.groupBy(F.unhex(F.md5("t")).alias("__key")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("__key"))
+    if not mixed.isEmpty():
+        m = marked(pairs.join(mixed, "__key", "left_anti"))
+    gone = F.array_union("__later", F.transform("__later", lambda i: i + 1))
+    keep = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i))
+    changed = F.size("__later") > 0
+    n = F.when(changed, F.size(gone)).otherwise(0).cast("long")
+    return m.select(*df.columns, F.when(changed, F.array_join(_bind(lines, keep), "\n")).otherwise(F.col(text)).alias(out), n.alias(removed))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, with repeated chunks cut out of ``text`` and ``n_chars`` counted anew where that happened."""
-    d = dedup_lines(docs, out="__kept", counts="__counts")
-    changed = F.col("__counts.n_removed_chunks") > 0
+    """Pipeline stage: all documents, with repeats of two or more lines cut out of ``text`` and ``n_chars`` counted anew where that happened."""
+    d = dedup_line_pairs(docs, out="__kept", removed="__removed")
+    changed = F.col("__removed") > 0
     new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}
     return d.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))

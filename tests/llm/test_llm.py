@@ -225,3 +225,24 @@ def test_pipeline_is_its_stages(spark):
     assert a.columns == b.columns == c.columns == e.columns == d.columns
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert {r.doc_id: r.text for r in e.collect()} == {i: r.decoded for i, r in got.items()}
+
+
+def test_stage_removes_every_repeat_of_two_lines(spark):
+    line = lambda: prose(12)
+    runs = [[line() for _ in range(2 + k % 4)] for k in range(24)]
+    texts = ["\n".join([line(), *r, line()]) for r in runs] + ["\n".join([line(), *r, line(), *r]) for r in runs] + [None, "", "alone", "\n\n\n", "\n\n\n", "\n".join(["same"] * 3)]
+    ids = [*range(len(texts) - 1), None]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, n_chars long").repartition(3)
+    got = {r.doc_id: r for r in line_dedup.stage(spark, df, SF).collect()}
+    seen, want = set(), {}
+    for i, t in zip(ids, texts, strict=True):
+        ls, gone = (t or "").split("\n"), set()
+        for k in range(len(ls) - 1):
+            pair = (ls[k], ls[k + 1])
+            if any(x.strip() for x in pair):
+                gone |= {k, k + 1} if pair in seen else set()
+                seen.add(pair)
+        want[i] = "\n".join(x for k, x in enumerate(ls) if k not in gone) if gone else t
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_chars == len(r.text or "") for r in got.values())
+    assert all(len(got[len(runs) + k].text.split("\n")) == 2 for k in range(len(runs)))
