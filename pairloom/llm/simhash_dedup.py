@@ -34,22 +34,31 @@ CHAIN = SEGMENTS // RADIUS - 1
 AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
     bounds = zip(start[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist(), strict=True)
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in bounds), np.uint64, len(words) - shingle + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in bounds), np.uint64, len(words) - shingle + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    if len(h) == 0:
+        return 0
     ones = sum(np.unpackbits(h[i : i + AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), AT_ONCE))
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         f = np.array([fingerprint(t) for t in texts(b["text"])], np.uint64)
@@ -114,6 +123,11 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``df`` without near copies: of each component the row with the least id stays (of several such, one of the texts)."""
     fps = fingerprints(df, doc_id, text)
     first = fps.join(near_groups(fps), "fp").filter("own = least").groupBy("root").agg(F.min(F.struct("own", "tx")).alias("k")).select("k.*")
+    return first_rows(df, first, doc_id, text)
+
+
+def first_rows(df: DataFrame, first: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of ``df`` for each own and tx of ``first``."""
     marked = df.select(F.struct(*df.columns).alias("row"), owner(F.col(doc_id)).alias("own"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tx"))
     kept = marked.join(first, ["own", "tx"], "left_semi")
     again = kept.groupBy("own", "tx").agg(F.count("*").alias("n")).filter("n > 1")
@@ -127,5 +141,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group, with its columns unchanged."""
-    return keep_first(docs)
+    """Pipeline stage: one document of each group with five-word similarity 0.8 (op6's own parameters don't hold here), unchanged."""
+    from pairloom.llm import near_sets
+
+    return near_sets.keep_first(docs)

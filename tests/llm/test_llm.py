@@ -246,3 +246,37 @@ def test_stage_removes_every_repeat_of_two_lines(spark):
     assert {i: r.text for i, r in got.items()} == want
     assert all(r.n_chars == len(r.text or "") for r in got.values())
     assert all(len(got[len(runs) + k].text.split("\n")) == 2 for k in range(len(runs)))
+
+
+@pytest.mark.parametrize("pairs", [8, 0])
+def test_stage_keeps_one_of_all_texts_alike_in_five_words(spark, monkeypatch, pairs):
+    from pairloom.llm import near_sets
+
+    monkeypatch.setattr(near_sets, "PAIRS", pairs)
+    monkeypatch.setattr(near_sets, "SAMPLE", 1)
+    texts = [None, "", " ", "One", "one", "a b", PASSAGE.upper(), PASSAGE]
+    for n in (25, 40, 60, 120, 300):
+        base = prose(n).split()
+        for changed in (0, 1, 2, n // 40, n // 30, n // 20, n // 10):
+            w = list(base)
+            for i in RNG.choice(n, changed, replace=False):
+                w[i] = "new" + str(i)
+            texts.append(" ".join(w))
+        texts.append(" ".join(base[: n * 9 // 10]))
+        texts.append(" ".join(base[: n * 7 // 10]))
+    texts += [PASSAGE + " " + prose(40) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    grams = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    comp, wide = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both, either = len(grams[a] & grams[b]), len(grams[a] | grams[b])
+            if both >= 0.8 * either - 1e-9:
+                wide += (simhash_dedup.fingerprint((texts[a] or "").encode()) ^ simhash_dedup.fingerprint((texts[b] or "").encode())).bit_count() > 2
+                x, y = sorted((comp[a], comp[b]))
+                comp = [x if c == y else c for c in comp]
+    assert wide
+    assert sorted(r.doc_id for r in simhash_dedup.stage(spark, df, SF).collect()) == sorted(set(comp))
