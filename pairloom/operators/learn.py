@@ -49,6 +49,11 @@ def recency(date: str, until: Column, half_life_years: float) -> Column:
     return F.pow(F.lit(0.5), F.datediff(until, F.col(date)) / 365.25 / half_life_years)
 
 
+def later_years(df: DataFrame, date: str) -> list[int]:
+    """All years of ``df`` after the first, so that each has rows to learn from."""
+    return sorted(r[0] for r in df.select(F.year(date)).distinct().collect() if r[0] is not None)[1:]
+
+
 def walk_forward(df: DataFrame, date: str, years: list[int], predict: Callable[[DataFrame, DataFrame], DataFrame], locked_from: int | None = None) -> DataFrame:
     """``predict(train, test)`` for each year: all earlier rows train, the year's rows are scored. Years from ``locked_from`` on are refused."""
     if locked_from is not None and any(y >= locked_from for y in years):

@@ -400,7 +400,7 @@ def walk_forward_logit(spark, d):
     def predict(train: DataFrame, test: DataFrame) -> DataFrame:
         return test.select("contest_id", "date", "y", learn.score_logit(x, learn.ridge_logit(learn.mirrored(train, x, "y"), x, "y", 0.1)).alias("p"))
 
-    return learn.walk_forward(m, "date", [1998, 1999], predict)
+    return learn.walk_forward(m, "date", learn.later_years(m, "date"), predict)
 
 
 @query("bootstrap_gain")
@@ -500,9 +500,8 @@ def skill_filters(spark, d):
     return folds.rated(c, "class", {"skill": folds.PoissonSkills}, {"skill": "counts"})
 
 
-@query("stage_stack")
-def stage_stack(spark, d):
-    """A stack of line and ratings over stages of a line, with interactions, learned without an intercept on mirrored rows before each year."""
+def stacked(spark, d, years=None):
+    """A stack of line and ratings over stages of a line, with interactions, learned without an intercept on mirrored rows before each year (default: all after the first)."""
     form = QUERIES["prior_form"](spark, d).select("contest_id", F.coalesce("d_rate", F.lit(0.0)).alias("model"))
     c = contests(spark, d).filter(F.col("y").isin(0.0, 1.0)).join(form, "contest_id")
     k = F.col("s")
@@ -514,4 +513,16 @@ def stage_stack(spark, d):
     def predict(train: DataFrame, test: DataFrame) -> DataFrame:
         return test.select("contest_id", "s", "date", "y", learn.score_logit(x, learn.ridge_logit(learn.mirrored(train, x, "y"), x, "y", 0.1)).alias("p"))
 
-    return learn.walk_forward(m, "date", [1998, 1999], predict)
+    return learn.walk_forward(m, "date", years or learn.later_years(m, "date"), predict)
+
+
+@query("stage_stack")
+def stage_stack(spark, d):
+    """The stack in the two years that its test allows; stage_stack_years has all."""
+    return stacked(spark, d, [1998, 1999])
+
+
+@query("stage_stack_years")
+def stage_stack_years(spark, d):
+    """The stack in every year with an earlier one."""
+    return stacked(spark, d)

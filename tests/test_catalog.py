@@ -66,3 +66,16 @@ def test_stage_stack_scores_each_stage_of_later_years(spark):
     assert len(r) and r.p.between(0, 1).all()
     assert not r.duplicated(["contest_id", "s"]).any()
     assert {d.year for d in r.date} <= {1998, 1999}
+
+
+@pytest.mark.parametrize("name, rows", [("walk_forward_logit", 1), ("stage_stack_years", 4)])
+def test_every_year_with_a_history_is_scored(spark, name, rows):
+    from collections import Counter
+
+    from pairloom.plans.contests import contests
+
+    all_rows = Counter(r.date.year for r in contests(spark, SF).filter("y IN (0, 1)").select("date").collect())
+    del all_rows[min(all_rows)]
+    r = catalog.QUERIES[name](spark, SF).toPandas()
+    assert Counter(d.year for d in r.date) == {y: rows * n for y, n in all_rows.items()} and len(all_rows) > 2
+    assert r.p.between(0, 1).all()
