@@ -42,17 +42,27 @@ def upsert(old: DataFrame, new: DataFrame, page: str, key: list[str], order: Col
     return old.join(new.select(page).distinct(), page, "left_anti").unionByName(latest, allowMissingColumns=True)
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, source: str, target: str, rounds: int) -> DataFrame:
-    """node, depth: what is reached from ``seeds`` (column node) in at most ``rounds`` steps, by the least number of steps.
+def frontier(edges: DataFrame, seeds: DataFrame, source: str, target: str, rounds: int | None = None) -> DataFrame:
+    """node, depth: what is reached from ``seeds`` (column node) by the least number of steps, in at most ``rounds`` (None: until a round adds none).
 
-    Each round joins only the nodes that the round before added and drops known ones; ``checkpoint`` cuts lineage where a folder is set.
+    Each round joins only the nodes that the round before added and drops known ones; ``checkpoint`` cuts lineage where a folder is set,
+    and a local one where the crawl runs to its end without a folder.
     """
     steps = edges.select(F.col(source).alias("node"), F.col(target).alias("__next")).distinct()
     seen = last = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     folder = seeds.sparkSession.conf.get("spark.checkpoint.dir", None)
-    for n in range(1, rounds + 1):
-        last = last.join(steps, "node").select(F.col("__next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(n))
-        if folder:
-            last = last.checkpoint()
-        seen = seen.unionByName(last)
+    cut = lambda df: df.checkpoint() if folder else df.localCheckpoint() if rounds is None else df
+    if rounds is None:
+        steps, last = cut(steps), cut(last)
+        seen = last
+    n = 0
+    while rounds is None or n < rounds:
+        n += 1
+        last = cut(last.join(steps, "node").select(F.col("__next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(n)))
+        if rounds is None:
+            if last.isEmpty():
+                break
+            seen = cut(seen.unionByName(last))
+        else:
+            seen = seen.unionByName(last)
     return seen

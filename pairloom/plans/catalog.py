@@ -493,6 +493,13 @@ def opponent_reach(spark, d):
     return joins.frontier(e, e.agg(F.min("a_id").alias("node")), "a_id", "b_id", 3)
 
 
+@query("opponent_reach_all", "WITH RECURSIVE " + CONTESTS + """, e AS (SELECT DISTINCT a_id, b_id FROM contests WHERE y = 1), r AS (SELECT min(a_id) AS node, 0 AS depth FROM e UNION SELECT b_id, depth + 1 FROM e JOIN r ON a_id = node WHERE depth < (SELECT count(DISTINCT a_id) FROM e)) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""")
+def opponent_reach_all(spark, d):
+    """Whom a crawl over beaten opponents of all classes reaches, until a round finds nobody new."""
+    e = contests(spark, d).filter("y = 1").select("a_id", "b_id").distinct()
+    return joins.frontier(e, e.agg(F.min("a_id").alias("node")), "a_id", "b_id")
+
+
 @query("skill_filters")
 def skill_filters(spark, d):
     """Poisson attack and defence from counts, by league of contest classes."""

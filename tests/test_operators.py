@@ -94,3 +94,12 @@ def test_stream_equals_batch(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     batch = e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
     assert out.join(batch, ["day", "event_type", "n"]).count() == out.count() > 0
+
+
+def test_crawl_goes_on_to_the_end_of_a_chain(spark):
+    from pairloom.operators import joins
+
+    edges = [(i, i + 1) for i in range(7)] + [(7, 2), (20, 21)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.depth for r in joins.frontier(e, spark.createDataFrame([(0,)], "node long"), "a", "b").collect()}
+    assert got == {i: i for i in range(8)}
