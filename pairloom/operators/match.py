@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,21 +41,32 @@ def _pairs(score: Callable[[str | None, str | None], float]):
     return run
 
 
-def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, when: str = "date", names: tuple[str, str] = ("n1", "n2"), days: int = 1, threshold: float = 80.0, penalty: float = 2.0, block: int = 3) -> DataFrame:
+def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, when: str = "date", names: tuple[str, str] = ("n1", "n2"), days: int = 1, threshold: float = 80.0, penalty: float = 2.0) -> DataFrame:
     """left_id, right_id, score of the best right row within ``days`` whose names match in either order, ``penalty`` lost for each day apart.
 
-    Candidates come from an equi-join on date offset and a block key (first letters of any name), so that they grow with the rows of a
-    day and not with its square; then scores take the best, ties to the least right id, one right row for each left row and back.
+    Every pair within ``days`` is a candidate of an equi-join on the date, as no key of first letters holds all pairs of a score; work
+    grows with the square of the rows of a date. Pairs that can't reach the threshold by letters that only one name has are not scored. Then
+    scores take the best, ties to the least right id, one right row for each left row and back.
     """
-    keys = lambda df: F.explode(F.array_distinct(F.array(*(F.substring(F.lower(F.regexp_replace(F.col(n), r"\s", "")), 1, block) for n in names))))
-    l = left.select(F.col(left_id).alias("__l"), F.col(names[0]).alias("a1"), F.col(names[1]).alias("a2"), keys(left).alias("__k"), F.posexplode(F.array(*(F.date_add(when, o) for o in range(-days, days + 1)))).alias("__o", "__d"))  # noqa: E741
-    r = right.select(F.col(right_id).alias("__r"), F.col(names[0]).alias("b1"), F.col(names[1]).alias("b2"), keys(right).alias("__k"), F.col(when).alias("__d"))
-    c = l.join(r, ["__d", "__k"]).select("__l", "__r", "a1", "a2", "b1", "b2", F.abs(F.col("__o") - days).alias("gap")).distinct()
+    l = left.select(F.col(left_id).alias("__l"), F.col(names[0]).alias("a1"), F.col(names[1]).alias("a2"), F.posexplode(F.array(*(F.date_add(when, o) for o in range(-days, days + 1)))).alias("__o", "__d"))  # noqa: E741
+    r = right.select(F.col(right_id).alias("__r"), F.col(names[0]).alias("b1"), F.col(names[1]).alias("b2"), F.col(when).alias("__d"))
+    c = l.join(r, "__d").select("__l", "__r", "a1", "a2", "b1", "b2", F.abs(F.col("__o") - days).alias("gap"))
+    most = lambda a, b: (_most(a[0], b[0]) + _most(a[1], b[1])) / 2
+    bound = F.greatest(most(("a1", "a2"), ("b1", "b2")), most(("a1", "a2"), ("b2", "b1")))
+    c = c.filter(bound - penalty * F.col("gap") >= threshold - 1e-6)
     s = c.select("__l", "__r", (_pairs(token_sort_ratio)("a1", "a2", "b1", "b2") - penalty * F.col("gap")).alias("score")).filter(F.col("score") >= threshold)
     best = lambda df, k, o: df.withColumn("__n", F.row_number().over(Window.partitionBy(k).orderBy(F.col("score").desc(), o))).filter("__n = 1").drop("__n")
     return best(best(s, "__l", "__r"), "__r", "__l").select(F.col("__l").alias(left_id), F.col("__r").alias(right_id), "score")
 
 
+def _most(a: str, b: str) -> Column:
+    """No ratio of the sorted tokens is greater: letters that the other name lacks are never common; white space counts as if it were."""
+    letters = lambda n: F.filter(F.split(F.regexp_replace(F.coalesce(F.col(n), F.lit("")), r"(?U)[\s\x1c-\x1f]", ""), ""), lambda c: c != "")
+    x, y, n = letters(a), letters(b), F.length(F.coalesce(F.col(a), F.lit(""))) + F.length(F.coalesce(F.col(b), F.lit("")))
+    lone = F.size(F.filter(x, lambda c: ~F.array_contains(y, c))) + F.size(F.filter(y, lambda c: ~F.array_contains(x, c)))
+    return F.lit(100.0) * (1 - lone / F.greatest(n, F.lit(1)))
+
+
 def vote(links: DataFrame, entity: str, candidate: str, score: str = "score") -> DataFrame:
     """For each entity the candidate with the greatest sum of scores (ties: the least)."""
     total = links.groupBy(entity, candidate).agg(F.sum(score).alias("votes"))

@@ -103,3 +103,14 @@ def test_crawl_goes_on_to_the_end_of_a_chain(spark):
     e = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.depth for r in joins.frontier(e, spark.createDataFrame([(0,)], "node long"), "a", "b").collect()}
     assert got == {i: i for i in range(8)}
+
+
+def test_links_find_swapped_tokens_and_misspelt_initials(spark):
+    kinds = "id long, date date, n1 string, n2 string"
+    day = date(2001, 1, 1)
+    left = [(1, day, "Kim Dong Hyun", "Park Jun Yong"), (2, day, "Anderson", "Bernstein"), (3, day, "Ann  Lee", ""), (4, date(2002, 1, 1), "Zed Q", "Yan W"), (5, date(2003, 1, 1), "Smith", None)]
+    right = [(10, date(2001, 1, 2), "Dong Hyun Kim", "Yong Park Jun"), (20, day, "Wernstein", "Enderson"), (30, day, None, "Lee Ann"), (40, day, "Zed Q", "Yan W"), (50, date(2003, 1, 1), "Smith", "x")]
+    got = {r.id: (r.page, r.score) for r in match.link(spark.createDataFrame(left, kinds), spark.createDataFrame(right, kinds).withColumnRenamed("id", "page"), "id", "page", threshold=50.0).collect()}
+    best = lambda p, q: max(match.token_sort_ratio(p[2], q[2]) + match.token_sort_ratio(p[3], q[3]), match.token_sort_ratio(p[2], q[3]) + match.token_sort_ratio(p[3], q[2])) / 2 - 2 * abs((p[1] - q[1]).days)
+    assert {i: p for i, (p, _) in got.items()} == {1: 10, 2: 20, 3: 30, 5: 50}
+    assert all(got[i][1] == pytest.approx(best(left[i - 1], next(q for q in right if q[0] == p))) for i, (p, _) in got.items())
