@@ -1,22 +1,29 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 A text (null: empty) gets a leading space, spaces become ``▁``, and it is cut into fragments at places that no piece of the
-vocabulary spans, so that the best path of a text is the best paths of its fragments one after the other. Substrings of a fragment up
-to the longest piece are exploded and equi-joined to the piece table (bounded, checked, broadcast); the edges of a fragment are
-grouped, and a fold over them in order of their ends keeps the best score for each position: Viterbi over the sum of piece scores,
-ties going to the longer last piece. Characters that no piece covers cost the least score minus 10 and become byte pieces.
-
-Each different fragment is encoded once. Texts are dealt once, compressed, to blocks of about ``BLOCK_BYTES``, whose number follows the
-input; the fragments of a block go to the lattice and come back with their pieces to the block's texts, where they are put in a row. A fragment
-passes at most once for each block, however often it occurs. Repeated rows are encoded alike, empty texts give no pieces, empty
-tables give empty results, and other columns are not touched.
+vocabulary spans, so that the best path of a text is the best paths of its fragments one after the other. Substrings of a fragment are
+exploded, up to the longest piece that begins with the same three characters, and equi-joined to the piece table (bounded, checked,
+broadcast); the edges of a fragment are grouped, and a fold over them in order of their ends keeps the best score for each position:
+Viterbi over the sum of piece scores, ties going to the longer last piece. Characters that no piece covers cost the least score minus
+10 and become byte pieces. Long fragments are exploded in parts of ``PART`` starts, and their fold keeps the last scores and one edge
+for each position, in blocks, instead of whole paths, so that a word of 100,000 letters and more is no special case.
+
+Texts are dealt once, compressed, to blocks of about ``BLOCK_BYTES``, whose number follows the input. ``REGION`` blocks form a region,
+and a region's different fragments are dealt to buckets: packed words go out for each block and bucket, each different word of a
+bucket is encoded once, and the pieces of the words go back in the same order, without the words. So shuffles hold the texts once and
+little else, and neither a block nor a bucket grows with the input.
+
+Repeated rows are encoded alike, empty texts give no pieces, empty tables give empty results, and other columns are not touched: the
+result has ``key`` and the pieces only, whatever the names of the other columns. Null keys are kept.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,10 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from pairloom.llm.common import table
+from pairloom.llm.common import column, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 8 << 20
+#: Blocks whose fragments are encoded together, and buckets that they are dealt to.
+REGION, BUCKETS = 128, 64
 #: More pieces than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST_PIECES = 1_000_000
 MARK = "▁"
@@ -38,6 +47,10 @@ TEXTS_AT_ONCE = 128
 #: Bytes of text that a task holds before it deals them.
 PACK_BYTES = 16 << 20
 LETTERS = r"[\p{L}\p{M}]"
+#: Starts of a fragment that are exploded from one row; edges up to which a fold keeps whole paths.
+PART, FEW_EDGES = 1024, 2048
+#: From here on an edge's code is a character without a piece.
+UNKNOWN = 1 << 22
 
 
 @lru_cache(maxsize=4)
@@ -57,12 +70,16 @@ def read_model(path: str = MODEL) -> tuple[list[tuple[str, int, float]], list[in
     return [(names[i], i, model.get_score(i)) for i in ids if not special[i]], byte_ids, hexes
 
 
+def spans_words(pieces: list[str]) -> bool:
+    """Whether a piece holds a mark behind another character, so that texts can't be cut at spaces."""
+    return any(MARK in p.lstrip(MARK) for p in pieces)
+
+
 def fragment_pattern(pieces: list[str]) -> str:
     """A pattern whose matches tile a text and that cuts only where no piece reaches across."""
     letter = lambda c: unicodedata.category(c)[0] in "LM"
     across = any(letter(a) != letter(b) for p in pieces for a, b in zip(p.lstrip(MARK), p.lstrip(MARK)[1:], strict=False))
-    inner = any(MARK in p.lstrip(MARK) for p in pieces)
-    if inner:
+    if spans_words(pieces):
         return r"(?s).+"
     return rf"(?s){MARK}*[^{MARK}]+|{MARK}+" if across else rf"{MARK}*{LETTERS}+|{MARK}*[^{MARK}\p{{L}}\p{{M}}]+|{MARK}+"
 
@@ -74,55 +91,158 @@ def fragments(text: Column, pattern: str) -> Column:
 
 
 def encode_fragments(words: DataFrame, model: str = MODEL, keys: tuple[str, ...] = ("word",)) -> DataFrame:
-    """Distinct ``keys`` (with ``word``) plus ``ids`` array<int>, the pieces on the best path."""
+    """Distinct ``keys`` (with ``word``, not empty) plus ``ids`` array<int>, the pieces on the best path."""
     import pandas as pd  # on the driver only: the tasks' processes do without it
 
     spark = words.sparkSession
     pieces, byte_ids, _ = read_model(model)
     longest = max(len(p) for p, _, _ in pieces)
     unknown = min(s for _, _, s in pieces) - UNKNOWN_PENALTY
+    reach: dict[str, int] = {}
+    for p, _, _ in pieces:
+        if len(p) > 2:
+            reach[p[:3]] = max(len(p), reach.get(p[:3], 0))
     vocabulary = spark.createDataFrame(pd.DataFrame([p[:2] for p in pieces], columns=["__sub", "id"]), "__sub string, id int")
+    beginnings = spark.createDataFrame(pd.DataFrame(list(reach.items()) or [("", 0)], columns=["__three", "reach"]), "__three string, reach int")
     if len(pieces) <= MAX_BROADCAST_PIECES:
-        vocabulary = F.broadcast(vocabulary)
-    at = words.select(*keys, F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
-    spans = at.select(*keys, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("n"))
-    subs = spans.select(*keys, "s", "n", F.col("word").substr(F.col("s"), F.col("n")).alias("__sub"))
+        vocabulary, beginnings = F.broadcast(vocabulary), F.broadcast(beginnings)
+    n_chars = F.length("word")
+    part = F.col("k") * PART
+    parts = words.select(*keys, "word", F.explode(F.sequence(F.lit(0), F.floor((n_chars - 1) / PART).cast("int"))).alias("k"))
+    parts = parts.select(*keys, "k", F.col("word").substr(part + 1, F.lit(PART + longest - 1)).alias("part"), F.least(F.lit(PART), n_chars - part).alias("own"))
+    at = parts.select(*keys, "k", "part", F.explode(F.sequence(F.lit(1), "own")).alias("s"))
+    at = at.select(*keys, (part + F.col("s") - 1).alias("b"), F.col("part").substr(F.col("s"), F.lit(longest)).alias("w"))
+    at = at.join(beginnings, at["w"].substr(1, 3) == F.col("__three"), "left")
+    spans = at.select(*keys, "b", "w", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), F.length("w")))).alias("n"))
+    subs = spans.select(*keys, "b", "n", F.col("w").substr(F.lit(1), F.col("n")).alias("__sub"))
     edges = subs.join(vocabulary, "__sub", "left").filter("id IS NOT NULL OR n = 1")
-    # an edge is one number, its end, its beginning and its piece (0: none), so that it sorts fast and takes little memory
-    end, begin = (F.col("s") + F.col("n") - 1).cast("long"), (F.col("s") - 1).cast("long")
-    edge = F.shiftleft(end, 40).bitwiseOR(F.shiftleft(begin, 20)).bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))
+    # an edge is one number: its end, its length (longer ones first) and its piece or character
+    code = F.coalesce(F.col("id"), F.ascii("__sub") + UNKNOWN).cast("long")
+    edge = F.shiftleft((F.col("b") + F.col("n")).cast("long"), 32).bitwiseOR(F.shiftleft((255 - F.col("n")).cast("long"), 24)).bitwiseOR(code)
     grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    known_scores = dict((i, s) for _, i, s in pieces)
-    scores = F.split(F.lit(",".join(repr(known_scores.get(i, unknown)) for i in range(-1, max(known_scores) + 1))), ",").cast("array<double>")
-    low = (1 << 20) - 1
-    # state: for each position from 0 the best score and the pieces on the way there (below 0: a character without a piece, by its end)
+    known = {i: s for _, i, s in pieces}
+    scores = F.split(F.lit(",".join(repr(known.get(i, unknown)) for i in range(max(known) + 1))), ",").cast("array<double>")
+    path = F.when(F.size("edges") <= FEW_EDGES, _short_path(F.col("edges"), scores, unknown)).otherwise(_long_path(F.col("edges"), scores, unknown, longest))
+    bound = grouped.select(*keys, F.explode(F.array(path)).alias("path"))
+    byte_table = F.array(*(F.lit(i) for i in byte_ids))
+    spelled = F.flatten(F.transform("path", lambda i: F.when(i < UNKNOWN, F.array(i)).otherwise(F.transform(_utf8(i - UNKNOWN), lambda x: F.get(byte_table, x)))))
+    return bound.select(*keys, F.when(F.array_max("path") >= UNKNOWN, spelled).otherwise(F.col("path")).alias("ids"))
+
+
+def _utf8(point: Column) -> Column:
+    """The bytes of a code point."""
+    tail = lambda k: F.shiftright(point, 6 * k).bitwiseAND(F.lit(63)) + 128
+    head = lambda k, mark: F.shiftright(point, 6 * k) + mark
+    return (
+        F.when(point < 0x80, F.array(point))
+        .when(point < 0x800, F.array(head(1, 0xC0), tail(0)))
+        .when(point < 0x10000, F.array(head(2, 0xE0), tail(1), tail(0)))
+        .otherwise(F.array(head(3, 0xF0), tail(2), tail(1), tail(0)))
+    )
+
+
+def _edge(x: Column) -> tuple[Column, Column, Column]:
+    """End, begin and code of an edge."""
+    e = F.shiftright(x, 32).cast("int")
+    return e, e - 255 + F.shiftright(x, 24).bitwiseAND(F.lit(255)).cast("int"), x.bitwiseAND(F.lit(0xFFFFFF)).cast("int")
+
+
+def _short_path(edges: Column, scores: Column, unknown: float) -> Column:
+    """State: for each position from 0 the best score and the codes on the way there. Edges come in order of their ends, so that an end is either new or the last one known."""
     node = lambda score, path: F.struct(score.alias("score"), path.alias("path"))
-    start = F.array(node(F.lit(0.0), F.array().cast("array<int>")))
 
     def step(best: Column, x: Column) -> Column:
-        e, b, i = (F.shiftright(x, k).bitwiseAND(F.lit(low)).cast("int") for k in (40, 20, 0))
-        score = F.get(best, b)["score"] + F.get(scores, i)
-        new = F.array(node(score, F.concat(F.get(best, b)["path"], F.array(F.when(i > 0, i - 1).otherwise(-e)))))
-        # edges come in order of their ends, so that the end is either new or the last known
+        e, b, i = _edge(x)
+        score = F.get(best, b)["score"] + F.coalesce(F.get(scores, i), F.lit(unknown))
+        new = F.array(node(score, F.concat(F.get(best, b)["path"], F.array(i))))
         return F.when(e == F.size(best), F.concat(best, new)).when(score > F.get(best, e)["score"], F.concat(F.slice(best, F.lit(1), e), new)).otherwise(best)
 
-    folded = grouped.select(*keys, F.element_at(F.aggregate("edges", start, step), -1)["path"].alias("path"))
-    byte_table = F.array(*(F.lit(i) for i in byte_ids))
-    pairs = lambda i: F.regexp_extract_all(F.hex(F.encode(F.substring(F.col("word"), i, F.lit(1)), "UTF-8")), F.lit(".."), F.lit(0))
-    as_bytes = lambda i: F.transform(pairs(i), lambda x: F.get(byte_table, F.conv(x, 16, 10).cast("int")))
-    bound = folded.select(*keys, F.explode(F.array("path")).alias("path"))
-    spelled = F.flatten(F.transform("path", lambda i: F.when(i >= 0, F.array(i)).otherwise(as_bytes(-i))))
-    return bound.select(*keys, F.when(F.array_min("path") < 0, spelled).otherwise(F.col("path")).alias("ids"))
+    return F.element_at(F.aggregate(edges, F.array(node(F.lit(0.0), F.array().cast("array<int>"))), step), -1)["path"]
+
+
+def _long_path(edges: Column, scores: Column, unknown: float, longest: int) -> Column:
+    """As ``_short_path`` in blocks of edges: the state is the scores of the last positions and the edges that were best when they came; then a fold from the end follows them."""
+    longs, ints, doubles = "array<bigint>", "array<int>", "array<double>"
+    bind = lambda value, use: F.transform(F.array(value), use)[0]
+    size = F.greatest(F.lit(256), F.ceil(F.sqrt(F.size(edges).cast("double")))).cast("int")
+    numbers = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / size).cast("int"))
+    state = lambda first, near, kept: F.struct(first.alias("first"), near.alias("near"), kept.alias("kept"))
+
+    def step(a: Column, x: Column) -> Column:
+        e, b, i = _edge(x)
+        at, known = e - a["first"], F.size(a["near"])
+        score = F.get(a["near"], b - a["first"]) + F.coalesce(F.get(scores, i), F.lit(unknown))
+        better = (at == known) | (score > F.get(a["near"], at))
+        return F.when(better, state(a["first"], F.concat(F.slice(a["near"], F.lit(1), at), F.array(score)), F.concat(a["kept"], F.array(x)))).otherwise(a)
+
+    def block(a: Column, k: Column) -> Column:
+        got = F.aggregate(F.slice(edges, k * size + 1, size), state(a["first"], a["near"], F.array().cast(longs)), step)
+        gone = lambda r: F.greatest(F.lit(0), F.size(r["near"]) - longest)
+        return bind(got, lambda r: state(r["first"] + gone(r), F.slice(r["near"], gone(r) + 1, F.lit(longest)), F.concat(a["kept"], F.array(r["kept"]))))
+
+    kept = F.aggregate(numbers, state(F.lit(0), F.array(F.lit(0.0)).cast(doubles), F.array().cast(f"array<{longs}>")), block)["kept"]
+    way = lambda at, codes: F.struct(at.alias("at"), codes.alias("codes"))
+
+    def follow(a: Column, x: Column) -> Column:
+        e, b, i = _edge(x)
+        return F.when(e == a["at"], way(b, F.concat(a["codes"], F.array(i)))).otherwise(a)
+
+    def back(a: Column, xs: Column) -> Column:
+        return bind(F.aggregate(F.reverse(xs), way(a["at"], F.array().cast(ints)), follow), lambda r: way(r["at"], F.concat(a["codes"], F.array(r["codes"]))))
+
+    end = F.shiftright(F.element_at(edges, -1), 32).cast("int")
+    return F.reverse(F.flatten(F.aggregate(F.reverse(kept), way(end, F.array().cast(f"array<{ints}>")), back)["codes"]))
+
 
+class Cut:
+    """Texts as units (a run of spaces and what follows up to the next one, without the first space) and units as fragments.
 
-def _finder(pattern: str):
-    import regex
+    Each text and its leading space is a row of units, and no fragment reaches from one unit to the next, so that whatever is known of
+    the different units of a block is known of its texts.
+    """
 
-    find = regex.compile(pattern).findall
-    return lambda text: find(MARK + text.replace(" ", MARK)) if text else []
+    def __init__(self, model: str):
+        import regex
 
+        pieces = [p for p, _, _ in read_model(model)[0]]
+        self.whole = spans_words(pieces)
+        self._find = regex.compile(fragment_pattern(pieces)).findall
+        self._runs = re.compile(" +[^ ]*").findall
 
-def _pack(key: str):
+    def units(self, text: str) -> list[str]:
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        if not text or self.whole:
+            return [text] if text else []
+        return [u[1:] for u in self._runs(" " + text)] if text[0] == " " or "  " in text else text.split(" ")
+
+    def fragments(self, units: Iterable[str]) -> tuple[list[str], list[str]]:
+        """``units`` in another order, and their fragments in a row; those that begin with a mark are the first of their unit."""
+        if self.whole:
+            return list(units), [MARK + u.replace(" ", MARK) for u in units]
+        full, blank = [], []
+        for u in units:
+            (full if u.strip(" ") else blank).append(u)
+        found = self._find((" " + " ".join(full)).replace(" ", MARK)) if full else []
+        return full + blank, found + [MARK * (len(u) + 1) for u in blank]
+
+    def buckets(self, fragments: list[str], n: int) -> dict[int, list[str]]:
+        """Different fragments by bucket, sorted."""
+        out: dict[int, list[str]] = {}
+        for w in sorted(set(fragments)):
+            out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % n, []).append(w)
+        return out
+
+
+def _squeezed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _expanded(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for the texts that a stretch of the input sends to a block: their keys, their sizes in bytes and all of them compressed."""
 
     def packs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -132,31 +252,28 @@ def _pack(key: str):
         cuts = np.append(np.flatnonzero(np.diff(blocks, prepend=-1)), len(blocks))
         data = t["__text"].combine_chunks().cast(pa.large_binary()).to_pylist()
         offsets = pa.array(cuts, pa.int32())
-        keys = pa.ListArray.from_arrays(offsets, t[key].combine_chunks())
+        keys = pa.ListArray.from_arrays(offsets, t["__key"].combine_chunks())
         sizes = pa.ListArray.from_arrays(offsets, pa.array([len(x) for x in data], pa.int32()))
-        packed = pa.array([pa.compress(b"".join(data[i:j]), codec="zstd", asbytes=True) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+        packed = pa.array([_squeezed(b"".join(data[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(blocks[cuts[:-1]], pa.int32()), keys, sizes, packed], names=["__block", "__keys", "__sizes", "__packed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for start in range(0, b.num_rows, TEXTS_AT_ONCE):
-                part = b.slice(start, TEXTS_AT_ONCE)
-                held.append(part)
-                size += part["__text"].nbytes
-                if size >= PACK_BYTES:
-                    yield packs(held)
-                    held, size = [], 0
-        if held:
-            yield packs(held)
-        pa.default_memory_pool().release_unused()
-
-    return run
+    held, size = [], 0
+    for b in batches:
+        for start in range(0, b.num_rows, TEXTS_AT_ONCE):
+            part = b.slice(start, TEXTS_AT_ONCE)
+            held.append(part)
+            size += part["__text"].nbytes
+            if size >= PACK_BYTES:
+                yield packs(held)
+                held, size = [], 0
+    if held:
+        yield packs(held)
+    pa.default_memory_pool().release_unused()
 
 
 def _unpacked(sizes: list[int], packed: bytes) -> Iterator[list[str]]:
     """The texts of one pack, some at a time."""
-    data, at = pa.decompress(packed, decompressed_size=sum(sizes), codec="zstd", asbytes=True), 0
+    data, at = _expanded(packed, sum(sizes)), 0
     for start in range(0, len(sizes), TEXTS_AT_ONCE):
         out = []
         for n in sizes[start : start + TEXTS_AT_ONCE]:
@@ -165,25 +282,65 @@ def _unpacked(sizes: list[int], packed: bytes) -> Iterator[list[str]]:
         yield out
 
 
-def _fragments_of_blocks(pattern: str):
-    """The different fragments of each block; a block lies in one task, which holds them as a set."""
+def _words_of_blocks(model: str, buckets: int):
+    """The different fragments of each block, packed by bucket; a block lies in one task, which holds its units as a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = _finder(pattern), {}
+        cut, seen = Cut(model), {}
         for b in batches:
             for i in range(b.num_rows):
-                words = seen.setdefault(b["__block"][i].as_py(), set())
+                units = seen.setdefault(b["__block"][i].as_py(), set())
                 for texts in _unpacked(b["__sizes"][i].as_py(), b["__packed"][i].as_py()):
-                    words.update(*map(find, texts))
+                    units.update(*map(cut.units, texts))
         for block in list(seen):
-            words = seen.pop(block)
-            t = pa.table({"__block": pa.array(np.full(len(words), block, np.int32)), "word": pa.array(list(words), pa.string())})
-            yield from t.to_batches(max_chunksize=20_000)
+            found = cut.buckets(cut.fragments(seen.pop(block))[1], buckets)
+            data = [" ".join(words).encode() for words in found.values()]
+            first = block // REGION * buckets
+            columns = (pa.array([block] * len(data), pa.int32()), pa.array([first + k for k in found], pa.int32()), pa.array(map(len, data), pa.int32()), pa.array(map(_squeezed, data), pa.binary()))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["__block", "__bucket", "__size", "__words"])
         pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _unpacked_words(words: bytes, size: int) -> list[str]:
+    """No fragment holds a space."""
+    return _expanded(words, size).decode().split(" ")
+
+
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of each bucket, numbered in their order."""
+    seen: dict[int, set[str]] = {}
+    for b in batches:
+        for bucket, size, words in zip(*(b[c].to_pylist() for c in ("__bucket", "__size", "__words")), strict=True):
+            seen.setdefault(bucket, set()).update(_unpacked_words(words, size))
+    for bucket in list(seen):
+        words = sorted(seen.pop(bucket))
+        t = pa.table({"__of": pa.array(np.full(len(words), bucket, np.int32)), "__nth": pa.array(np.arange(len(words), dtype=np.int32)), "word": pa.array(words, pa.string())})
+        yield from t.to_batches(max_chunksize=20_000)
+    pa.default_memory_pool().release_unused()
+
+
+def _answers(packs: pa.Table, lattice: pa.Table) -> pa.Table:
+    """For each pack of words their pieces in the same order: how many each has, and all of them, compressed."""
+    words = [_unpacked_words(w, n) for w, n in zip(packs["__words"].to_pylist(), packs["__size"].to_pylist(), strict=True)]
+    nth = {w: i for i, w in enumerate(sorted(set().union(*words)))}
+    if len(nth) != lattice.num_rows:
+        raise ValueError(f"{len(nth)} words, but {lattice.num_rows} paths")
+    lists = lattice.take(pa.array(np.argsort(lattice["__nth"].to_numpy())))["ids"].combine_chunks()
+    counts, sizes, data = [], [], []
+    for ws in words:
+        got = lists.take(pa.array(np.fromiter(map(nth.__getitem__, ws), np.int64, len(ws))))
+        both = np.concatenate([np.asarray(got.value_lengths()), np.asarray(got.flatten())]).astype(np.int32)
+        # bytes of equal weight lie together, which compresses well
+        raw = np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes()
+        counts.append(len(ws))
+        sizes.append(len(raw))
+        data.append(_squeezed(raw))
+    pa.default_memory_pool().release_unused()
+    return pa.table({"__for": packs["__block"], "__bucket": packs["__bucket"], "__count": pa.array(counts, pa.int32()), "__size": pa.array(sizes, pa.int32()), "__ids": pa.array(data, pa.binary())})
+
+
 def _piece_bytes(model: str) -> pa.Array:
     return pa.array([bytes.fromhex(h) for h in read_model(model)[2]], pa.large_binary())
 
@@ -196,25 +353,63 @@ def _texts(pieces: pa.Array, ids: pa.Array, ends: np.ndarray) -> pa.Array:
     return pa.array([data[x + 1 : y].decode(errors="replace") for x, y in zip(at, at[1:], strict=False)], pa.string())
 
 
-def _assemble(pattern: str, key: str, pieces: pa.Array | None):
-    """Pieces of a block's texts: look up each fragment's row in the lattice, then take all lists at once."""
-
-    def glue(texts: pa.Table, lattice: pa.Table) -> pa.Table:
-        row = {w: i for i, w in enumerate(lattice["word"].to_pylist())}
-        lists = lattice["ids"].combine_chunks()
-        size = np.asarray(lists.value_lengths())
-        find, out = _finder(pattern), []
-        for i in range(texts.num_rows):
-            keys, at = texts["__keys"][i].values, 0
-            for part in _unpacked(texts["__sizes"][i].as_py(), texts["__packed"][i].as_py()):
-                rows = [np.fromiter(map(row.__getitem__, f), np.int64, len(f)) for f in map(find, part)]
-                flat = np.concatenate(rows)
-                ends = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum([len(r) for r in rows])])]
-                ids = lists.take(pa.array(flat)).flatten()
-                found = {key: keys.slice(at, len(part)), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.cast(pa.int32()))}
+def _lists(items: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _assemble(model: str, buckets: int, pieces: pa.Array | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Pieces of a block's texts: of its different fragments, then of its different units, then of its texts, by taking lists at once."""
+
+    def glue(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        cut = Cut(model)
+        packs = list(zip(texts["__keys"], texts["__sizes"].to_pylist(), texts["__packed"].to_pylist(), strict=True))
+        units: dict[str, int] = {}
+        for _, sizes, packed in packs:
+            for part in _unpacked(sizes, packed):
+                for us in map(cut.units, part):
+                    units.update(dict.fromkeys(us))
+        order, fragments = cut.fragments(units)
+        given = {b: (n, s, x) for b, n, s, x in zip(*(answers[c].to_pylist() for c in ("__bucket", "__count", "__size", "__ids")), strict=True)}
+        first = texts["__block"][0].as_py() // REGION * buckets
+        words, lengths, ids = [], [], []
+        for k, ws in cut.buckets(fragments, buckets).items():
+            n, size, data = given[first + k]
+            if n != len(ws):
+                raise ValueError(f"{len(ws)} words, but {n} answers")
+            both = np.ascontiguousarray(np.frombuffer(_expanded(data, size), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+            words += ws
+            lengths.append(both[:n])
+            ids.append(both[n:])
+        row = {w: i for i, w in enumerate(words)}
+        none = [np.empty(0, np.int32)]
+        lists = _lists(pa.array(np.concatenate(ids + none)), _ends(np.concatenate(lengths + none)))
+        flat = np.fromiter(map(row.__getitem__, fragments), np.int64, len(fragments))
+        # where a fragment begins with a mark, a unit begins
+        starts = np.flatnonzero(np.fromiter((w[0] == MARK for w in fragments), bool, len(fragments)))
+        ends = _ends(np.asarray(lists.value_lengths())[flat])
+        bounds = np.append(ends[starts], ends[-1])
+        lists = _lists(lists.take(pa.array(flat)).flatten(), bounds)
+        size = np.diff(bounds)
+        as_bytes = None
+        if pieces is not None:
+            taken = pieces.take(lists.values)
+            at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][bounds]
+            as_bytes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), taken.buffers()[2]])
+        units = {u: i for i, u in enumerate(order)}
+        del row, words, order, fragments, flat, given
+        out = []
+        for keys, sizes, packed in packs:
+            at = 0
+            for part in _unpacked(sizes, packed):
+                rows = [np.fromiter(map(units.__getitem__, us), np.int64, len(us)) for us in map(cut.units, part)]
+                flat, marks = np.concatenate(rows), _ends(np.array([len(r) for r in rows]))
+                found = {"__key": keys.values.slice(at, len(part)), "ids": _lists(lists.take(pa.array(flat)).flatten(), _ends(size[flat])[marks])}
                 at += len(part)
-                out.append(pa.table(found if pieces is None else found | {"decoded": _texts(pieces, ids, ends)}))
-        del row, lists, lattice
+                out.append(pa.table(found if pieces is None else found | {"decoded": _texts(as_bytes, pa.array(flat), marks)}))
         pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
@@ -223,23 +418,23 @@ def _assemble(pattern: str, key: str, pieces: pa.Array | None):
 
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL, block_bytes: int = BLOCK_BYTES, and_decode: bool = False) -> DataFrame:
     """``key`` and ``ids`` array<int> of each row; with ``and_decode`` also ``decoded``, the text of the pieces."""
-    pieces, _, _ = read_model(model)
-    pattern = fragment_pattern([p for p, _, _ in pieces])
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    text_, key_ = column(text), column(key)
+    size = df.agg(F.sum(F.octet_length(text_))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
-    t = F.coalesce(F.col(text), F.lit(""))
+    buckets = min(BUCKETS, 4 * n)
+    total = math.ceil(n / REGION) * buckets
+    t = F.coalesce(text_, F.lit(""))
     key_type = df.schema[key].dataType.simpleString()
-    texts = df.select(F.col(key), t.alias("__text"), F.pmod(F.xxhash64(F.col(key), F.length(t)), F.lit(n)).cast("int").alias("__block"))
-    packed = texts.mapInArrow(_pack(key), f"__block int, __keys array<{key_type}>, __sizes array<int>, __packed binary")
-    dealt = packed.repartition(n, "__block")
-    found = dealt.mapInArrow(_fragments_of_blocks(pattern), "__block int, word string").repartition("word")
-    # each fragment is encoded once; the count is there so that both uses of ``found`` read the same columns and share one shuffle
-    words = found.groupBy("word").agg(F.count("__block").alias("__n")).filter("__n > 0").select("word")
-    lattice = found.join(encode_fragments(words, model).hint("merge"), "word").select("__block", "word", "ids")
-    lattice = lattice.toDF("__lattice_block", "word", "ids")
-    return dealt.groupBy("__block").cogroup(lattice.groupBy("__lattice_block")).applyInArrow(
-        _assemble(pattern, key, _piece_bytes(model) if and_decode else None), f"{key} {key_type}, ids array<int>" + ", decoded string" * and_decode
+    # equal rows go to one block, but what shares a key or a length does not
+    texts = df.select(key_.alias("__key"), t.alias("__text"), F.pmod(F.xxhash64(key_, t), F.lit(n)).cast("int").alias("__block"))
+    dealt = texts.mapInArrow(_pack, f"__block int, __keys array<{key_type}>, __sizes array<int>, __packed binary").repartition(n, "__block")
+    words = dealt.mapInArrow(_words_of_blocks(model, buckets), "__block int, __bucket int, __size int, __words binary").repartition(total, "__bucket")
+    lattice = encode_fragments(words.mapInArrow(_different, "__of int, __nth int, word string").repartition(total, "__of"), model, ("__of", "__nth"))
+    answers = words.groupBy("__bucket").cogroup(lattice.groupBy("__of")).applyInArrow(_answers, "__for int, __bucket int, __count int, __size int, __ids binary")
+    glued = dealt.groupBy("__block").cogroup(answers.groupBy("__for")).applyInArrow(
+        _assemble(model, buckets, _piece_bytes(model) if and_decode else None), f"__key {key_type}, ids array<int>" + ", decoded string" * and_decode
     )
+    return glued.withColumnRenamed("__key", key)
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:
