@@ -37,7 +37,7 @@ from pairloom.llm.common import column, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 8 << 20
 #: Blocks whose fragments are encoded together, and buckets that they are dealt to.
-REGION, BUCKETS = 128, 64
+REGION, BUCKETS = 128, 128
 #: More pieces than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST_PIECES = 1_000_000
 MARK = "▁"
@@ -194,6 +194,14 @@ def _long_path(edges: Column, scores: Column, unknown: float, longest: int) -> C
     return F.reverse(F.flatten(F.aggregate(F.reverse(kept), way(end, F.array().cast(f"array<{ints}>")), back)["codes"]))
 
 
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Cut:
     """Texts as units (a run of spaces and what follows up to the next one, without the first space) and units as fragments.
 
@@ -220,18 +228,20 @@ class Cut:
         """``units`` in another order, and their fragments in a row; those that begin with a mark are the first of their unit."""
         if self.whole:
             return list(units), [MARK + u.replace(" ", MARK) for u in units]
-        full, blank = [], []
+        letters, blank, rest = [], [], []
         for u in units:
-            (full if u.strip(" ") else blank).append(u)
-        found = self._find((" " + " ".join(full)).replace(" ", MARK)) if full else []
-        return full + blank, found + [MARK * (len(u) + 1) for u in blank]
+            (letters if u.isalpha() else rest if u.strip(" ") else blank).append(u)
+        found = self._find((" " + " ".join(rest)).replace(" ", MARK)) if rest else []
+        return letters + rest + blank, [MARK + u for u in letters] + found + [MARK * (len(u) + 1) for u in blank]
 
     def buckets(self, fragments: list[str], n: int) -> dict[int, list[str]]:
         """Different fragments by bucket, sorted."""
-        out: dict[int, list[str]] = {}
-        for w in sorted(set(fragments)):
-            out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % n, []).append(w)
-        return out
+        words = sorted(set(fragments))
+        of = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.uint32, len(words)) % n
+        order = np.argsort(of, kind="stable")
+        cuts = np.flatnonzero(np.diff(of[order], prepend=n)).tolist() + [len(words)]
+        placed = list(map(words.__getitem__, order.tolist()))
+        return {int(of[order[i]]): placed[i:j] for i, j in zip(cuts, cuts[1:], strict=False)}
 
 
 def _squeezed(data: bytes) -> bytes:
@@ -367,12 +377,9 @@ def _assemble(model: str, buckets: int, pieces: pa.Array | None) -> Callable[[pa
     def glue(texts: pa.Table, answers: pa.Table) -> pa.Table:
         cut = Cut(model)
         packs = list(zip(texts["__keys"], texts["__sizes"].to_pylist(), texts["__packed"].to_pylist(), strict=True))
-        units: dict[str, int] = {}
-        for _, sizes, packed in packs:
-            for part in _unpacked(sizes, packed):
-                for us in map(cut.units, part):
-                    units.update(dict.fromkeys(us))
-        order, fragments = cut.fragments(units)
+        numbers = Numbers()
+        rows = [np.fromiter(map(numbers.__getitem__, us), np.int32, len(us)) for _, sizes, packed in packs for part in _unpacked(sizes, packed) for us in map(cut.units, part)]
+        order, fragments = cut.fragments(numbers)
         given = {b: (n, s, x) for b, n, s, x in zip(*(answers[c].to_pylist() for c in ("__bucket", "__count", "__size", "__ids")), strict=True)}
         first = texts["__block"][0].as_py() // REGION * buckets
         words, lengths, ids = [], [], []
@@ -399,16 +406,16 @@ def _assemble(model: str, buckets: int, pieces: pa.Array | None) -> Callable[[pa
             taken = pieces.take(lists.values)
             at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][bounds]
             as_bytes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), taken.buffers()[2]])
-        units = {u: i for i, u in enumerate(order)}
-        del row, words, order, fragments, flat, given
-        out = []
-        for keys, sizes, packed in packs:
-            at = 0
-            for part in _unpacked(sizes, packed):
-                rows = [np.fromiter(map(units.__getitem__, us), np.int64, len(us)) for us in map(cut.units, part)]
-                flat, marks = np.concatenate(rows), _ends(np.array([len(r) for r in rows]))
+        place = np.empty(len(order), np.int64)
+        place[np.fromiter(map(numbers.__getitem__, order), np.int64, len(order))] = np.arange(len(order))
+        del row, words, order, numbers, fragments, flat, given
+        out, done = [], 0
+        for keys, sizes, _ in packs:
+            for at in range(0, len(sizes), TEXTS_AT_ONCE):
+                part = rows[done : done + min(TEXTS_AT_ONCE, len(sizes) - at)]
+                done += len(part)
+                flat, marks = place[np.concatenate(part)], _ends(np.array([len(r) for r in part]))
                 found = {"__key": keys.values.slice(at, len(part)), "ids": _lists(lists.take(pa.array(flat)).flatten(), _ends(size[flat])[marks])}
-                at += len(part)
                 out.append(pa.table(found if pieces is None else found | {"decoded": _texts(as_bytes, pa.array(flat), marks)}))
         pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
