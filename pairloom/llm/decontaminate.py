@@ -5,19 +5,21 @@ shingle; one without words never matches). A window of a text holds as many word
 than the item is one window. Window and item are alike if the weighted Jaccard similarity of their shingles, each weighted by how often
 it occurs, is 0.8 or more.
 
-A window as alike as that shares so many shingles with the item that most starts fall out by running counts. The others get a SimHash
-fingerprint. Item fingerprints are split into one block more than the radius has bits, so that whatever lies within the radius agrees
-in a block; windows that agree in none, or lie beyond the radius, fall out, and the rest are compared exactly. Shingles are compared
-by 64-bit hashes. The radius of 28 bits leaves a wide margin: at similarity 0.8 about 10 bits differ, with a deviation of 3.
-
-The benchmark is read in blocks of bounded size; a block goes to all tasks, and each row is judged by itself, so that neither hot
-groups nor repeated rows matter. Empty tables give empty results.
+Items of one size share a set of tables. A window of that size is only looked at where enough of its shingles occur in any item of the
+size, which running counts tell for all starts at once. It gets a SimHash fingerprint of 128 bits and is looked up in a multi-index over
+the items' fingerprints: ten blocks, a table for each, from a block's value to the items that have it. If two fingerprints differ in
+``RADIUS`` bits or fewer, some block differs in its share of them or fewer, so that asking each table for all values that near loses
+nothing within the radius. What the tables name goes through the full Hamming check and is compared exactly. Shingles are compared by 64-bit hashes. At similarity 0.8
+about 19 of 128 bits differ, with a deviation of 4; the radius of 44 bits lies six deviations off.
+
+The benchmark's different texts go to all tasks, ``ROUND_BYTES`` of them at a time; documents are read once for each such round, so
+once for a benchmark up to that size. Each row is judged by itself: hot groups,
+repeated rows and other columns, whatever their names, do not matter. Very long texts take their windows in parts. Empty tables give
+empty results; of windows that are equally alike the first is reported; an item id that occurs with several texts is reported for each.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from pairloom.llm.common import table, texts
-from pairloom.llm.repeats import BASES, Rolling
+from pairloom.llm.common import column, table, texts
+from pairloom.llm.repeats import BASES, Rolling, mixed
 from pairloom.llm.substring_dedup import word_hashes
 
-SHINGLE, SIMILAR, RADIUS = 5, 0.8, 28
+SHINGLE, SIMILAR, RADIUS = 5, 0.8, 44
+#: Words of 64 bits in a fingerprint, and blocks of its multi-index.
+WORDS, BLOCKS = 2, 10
 #: Bytes of item texts that are shipped to tasks at a time.
-BLOCK_BYTES = 8 << 20
-#: One block more than the radius has bits; the first ones are a bit longer.
-EDGES = np.linspace(0, 64, RADIUS + 2).astype(int)
-MASKS = np.array([((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(EDGES, EDGES[1:], strict=False)], np.uint64)
+ROUND_BYTES = 8 << 20
+#: Windows that are looked up at a time.
+AT_ONCE = 256
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -45,113 +49,176 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 def votes(h: np.ndarray) -> np.ndarray:
     """For each hash and bit 1 or -1."""
-    return 2 * np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) - 1
+    wide = np.stack([h, mixed(h ^ np.uint64(BASES[1]))], axis=1)
+    return 2 * np.unpackbits(wide.view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").astype(np.int32) - 1
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+    """Fingerprints, n x WORDS."""
+    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1, WORDS)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+class MultiIndex:
+    """A table for each block of a fingerprint, from the block's value to the items that have it, asked for all values near enough.
+
+    With ``radius = q * blocks + r`` some of the first r + 1 blocks differs in q bits at most, or some other one in q - 1: else the sum
+    would be greater. So whatever lies within the radius is found.
+    """
+
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
+        self.edges = np.linspace(0, 64 * prints.shape[1], blocks + 1).astype(int)
+        self.prints, self.radius = prints, radius
+        self.near_by = [q for q in (radius // blocks, radius // blocks - 1) for _ in range(blocks)][blocks - 1 - radius % blocks :][:blocks]
+        self.tables = []
+        for k, value in enumerate(self._values(prints)):
+            order = np.argsort(value, kind="stable").astype(np.uint32)
+            first = np.searchsorted(value[order], np.arange(self._size(k) + 1))
+            self.tables.append((first.astype(np.uint16 if len(prints) < 1 << 16 else np.uint32), order))
+
+    def _size(self, k: int) -> int:
+        return 1 << int(self.edges[k + 1] - self.edges[k])
+
+    def _values(self, prints: np.ndarray) -> Iterator[np.ndarray]:
+        bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+        for a, b in zip(self.edges, self.edges[1:], strict=False):
+            yield bits[:, a:b].astype(np.int32) @ (1 << np.arange(b - a, dtype=np.int32))
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of ``prints``, item) that have a near block."""
+        pairs = [np.empty(0, np.int64)]
+        for k, (value, (first, order)) in enumerate(zip(self._values(prints), self.tables, strict=True)):
+            flips = np.arange(self._size(k), dtype=np.int32)
+            flips = flips[np.bitwise_count(flips) <= self.near_by[k]]
+            asked = value[:, None] ^ flips
+            many = (first[1:] - first[:-1])[asked]
+            row, flip = np.nonzero(many)
+            n = many[row, flip].astype(np.int64)
+            begin = first[asked[row, flip]].astype(np.int64)
+            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pairs.append(np.repeat(row, n) * len(self.prints) + order[at])
+        found = np.unique(np.concatenate(pairs))
+        return found // len(self.prints), found % len(self.prints)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and distance of those within the radius, in order of rows."""
+        different, back = np.unique(prints, axis=0, return_inverse=True)
+        parts = [(r + i, x) for i in range(0, len(different), AT_ONCE) for r, x in [self.candidates(different[i : i + AT_ONCE])]]
+        row, item = (np.concatenate(c) for c in zip(*parts, strict=True))
+        d = apart(different[row], self.prints[item])
+        row, item, d = row[d <= self.radius], item[d <= self.radius], d[d <= self.radius]
+        ends = np.searchsorted(row, np.arange(len(different) + 1))
+        back = back.ravel()
+        n = ends[back + 1] - ends[back]
+        at = np.repeat(ends[back] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(prints)), n), item[at], d[at]
 
 
 class Items:
-    """A block of the benchmark, ready to be looked for."""
-
-    def __init__(self, rows: list[tuple]):
-        self.ids, self.words, self.size, self.grams, self.prints = [], [], [], [], []
-        by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for item_id, text in rows:
-            words = word_hashes((text or "").encode().lower())
-            if not len(words):
-                continue
-            size = min(SHINGLE, len(words))
-            h = shingles(words, size)
-            by_size.setdefault(size, []).append((np.unique(h), len(self.ids)))
-            self.ids.append(item_id)
-            self.words.append(len(words))
-            self.size.append(size)
-            self.grams.append(Counter(h.tolist()))
-            self.prints.append(packed(votes(h).sum(axis=0, keepdims=True))[0])
-        self.index = {}
-        for size, found in by_size.items():
-            keys = np.concatenate([k for k, _ in found])
-            owners = np.concatenate([np.full(len(k), i) for k, i in found])
-            order = np.argsort(keys, kind="stable")
-            self.index[size] = keys[order], owners[order]
+    """Different texts of the benchmark, ready to be looked for: an index for each size in words."""
+
+    def __init__(self, rows: list[tuple[str, list]]):
+        """``rows``: a text and the ids that it has."""
+        by_size: dict[int, list[tuple[list, np.ndarray]]] = {}
+        for text, ids in rows:
+            words = word_hashes(text.encode().lower())
+            if len(words):
+                by_size.setdefault(len(words), []).append((ids, shingles(words, min(SHINGLE, len(words)))))
+        self.sizes = {}
+        for n, found in by_size.items():
+            prints = np.concatenate([packed(votes(h).sum(axis=0, keepdims=True)) for _, h in found])
+            counts = [np.unique(h, return_counts=True) for _, h in found]
+            self.sizes[n] = [ids for ids, _ in found], counts, np.unique(np.concatenate([c[0] for c in counts])), MultiIndex(prints)
 
     def find(self, text: bytes) -> list[tuple]:
-        """(item, first word, words, similarity, differing bits) of the best window for each item that the text holds."""
-        words, out = word_hashes(text.lower()), []
-        for size, (keys, owners) in self.index.items():
-            h = shingles(words, size)
-            if not len(h):
-                continue
-            at = np.searchsorted(keys, h)
-            places = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h)
-            if not len(places):
-                continue
-            touched = {int(i) for k in np.unique(h[places]) for i in owners[np.searchsorted(keys, k) : np.searchsorted(keys, k, "right")]}
-            for item in sorted(touched):
-                best = self.best(item, h)
-                if best:
-                    out.append((self.ids[item], best[1], min(self.words[item], len(words)), best[0], best[2]))
+        """(ids, first word, words, similarity, differing bits) of the best window for each item that the text holds."""
+        words, grams, out = word_hashes(text.lower()), {}, []
+        for n, (ids, counts, known, index) in self.sizes.items():
+            size = min(SHINGLE, n)
+            if size not in grams:
+                grams[size] = shingles(words, size)
+            for item, found in self._best(grams[size], n - size + 1, counts, known, index).items():
+                out.append((ids[item], found[1], min(n, len(words)), found[0], found[2]))
         return out
 
-    def best(self, item: int, h: np.ndarray) -> tuple[float, int, int] | None:
-        own = self.grams[item]
-        m = self.words[item] - self.size[item] + 1
+    def _best(self, h: np.ndarray, m: int, counts: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray, index: MultiIndex) -> dict[int, tuple[float, int, int]]:
+        """Item -> similarity, first word and differing bits, over windows of ``m`` shingles."""
+        best: dict[int, tuple[float, int, int]] = {}
         width = min(m, len(h))
-        within = np.concatenate([[0], np.cumsum(np.isin(h, np.fromiter(own, np.uint64, len(own))))])
+        # of two multisets of m and width shingles that are alike, so many are shared
         need = SIMILAR * (m + width) / (1 + SIMILAR) - 1e-9
+        if width < need:
+            return best
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        within = np.concatenate([[0], np.cumsum(known[at] == h)])
         starts = np.flatnonzero(within[width:] - within[:-width] >= need)
-        found = None
-        for i in range(0, len(starts), 4096):
-            part = starts[i : i + 4096]
-            first = part[0]
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes(h[first : part[-1] + width]), axis=0)])
-            apart = packed(sums[part - first + width] - sums[part - first]) ^ self.prints[item]
-            near = ((apart[:, None] & MASKS) == 0).any(axis=1) & (np.bitwise_count(apart) <= RADIUS)
-            for s, x in zip(part[near].tolist(), np.bitwise_count(apart[near]).tolist(), strict=True):
-                both = sum((Counter(h[s : s + width].tolist()) & own).values())
+        # windows that lie close together share their running votes
+        for run in np.split(starts, np.flatnonzero((np.diff(starts) > width) | (np.diff(starts // AT_ONCE) > 0)) + 1) if len(starts) else []:
+            sums = np.concatenate([np.zeros((1, 64 * WORDS), np.int32), np.cumsum(votes(h[run[0] : run[-1] + width]), axis=0)])
+            rows, items, bits = index.near(packed(sums[run - run[0] + width] - sums[run - run[0]]))
+            for s, item, d in zip(run[rows].tolist(), items.tolist(), bits.tolist(), strict=True):
+                own, times = counts[item]
+                there, again = np.unique(h[s : s + width], return_counts=True)
+                _, i, j = np.intersect1d(own, there, assume_unique=True, return_indices=True)
+                both = int(np.minimum(times[i], again[j]).sum())
                 alike = both / (m + width - both)
-                if alike >= SIMILAR and (found is None or alike > found[0]):
-                    found = alike, s, x
-        return found
-
-
-def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
-    size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    block = F.pmod(F.xxhash64(text), F.lit(n))
-    for i in range(n):
-        yield Items([tuple(r) for r in benchmark.filter(block == i).select(item_id, text).collect()])
+                if alike >= SIMILAR and (item not in best or alike > best[item][0]):
+                    best[item] = alike, s, d
+        return best
+
+
+def rounds(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", round_bytes: int = ROUND_BYTES) -> Iterator[Items]:
+    """The benchmark's different texts, as many at a time as may be shipped to tasks."""
+    rows = benchmark.select(column(item_id).alias("id"), F.coalesce(column(text), F.lit("")).alias("text"))
+    each = rows.groupBy("text").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.max(F.col("id").isNull()).alias("none"))
+    held, size = [], 0
+    for r in each.toLocalIterator():
+        held.append((r["text"], list(r["ids"]) + [None] * bool(r["none"])))
+        size += len(r["text"].encode())
+        if size >= round_bytes:
+            yield Items(held)
+            held, size = [], 0
+    if held:
+        yield Items(held)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, first_word, n_words, similarity, differing_bits: the best window of each text for each item it holds."""
-    kinds = {doc_id: docs.schema[doc_id].dataType.simpleString(), "__item": benchmark.schema[item_id].dataType.simpleString()}
-    item_kind = to_arrow_type(benchmark.schema[item_id].dataType)
-    rows, out = docs.select(F.col(doc_id).alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("__text")), None
-    for items in item_blocks(benchmark, item_id, item_text):
+    """doc_id, item_id, first_word, n_words, similarity, differing_bits: the best window of each text for each item it holds.
+
+    An ``item_id`` that is named as ``doc_id`` is refused.
+    """
+    if doc_id == item_id:
+        raise ValueError("documents and items need ids of different names")
+    item_kind = benchmark.schema[item_id].dataType
+    rows = docs.select(column(doc_id).alias("doc"), F.coalesce(column(text), F.lit("")).alias("text"))
+    numbers = [StructField("first_word", LongType()), StructField("n_words", LongType()), StructField("similarity", DoubleType()), StructField("differing_bits", IntegerType())]
+    schema = StructType([StructField("doc", docs.schema[doc_id].dataType), StructField("item", item_kind), *numbers])
+    out = docs.sparkSession.createDataFrame([], schema)
+    for items in rounds(benchmark, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(i, *f) for i, t in enumerate(texts(b["__text"])) for f in items.find(t)]
+                found = [(i, item, *f[1:]) for i, t in enumerate(texts(b["text"])) for f in items.find(t) for item in f[0]]
                 at, ids, *rest = zip(*found, strict=True) if found else [()] * 6
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
-                named = [b["__doc"].take(pa.array(at, pa.int64())), pa.array(ids, item_kind), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))]
-                yield pa.RecordBatch.from_arrays(named, names=["__doc", item_id, "first_word", "n_words", "similarity", "differing_bits"])
+                columns = [b["doc"].take(pa.array(at, pa.int64())), pa.array(ids, to_arrow_type(item_kind)), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        part = rows.mapInArrow(run, f"__doc {kinds[doc_id]}, {item_id} {kinds['__item']}, first_word long, n_words long, similarity double, differing_bits int")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("__doc", doc_id)
+        out = out.union(rows.mapInArrow(run, schema))
+    return out.toDF(doc_id, item_id, *schema.names[2:])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no item, unchanged."""
-    for items in item_blocks(benchmark, item_id, item_text):
+    for items in rounds(benchmark, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not (t and items.find(t)) for t in texts(b[text])], pa.bool_()))
+                at = b.schema.get_field_index(text)
+                yield b.filter(pa.array([not (t and items.find(t)) for t in texts(b.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

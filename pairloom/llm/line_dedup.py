@@ -6,7 +6,8 @@ elsewhere leaves them in place, and inner chunks hold two lines at least. Chunks
 anywhere are removed, all but the first: the one in the smallest ``doc_id`` (null: after all others), and within a document the
 earliest. Rows that share an id count as one owner and each keep the copy that this owner is first with. Chunks are counted by digest,
 then repeated digests are compared byte for byte: a digest that stands for two different chunks is never removed. Texts without a
-repeated chunk, empty texts, single lines and empty tables pass unchanged; a null text stays null.
+repeated chunk, empty texts, single lines and empty tables pass unchanged; a null text stays null. Other columns are kept, whatever
+their names; a very long text is one row, whose chunks are held in memory.
 
 A short repeat mostly holds no complete chunk. So the pipeline's stage compares every two neighbouring lines instead.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialized, owner, table
+from pairloom.llm.common import column, materialized, named, owner, table
 
 #: First hex digit of the rolling hash in this set: a cut candidate (half of all lines).
 CUT_DIGITS = list("01234567")
@@ -44,23 +45,42 @@ def chunks_of(text: Column) -> Column:
     return _bind(F.split(F.coalesce(text, F.lit("")), "\n"), from_lines)
 
 
-def _candidates(df: DataFrame) -> DataFrame:
-    c = df.select(F.col("__own"), F.explode("__chunks").alias("c")).filter(F.col("c.n_lines") >= MIN_LINES)
-    return c.filter(F.col("c.txt").rlike(r"[^\x20\x09-\x0D]")).select("__own", F.md5("c.txt").alias("__key"), F.col("c.txt").alias("__txt"))
+def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """__row (all columns), __own, __tx and __text of each row, so that no name of a column meets one of ours."""
+    t = F.coalesce(column(text), F.lit(""))
+    return df.select(F.struct(*map(column, df.columns)).alias("__row"), owner(column(doc_id)).alias("__own"), F.xxhash64(t).alias("__tx"), column(text).alias("__text"))
+
+
+def _new(df: DataFrame, *names: str) -> None:
+    taken = {c.lower() for c in df.columns}
+    if found := [n for n in names if n.lower() in taken]:
+        raise ValueError(f"the table has a column {found[0]}")
+
+
+def _back(df: DataFrame) -> list[Column]:
+    return [F.col("__row").getField(c).alias(c) for c in df.columns]
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    chunks = rows.select("__own", "__tx", F.explode(F.array(chunks_of(F.col("__text")))).alias("__chunks"))
+    c = chunks.select("__own", "__tx", F.explode("__chunks").alias("c")).filter(F.col("c.n_lines") >= MIN_LINES)
+    return c.filter(F.col("c.txt").rlike(r"[^\x20\x09-\x0D]")).select("__own", "__tx", F.md5("c.txt").alias("__key"), F.col("c.txt").alias("__txt"))
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept_text", counts: str = "line_dedup") -> DataFrame:
-    """``df`` plus ``out`` (the remaining text) and ``counts`` (n_lines, n_chunks, n_removed_chunks, n_removed_lines)."""
-    found = _candidates(df.select(owner(F.col(doc_id)).alias("__own"), F.explode(F.array(chunks_of(F.col(text)))).alias("__chunks")))
+    """``df`` plus ``out`` (the remaining text) and ``counts`` (n_lines, n_chunks, n_removed_chunks, n_removed_lines); names that ``df`` has already are refused."""
+    _new(df, out, counts)
+    rows = _keyed(df, doc_id, text)
+    found = _candidates(rows)
     repeated = found.groupBy("__key").agg(F.count("*").alias("n"), F.min("__own").alias("__first")).filter("n > 1").select("__key", "__first")
     # byte comparison of all copies, with map-side combining: equal least and greatest text means one text
     same = found.join(repeated, "__key").groupBy("__key", "__first").agg(F.min("__txt").alias("lo"), F.max("__txt").alias("hi")).filter("lo = hi").select("__key", "__first")
     drops = (
-        found.select("__own", "__key").join(same, "__key").groupBy("__own")
+        found.select("__own", "__tx", "__key").join(same, "__key").groupBy("__own", "__tx")
         .agg(F.collect_set(F.when(F.col("__own") > F.col("__first"), F.col("__key"))).alias("__later"), F.collect_set(F.when(F.col("__own") == F.col("__first"), F.col("__key"))).alias("__here"))
     )
     # only the whole text crosses this join; its chunks are cut anew behind it
-    j = df.select("*", owner(F.col(doc_id)).alias("__own")).join(drops, "__own", "left").select("*", F.explode(F.array(chunks_of(F.col(text)))).alias("__chunks"))
+    j = rows.join(drops, ["__own", "__tx"], "left").select("*", F.explode(F.array(chunks_of(F.col("__text")))).alias("__chunks"))
     keys = F.transform("__chunks", lambda c: F.when(c["n_lines"] >= MIN_LINES, F.md5(c["txt"])))
     again = lambda ks, k, i: F.array_contains("__later", k) | (F.array_contains("__here", k) & (F.array_position(ks, k) < i + 1))
     keep = _bind(keys, lambda ks: F.filter("__chunks", lambda c, i: ~F.coalesce(again(ks, F.get(ks, i), i), F.lit(False))))
@@ -68,8 +88,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out:
     lines = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["n_lines"])
     removed = F.size("__chunks") - F.size("__kept")
     return j.select(
-        *df.columns,
-        F.when(removed == 0, F.col(text)).otherwise(F.array_join(F.col("__kept.txt"), "\n")).alias(out),
+        *_back(df),
+        F.when(removed == 0, F.col("__text")).otherwise(F.array_join(F.col("__kept.txt"), "\n")).alias(out),
         F.struct(lines(F.col("__chunks")).cast("long").alias("n_lines"), F.size("__chunks").cast("long").alias("n_chunks"), removed.cast("long").alias("n_removed_chunks"),
                  (lines(F.col("__chunks")) - lines(F.col("__kept"))).cast("long").alias("n_removed_lines")).alias(counts),
     )
@@ -110,8 +130,9 @@ def dedup_line_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines. The first occurrence of a line is in no later pair, so that one copy of each line stays. Digests that stand for two
     different pairs are found byte for byte and never removed.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    rows = df.select("*", owner(F.col(doc_id)).alias("__own"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__tx"))
+    _new(df, out, removed)
+    lines = F.split(F.coalesce(F.col("__text"), F.lit("")), "\n")
+    rows = _keyed(df, doc_id, text)
     digests = _bind(lines, lambda ls: F.transform(F.slice(ls, 1, F.size(ls) - 1), lambda _, i: _bind(_pair(ls, i), lambda t: F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(t))))))
     pairs = materialized(rows.select("__own", "__tx", F.posexplode(digests).alias("__i", "__key")).filter("__key IS NOT NULL"))
     place = F.struct("__own", "__tx", "__i")
@@ -130,12 +151,13 @@ def dedup_line_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i))
     changed = F.size("__later") > 0
     n = F.when(changed, F.size(gone)).otherwise(0).cast("long")
-    return m.select(*df.columns, F.when(changed, F.array_join(_bind(lines, keep), "\n")).otherwise(F.col(text)).alias(out), n.alias(removed))
+    return m.select(*_back(df), F.when(changed, F.array_join(_bind(lines, keep), "\n")).otherwise(F.col("__text")).alias(out), n.alias(removed))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, with repeats of two or more lines cut out of ``text`` and ``n_chars`` counted anew where that happened."""
-    d = dedup_line_pairs(docs, out="__kept", removed="__removed")
-    changed = F.col("__removed") > 0
-    new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}
-    return d.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    kept, removed = named(docs, "kept", "removed")
+    d = dedup_line_pairs(docs, out=kept, removed=removed)
+    changed = F.col(removed) > 0
+    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
+    return d.select(*(new[c].alias(c) if c in new else column(c) for c in docs.columns))

@@ -6,9 +6,11 @@ slide over each chunk, and the maximum and the mean of each filter's output desc
 over the chunks give one probability by a logistic layer. Nothing but the bytes enters a score.
 
 Labels come from rows whose crc32 of the id is not 1 modulo 3. ``MAX_TRAINING_ROWS`` bounds the rows that are learned from (those with
-the least hash of their id) and ``TRAINING_CHUNKS`` the chunks taken from each, spread over its text; scores use all chunks of all
-texts. Training runs on the driver over that bounded sample, with fixed seeds. Null labels and labels without a document are
-not used; without labels of both kinds each score is the share of label 1 (one half without any). Repeated rows get equal scores.
+the least hash of their id, also where ids repeat); every chunk of their texts is used, as scores use all chunks of all texts.
+Training runs on the driver over that bounded sample, with fixed seeds. Null labels and labels without a document are not used;
+without labels of both kinds each score is the share of label 1 (one half without any). Repeated rows get equal scores, and very long
+texts are scored in parts of bounded size. Other columns are not touched: the result has the id and the scores only. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -18,16 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import table
+from pairloom.llm.common import column, table
 
 CHUNK, STEP, WIDTH = 256, 128, 7
 VECTOR, FILTERS, HIDDEN = 6, 16, 8
 PAD = 256
-MAX_TRAINING_ROWS, TRAINING_CHUNKS = 2000, 12
+MAX_TRAINING_ROWS = 2000
 EPOCHS, BATCH, RATE = 6, 24, 0.01
 #: Bytes that are scored at a time, to bound memory.
 AT_ONCE = 1 << 18
@@ -143,34 +144,26 @@ def gradients(net: Network, c: np.ndarray, own: np.ndarray, y: np.ndarray) -> li
     return [d_vectors, (columns.T @ d_z).reshape(WIDTH, VECTOR, FILTERS), d_z.sum(0), features.T @ d_h, d_h.sum(0), mean.T @ dz, dz.sum(keepdims=True)]
 
 
-def symbols(chunk: bytes) -> np.ndarray:
-    out = np.full(CHUNK, PAD, np.int16)
-    out[: len(chunk)] = np.frombuffer(chunk, np.uint8)
-    return out
-
-
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to TRAINING_CHUNKS chunks of each text, evenly spread over all of it."""
-    for b in batches:
-        out = []
-        for text in b["text"].cast(pa.large_binary()).to_pylist():
-            starts = chunk_starts(max(len(text), CHUNK))
-            take = starts[np.unique(np.linspace(0, len(starts) - 1, min(TRAINING_CHUNKS, len(starts))).round().astype(int))]
-            out.append([text[s : s + CHUNK] for s in take.tolist()])
-        yield pa.RecordBatch.from_arrays([b["label"], pa.array(out, pa.list_(pa.binary()))], names=["label", "chunks"])
+def chunks_of(text: bytes) -> np.ndarray:
+    """All chunks of a text, as rows of symbols."""
+    b = np.full(max(CHUNK, len(text)), PAD, np.int16)
+    b[: len(text)] = np.frombuffer(text, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(b, CHUNK)[chunk_starts(len(b))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Network | float:
     """The network, or the share of label 1 where there is nothing to tell apart."""
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~is_held_out(F.col(doc_id))).groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("label"))
-    chosen = known.orderBy(F.xxhash64(doc_id), doc_id).limit(MAX_TRAINING_ROWS)
-    rows = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), doc_id).select("label", "text").mapInArrow(_pick, "label int, chunks array<binary>")
-    got = sorted((r["label"], [bytes(c) for c in r["chunks"]]) for r in rows.collect())
+    known = labels.select(column(doc_id).alias("id"), column(label).cast("int").alias("label"))
+    known = known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~is_held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(MAX_TRAINING_ROWS)
+    texts = docs.select(column(doc_id).alias("id"), F.coalesce(column(text), F.lit("")).alias("text"))
+    # ids may repeat in ``docs``: the bound holds for rows
+    rows = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id", "text"), "id").limit(MAX_TRAINING_ROWS)
+    got = [(r["label"], chunks_of(r["text"].encode())) for r in rows.select("label", "text").collect()]
     y = np.array([g[0] for g in got], np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
-    chunks = np.array([symbols(c) for _, cs in got for c in cs])
-    return train(chunks, np.repeat(np.arange(len(y)), [len(cs) for _, cs in got]), y)
+    return train(np.concatenate([c for _, c in got]), np.repeat(np.arange(len(y)), [len(c) for _, c in got]), y)
 
 
 def scores(docs: DataFrame, model: Network | float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,7 +175,7 @@ def scores(docs: DataFrame, model: Network | float, doc_id: str = "doc_id", text
             s = [model if tables is None else model.score(t.encode(), tables) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "held_out": b["held_out"], "score": s})
 
-    rows = docs.select(F.col(doc_id).alias("id"), is_held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(column(doc_id).alias("id"), is_held_out(column(doc_id)).alias("held_out"), F.coalesce(column(text), F.lit("")).alias("text"))
     done = rows.mapInPandas(run, f"id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, score double")
     return done.select(F.col("id").alias(doc_id), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -3,8 +3,9 @@
 Counts of a text (null: no words): ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with a
 word that equal an earlier line), ``n_repeat_words`` (words inside a three-word window that the text holds twice or more) and
 ``n_stop_words``. ``base_failed`` marks texts under 50 words or with over half of their words in repeated windows; ``kept`` is false
-for those and for texts that break a row of ``RULES``. Empty tables give empty results; repeated rows are judged one by one; other
-columns of the input are left alone because counts live in one struct until the end.
+for those and for texts that break a row of ``RULES``; both bounds of a rule are inclusive, so that ties pass. Empty tables give empty
+results; repeated rows are judged one by one; other columns of the input are left alone, whatever their names, as they travel in one
+struct. Very long texts are counted whole, with one row's arrays in memory.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import sql_list, words
+from pairloom.llm.common import column, named, sql_list, words
 
 MIN_WORDS = 50
 SYMBOLS = "[#*$%&|<>]"
@@ -32,7 +33,7 @@ RULES = [
     ("symbols per word", "n_symbols / n_words", None, 0.10),
     ("stop words per word", "n_stop_words / n_words", 0.02, None),
     ("repeated lines per line", "n_dup_lines / n_lines", None, 0.30),
-    ("words per line", "n_words / n_lines", 1.0, None),
+    ("words per line, blank ones included", "n_words / n_all_lines", 1.0, None),
 ]
 
 
@@ -63,9 +64,12 @@ def _repeat_words(w: Column, grams: Column) -> Column:
 
 
 def with_quality(df: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
-    """``df`` plus one struct column ``out`` with the counts and verdicts."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    a = df.select("*", words(F.col(text)).alias("__w"), t.alias("__t"))
+    """``df`` plus one struct column ``out`` with the counts and verdicts; an ``out`` that ``df`` has already is refused."""
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {out}")
+    t = F.coalesce(column(text), F.lit(""))
+    # the columns of ``df`` travel in one struct, so that no name of theirs meets one of ours
+    a = df.select(F.struct(*map(column, df.columns)).alias("__row"), words(column(text)).alias("__w"), t.alias("__t"))
     n = F.size("__w")
     a = a.select(
         "*",
@@ -81,12 +85,14 @@ def with_quality(df: DataFrame, text: str = "text", out: str = "quality") -> Dat
         F.when(g.isNull() | (F.size(F.array_distinct(g)) == F.size(g)), F.lit(0)).otherwise(_repeat_words(F.col("__w"), g)).cast("long").alias("n_repeat_words"),
         F.size(F.filter("__w", lambda x: F.lower(x).isin(ALL_STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size("__l").cast("long").alias("n_lines"),
+        F.size(F.split("__t", "\n")).cast("long").alias("n_all_lines"),
     )
     # explode of one element: a later filter on the counts then can't be inlined into the heavy expressions
-    a = a.select(*df.columns, F.explode(F.array(counts)).alias("__c"))
+    a = a.select("__row", F.explode(F.array(counts)).alias("__c"))
     failed = (F.col("__c.n_words") < MIN_WORDS) | (100 * F.col("__c.n_repeat_words") > 50 * F.col("__c.n_words"))
     rules = F.expr(verdict_sql("__c."))
-    return a.select(*df.columns, F.struct("__c.*", failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(rules).alias("kept")).alias(out))
+    back = [F.col("__row").getField(c).alias(c) for c in df.columns]
+    return a.select(*back, F.struct("__c.*", failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(rules).alias("kept")).alias(out))
 
 
 ORACLE = f"""
@@ -98,7 +104,8 @@ r AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM g JOIN r USING (doc_id, g), (VALUES (0), (1), (2)) AS v(o) GROUP BY doc_id),
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
-             len(list_filter(ws, lambda x: lower(x) IN ({sql_list(ALL_STOP_WORDS)}))) AS n_stop_words, len(ls) AS n_lines FROM w LEFT JOIN c USING (doc_id)),
+             len(list_filter(ws, lambda x: lower(x) IN ({sql_list(ALL_STOP_WORDS)}))) AS n_stop_words, len(ls) AS n_lines,
+             len(string_split(t, chr(10))) AS n_all_lines FROM w LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        CASE WHEN base_failed THEN false ELSE {verdict_sql()} END AS kept FROM f
@@ -114,4 +121,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules keep, with their columns unchanged."""
-    return with_quality(docs, out="__quality").filter("__quality.kept").drop("__quality")
+    (out,) = named(docs, "quality")
+    return with_quality(docs, out=out).filter(column(out)["kept"]).drop(out)

@@ -3,12 +3,14 @@
 Words are runs of anything but ASCII white space, unchanged (null: none); an earlier document has a smaller ``doc_id`` (null: after all
 others; rows that share an id are one document), and windows are judged on the input. ``repeats`` finds stretches of words whose
 anchors occur again; later copies of a whole stretch are settled by counting. Stretches that share an anchor but differ elsewhere meet in one shard, which builds
-a compressed FM-index over them: the Burrows-Wheeler transform in a wavelet tree of bit vectors with popcount directories. All
-stretches are streamed through it from their last word to their first by backward search. The matching statistic grows by a word a
-step until it reaches the threshold, from where the interval is widened to the words but the last before each step. A window counts
-if its interval holds an earlier document.
-
-Texts under 50 words, empty texts and empty tables pass unchanged apart from white space; other columns are kept.
+a compressed FM-index over them: the Burrows-Wheeler transform in a wavelet tree of bit vectors with popcount directories, and two bit
+vectors that mark where neighbouring suffixes part before the threshold; neither the text nor the suffix array is kept. All stretches
+are streamed through it from their last word to their first by backward search. The matching statistic grows by a word a step until
+it reaches the threshold, from where the interval is widened, by the marks, to the words but the last before each step. A window
+counts if its interval holds an earlier document.
+
+Texts under 50 words, empty texts and empty tables pass unchanged apart from white space; other columns are kept, whatever their
+names. A text that repeats one word has an anchor for each word, so that its own row grows with its length and no other does.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import owner, table
+from pairloom.llm.common import materialized, release, table
 from pairloom.llm.repeats import BASES, Rolling, Units, candidates, covered, judged, keyed, mixed, runs, stretches
+from pairloom.llm.suffix_dedup import cut_out
 
 LENGTH, GRAM = 50, 16
 #: Suffixes are sorted by so many words; patterns are shorter.
@@ -43,8 +46,12 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 def _cut_words(text: bytes):
+    """Words from ``a`` to ``b``, joined by spaces: a stretch of the text with single spaces."""
     words = text.split()
-    return lambda a, b: b" ".join(words[a:b])
+    joined, at = b" ".join(words), [0]
+    for w in words:
+        at.append(at[-1] + len(w) + 1)
+    return lambda a, b: joined[at[a] : at[b] - 1]
 
 
 WORDS = Units(LENGTH, GRAM, word_hashes, _cut_words)
@@ -85,10 +92,29 @@ class WaveletTree:
         return i
 
 
+class Marks:
+    """A bit vector and the places of its set bits, as 32-bit numbers: from a place to the group between two set bits around it."""
+
+    def __init__(self, first: np.ndarray):
+        self.bits = Bits(first)
+        self.at = np.append(np.flatnonzero(first), len(first)).astype(np.uint32)
+
+    def group(self, i: np.ndarray) -> np.ndarray:
+        return self.bits.ones(i + 1) - 1
+
+    def bounds(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = self.group(i)
+        return self.at[g].astype(np.int64), self.at[g + 1].astype(np.int64)
+
+
 class FMIndex:
-    """Over sequences of symbols from 1 on, each followed by a 0; ``value`` gives each sequence a number whose minimum is asked for."""
+    """Over sequences of symbols from 1 on, each followed by a 0; ``value`` gives each symbol a number whose minimum over a window is asked for.
 
-    def __init__(self, text: np.ndarray, value: np.ndarray):
+    Kept are the wavelet tree, the marks of suffixes that differ in ``length - 1`` and in ``length`` symbols, and a number for each
+    group of the latter.
+    """
+
+    def __init__(self, text: np.ndarray, value: np.ndarray, length: int):
         n = len(text)
         order = np.argsort(text, kind="stable")
         rank = self._ranks(text[order], order)
@@ -98,10 +124,14 @@ class FMIndex:
             order = np.argsort(key, kind="stable")
             rank = self._ranks(key[order], order)
             width *= 2
-        self.order = order
         self.tree = WaveletTree(np.roll(text, 1)[order], int(text.max()) + 1)
-        self.value = value[order]
-        self.text = text
+        a, b = order[:-1], order[1:]
+        same = np.ones(n - 1, bool)
+        for k in range(length - 1):
+            same &= text[(a + k) % n] == text[(b + k) % n]
+        self.shorter = Marks(np.append(True, ~same))
+        self.window = Marks(np.append(True, ~(same & (text[(a + length - 1) % n] == text[(b + length - 1) % n]))))
+        self.earliest = np.minimum.reduceat(value[order], self.window.at[:-1].astype(np.int64))
 
     @staticmethod
     def _ranks(sorted_: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -109,16 +139,6 @@ class FMIndex:
         rank[order] = np.cumsum(np.diff(sorted_, prepend=sorted_[:1]) != 0)
         return rank
 
-    def groups(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each sorted suffix where the suffixes with the same first ``length`` symbols start and end."""
-        n, same = len(self.order), np.ones(len(self.order) - 1, bool)
-        a, b = self.order[:-1], self.order[1:]
-        for k in range(length):
-            same &= self.text[(a + k) % n] == self.text[(b + k) % n]
-        first = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        size = np.diff(np.append(first, n))
-        return np.repeat(first, size), np.repeat(first + size, size)
-
     def backward(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base = self.tree.smaller[c]
         return base + self.tree.rank(c, lo), base + self.tree.rank(c, hi)
@@ -131,22 +151,18 @@ def earlier_windows(t: pa.Table) -> list[list[tuple[int, int]]]:
     size = np.array([len(b) for b in bodies])
     first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
     text = np.concatenate([x for b in bodies for x in (b, [0])]).astype(np.int64)
-    least, low, high = (t[c].to_numpy().astype(np.int64) for c in ("least", "low", "high"))
-    index = FMIndex(text, np.repeat(least, size + 1))
-    start, end = index.groups(LENGTH - 1)
-    whole, _ = index.groups(LENGTH)
-    heads = np.unique(whole)
-    earliest = np.minimum.reduceat(index.value, heads)
+    least, high = (t[c].to_numpy().astype(np.int64) for c in ("least", "high"))
+    index = FMIndex(text, np.repeat(least, size + 1), LENGTH)
     hit = np.zeros((len(bodies), LENGTH - GRAM + 1), bool)
     lo, hi = np.zeros(len(bodies), np.int64), np.full(len(bodies), len(text), np.int64)
     for step in range(1, int(size.max()) + 1):
         live = np.flatnonzero(step <= size)
         if step > LENGTH:
-            lo[live], hi[live] = start[lo[live]], end[lo[live]]
+            lo[live], hi[live] = index.shorter.bounds(lo[live])
         place = size[live] - step
         lo[live], hi[live] = index.backward(text[first[live] + place], lo[live], hi[live])
         if step >= LENGTH:
-            found = earliest[np.searchsorted(heads, lo[live])] < least[live]
+            found = index.earliest[index.window.group(lo[live])] < least[live]
             hit[live[found], high[live[found]] - place[found]] = True
     return runs(hit)
 
@@ -177,21 +193,16 @@ def dedup_words(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out:
     places = candidates(rows, WORDS)
     each, open_ = stretches(places)
     spans = judged(rows, open_, WORDS, earlier_windows)
-    verdict = each.select("head", "whole", "least").join(spans, ["head", "whole"], "left")
+    verdict = materialized(each.select("head", "whole", "least", "n").join(spans, ["head", "whole"], "left").filter("n > 1 OR spans IS NOT NULL").drop("n"))
+    release(each, open_)
     full = F.array(F.struct(F.col("low"), F.col("high")))
     hits = (
-        places.join(verdict, ["head", "whole"])
+        places.join(verdict.hint("merge"), ["head", "whole"])
         .select("own", "tx", "pos", F.when(F.col("own") > F.col("least"), full).otherwise(F.col("spans")).alias("spans"))
         .select("own", "tx", F.explode(F.transform("spans", lambda s: F.struct((F.col("pos") - s["high"]).alias("a"), (F.col("pos") - s["low"]).alias("b")))).alias("s"))
     )
     starts = hits.groupBy("own", "tx").agg(F.collect_set("s").alias("starts"))
-    t = F.coalesce(F.col(text), F.lit(""))
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text)).alias("row")
-    whole = df.select(row, owner(F.col(doc_id)).alias("own"), F.xxhash64(t).alias("tx"), F.col(text).isNull().alias("none"), t.alias("text"))
-    cut = whole.join(starts, ["own", "tx"], "left").select("row", "none", "text", F.col("text").alias("copy"), "starts")
-    done = cut.mapInArrow(_cut, f"row {cut.schema['row'].dataType.simpleString()}, none boolean, copy string, {_CUT}")
-    back = [F.when(~F.col("none"), F.col("copy")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
-    return done.select(*back, F.struct(*_COLUMNS).alias(out))
+    return cut_out(df, doc_id, text, out, starts, _cut, _CUT, _COLUMNS)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

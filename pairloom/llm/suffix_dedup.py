@@ -6,6 +6,8 @@ to one task, which sorts their suffixes from the anchor on, and their reversed b
 over 8-byte characters to a shallow depth, then a blind trie for each group that still shares its prefix. Neighbours' common prefixes
 then tell, for each window around an anchor, whether an equal one exists. Whatever differs by a byte stays.
 
+A text that is a run of one symbol has an anchor for each byte, so that its own row grows with its length and no other does.
+
 Texts under 200 bytes, empty texts and empty tables pass unchanged; repeated rows, with the same id or without one, repeat each other
 and go whole if they are long enough; other columns are kept. Bytes that remain may break a UTF-8 character, hence ``kept`` is binary.
 """
@@ -19,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pairloom.llm.common import owner, table
+from pairloom.llm.common import column, materialized, owner, release, table
 from pairloom.llm.repeats import Units, candidates, covered, judged, keyed, mixed, runs, stretches
 
 LENGTH, GRAM = 200, 64
@@ -116,14 +119,13 @@ def deep_shallow(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_windows(t: pa.Table) -> list[list[tuple[int, int]]]:
     """For each stretch (body, low, high, n) the ranges of windows that another stretch, or another place of it, holds as well."""
-    seen: dict[tuple[int, int], int] = {}
-    heads, wholes = t["head"].to_pylist(), t["whole"].to_pylist()
-    rows = [i for i, k in enumerate(zip(heads, wholes, strict=True)) if seen.setdefault(k, i) == i]
-    out: list[list[tuple[int, int]]] = [[] for _ in heads]
+    seen: dict[tuple[int, ...], int] = {}
+    rows = [i for i, k in enumerate(zip(*(t[c].to_pylist() for c in ("key", "head", "whole", "low")), strict=True)) if seen.setdefault(k, i) == i]
+    out: list[list[tuple[int, int]]] = [[] for _ in range(t.num_rows)]
     body = t["body"].take(pa.array(rows)).to_pylist()
-    low, high, n = (t[c].take(pa.array(rows)).to_numpy().astype(np.int64) for c in ("low", "high", "n"))
-    after = [b[h:] for b, h in zip(body, high.tolist(), strict=True)]
-    before = [b[:h][::-1] for b, h in zip(body, high.tolist(), strict=True)]
+    low, high, n, place = (t[c].take(pa.array(rows)).to_numpy().astype(np.int64) for c in ("low", "high", "n", "place"))
+    after = [b[h:] for b, h in zip(body, place.tolist(), strict=True)]
+    before = [b[:h][::-1] for b, h in zip(body, place.tolist(), strict=True)]
     (order_a, shared_a), (order_b, shared_b) = deep_shallow(after), deep_shallow(before)
     widest = LENGTH - GRAM + 1
     hit = np.zeros((len(rows), widest), bool)
@@ -166,17 +168,26 @@ def dedup_bytes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out:
     each, open_ = stretches(places)
     spans = judged(rows, open_, BYTES, repeated_windows)
     full = F.array(F.struct(F.col("low"), F.col("high")))
-    verdict = each.select("head", "whole", "n", "low", "high").join(spans, ["head", "whole"], "left").select("head", "whole", F.when(F.col("n") > 1, full).otherwise(F.col("spans")).alias("spans")).filter("spans IS NOT NULL")
-    hits = places.select("own", "tx", "pos", "head", "whole").join(verdict, ["head", "whole"]).select("own", "tx", F.explode(F.transform("spans", lambda s: F.struct((F.col("pos") - s["high"]).alias("a"), (F.col("pos") - s["low"]).alias("b")))).alias("s"))
+    judged_ = each.select("head", "whole", "n", "low", "high").join(spans, ["head", "whole"], "left")
+    verdict = materialized(judged_.select("head", "whole", F.when(F.col("n") > 1, full).otherwise(F.col("spans")).alias("spans")).filter("spans IS NOT NULL"))
+    release(each, open_)
+    hits = places.select("own", "tx", "pos", "head", "whole").join(verdict.hint("merge"), ["head", "whole"]).select("own", "tx", F.explode(F.transform("spans", lambda s: F.struct((F.col("pos") - s["high"]).alias("a"), (F.col("pos") - s["low"]).alias("b")))).alias("s"))
     starts = hits.groupBy("own", "tx").agg(F.collect_set("s").alias("starts"))
-    t = F.coalesce(F.col(text), F.lit(""))
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text)).alias("row")
-    whole = df.select(row, owner(F.col(doc_id)).alias("own"), F.xxhash64(t).alias("tx"), F.col(text).isNull().alias("none"), t.alias("text"))
-    cut = whole.join(starts, ["own", "tx"], "left").select("row", "none", "text", F.col("text").alias("copy"), "starts")
-    schema = f"row {cut.schema['row'].dataType.simpleString()}, none boolean, copy string, {_CUT}"
-    done = cut.mapInArrow(_cut, schema)
-    back = [F.when(~F.col("none"), F.col("copy")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
-    return done.select(*back, F.struct(*_COLUMNS).alias(out))
+    return cut_out(df, doc_id, text, out, starts, _cut, _CUT, _COLUMNS)
+
+
+def cut_out(df: DataFrame, doc_id: str, text: str, out: str, starts: DataFrame, cut, kinds: str, columns: list[str]) -> DataFrame:
+    """``df`` plus the struct ``out`` that ``cut`` makes of each text and its ``starts``; the other columns travel in one struct."""
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {out}")
+    t = F.coalesce(column(text), F.lit(""))
+    others = [c for c in df.columns if c != text]
+    row = F.struct(F.lit(0).alias("c"), *(column(c).alias(f"c{i}") for i, c in enumerate(others))).alias("row")
+    whole = df.select(row, owner(column(doc_id)).alias("own"), F.xxhash64(t).alias("tx"), column(text).isNull().alias("none"), t.alias("text"))
+    marked = whole.join(starts, ["own", "tx"], "left").select("row", "none", F.col("text").alias("copy"), "text", "starts")
+    done = marked.mapInArrow(cut, StructType(marked.schema.fields[:3] + StructType.fromDDL(kinds).fields))
+    back = {text: F.when(~F.col("none"), F.col("copy"))} | {c: F.col("row")[f"c{i}"] for i, c in enumerate(others)}
+    return done.select(*(back[c].alias(c) for c in df.columns), F.struct(*columns).alias(out))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

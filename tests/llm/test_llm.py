@@ -150,7 +150,7 @@ def test_quality_network_learns_on_held_out_rows(spark):
 
 def test_network_gradient():
     net = quality_cnn.Network.fresh()
-    c = np.array([quality_cnn.symbols(b"Some text, " * 20), quality_cnn.symbols(b"!! NO !!" * 30)])
+    c = np.concatenate([quality_cnn.chunks_of(b"Some text, " * 20), quality_cnn.chunks_of(b"!! NO !!" * 30)])
     y, own = np.array([1.0, 0.0], np.float32), np.array([0, 1])
     p = [net.score(bytes(x[x < 256].astype(np.uint8)), net.tables()) for x in c]
     loss = lambda: -np.mean([np.log(v if t else 1 - v) for v, t in zip([net.score(bytes(x[x < 256].astype(np.uint8)), net.tables()) for x in c], y, strict=True)])
@@ -201,11 +201,12 @@ def test_quality_rules_and_lines_on_odd_rows(docs):
 def test_preferences_on_odd_rows(spark):
     rows = [(1, 0, "user", "hi <|x"), (1, 1, "assistant", "yes"), (2, 0, "user", None), (2, 1, "assistant", "no"), (None, 0, "user", "x"), (3, 0, "user", "alone")]
     c = preference_chat.conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
-    got = {r.conv_id: r.pair for r in preference_chat.formatted(preference_chat.next_reply_pairs(c)).collect()}
+    got = {r.conv_id: r.pair for r in preference_chat.formatted(preference_chat.sampled_pairs(c)).collect()}
     assert got[1].prompt_turns == 1 and got[1].prompt == "<|user|>\nhi < |x\n<|end|>\n"
     assert got[1].chosen == "<|assistant|>\nyes\n<|end|>\n" and "no" in got[1].rejected
     a, b = map(int, got[1].chosen_mask.split("-"))
     assert got[1].chosen[a:b] == "yes\n<|end|>\n"
+    # the donor of 2 is 3, which has no reply; 3 has none itself
     assert got[2].rejected == "" and got[3].chosen == "" and got[3].prompt_turns == 1
 
 
