@@ -31,12 +31,25 @@ def scores(df: DataFrame, keys: list[str], y: str, p: str, bins: int = 10) -> Da
     return base.join(auc(d, keys, y, p), keys).join(ece, keys)
 
 
-def q_values(df: DataFrame, p: str, name: str) -> DataFrame:
-    """Benjamini-Hochberg q-values over a table of hypotheses (one row each)."""
-    w = Window.orderBy(p, name)
-    ranked = df.select("*", F.row_number().over(w).alias("rank"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("m"))
-    back = Window.orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.min(F.col(p) * F.col("m") / F.col("rank")).over(back), F.lit(1.0)))
+def q_values(df: DataFrame, p: str, name: str, blocks: int = 1024) -> DataFrame:
+    """Benjamini-Hochberg q-values over a table of hypotheses (one row each; ties in ``p`` in order of ``name``).
+
+    Hypotheses are ranked inside blocks of p and blocks are counted, then the least of later blocks is carried over, so that no window
+    holds more than a block or the blocks.
+    """
+    block = F.greatest(F.least(F.floor(F.col(p) * blocks), F.lit(blocks - 1)), F.lit(0))
+    rows = df.withColumn("__b", block)
+    sizes = rows.groupBy("__b").agg(F.count("*").alias("__n"))
+    order = Window.orderBy("__b")
+    sizes = sizes.select("__b", F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"))
+    inside = Window.partitionBy("__b").orderBy(p, name)
+    ranked = rows.join(F.broadcast(sizes), "__b").withColumn("rank", F.row_number().over(inside) + F.col("__before"))
+    ranked = ranked.withColumn("__raw", F.col(p) * F.col("m") / F.col("rank"))
+    least = ranked.groupBy("__b").agg(F.min("__raw").alias("__least"))
+    later = least.select("__b", F.min("__least").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    back = inside.rowsBetween(0, Window.unboundedFollowing)
+    q = F.least(F.min("__raw").over(back), F.col("__later"), F.lit(1.0))
+    return ranked.join(F.broadcast(later), "__b").withColumn("q", q).drop("__b", "__before", "__raw", "__later")
 
 
 def clustered_bootstrap(df: DataFrame, cluster: str, num: Column, den: Column, replicates: int, seed: int = 1) -> DataFrame:

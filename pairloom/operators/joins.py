@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.tables import written
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], when: str, value: Column, out: str, guard: int = 1) -> DataFrame:
     """``left`` plus ``out``: ``value`` of the latest ``right`` row of the same keys ``guard`` days before ``when`` or earlier.
@@ -18,21 +20,40 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], when: str, value: C
     return both.select("__l", F.last("__r", ignorenulls=True).over(w).alias("__r")).filter("__l IS NOT NULL").select("__l.*", F.col("__r.__v").alias(out))
 
 
+def _tagged(left: DataFrame) -> DataFrame:
+    """Different left rows as one struct, with how often each occurs: joins then neither lose nor merge repeated rows, and null keys stay."""
+    return left.groupBy(F.struct(*left.columns).alias("__row")).agg(F.count("*").alias("__times"))
+
+
+def _again(df: DataFrame, *out: str) -> DataFrame:
+    """The rows behind ``_tagged``, each as often as it occurred."""
+    return df.select("__row", *out, F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__k")).select("__row.*", *out)
+
+
 def interval(left: DataFrame, right: DataFrame, keys: list[str], when: str, days: int, last: int, aggs: list[Column], bucket: int = 30) -> DataFrame:
-    """``left`` plus ``aggs`` over ``right`` rows from ``days`` to ``last`` days before ``when``: an equi-join on day buckets."""
-    n = F.datediff(F.col(when), F.lit("1970-01-01").cast("date"))
-    l = left.select("*", F.explode(F.sequence(F.floor((n - days) / bucket), F.floor((n - last) / bucket))).alias("__b"), n.alias("__n"))  # noqa: E741
-    r = right.withColumns({"__b": F.floor(F.datediff(F.col(when), F.lit("1970-01-01").cast("date")) / bucket), "__m": F.datediff(F.col(when), F.lit("1970-01-01").cast("date"))}).drop(when)
-    hit = l.join(r, [*keys, "__b"]).filter(F.col("__m").between(F.col("__n") - days, F.col("__n") - last))
-    return left.join(hit.groupBy(*left.columns).agg(*aggs), left.columns, "left")
+    """``left`` plus ``aggs`` over ``right`` rows from ``days`` to ``last`` days before ``when``: an equi-join on day buckets.
+
+    Repeated left rows get the same values each; where a key or ``when`` is null, nothing matches.
+    """
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    rows = _tagged(left)
+    n = day(F.col(f"__row.{when}"))
+    l = rows.select("__row", n.alias("__n"), F.explode(F.sequence(F.floor((n - days) / bucket), F.floor((n - last) / bucket))).alias("__b"), *(F.col(f"__row.{k}").alias(k) for k in keys))  # noqa: E741
+    r = right.withColumns({"__b": F.floor(day(F.col(when)) / bucket), "__m": day(F.col(when))}).drop(when)
+    hit = l.join(r, [*keys, "__b"]).filter(F.col("__m").between(F.col("__n") - days, F.col("__n") - last)).groupBy("__row").agg(*aggs)
+    out = [c for c in hit.columns if c != "__row"]
+    found = hit.withColumnRenamed("__row", "__hit")
+    return _again(rows.join(found, F.col("__row").eqNullSafe(F.col("__hit")), "left"), *out)
 
 
 def near_date(left: DataFrame, right: DataFrame, keys: list[str], when: str, offsets: list[int], value: str, out: str) -> DataFrame:
-    """``left`` plus ``out``: ``value`` of the right row on the first of the ``offsets`` (in days) that has one."""
-    l = left.select("*", F.posexplode(F.array(*(F.date_add(when, o) for o in offsets))).alias("__p", "__d"))  # noqa: E741
+    """``left`` plus ``out``: ``value`` of the right row on the first of the ``offsets`` (in days) that has one; of several there the least."""
+    rows = _tagged(left)
+    l = rows.select("*", *(F.col(f"__row.{k}").alias(k) for k in keys), F.posexplode(F.array(*(F.date_add(F.col(f"__row.{when}"), o) for o in offsets))).alias("__p", "__d"))  # noqa: E741
     r = right.select(*keys, F.col(when).alias("__d"), F.col(value).alias("__v"))
     hit = l.join(r, [*keys, "__d"], "left")
-    return hit.groupBy(*left.columns).agg(F.min_by("__v", F.when(F.col("__v").isNotNull(), F.col("__p"))).alias(out))
+    best = hit.groupBy("__row", "__times").agg(F.min(F.when(F.col("__v").isNotNull(), F.struct("__p", "__v"))).alias("__best"))
+    return _again(best.withColumn(out, F.col("__best.__v")), out)
 
 
 def upsert(old: DataFrame, new: DataFrame, page: str, key: list[str], order: Column) -> DataFrame:
@@ -45,24 +66,15 @@ def upsert(old: DataFrame, new: DataFrame, page: str, key: list[str], order: Col
 def frontier(edges: DataFrame, seeds: DataFrame, source: str, target: str, rounds: int | None = None) -> DataFrame:
     """node, depth: what is reached from ``seeds`` (column node) by the least number of steps, in at most ``rounds`` (None: until a round adds none).
 
-    Each round joins only the nodes that the round before added and drops known ones; ``checkpoint`` cuts lineage where a folder is set,
-    and a local one where the crawl runs to its end without a folder.
+    Each round joins only the nodes that the round before added and drops known ones; written tables cut lineage between rounds.
     """
-    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("__next")).distinct()
-    seen = last = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    folder = seeds.sparkSession.conf.get("spark.checkpoint.dir", None)
-    cut = lambda df: df.checkpoint() if folder else df.localCheckpoint() if rounds is None else df
-    if rounds is None:
-        steps, last = cut(steps), cut(last)
-        seen = last
+    steps = written(edges.select(F.col(source).alias("node"), F.col(target).alias("__next")).distinct())
+    seen = last = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     n = 0
     while rounds is None or n < rounds:
         n += 1
-        last = cut(last.join(steps, "node").select(F.col("__next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(n)))
-        if rounds is None:
-            if last.isEmpty():
-                break
-            seen = cut(seen.unionByName(last))
-        else:
-            seen = seen.unionByName(last)
+        last = written(last.join(steps, "node").select(F.col("__next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(n)))
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
     return seen

@@ -8,11 +8,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.tables import written
+
 
 def ridge_logit(df: DataFrame, x: list[str], y: str, penalty: float, offset: str | None = None, weight: str | None = None, rounds: int = 50, tol: float = 1e-8) -> np.ndarray:
     """Coefficients without intercept of a logistic model with fixed ``offset`` and ridge ``penalty`` toward zero.
 
-    Newton steps; each is one aggregate of ``len(x) * (len(x) + 3) / 2`` sums over the data, solved on the driver.
+    Newton steps; each is one aggregate of ``len(x) * (len(x) + 3) / 2`` sums over the data, solved on the driver. ``df`` is read once
+    for each step: give it a written table, so that a step is a scan and not the plan behind it.
     """
     k, beta = len(x), np.zeros(len(x))
     w = F.col(weight) if weight else F.lit(1.0)
@@ -55,10 +58,13 @@ def later_years(df: DataFrame, date: str) -> list[int]:
 
 
 def walk_forward(df: DataFrame, date: str, years: list[int], predict: Callable[[DataFrame, DataFrame], DataFrame], locked_from: int | None = None) -> DataFrame:
-    """``predict(train, test)`` for each year: all earlier rows train, the year's rows are scored. Years from ``locked_from`` on are refused."""
+    """``predict(train, test)`` for each year: all earlier rows train, the year's rows are scored. Years from ``locked_from`` on are refused.
+
+    The design is written once, so that refits scan it and don't plan it anew.
+    """
     if locked_from is not None and any(y >= locked_from for y in years):
         raise PermissionError(f"years from {locked_from} on are locked")
-    out = None
+    out, df = None, written(df)
     for y in years:
         train, test = df.filter(F.col(date) < F.lit(f"{y}-01-01").cast("date")), df.filter((F.col(date) >= F.lit(f"{y}-01-01").cast("date")) & (F.col(date) < F.lit(f"{y + 1}-01-01").cast("date")))
         part = predict(train, test)

@@ -44,12 +44,28 @@ def with_drawdown(df: DataFrame, profit: str, order: list[str], keys: list[str])
     return run.withColumn("down", F.greatest(F.max("total").over(w), F.lit(0.0)) - F.col("total"))
 
 
-def summary(bets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Bets, stakes, profit, return, hit rate, deepest drawdown, mean price and stake by ``keys``."""
-    run = with_drawdown(bets, "profit", order, keys)
-    return run.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum("stake").alias("staked"), F.sum("profit").alias("profit"), (F.sum("profit") / F.sum("stake")).alias("roi"),
-        F.avg((F.col("profit") > 0).cast("double")).alias("hit"), F.max("down").alias("max_drawdown"), F.avg("price").alias("avg_price"), F.avg("stake").alias("avg_units"),
+def summary(bets: DataFrame, keys: list[str], order: list[str], day: str = "day") -> DataFrame:
+    """Bets, stakes, profit, return, hit rate, deepest drawdown, mean price and stake by ``keys``.
+
+    The running total goes by day: bets of a day are ordered inside it, days are summed, and what the days before brought is added, so
+    that no task orders more than a day's bets or the number of days.
+    """
+    inside = with_drawdown(bets.withColumn("__day", F.col(day)), "profit", order, [*keys, "__day"])
+    # within a day: its sum, its highest total, its lowest total behind the highest, and how deep it falls below its own high
+    w = Window.partitionBy(*keys, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = inside.withColumn("__top", F.max("total").over(w))
+    days = own.groupBy(*keys, "__day").agg(
+        F.count("*").alias("n"), F.sum("stake").alias("staked"), F.sum("profit").alias("profit"), F.sum((F.col("profit") > 0).cast("double")).alias("hits"), F.sum("price").alias("prices"),
+        F.max("total").alias("top"), F.min("total").alias("low"), F.max(F.col("__top") - F.col("total")).alias("fall"),
+    )
+    past = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    at = days.withColumn("__before", F.coalesce(F.sum("profit").over(past), F.lit(0.0)))
+    at = at.withColumn("__high", F.greatest(F.max(F.col("__before") + F.col("top")).over(past), F.lit(0.0)))
+    # the deepest point of a day lies below the high of earlier days, or below its own
+    down = F.greatest(F.col("__high") - (F.col("__before") + F.col("low")), F.col("fall"), F.lit(0.0))
+    return at.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("staked").alias("staked"), F.sum("profit").alias("profit"), (F.sum("profit") / F.sum("staked")).alias("roi"), (F.sum("hits") / F.sum("n")).alias("hit"),
+        F.max(down).alias("max_drawdown"), (F.sum("prices") / F.sum("n")).alias("avg_price"), (F.sum("staked") / F.sum("n")).alias("avg_units"),
     )
 
 

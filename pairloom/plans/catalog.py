@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators import evaluate, folds, joins, learn, match, prior, sides, staking
+from pairloom.operators import evaluate, joins, learn, match, prior, ratings, sides, staking
 from pairloom.plans.contests import CONTESTS, contests, participants, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,12 +76,18 @@ SELECT s.contest_id, s.side, coalesce(CASE WHEN last1 = 1 THEN coalesce(not_win
 FROM sides s LEFT JOIN f USING (contest_id, side) LEFT JOIN l USING (contest_id, side)""")
 def streaks(spark, d):
     """Signed streaks (no contests skipped, a draw ends one), last result and mean of the last three."""
-    past = F.transform(F.sort_array(F.collect_list(F.when(F.col("res").isNotNull(), F.struct("day", "contest_id", "res"))).over(w1())), lambda x: x["res"])
-    p = participants(contests(spark, d)).select("contest_id", "side", past.alias("past"))
-    last = F.slice("past", -3, 3)
-    tail = F.when(F.size("past") >= 3, last).otherwise(F.col("past"))
-    mean = F.when(F.size("past") > 0, F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail))
-    return p.select("contest_id", "side", prior.streak(F.col("past")).alias("streak"), r(mean).alias("last3"), F.try_element_at("past", F.lit(-1)).alias("last1"))
+    p = participants(contests(spark, d)).select("contest_id", "side", "id", "day", "res")
+    known = p.filter("res IS NOT NULL")
+    order = Window.partitionBy("id").orderBy("day", "contest_id")
+    # running index of an entity's known results, and the index of the last one that was no win, or no loss, up to there
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    k = known.select("id", "day", "contest_id", "res", F.row_number().over(order).alias("i"), F.avg("res").over(order.rowsBetween(-2, 0)).alias("last3"))
+    k = k.select("*", F.coalesce(F.max(F.when(F.col("res") != 1, F.col("i"))).over(upto), F.lit(0)).alias("no_win"), F.coalesce(F.max(F.when(F.col("res") != 0, F.col("i"))).over(upto), F.lit(0)).alias("no_loss"))
+    run = F.when(F.col("res") == 1, F.col("i") - F.col("no_win")).when(F.col("res") == 0, F.col("no_loss") - F.col("i")).otherwise(0)
+    # each day's last state, seen from all later days
+    ends = k.groupBy("id", "day").agg(F.max_by(F.struct(run.alias("run"), "last3", "res"), F.col("i")).alias("end"))
+    seen = p.join(ends, ["id", "day"], "left").select("contest_id", "side", F.max(F.when(F.col("end").isNotNull(), F.struct("day", "end"))).over(w1()).alias("s"))
+    return seen.select("contest_id", "side", F.coalesce(F.col("s.end.run"), F.lit(0)).cast("int").alias("streak"), r("s.end.last3").alias("last3"), F.col("s.end.res").alias("last1"))
 
 
 @query("league_priors", C + f""", g AS (SELECT day, sum(score) AS s, count(*) AS n FROM sides GROUP BY day), q AS (SELECT day, coalesce(sum(s) OVER w, 0) AS s, coalesce(sum(n) OVER w, 0) AS n FROM g WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -110,10 +116,15 @@ SELECT c.contest_id, count(g.opp) AS n_common, round(avg(f.m - g.m), 9) AS d_com
 def common_opponents(spark, d):
     """Mean difference of results against opponents that both sides met before, and earlier meetings of the two."""
     c = contests(spark, d)
-    p = participants(c).filter("res IS NOT NULL").select("id", "opp", F.col("day").alias("then"), "res")
-    met = lambda side, out: c.join(p, (F.col("id") == F.col(side)) & (F.col("then") < F.col("day"))).filter(~F.col("opp").isin(F.col("a_id"), F.col("b_id"))).groupBy("contest_id", "opp").agg(F.avg("res").alias(out))
-    both = met("a_id", "ma").join(met("b_id", "mb"), ["contest_id", "opp"]).groupBy("contest_id").agg(F.count("*").alias("n_common"), F.avg(F.col("ma") - F.col("mb")).alias("d_common"))
-    h2h = c.join(p, (F.col("id") == F.col("a_id")) & (F.col("opp") == F.col("b_id")) & (F.col("then") < F.col("day"))).groupBy("contest_id").agg(F.sum(F.col("res") - 0.5).alias("h2h"))
+    # an entity's record against each opponent, as running sums by day: joins meet pairs, not careers
+    p = participants(c).filter("res IS NOT NULL").groupBy("id", "opp", F.col("day").alias("then")).agg(F.sum("res").alias("s"), F.count("*").alias("k"))
+    pair = Window.partitionBy("id", "opp").orderBy("then").rowsBetween(Window.unboundedPreceding, 0)
+    met = p.select("id", "opp", "then", F.lead("then", 1, 1 << 30).over(Window.partitionBy("id", "opp").orderBy("then")).alias("upto"), F.sum("s").over(pair).alias("s"), F.sum("k").over(pair).alias("k"))
+    a = met.select(F.col("id").alias("a_id"), "opp", F.col("then").alias("fa"), F.col("upto").alias("ta"), (F.col("s") / F.col("k")).alias("ma"))
+    b = met.select(F.col("id").alias("b_id"), "opp", F.col("then").alias("fb"), F.col("upto").alias("tb"), (F.col("s") / F.col("k")).alias("mb"))
+    left = c.select("contest_id", "day", "a_id", "b_id").join(a, "a_id").filter((F.col("fa") < F.col("day")) & (F.col("day") <= F.col("ta")) & (F.col("opp") != F.col("b_id")) & (F.col("opp") != F.col("a_id")))
+    both = left.join(b, ["b_id", "opp"]).filter((F.col("fb") < F.col("day")) & (F.col("day") <= F.col("tb"))).groupBy("contest_id").agg(F.count("*").alias("n_common"), F.avg(F.col("ma") - F.col("mb")).alias("d_common"))
+    h2h = c.select("contest_id", "day", F.col("a_id").alias("id"), F.col("b_id").alias("opp")).join(met, ["id", "opp"]).filter((F.col("then") < F.col("day")) & (F.col("day") <= F.col("upto"))).select("contest_id", (F.col("s") - F.col("k") * 0.5).alias("h2h"))
     return c.select("contest_id").join(both, "contest_id", "left").join(h2h, "contest_id", "left").select("contest_id", F.coalesce("n_common", F.lit(0)).alias("n_common"), r("d_common", 9).alias("d_common"), r("h2h").alias("h2h"))
 
 
@@ -373,12 +384,16 @@ def travel(spark, d):
     return s.join(b, "s_suppkey").select(F.col("s_suppkey").alias("a"), "b", r(12742 * F.asin(F.sqrt(h)), 4).alias("km"))
 
 
+def half_years(c: DataFrame) -> DataFrame:
+    return c.withColumn("period", F.year("date") * 2 + (F.month("date") > 6).cast("int"))
+
+
 @query("ratings")
-def ratings(spark, d):
-    """Elo in five settings, Glicko-2, a share rating and a line filter, by league of contest classes."""
-    c = contests(spark, d).select("contest_id", "date", "a_id", "b_id", "class", "y", (F.col("method") == "R").alias("finished"), (F.col("a_score") / (F.col("a_score") + F.col("b_score"))).alias("share"), staking.logit(F.col("p_close")).alias("line"))
-    make = {"elo": lambda: folds.Elo(40), "elo_finish": lambda: folds.Elo(40, finish=1.5), "elo_fast": lambda: folds.Elo(80), "elo_decay": lambda: folds.Elo(32, decay_contests=2), "elo_tuned": lambda: folds.Elo(90, decay_contests=2), "glicko": folds.Glicko2, "share": lambda: folds.Elo(80), "market": folds.LineFilter}
-    return folds.rated(c, "class", make, {n: {"share": "share", "market": "line"}.get(n, "y") for n in make})
+def all_ratings(spark, d):
+    """Elo in five settings, Glicko-2, a share rating and a line filter of all entities, folded by half-years."""
+    c = half_years(contests(spark, d)).select("contest_id", "period", "day", "a_id", "b_id", "y", (F.col("method") == "R").alias("finished"), (F.col("a_score") / (F.col("a_score") + F.col("b_score"))).alias("share"), staking.logit(F.col("p_close")).alias("line"))
+    made = {"elo": ratings.Elo(), "elo_finish": ratings.Elo(finish=1.5, finished="finished"), "elo_fast": ratings.Elo(k=80.0), "elo_decay": ratings.Elo(k=32.0, decay=2.0), "elo_tuned": ratings.Elo(k=90.0, decay=2.0)}
+    return ratings.rated(c, made | {"glicko": ratings.Glicko2(), "share": ratings.Elo("share", k=80.0), "market": ratings.LineFilter()}, "period")
 
 
 @query("linked_records")
@@ -502,9 +517,9 @@ def opponent_reach_all(spark, d):
 
 @query("skill_filters")
 def skill_filters(spark, d):
-    """Poisson attack and defence from counts, by league of contest classes."""
-    c = contests(spark, d).select("contest_id", "date", "a_id", "b_id", "class", F.lit(False).alias("finished"), F.array("a_score", "b_score", F.lit(25.0)).alias("counts"))
-    return folds.rated(c, "class", {"skill": folds.PoissonSkills}, {"skill": "counts"})
+    """Poisson attack and defence from counts, over a league level that fades, of all entities, folded by half-years."""
+    c = half_years(contests(spark, d)).select("contest_id", "period", "day", "a_id", "b_id", F.col("a_score").alias("a_count"), F.col("b_score").alias("b_count"), F.lit(25.0).alias("exposure"))
+    return ratings.rated(ratings.league_level(c, "period", ["a_count", "b_count"], "exposure"), {"skill": ratings.PoissonSkills()}, "period")
 
 
 def stacked(spark, d, years=None):

@@ -47,20 +47,6 @@ def test_links_find_the_shifted_and_swapped_records(spark):
     assert r.page.is_unique and r.contest_id.is_unique
 
 
-def test_skills_follow_counts():
-    import datetime
-
-    from pairloom.operators.folds import PoissonSkills
-
-    f, day = PoissonSkills(), datetime.date(2001, 1, 1)
-    for i in range(30):
-        f.update("strong", "weak", (60, 10, 25.0), day + datetime.timedelta(days=i))
-    f.update("strong", "weak", (None, 10, 25.0), day)
-    later = day + datetime.timedelta(days=60)
-    assert f.get("strong", later) > 0.4 and f.get("weak", later) < -0.4
-    assert all(0 < v <= 0.3 for _, v, _ in f.state.values())
-
-
 def test_stage_stack_scores_each_stage_of_later_years(spark):
     r = catalog.QUERIES["stage_stack"](spark, SF).toPandas()
     assert len(r) and r.p.between(0, 1).all()

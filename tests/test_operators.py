@@ -5,34 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import folds, learn, match, prior, staking
+from pairloom.operators import learn, match, prior, staking
 from pairloom.plans.contests import contests, participants
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_elo_single():
-    e = folds.Elo(32)
-    e.update("a", "b", 1.0)
-    assert (round(e.get("a")), round(e.get("b"))) == (1516, 1484)
-    e.update("a", "b", None)
-    assert e.seen["a"] == 1
-
-
-def test_glicko_order_and_growth():
-    g = folds.Glicko2()
-    g.update("a", "b", 1.0, date(2020, 1, 1))
-    assert g.get("a") > 1500 > g.get("b")
-    assert g.at("a", date(2020, 1, 1))[1] < g.at("a", date(2025, 1, 1))[1] <= g.phi0
-
-
-def test_glicko_published_example():
-    g = folds.Glicko2()
-    me = (0.0, 200 / folds.SCALE, 0.06)
-    mu, phi, vol = g.one(me, ((1400 - 1500) / folds.SCALE, 30 / folds.SCALE, 0.06), 1.0)
-    assert mu > 0 and phi < me[1] and abs(vol - 0.06) < 1e-3
-
-
 def test_kelly_and_bets(spark):
     rows = spark.createDataFrame([(0.6, 2.2, 1.7, y) for y in (1.0, 1.0, 0.0, 1.0)] + [(0.6, None, 1.7, 1.0)], "p double, a double, b double, y double")
     bets = staking.simulate(rows, "p", "a", "b", "y", edge=0.05, fraction=0.5)
