@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.tables import release, written as materialized  # noqa: F401
+
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 NULL_OWNER = 2**63 - 1
@@ -24,54 +24,6 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see. Only a local session (tests) may do without one: it gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="pairloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-#: Tables of this application that can still be read, by the plan's DataFrame.
-_FOLDER: dict[str, str] = {}
-
-
-def _path(spark: SparkSession, folder: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: lineage ends here, and a lost executor loses nothing.
-
-    All tables of an application lie in one folder, which goes when the application ends; ``release`` deletes single ones before.
-    """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDER:
-        _FOLDER[app] = f"{shared_folder(spark)}/pairloom-{app}-{uuid.uuid4().hex[:8]}"
-        fs, folder = _path(spark, _FOLDER[app])
-        fs.mkdirs(folder)
-        fs.deleteOnExit(folder)
-    path = f"{_FOLDER[app]}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._pairloom_path = path
-    return back
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes tables that ``materialized`` wrote. Nothing that is still to be computed may read them."""
-    for df in frames:
-        fs, path = _path(df.sparkSession, df._pairloom_path)
-        fs.delete(path, True)
-
-
 def named(df: DataFrame, *wanted: str) -> list[str]:
     """Names that no column of ``df`` has, one for each wanted one."""
     taken = {c.lower() for c in df.columns}
