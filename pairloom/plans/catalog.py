@@ -549,4 +549,4 @@ def stage_stack_years(spark, d):
     """The stack in every year with an earlier one."""
     return stacked(spark, d)
 
-from pairloom.plans import blocks, raw  # noqa: E402, F401  (their queries register themselves)
+from pairloom.plans import blocks, models, raw  # noqa: E402, F401  (their queries register themselves)
