@@ -213,15 +213,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no item, unchanged."""
+    names, at = docs.columns, docs.columns.index(text)
+    # names may hold dots, which a task's columns may not
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
     for items in rounds(benchmark, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = b.schema.get_field_index(text)
                 yield b.filter(pa.array([not (t and items.find(t)) for t in texts(b.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -146,11 +146,11 @@ z AS (SELECT *, CAST('0x' || substr(h, 13, 4) AS INTEGER) % greatest(k, 1) + 1 A
              substr(h, 1, (SELECT {" + ".join(f"(count(*) > {GROUP * 16**k})::INTEGER" for k in DIGITS)} FROM l)) AS g FROM l),
 o AS (SELECT conv_id, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS other FROM z WINDOW w AS (PARTITION BY g ORDER BY conv_id)),
 r AS (SELECT conv_id, i, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS q FROM c WHERE role = 'assistant'),
-e AS (SELECT z.conv_id, o.other, r.i AS at, f.i AS o_from, y.last AS o_last FROM z JOIN o USING (conv_id) JOIN r ON r.conv_id = z.conv_id AND r.q = z.nth
+e AS (SELECT z.conv_id, o.other, r.i AS pos, f.i AS o_from, y.last AS o_last FROM z JOIN o USING (conv_id) JOIN r ON r.conv_id = z.conv_id AND r.q = z.nth
       LEFT JOIN z y ON y.conv_id = o.other LEFT JOIN r f ON f.conv_id = o.other AND f.q = least(z.nth, y.k)),
 a AS (SELECT conv_id, i, role, text FROM c JOIN l USING (conv_id) WHERE i <= coalesce(last, n)),
-b AS (SELECT a.conv_id, i, role, text FROM a LEFT JOIN e USING (conv_id) WHERE at IS NULL OR i < at
-      UNION ALL SELECT e.conv_id, at + c.i - o_from, role, text FROM e JOIN c ON c.conv_id = e.other AND c.i BETWEEN e.o_from AND e.o_last),
+b AS (SELECT a.conv_id, i, role, text FROM a LEFT JOIN e USING (conv_id) WHERE pos IS NULL OR i < pos
+      UNION ALL SELECT e.conv_id, pos + c.i - o_from, role, text FROM e JOIN c ON c.conv_id = e.other AND c.i BETWEEN e.o_from AND e.o_last),
 j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.i, b.i) AS i, coalesce(a.role = b.role AND a.text = b.text, false) AS same FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.i = b.i),
 p AS (SELECT conv_id, coalesce(min(i) FILTER (WHERE NOT same) - 1, max(i)) AS k FROM j GROUP BY conv_id),
 u AS (SELECT conv_id, 'a' AS side, i, role, text FROM a UNION ALL SELECT conv_id, 'b', i, role, text FROM b),
