@@ -32,6 +32,15 @@ def token_sort_ratio(a: str | None, b: str | None) -> float:
     return ratio(" ".join(sorted((a or "").split())), " ".join(sorted((b or "").split())))
 
 
+def partial_ratio(a: str | None, b: str | None) -> float:
+    """The best ``ratio`` of the shorter one with a stretch of the longer one that is at most as long, at its ends too."""
+    a, b = sorted((a or "", b or ""), key=len)
+    n = len(a)
+    if not n:
+        return 100.0 if not b else 0.0
+    return max(ratio(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
+
+
 def _pairs(score: Callable[[str | None, str | None], float]):
     @F.pandas_udf("double")
     def run(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.Series:
@@ -41,9 +50,21 @@ def _pairs(score: Callable[[str | None, str | None], float]):
     return run
 
 
-def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, when: str = "date", names: tuple[str, str] = ("n1", "n2"), days: int = 1, threshold: float = 80.0, penalty: float = 2.0) -> DataFrame:
+def _best_name(score: Callable[[str | None, str | None], float]):
+    @F.pandas_udf("double")
+    def run(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.Series:
+        rows = zip(a1, a2, b1, b2, strict=True)
+        return pd.Series([max(score(x, y) for x in (p, q) for y in (r, s)) for p, q, r, s in rows], dtype=float)
+
+    return run
+
+
+def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, when: str = "date", names: tuple[str, str] = ("n1", "n2"), days: int = 1, threshold: float = 80.0, penalty: float = 2.0, weak: float | None = None, strong: float = 92.0) -> DataFrame:
     """left_id, right_id, score of the best right row within ``days`` whose names match in either order, ``penalty`` lost for each day apart.
 
+    With ``weak``, a pair between it and the threshold counts as well if one name alone scores ``strong`` and no other right row of that
+    left row has so strong a name.
+
     Every pair within ``days`` is a candidate of an equi-join on the date, as no key of first letters holds all pairs of a score; work
     grows with the square of the rows of a date. Pairs that can't reach the threshold by letters that only one name has are not scored. Then
     scores take the best, ties to the least right id, one right row for each left row and back.
@@ -53,8 +74,14 @@ def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, when: s
     c = l.join(r, "__d").select("__l", "__r", "a1", "a2", "b1", "b2", F.abs(F.col("__o") - days).alias("gap"))
     most = lambda a, b: (_most(a[0], b[0]) + _most(a[1], b[1])) / 2
     bound = F.greatest(most(("a1", "a2"), ("b1", "b2")), most(("a1", "a2"), ("b2", "b1")))
-    c = c.filter(bound - penalty * F.col("gap") >= threshold - 1e-6)
-    s = c.select("__l", "__r", (_pairs(token_sort_ratio)("a1", "a2", "b1", "b2") - penalty * F.col("gap")).alias("score")).filter(F.col("score") >= threshold)
+    c = c.filter(bound - penalty * F.col("gap") >= (threshold if weak is None else weak) - 1e-6)
+    s = c.withColumn("score", _pairs(token_sort_ratio)("a1", "a2", "b1", "b2") - penalty * F.col("gap"))
+    if weak is None:
+        s = s.select("__l", "__r", "score").filter(F.col("score") >= threshold)
+    else:
+        s = s.filter(F.col("score") >= weak).withColumn("strong", _best_name(token_sort_ratio)("a1", "a2", "b1", "b2") >= strong)
+        alone = F.col("strong") & (F.sum(F.col("strong").cast("int")).over(Window.partitionBy("__l")) == 1)
+        s = s.withColumn("ok", (F.col("score") >= threshold) | alone).filter("ok").select("__l", "__r", "score")
     best = lambda df, k, o: df.withColumn("__n", F.row_number().over(Window.partitionBy(k).orderBy(F.col("score").desc(), o))).filter("__n = 1").drop("__n")
     return best(best(s, "__l", "__r"), "__r", "__l").select(F.col("__l").alias(left_id), F.col("__r").alias(right_id), "score")
 
@@ -72,3 +99,10 @@ def vote(links: DataFrame, entity: str, candidate: str, score: str = "score") ->
     total = links.groupBy(entity, candidate).agg(F.sum(score).alias("votes"))
     w = Window.partitionBy(entity).orderBy(F.col("votes").desc(), candidate)
     return total.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def either_link(rows: DataFrame, first: DataFrame, second: DataFrame, key: str, fallback: str, value: str) -> DataFrame:
+    """``rows`` plus ``value``: of ``first`` by ``key``, else of ``second`` by ``fallback``; both tables have one row for each key."""
+    a = first.select(key, F.col(value).alias("__first"))
+    b = second.select(fallback, F.col(value).alias("__second"))
+    return rows.join(a, key, "left").join(b, fallback, "left").withColumn(value, F.coalesce("__first", "__second")).drop("__first", "__second")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairloom import functions as P
 from pairloom.plans.catalog import C, query, r
 from pairloom.plans.contests import contests, table
+from pairloom.operators import match
 from pairloom.sources import bouts, pages
 
 DAYS = ["MMMM d, yyyy", "MMM d, yyyy", "MMM/d/yyyy", "MMM d yyyy", "yyyy-MM-dd", "yyyyMMdd"]
@@ -204,3 +205,22 @@ def piped_profiles(spark, d):
     k = F.col("s_suppkey")
     raw = table(spark, d, "supplier").select(k.alias("k"), F.concat(F.lit("Name "), k, F.lit(" | "), k % 50 + 1, F.lit("th |  ")).alias("t"))
     return raw.select("k", pages.piped("t", ["name", "rank", "note"]).alias("p")).select("k", "p.*")
+
+
+@query("either_links", """WITH a AS (SELECT c_custkey AS k, 'u' || c_custkey AS link FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT c_nationkey AS n, min('n' || c_custkey) AS link FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1)
+SELECT c_custkey, c_nationkey, coalesce(a.link, b.link) AS link FROM customer LEFT JOIN a ON a.k = c_custkey LEFT JOIN b ON b.n = c_nationkey""")
+def either_links(spark, d):
+    """A link by the first source's key, else by the second's."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    first = c.filter("c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit("u"), "c_custkey").alias("link"))
+    second = c.filter("c_custkey % 2 = 0").groupBy("c_nationkey").agg(F.min(F.concat(F.lit("n"), "c_custkey")).alias("link"))
+    return match.either_link(c, first, second, "c_custkey", "c_nationkey", "link")
+
+
+@query("voted_links", C + """SELECT a_id AS entity, 'e' || a_id AS candidate FROM contests GROUP BY a_id""")
+def voted_links(spark, d):
+    """Each side's page by the sum of its contests' link scores; every seventh contest names the wrong page."""
+    c = contests(spark, d)
+    wrong = F.concat(F.lit("e"), (F.col("a_id") + 1).cast("string"))
+    links = c.select(F.col("a_id").alias("entity"), F.concat(F.lit("e"), F.col("a_id").cast("string")).alias("candidate"), F.lit(90.0).alias("score")).union(c.filter("contest_id % 7 = 0").select("a_id", wrong, F.lit(80.0)))
+    return match.vote(links, "entity", "candidate").select("entity", "candidate")

@@ -92,3 +92,19 @@ def test_links_find_swapped_tokens_and_misspelt_initials(spark):
     best = lambda p, q: max(match.token_sort_ratio(p[2], q[2]) + match.token_sort_ratio(p[3], q[3]), match.token_sort_ratio(p[2], q[3]) + match.token_sort_ratio(p[3], q[2])) / 2 - 2 * abs((p[1] - q[1]).days)
     assert {i: p for i, (p, _) in got.items()} == {1: 10, 2: 20, 3: 30, 5: 50}
     assert all(got[i][1] == pytest.approx(best(left[i - 1], next(q for q in right if q[0] == p))) for i, (p, _) in got.items())
+
+
+def test_partial_ratio():
+    assert match.partial_ratio("smith", "jon smith jr") == 100 and match.partial_ratio("", "") == 100 and match.partial_ratio("", "x") == 0
+    assert match.partial_ratio("abcd", "xxabyd") == max(match.ratio("abcd", w) for w in ("a", "xxab", "xaby", "abyd", "byd"))
+
+
+def test_weak_links_need_one_strong_name(spark):
+    kinds = "id long, date date, n1 string, n2 string"
+    day = date(2001, 1, 1)
+    left = spark.createDataFrame([(1, day, "Anderson Silva", "Chris Weidman"), (2, date(2001, 5, 1), "John Smith", "Bob Stone")], kinds)
+    right = [(10, day, "Anderson Silva", "Weidmann C."), (20, date(2001, 5, 1), "John Smith", "Bb Stn Jr. III"), (21, date(2001, 5, 1), "John Smith", "Rob Sten")]
+    pages = spark.createDataFrame(right, kinds).withColumnRenamed("id", "page")
+    got = {r.id: r.page for r in match.link(left, pages, "id", "page", threshold=95.0, weak=60.0).collect()}
+    assert got == {1: 10}
+    assert match.link(left, pages, "id", "page", threshold=95.0).count() == 0
