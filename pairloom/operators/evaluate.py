@@ -68,12 +68,16 @@ def clustered_bootstrap(df: DataFrame, cluster: str, num: Column, den: Column, r
     return draws.groupBy("replicate").agg((F.sum(F.col("w") * F.col("num")) / F.sum(F.col("w") * F.col("den"))).alias("value"))
 
 
-def class_rates(df: DataFrame, group: str, label: str, labels: list[str], k: float = 20.0) -> DataFrame:
-    """group, label, p for all of ``labels``: their shares in a group, shrunk with weight ``k`` to their shares over all rows."""
+def class_rates(df: DataFrame, group: str, label: str, labels: list[str] | None = None, k: float = 20.0) -> DataFrame:
+    """group, label, p for all of ``labels`` (default: all that occur): their shares in a group, shrunk with weight ``k`` to their shares over all rows."""
     cells = df.groupBy(group, label).agg(F.count("*").alias("__n"))
     sizes = cells.groupBy(group).agg(F.sum("__n").alias("__size"))
     total = cells.agg(F.sum("__n").alias("__all"))
     share = cells.groupBy(label).agg(F.sum("__n").alias("__of")).join(F.broadcast(total)).select(label, (F.col("__of") / F.col("__all")).alias("__share"))
+    if labels is None:
+        labels = sorted(x[0] for x in df.select(label).distinct().limit(1001).collect() if x[0] is not None)
+        if len(labels) > 1000:
+            raise ValueError("more than 1000 labels")
     grid = sizes.select(group, "__size", F.explode(F.array(*map(F.lit, labels))).alias(label)).join(share, label, "left").join(cells, [group, label], "left")
     none = F.lit(0.0)
     return grid.select(group, label, ((F.coalesce("__n", F.lit(0)) + k * F.coalesce("__share", none)) / (F.col("__size") + k)).alias("p"))

@@ -28,7 +28,9 @@ def expectation(own: Column, other: Column) -> Column:
 
 @dataclass(frozen=True)
 class Elo:
-    """``score`` is side a's share of a point; null scores are skipped. ``finish`` multiplies steps of contests where ``finished`` holds; ``decay`` makes first contests count more."""
+    """``score`` is side a's share of a point; null scores are skipped. ``finish`` multiplies steps of contests where ``finished`` holds,
+    ``weight`` names a column that multiplies all; ``decay`` makes first contests count more; after ``layoff`` days without one, ``keep``
+    of the distance from ``initial`` is left."""
 
     score: str = "y"
     k: float = 40.0
@@ -36,6 +38,9 @@ class Elo:
     finish: float = 1.0
     decay: float = 0.0
     finished: str | None = None
+    weight: str | None = None
+    layoff: int | None = None
+    keep: float = 1.0
 
     def start(self) -> dict[str, float]:
         return {"rating": self.initial, "seen": 0.0}
@@ -43,10 +48,12 @@ class Elo:
     def observe(self, a: bool) -> Values:
         s = F.col(self.score).cast("double")
         step = F.when(F.col(self.finished), self.k * self.finish).otherwise(self.k) if self.finished else F.lit(self.k)
-        return {"score": s if a else 1 - s, "step": step}
+        return {"score": s if a else 1 - s, "step": step * F.col(self.weight) if self.weight else step}
 
     def drift(self, state: Values, idle: Column) -> Values:
-        return state
+        if self.layoff is None:
+            return state
+        return state | {"rating": F.when(idle > self.layoff, self.initial + (state["rating"] - self.initial) * self.keep).otherwise(state["rating"])}
 
     def sums(self, own: Values, opp: Values, seen: Values) -> Values:
         gain = seen["step"] * (1 + self.decay / (1 + own["seen"])) * (seen["score"] - expectation(own["rating"], opp["rating"]))
@@ -189,21 +196,30 @@ class PoissonSkills:
     def value(self, state: Values) -> Column:
         return state["attack"] + state["defence"]
 
+    def more(self, state: Values) -> Values:
+        return {f"_{c}": state[c] for c in ("attack", "attack_var", "defence", "defence_var")}
+
+    @staticmethod
+    def expected(level: Column, exposure: Column, name: str = "skill") -> Values:
+        """Columns of ``rated`` as the expected counts of both sides (with half the doubt, as rates are log-normal) and side a's share of them."""
+        rate = lambda x, y: exposure * F.exp(level + F.col(f"{x}_{name}_attack") - F.col(f"{y}_{name}_defence") + (F.col(f"{x}_{name}_attack_var") + F.col(f"{y}_{name}_defence_var")) / 2)
+        return {"a_expected": rate("a", "b"), "b_expected": rate("b", "a"), "share": rate("a", "b") / (rate("a", "b") + rate("b", "a"))}
+
 
 def league_level(contests: DataFrame, period: str, counts: Sequence[str], exposure: str, out: str = "level", rate: float = 1.0, weight: float = 500.0, fade: float = 0.5) -> DataFrame:
     """``contests`` plus ``out``: the log of the counts' rate over all earlier periods, each worth ``fade`` of the one after it, and ``weight`` of exposure at ``rate``."""
     made = sum((F.col(c) for c in counts[1:]), F.col(counts[0]))
     sums = contests.filter(made.isNotNull() & (F.col(exposure) > 0)).groupBy(period).agg(F.sum(made).cast("double").alias("__c"), F.sum(F.col(exposure) * len(counts)).cast("double").alias("__t"))
-    # one row for each period, so that the window without a key is small
-    up, w = F.pow(F.lit(fade), -F.col(period).cast("double")), Window.orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each period, so that the window without a key is small; what lies 60 periods back has faded away
+    w = Window.orderBy(period).rowsBetween(-60, -1)
     spine = contests.select(period).distinct().join(sums, period, "left")
-    earlier = lambda c: F.coalesce(F.sum(F.col(c) * up).over(w), F.lit(0.0)) / up
+    earlier = lambda c: F.aggregate(F.collect_list(F.coalesce(F.col(c), F.lit(0.0))).over(w), F.lit(0.0), lambda a, x: (a + x) * fade)
     level = spine.select(period, F.ln((earlier("__c") + rate * weight) / (earlier("__t") + weight)).alias(out))
     return contests.join(F.broadcast(level), period)
 
 
 def rated(contests: DataFrame, ratings: dict[str, object], period: str, contest: str = "contest_id", day: str = "day", sides: tuple[str, str] = ("a_id", "b_id")) -> DataFrame:
-    """``contest`` and, for each rating, both sides' values ``a_<name>`` and ``b_<name>`` from before its period, drifted to its day."""
+    """``contest`` and, for each rating, both sides' values ``a_<name>`` and ``b_<name>`` from before its period, drifted to its day (and what its ``more`` adds, with its endings)."""
     fields = {n: list(r.start()) for n, r in ratings.items()}
 
     def side(k: int) -> Column:
@@ -248,5 +264,6 @@ def rated(contests: DataFrame, ratings: dict[str, object], period: str, contest:
     for b in before[1:]:
         history = history.unionByName(b)
     known = states(rows.select("contest", "side", "period", "day", "id"), history, "id", "own_", ["period"])
-    value = lambda s, n, r: F.max(F.when(F.col("side") == s, r.value(of("own_", n)))).alias(f"{s}_{n}")
-    return known.groupBy("contest").agg(*(value(s, n, r) for n, r in ratings.items() for s in "ab")).withColumnRenamed("contest", contest)
+    values = lambda n, r: {"": r.value(of("own_", n))} | (r.more(of("own_", n)) if hasattr(r, "more") else {})
+    each = [F.max(F.when(F.col("side") == s, v)).alias(f"{s}_{n}{end}") for n, r in ratings.items() for s in "ab" for end, v in values(n, r).items()]
+    return known.groupBy("contest").agg(*each).withColumnRenamed("contest", contest)

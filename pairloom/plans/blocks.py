@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom import functions as P
-from pairloom.operators import evaluate, features, inference, prior, staking
-from pairloom.plans.catalog import C, bets, query, r, rounded
+from pairloom.operators import evaluate, features, inference, prior, ratings, staking
+from pairloom.plans.catalog import C, bets, half_years, query, r, rounded
 from pairloom.plans.contests import contests, participants, table
 
 KIND = "CASE method WHEN 'R' THEN CASE WHEN contest_id % 2 = 0 THEN 'KO' ELSE 'DOC' END WHEN 'A' THEN CASE WHEN contest_id % 13 = 0 THEN 'DQ' ELSE 'SUB' END ELSE CASE contest_id % 3 WHEN 0 THEN 'U-DEC' WHEN 1 THEN 'S-DEC' ELSE 'M-DEC' END END"
@@ -308,3 +308,30 @@ def fresh_quotes(spark, d):
     e = table(spark, d, "events")
     now = e.agg(F.max("ts").cast("string")).first()[0]
     return quotes.latest(e, "event_type", "ts", "value", now).select("event_type", r("value").alias("value"), F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+@query("skill_snapshot")
+def skill_snapshot(spark, d):
+    """Expected counts of both sides and side a's share of them, before each contest."""
+    c = half_years(contests(spark, d)).select("contest_id", "period", "day", "a_id", "b_id", F.col("a_score").alias("a_count"), F.col("b_score").alias("b_count"), F.lit(25.0).alias("exposure"))
+    c = ratings.league_level(c, "period", ["a_count", "b_count"], "exposure")
+    s = ratings.rated(c, {"skill": ratings.PoissonSkills()}, "period").join(c.select("contest_id", "level", "exposure"), "contest_id")
+    return s.select("contest_id", *(v.alias(n) for n, v in ratings.PoissonSkills.expected(F.col("level"), F.col("exposure")).items()))
+
+
+@query("record_ratings")
+def record_ratings(spark, d):
+    """Ratings over all records: one result for each day and pair (the mean, if records differ), as of each period's beginning."""
+    p = half_years(contests(spark, d)).withColumns({"lo": F.least("a_id", "b_id"), "hi": F.greatest("a_id", "b_id"), "own": F.when(F.col("a_id") <= F.col("b_id"), F.col("y")).otherwise(1 - F.col("y"))})
+    pairs = p.groupBy("period", "day", F.col("lo").alias("a_id"), F.col("hi").alias("b_id")).agg(F.avg("own").alias("y"), F.min("contest_id").alias("contest_id"))
+    return ratings.rated(pairs, {"elo": ratings.Elo(k=80.0, decay=2.0)}, "period")
+
+
+@query("rating_grid")
+def rating_grid(spark, d):
+    """Log loss of Elo in several settings (steps, weight of margins, rust after a rest), all folded in one pass."""
+    c = half_years(contests(spark, d)).withColumns({"margin": 1 + F.abs(F.col("a_score") - F.col("b_score")) / 50, "title": F.when(F.col("contest_id") % 10 == 0, 1.5).otherwise(1.0)})
+    cells = {f"k{k}_{n}": ratings.Elo(k=float(k), **more) for k in (20, 60) for n, more in {"plain": {}, "margin": {"weight": "margin"}, "title": {"weight": "title"}, "rust": {"layoff": 180, "keep": 0.8}}.items()}
+    s = ratings.rated(c, cells, "period").join(c.select("contest_id", "y"), "contest_id").filter(F.col("y").isin(0.0, 1.0))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("setting"), ratings.expectation(F.col(f"a_{n}"), F.col(f"b_{n}")).alias("p")) for n in cells))).alias("g")
+    return s.select("y", each).select("y", "g.*").groupBy("setting").agg(F.count("*").alias("n"), F.avg(evaluate.log_loss(F.col("y"), F.col("p"))).alias("log_loss"))

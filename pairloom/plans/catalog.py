@@ -48,11 +48,12 @@ SELECT c.contest_id, a.n - b.n AS d_n, round(a.rate - b.rate, 6) AS d_rate, (a.i
 FROM contests c JOIN f a ON a.contest_id = c.contest_id AND a.side = 'a' JOIN f b ON b.contest_id = c.contest_id AND b.side = 'b'""")
 def prior_form(spark, d):
     """Strictly-prior counts, smoothed win rates and rest, as a difference design for each contest."""
-    c = contests(spark, d)
+    # sides are put back together by the contest's own key, so that the contests are planned once
     rate = (F.coalesce(F.sum(win()).over(w1()), F.lit(0.0)) + 1) / (F.coalesce(F.sum(F.when(F.col("res").isin(0.0, 1.0), 1).otherwise(0)).over(w1()), F.lit(0)) + 2)
-    p = participants(c).select("contest_id", "side", F.count("*").over(w1()).alias("n"), rate.alias("rate"), (F.col("day") - F.max("day").over(w1())).cast("double").alias("idle"), "day")
-    both = p.groupBy("contest_id").pivot("side", ["a", "b"]).agg(F.first("n").alias("n"), F.first("rate").alias("rate"), F.first("idle").alias("idle"))
-    return rounded(sides.design(c.join(both, "contest_id"), ["n", "rate", "idle"], ["rate"], ["contest_id", "class", "y"]))
+    p = participants(contests(spark, d)).select("contest_id", "class", "side", "res", F.count("*").over(w1()).alias("n"), rate.alias("rate"), (F.col("day") - F.max("day").over(w1())).cast("double").alias("idle"))
+    of = lambda s, k: F.max(F.when(F.col("side") == s, F.col(k)))
+    both = p.groupBy("contest_id", "class").agg(of("a", "res").alias("y"), *(of(s, k).alias(f"{s}_{k}") for s in "ab" for k in ("n", "rate", "idle")))
+    return rounded(sides.design(both, ["n", "rate", "idle"], ["rate"], ["contest_id", "class", "y"]))
 
 
 @query("career_form", C + f""", j AS (SELECT t.contest_id, t.side, count(p.id) AS n, count(p.id) FILTER (WHERE p.day >= t.day - 365) AS n_365, max(p.score) AS best, avg(p.score) AS mean_score,
@@ -105,8 +106,10 @@ def league_priors(spark, d):
 def residuals(spark, d):
     """What a side scored beyond what its opponent had allowed before."""
     p = participants(contests(spark, d)).select("contest_id", "side", "score", F.avg("opp_score").over(w1()).alias("allows"))
-    other = p.select("contest_id", F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), "allows")
-    return p.drop("allows").join(other, ["contest_id", "side"]).select("contest_id", "side", r(F.col("score") - F.col("allows")).alias("residual"))
+    of = lambda s: F.max(F.when(F.col("side") == s, F.struct("score", "allows")))
+    both = p.groupBy("contest_id").agg(of("a").alias("a"), of("b").alias("b"))
+    one = lambda s, o: F.struct(F.lit(s).alias("side"), r(F.col(s)["score"] - F.col(o)["allows"]).alias("residual"))
+    return both.select("contest_id", F.explode(F.array(one("a", "b"), one("b", "a"))).alias("s")).select("contest_id", "s.*")
 
 
 @query("common_opponents", C + """, f AS (SELECT c.contest_id, p.opp, avg(p.res) AS m, p.side2 FROM contests c JOIN (SELECT *, 'a' AS side2 FROM sides) p ON p.id = c.a_id AND p.day < c.day WHERE p.res IS NOT NULL AND p.opp NOT IN (c.a_id, c.b_id) GROUP BY ALL),
@@ -466,7 +469,7 @@ SELECT year(date)::INT AS year, count(*) AS n, round(avg(-ln(p)), 6) AS log_loss
 def method_rates(spark, d):
     """Shrunk rates of methods by class, learned before 1997; multiclass log loss in the years after."""
     c = contests(spark, d).select(F.year("date").alias("year"), "class", "method")
-    p = evaluate.class_rates(c.filter("year <= 1996"), "class", "method", ["A", "N", "R"])
+    p = evaluate.class_rates(c.filter("year <= 1996"), "class", "method")
     return rounded(c.filter("year > 1996").join(p, ["class", "method"]).groupBy("year").agg(F.count("*").alias("n"), F.avg(-F.ln("p")).alias("log_loss"), F.avg((F.col("p") > 0.34).cast("double")).alias("likely")))
 
 

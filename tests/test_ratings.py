@@ -138,3 +138,24 @@ def test_q_values_over_blocks(spark):
     for i in range(len(order), 0, -1):
         least = min(least, order[i - 1][1] * len(order) / i)
         assert got[order[i - 1][0]] == pytest.approx(min(least, 1.0))
+
+
+def test_rust_takes_ratings_toward_the_start(spark):
+    rows = [(1, 10, "a", "b", 1.0)]
+    assert after(spark, ratings.Elo(k=32.0, layoff=100, keep=0.5), rows, 400, "a", "b") == [pytest.approx(1508.0), pytest.approx(1492.0)]
+    assert after(spark, ratings.Elo(k=32.0, layoff=100, keep=0.5), rows, 100, "a") == [pytest.approx(1516.0)]
+
+
+def test_bootstrap_lies_around_the_ratio(spark):
+    df = spark.createDataFrame([(i, float(i % 7), 1.0) for i in range(700)], "c int, v double, one double")
+    draws = [r.value for r in evaluate.clustered_bootstrap(df, "c", F.col("v"), F.col("one"), 200).collect()]
+    assert len(draws) == 200 and abs(sum(draws) / 200 - 3.0) < 0.03 and 0.05 < (sum((x - 3) ** 2 for x in draws) / 200) ** 0.5 < 0.1
+    again = [r.value for r in evaluate.clustered_bootstrap(df.repartition(7), "c", F.col("v"), F.col("one"), 200).collect()]
+    assert sorted(map(lambda x: round(x, 9), draws)) == sorted(map(lambda x: round(x, 9), again))
+
+
+def test_levels_fade_by_period(spark):
+    rows = [(0, 3996, 10, 20, 5.0), (1, 3997, 30, 30, 5.0), (2, 3999, 1, 1, 5.0)]
+    df = spark.createDataFrame(rows, "contest_id int, period int, a_count int, b_count int, exposure double")
+    got = {r.contest_id: r.level for r in ratings.league_level(df, "period", ["a_count", "b_count"], "exposure", rate=2.0, weight=10.0).collect()}
+    assert got == pytest.approx({0: math.log(2.0), 1: math.log((15 + 20) / (5 + 10)), 2: math.log((7.5 + 30 + 20) / (2.5 + 5 + 10))})
