@@ -127,33 +127,51 @@ class Items:
             words = word_hashes(text.encode().lower())
             if len(words):
                 by_size.setdefault(len(words), []).append((ids, shingles(words, min(SHINGLE, len(words)))))
-        self.sizes = {}
+        self.sizes, owned = {}, {}
         for n, found in by_size.items():
             prints = np.concatenate([packed(votes(h).sum(axis=0, keepdims=True)) for _, h in found])
             counts = [np.unique(h, return_counts=True) for _, h in found]
-            self.sizes[n] = [ids for ids, _ in found], counts, np.unique(np.concatenate([c[0] for c in counts])), MultiIndex(prints)
+            self.sizes[n] = [ids for ids, _ in found], counts, MultiIndex(prints)
+            owned.setdefault(min(SHINGLE, n), []).append((np.unique(np.concatenate([c[0] for c in counts])), n))
+        # for each length of shingles: all of them, and the sizes of items that have each one
+        self.known = {}
+        for size, parts in owned.items():
+            keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([np.full(len(k), n) for k, n in parts])
+            order = np.argsort(keys, kind="stable")
+            different, first = np.unique(keys[order], return_index=True)
+            self.known[size] = different, np.append(first, len(keys)), n[order]
 
     def find(self, text: bytes) -> list[tuple]:
         """(ids, first word, words, similarity, differing bits) of the best window for each item that the text holds."""
-        words, grams, out = word_hashes(text.lower()), {}, []
-        for n, (ids, counts, known, index) in self.sizes.items():
-            size = min(SHINGLE, n)
-            if size not in grams:
-                grams[size] = shingles(words, size)
-            for item, found in self._best(grams[size], n - size + 1, counts, known, index).items():
-                out.append((ids[item], found[1], min(n, len(words)), found[0], found[2]))
+        words, out = word_hashes(text.lower()), []
+        for size, (keys, first, sizes) in self.known.items():
+            h = shingles(words, size)
+            if not len(h):
+                continue
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hits = np.flatnonzero(keys[at] == h)
+            if not len(hits):
+                continue
+            begin, many = first[at[hits]], first[at[hits] + 1] - first[at[hits]]
+            place = np.repeat(hits, many)
+            owner = sizes[np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            for n in np.unique(owner).tolist():
+                ids, counts, index = self.sizes[n]
+                for item, found in self._best(h, place[owner == n], n - size + 1, counts, index).items():
+                    out.append((ids[item], found[1], min(n, len(words)), found[0], found[2]))
         return out
 
-    def _best(self, h: np.ndarray, m: int, counts: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray, index: MultiIndex) -> dict[int, tuple[float, int, int]]:
-        """Item -> similarity, first word and differing bits, over windows of ``m`` shingles."""
+    def _best(self, h: np.ndarray, hits: np.ndarray, m: int, counts: list[tuple[np.ndarray, np.ndarray]], index: MultiIndex) -> dict[int, tuple[float, int, int]]:
+        """Item -> similarity, first word and differing bits, over windows of ``m`` shingles; ``hits`` are the shingles that some item of the size has."""
         best: dict[int, tuple[float, int, int]] = {}
         width = min(m, len(h))
         # of two multisets of m and width shingles that are alike, so many are shared
         need = SIMILAR * (m + width) / (1 + SIMILAR) - 1e-9
-        if width < need:
+        if width < need or len(hits) < need:
             return best
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        within = np.concatenate([[0], np.cumsum(known[at] == h)])
+        within = np.zeros(len(h) + 1, np.int64)
+        within[hits + 1] = 1
+        within = np.cumsum(within)
         starts = np.flatnonzero(within[width:] - within[:-width] >= need)
         # windows that lie close together share their running votes
         for run in np.split(starts, np.flatnonzero((np.diff(starts) > width) | (np.diff(starts // AT_ONCE) > 0)) + 1) if len(starts) else []:
