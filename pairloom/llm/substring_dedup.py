@@ -48,9 +48,7 @@ def word_hashes(text: bytes) -> np.ndarray:
 def _cut_words(text: bytes):
     """Words from ``a`` to ``b``, joined by spaces: a stretch of the text with single spaces."""
     words = text.split()
-    joined, at = b" ".join(words), [0]
-    for w in words:
-        at.append(at[-1] + len(w) + 1)
+    joined, at = b" ".join(words), [0, *np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()]
     return lambda a, b: joined[at[a] : at[b] - 1]
 
 
