@@ -51,7 +51,7 @@ def raw_bouts(spark, d):
     details = c.select("card", F.concat(F.lit(" Side "), "a_id", F.lit("  vs.  Side "), "b_id").alias("bout"), url.alias("url"), k.cast("string").alias("position")).withColumnRenamed("card", "event")
     size = F.when(k % 5 == 0, 5).otherwise(3)
     form = F.when(k % 11 == 0, "No Time Limit").when(k % 5 == 0, "5 Rnd (5-5-5-5-5)").otherwise("3 Rnd (5-5-5)")
-    kind = F.element_at(F.array(*map(F.lit, ["Lightweight Bout", "UFC Light Heavyweight Title Bout", "Women's Flyweight Bout", "Open Weight Bout"])), (k % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ["Lightweight Bout", "Top Light Heavyweight Title Bout", "Women's Flyweight Bout", "Open Weight Bout"])), (k % 4 + 1).cast("int"))
     results = c.select("card", url.alias("url"), F.concat(F.lit(" "), "outcome").alias("outcome"), kind.alias("weightclass"), "method", (k % size + 1).cast("string").alias("round"), F.concat(k % 5, F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0")).alias("time"), form.alias("time_format")).withColumnRenamed("card", "event")
     return events, details.unionByName(details.filter(F.col("position").cast("long") % 50 == 0)), results
 
@@ -141,12 +141,12 @@ def geocoded_places(spark, d):
     return bouts.geocoded(places, c.drop("k"), manual)
 
 
-@query("pro_records", C + """, x AS (SELECT DISTINCT id, opp, date, CASE class WHEN 0 THEN 'amateur' ELSE 'pro' END AS kind, res, method = 'R' AS is_ko, method = 'A' AS is_sub, CASE class WHEN 1 THEN 'UFC' WHEN 2 THEN 'Cage Night' ELSE 'Arena' END AS promo, class = 1 AS ufc FROM sides)
-SELECT id AS entity, kind, count(*) AS n, sum(res) AS points, count(*) FILTER (WHERE is_ko) AS kos, count(*) FILTER (WHERE is_sub) AS subs, count(*) FILTER (WHERE ufc) AS ufc, count(DISTINCT promo) AS promos, min(date) AS first_day FROM x GROUP BY 1, 2""")
+@query("pro_records", C + """, x AS (SELECT DISTINCT id, opp, date, CASE class WHEN 0 THEN 'amateur' ELSE 'pro' END AS kind, res, method = 'R' AS is_ko, method = 'A' AS is_sub, CASE class WHEN 1 THEN 'Top League' WHEN 2 THEN 'Cage Night' ELSE 'Arena' END AS promo, class = 1 AS flagged FROM sides)
+SELECT id AS entity, kind, count(*) AS n, sum(res) AS points, count(*) FILTER (WHERE is_ko) AS kos, count(*) FILTER (WHERE is_sub) AS subs, count(*) FILTER (WHERE flagged) AS flagged, count(DISTINCT promo) AS promos, min(date) AS first_day FROM x GROUP BY 1, 2""")
 def pro_records(spark, d):
     """Results, methods, promotions and flags from record strings, repeats dropped."""
     return record_table(spark, d).groupBy("entity", "kind").agg(
-        F.count("*").alias("n"), F.sum("res").alias("points"), F.count_if("is_ko").alias("kos"), F.count_if("is_sub").alias("subs"), F.count_if("ufc").alias("ufc"), F.count_distinct("promo").alias("promos"), F.min("date").alias("first_day"))
+        F.count("*").alias("n"), F.sum("res").alias("points"), F.count_if("is_ko").alias("kos"), F.count_if("is_sub").alias("subs"), F.count_if("flagged").alias("flagged"), F.count_distinct("promo").alias("promos"), F.min("date").alias("first_day"))
 
 
 def record_table(spark, d):
@@ -156,10 +156,10 @@ def record_table(spark, d):
     k = F.col("day")
     result = F.when(F.col("res") == 1, " win").when(F.col("res") == 0, "Loss ").when(F.col("res") == 0.5, "DRAW").otherwise("NC")
     method = F.when(F.col("method") == "R", F.when(k % 2 == 0, "TKO (Punches)").otherwise("KO (Kick)")).when(F.col("method") == "A", "Submission (Choke)").otherwise("Decision")
-    event = F.when(F.col("class") == 1, F.concat(F.lit("UFC "), k % 300, F.lit(" - A vs B"))).when(F.col("class") == 2, "Cage Night IX - C vs D").otherwise("Arena #12")
+    event = F.when(F.col("class") == 1, F.concat(F.lit("Top League "), k % 300, F.lit(" - A vs B"))).when(F.col("class") == 2, "Cage Night IX - C vs D").otherwise("Arena #12")
     kind = F.when(F.col("class") == 0, "Amateur").otherwise("Pro")
     raw = p.select(F.col("id").alias("entity"), F.col("opp").alias("opponent"), spelled_day("date", k).alias("date"), result.alias("result"), method.alias("method"), event.alias("event"), kind.alias("kind"))
-    return bouts.records(raw.unionByName(raw.filter("entity % 2 = 0")))
+    return bouts.records(raw.unionByName(raw.filter("entity % 2 = 0")), r"(?i)\btop league\b")
 
 
 @query("page_tables", """WITH q AS (SELECT o_orderkey AS k, [o_orderkey % 301 - 150, NULL, o_orderkey % 211 + 100] AS o FROM orders) SELECT k, u.i::INT AS row, CASE WHEN u.i = 1 THEN 'Side & A' ELSE 'Side B' END AS label, ['one', 'two', 'three'][j.j] AS book, (CASE WHEN u.i = 2 THEN -o[j.j] ELSE o[j.j] END)::INT AS odds

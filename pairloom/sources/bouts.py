@@ -103,12 +103,12 @@ def line_stage(days: Column, now: Column, opened: Column, horizon: float = 28.0,
     return F.when(F.abs(now - opened) < still, 0.0).otherwise(by_days)
 
 
-def records(raw: DataFrame, flag: str = r"(?i)\bUFC\b|Ultimate Fighting") -> DataFrame:
-    """entity, opponent, date, kind, res (1, 0, 0.5; null: no contest), is_ko, is_sub, promo and ufc of each record, repeats dropped."""
+def records(raw: DataFrame, flag: str) -> DataFrame:
+    """entity, opponent, date, kind, res (1, 0, 0.5; null: no contest), is_ko, is_sub, promo and flagged (its event matches ``flag``) of each record, repeats dropped."""
     result, method = F.lower(F.trim("result")), F.upper(F.trim("method"))
     res = F.when(result == "win", 1.0).when(result == "loss", 0.0).when(result == "draw", 0.5)
     promo = promotion("event")
-    rows = raw.select("entity", "opponent", P.any_date("date").alias("date"), F.lower(F.trim("kind")).alias("kind"), res.alias("res"), (method.startswith("KO") | method.startswith("TKO")).alias("is_ko"), method.startswith("SUB").alias("is_sub"), promo.alias("promo"), F.col("event").rlike(flag).alias("ufc"))
+    rows = raw.select("entity", "opponent", P.any_date("date").alias("date"), F.lower(F.trim("kind")).alias("kind"), res.alias("res"), (method.startswith("KO") | method.startswith("TKO")).alias("is_ko"), method.startswith("SUB").alias("is_sub"), promo.alias("promo"), F.col("event").rlike(flag).alias("flagged"))
     return rows.distinct()
 
 

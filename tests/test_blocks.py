@@ -175,3 +175,28 @@ def test_learned_probabilities(spark, name):
     assert len(r) and all(r[c].between(0, 1).all() for c in ps)
     if name == "method_model":
         assert np.allclose(r[ps].sum(axis=1), 1)
+
+
+def test_upsert_stream_replaces_pages(spark, tmp_path):
+    from pairloom.streaming import quotes
+
+    kinds = "page int, k int, v int, at int"
+    put = lambda rows, n: spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: quotes.upsert_stream(spark.readStream.schema(kinds).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), "page", ["page", "k"], "at")
+    put([(1, 1, 10, 0), (1, 2, 20, 0), (2, 1, 30, 0), (2, 1, 31, 1)], 0)
+    run()
+    assert sorted((r.page, r.k, r.v) for r in quotes.newest(spark, str(tmp_path / "out")).collect()) == [(1, 1, 10), (1, 2, 20), (2, 1, 31)]
+    put([(1, 3, 40, 0)], 1)
+    run()
+    assert sorted((r.page, r.k, r.v) for r in quotes.newest(spark, str(tmp_path / "out")).collect()) == [(1, 3, 40), (2, 1, 31)]
+    assert quotes.newest(spark, str(tmp_path / "none")) is None
+
+
+def test_commands(spark, tmp_path, capsys):
+    from pairloom.__main__ import main
+
+    assert main(["list"]) == 0 and "prior_form: " in capsys.readouterr().out
+    assert main(["run", "travel", SF, str(tmp_path / "t")]) == 0 and spark.read.parquet(str(tmp_path / "t")).count() > 0
+    assert main(["run", "travel", str(tmp_path / "nowhere"), str(tmp_path / "u")]) == 1 and "travel" in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        main(["run", "no_such", SF, str(tmp_path / "v")])
