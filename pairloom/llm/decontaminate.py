@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from pairloom.llm.common import column, table, texts
+from pairloom.llm.common import column, pipeline_stage, table, texts
 from pairloom.llm.repeats import BASES, Rolling, mixed
 from pairloom.llm.substring_dedup import word_hashes
 
@@ -248,6 +248,7 @@ def op10(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without benchmark items, unchanged."""
     return clean(docs, table(spark, sf_dir, "benchmark"))

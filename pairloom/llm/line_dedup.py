@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import column, materialized, named, owner, table
+from pairloom.llm.common import column, materialized, named, owner, pipeline_stage, release, table
 
 #: First hex digit of the rolling hash in this set: a cut candidate (half of all lines).
 CUT_DIGITS = list("01234567")
@@ -46,9 +46,10 @@ def chunks_of(text: Column) -> Column:
 
 
 def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """__row (all columns), __own, __tx and __text of each row, so that no name of a column meets one of ours."""
+    """The columns by number (``c0``, ...), the text as __text, __own and __tx of each row, so that no name of a column meets one of ours."""
     t = F.coalesce(column(text), F.lit(""))
-    return df.select(F.struct(*map(column, df.columns)).alias("__row"), owner(column(doc_id)).alias("__own"), F.xxhash64(t).alias("__tx"), column(text).alias("__text"))
+    rest = (column(c).alias(f"c{i}") for i, c in enumerate(df.columns) if c != text)
+    return df.select(*rest, owner(column(doc_id)).alias("__own"), F.xxhash64(t).alias("__tx"), column(text).alias("__text"))
 
 
 def _new(df: DataFrame, *names: str) -> None:
@@ -57,8 +58,8 @@ def _new(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the table has a column {found[0]}")
 
 
-def _back(df: DataFrame) -> list[Column]:
-    return [F.col("__row").getField(c).alias(c) for c in df.columns]
+def _back(df: DataFrame, text: str) -> list[Column]:
+    return [F.col("__text" if c == text else f"c{i}").alias(c) for i, c in enumerate(df.columns)]
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out:
     lines = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["n_lines"])
     removed = F.size("__chunks") - F.size("__kept")
     return j.select(
-        *_back(df),
+        *_back(df, text),
         F.when(removed == 0, F.col("__text")).otherwise(F.array_join(F.col("__kept.txt"), "\n")).alias(out),
         F.struct(lines(F.col("__chunks")).cast("long").alias("n_lines"), F.size("__chunks").cast("long").alias("n_chunks"), removed.cast("long").alias("n_removed_chunks"),
                  (lines(F.col("__chunks")) - lines(F.col("__kept"))).cast("long").alias("n_removed_lines")).alias(counts),
@@ -146,14 +147,17 @@ def dedup_line_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = m.filter("__later IS NOT NULL").select(F.explode(_bind(lines, lambda ls: F.transform(F.array_union("__later", "__here"), lambda i: _pair(ls, i)))).alias("t"))
     mixed = materialized(copies.groupBy(F.unhex(F.md5("t")).alias("__key")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("__key"))
     if not mixed.isEmpty():
-        m = marked(pairs.join(mixed, "__key", "left_anti"))
+        first, m = m, marked(pairs.join(mixed, "__key", "left_anti"))
+        release(first)
+    release(pairs, mixed)
     gone = F.array_union("__later", F.transform("__later", lambda i: i + 1))
     keep = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i))
     changed = F.size("__later") > 0
     n = F.when(changed, F.size(gone)).otherwise(0).cast("long")
-    return m.select(*_back(df), F.when(changed, F.array_join(_bind(lines, keep), "\n")).otherwise(F.col("__text")).alias(out), n.alias(removed))
+    return m.select(*_back(df, text), F.when(changed, F.array_join(_bind(lines, keep), "\n")).otherwise(F.col("__text")).alias(out), n.alias(removed))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, with repeats of two or more lines cut out of ``text`` and ``n_chars`` counted anew where that happened."""
     kept, removed = named(docs, "kept", "removed")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import column, named, sql_list, words
+from pairloom.llm.common import column, named, pipeline_stage, sql_list, words
 
 MIN_WORDS = 50
 SYMBOLS = "[#*$%&|<>]"
@@ -119,6 +119,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules keep, with their columns unchanged."""
     (out,) = named(docs, "quality")

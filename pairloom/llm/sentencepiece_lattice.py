@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from pairloom.llm.common import column, table
+from pairloom.llm.common import column, pipeline_stage, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 8 << 20
@@ -471,6 +471,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded")
 
 
+@pipeline_stage
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last one: doc_id, the pieces and the text that they decode to."""
     e = encode(docs, and_decode=True)

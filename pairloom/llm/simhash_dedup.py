@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import column, materialized, owner, release, table, texts
+from pairloom.llm.common import column, materialized, owner, pipeline_stage, release, table, texts
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENT, SEGMENTS = 4, 16
@@ -182,6 +182,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group with five-word similarity 0.8 (op6's own parameters don't hold here), unchanged."""
     from pairloom.llm import near_sets
