@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The folder of each application's tables.
+#: The folder of each application's tables, and the tables that are still there.
 _FOLDER: dict[str, str] = {}
+_LIVE: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,11 +45,24 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._pairloom_path = path
+    _LIVE.setdefault(app, []).append(path)
     return back
 
 
+def live(spark: SparkSession) -> list[str]:
+    """The tables of this application that have not been deleted."""
+    return list(_LIVE.get(spark.sparkContext.applicationId, ()))
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    fs, folder = _path(spark, path)
+    fs.delete(folder, True)
+    tables = _LIVE.get(spark.sparkContext.applicationId, [])
+    if path in tables:
+        tables.remove(path)
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes tables that ``written`` wrote. Nothing that is still to be computed may read them."""
     for df in frames:
-        fs, path = _path(df.sparkSession, df._pairloom_path)
-        fs.delete(path, True)
+        drop(df.sparkSession, df._pairloom_path)
