@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.llm import decontaminate, fill_in_middle, line_dedup, preference_chat, quality_cnn, quality_rules, secret_scan, sentencepiece_lattice, simhash_dedup, substring_dedup, suffix_dedup
+from pairloom.llm import collocations, decontaminate, fill_in_middle, line_dedup, preference_chat, quality_cnn, quality_rules, secret_scan, sentencepiece_lattice, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9,
     "op10_decontaminate": decontaminate.op10,
     "op12_fill_in_middle": fill_in_middle.op12,
+    "op13_collocations": collocations.op13,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_preference_chat": preference_chat.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
