@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.llm import collocations, decontaminate, fill_in_middle, line_dedup, preference_chat, quality_cnn, quality_rules, secret_scan, sentencepiece_lattice, simhash_dedup, substring_dedup, suffix_dedup
+from pairloom.llm import collocations, decontaminate, fill_in_middle, line_dedup, preference_chat, quality_cnn, quality_rules, secret_scan, sentencepiece_lattice, simhash_dedup, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_lattice.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_decontaminate": decontaminate.op10,
+    "op11_token_files": token_files.op11,
     "op12_fill_in_middle": fill_in_middle.op12,
     "op13_collocations": collocations.op13,
 }
