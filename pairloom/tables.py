@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The folder of each application's tables, and the tables that are still there.
+#: The folder of each application's tables.
 _FOLDER: dict[str, str] = {}
-_LIVE: dict[str, list[str]] = {}
+#: Tables of the innermost ``scratch`` that this thread is in.
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("tables of the innermost scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,24 +49,38 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._pairloom_path = path
-    _LIVE.setdefault(app, []).append(path)
+    if (made := _MADE.get()) is not None:
+        made.append(back)
     return back
 
 
-def live(spark: SparkSession) -> list[str]:
-    """The tables of this application that have not been deleted."""
-    return list(_LIVE.get(spark.sparkContext.applicationId, ()))
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    fs, folder = _path(spark, path)
-    fs.delete(folder, True)
-    tables = _LIVE.get(spark.sparkContext.applicationId, [])
-    if path in tables:
-        tables.remove(path)
-
-
 def release(*frames: DataFrame) -> None:
     """Deletes tables that ``written`` wrote. Nothing that is still to be computed may read them."""
     for df in frames:
-        drop(df.sparkSession, df._pairloom_path)
+        fs, folder = _path(df.sparkSession, df._pairloom_path)
+        fs.delete(folder, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What ``written`` writes inside is deleted at the end, but for tables that go through the function that this yields.
+
+    Only tables of this block and this thread are meant: what others have written, and may still read, stays.
+    """
+    made, kept = [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._pairloom_path)
+        return df
+
+    outer = _MADE.get()
+    token = _MADE.set(made)
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        for df in made:
+            if df._pairloom_path not in kept:
+                release(df)
+            elif outer is not None:
+                outer.append(df)
