@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.tables import drop, live, release, written as materialized  # noqa: F401
+from pairloom.tables import release, scratch, written as materialized  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -25,33 +24,10 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-#: Folders of the tables that the last pipeline stage wrote.
-_STAGE: list[str] = []
-
-
-def pipeline_stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A stage of the pipeline: its result is written before the next one begins, which then drops the tables that it was made of."""
-
-    @wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _STAGE:
-            drop(spark, path)
-        before = set(live(spark))
-        out = f(spark, docs, sf_dir)
-        _STAGE[:] = [p for p in live(spark) if p not in before]
-        return out
-
-    return run
-
-
-def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``make`` gives; all others that it wrote on the way are deleted."""
-    before = set(live(spark))
-    out = make()
-    for path in live(spark):
-        if path not in before and path != out._pairloom_path:
-            drop(spark, path)
-    return out
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The written table that ``make`` gives; all others that it wrote on the way are deleted."""
+    with scratch() as keep:
+        return keep(make())
 
 
 def named(df: DataFrame, *wanted: str) -> list[str]:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import column, materialized, named, owner, pipeline_stage, release, table
+from pairloom.llm.common import alone, column, materialized, named, owner, table
 
 #: First hex digit of the rolling hash in this set: a cut candidate (half of all lines).
 CUT_DIGITS = list("01234567")
@@ -135,21 +135,22 @@ def dedup_line_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = F.split(F.coalesce(F.col("__text"), F.lit("")), "\n")
     rows = _keyed(df, doc_id, text)
     digests = _bind(lines, lambda ls: F.transform(F.slice(ls, 1, F.size(ls) - 1), lambda _, i: _bind(_pair(ls, i), lambda t: F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(t))))))
-    pairs = materialized(rows.select("__own", "__tx", F.posexplode(digests).alias("__i", "__key")).filter("__key IS NOT NULL"))
     place = F.struct("__own", "__tx", "__i")
 
-    def marked(pairs: DataFrame) -> DataFrame:
+    def drops(pairs: DataFrame) -> DataFrame:
+        """__own, __tx and the places whose pair has come before (__later) or comes again (__here)."""
         repeated = pairs.groupBy("__key").agg(F.count("*").alias("n"), F.min(place).alias("__first")).filter("n > 1").drop("n")
-        at = pairs.join(repeated.hint("merge"), "__key").groupBy("__own", "__tx").agg(F.collect_set(F.when(place > F.col("__first"), F.col("__i"))).alias("__later"), F.collect_set(F.when(place == F.col("__first"), F.col("__i"))).alias("__here"))
-        return materialized(rows.join(at.hint("merge"), ["__own", "__tx"], "left"))
-
-    m = marked(pairs)
-    copies = m.filter("__later IS NOT NULL").select(F.explode(_bind(lines, lambda ls: F.transform(F.array_union("__later", "__here"), lambda i: _pair(ls, i)))).alias("t"))
-    mixed = materialized(copies.groupBy(F.unhex(F.md5("t")).alias("__key")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("__key"))
-    if not mixed.isEmpty():
-        first, m = m, marked(pairs.join(mixed, "__key", "left_anti"))
-        release(first)
-    release(pairs, mixed)
+        at = pairs.join(repeated.hint("merge"), "__key").groupBy("__own", "__tx")
+        return materialized(at.agg(F.collect_set(F.when(place > F.col("__first"), F.col("__i"))).alias("__later"), F.collect_set(F.when(place == F.col("__first"), F.col("__i"))).alias("__here")))
+
+    def decided() -> DataFrame:
+        pairs = materialized(rows.select("__own", "__tx", F.posexplode(digests).alias("__i", "__key")).filter("__key IS NOT NULL"))
+        at = drops(pairs)
+        copies = rows.join(at.hint("merge"), ["__own", "__tx"]).select(F.explode(_bind(lines, lambda ls: F.transform(F.array_union("__later", "__here"), lambda i: _pair(ls, i)))).alias("t"))
+        mixed = materialized(copies.groupBy(F.unhex(F.md5("t")).alias("__key")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("__key"))
+        return at if mixed.isEmpty() else drops(pairs.join(mixed, "__key", "left_anti"))
+
+    m = rows.join(alone(decided).hint("merge"), ["__own", "__tx"], "left")
     gone = F.array_union("__later", F.transform("__later", lambda i: i + 1))
     keep = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i))
     changed = F.size("__later") > 0
@@ -157,7 +158,6 @@ def dedup_line_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return m.select(*_back(df, text), F.when(changed, F.array_join(_bind(lines, keep), "\n")).otherwise(F.col("__text")).alias(out), n.alias(removed))
 
 
-@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, with repeats of two or more lines cut out of ``text`` and ``n_chars`` counted anew where that happened."""
     kept, removed = named(docs, "kept", "removed")

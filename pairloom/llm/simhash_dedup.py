@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import column, materialized, owner, pipeline_stage, release, table, texts
+from pairloom.llm.common import alone, column, materialized, owner, release, table, texts
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENT, SEGMENTS = 4, 16
@@ -163,9 +163,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row with the least id stays (of several such, one of the texts)."""
-    fps = fingerprints(df, doc_id, text)
-    first = fps.join(near_groups(fps), "fp").filter("own = least").groupBy("root").agg(F.min(F.struct("own", "tx")).alias("k")).select("k.*")
-    return first_rows(df, first, doc_id, text)
+
+    def first() -> DataFrame:
+        fps = fingerprints(df, doc_id, text)
+        return materialized(fps.join(near_groups(fps), "fp").filter("own = least").groupBy("root").agg(F.min(F.struct("own", "tx")).alias("k")).select("k.*"))
+
+    return first_rows(df, alone(first), doc_id, text)
 
 
 def first_rows(df: DataFrame, first: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -182,7 +185,6 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@pipeline_stage
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group with five-word similarity 0.8 (op6's own parameters don't hold here), unchanged."""
     from pairloom.llm import near_sets

@@ -281,3 +281,16 @@ def test_stage_keeps_one_of_all_texts_alike_in_five_words(spark, monkeypatch, pa
                 comp = [x if c == y else c for c in comp]
     assert wide
     assert sorted(r.doc_id for r in simhash_dedup.stage(spark, df, SF).collect()) == sorted(set(comp))
+
+
+def test_stages_leave_the_tables_of_others(spark):
+    """A lazy result stays readable after later stages, and while another thread runs a stage."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    b = line_dedup.stage(spark, d, SF)
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.submit(lambda: simhash_dedup.stage(spark, d, SF).count()), pool.submit(lambda: simhash_dedup.near_duplicates(d).count())
+        assert two.result() == d.count() > one.result() > 0
+    decontaminate.stage(spark, b, SF).count()
+    assert b.count() == d.count() == line_dedup.stage(spark, d, SF).count()
