@@ -6,11 +6,16 @@ than the item is one window. Window and item are alike if the weighted Jaccard s
 it occurs, is 0.8 or more.
 
 Items of one size share a set of tables. A window of that size is only looked at where enough of its shingles occur in any item of the
-size, which running counts tell for all starts at once. It gets a SimHash fingerprint of 128 bits and is looked up in a multi-index over
-the items' fingerprints: ten blocks, a table for each, from a block's value to the items that have it. If two fingerprints differ in
-``RADIUS`` bits or fewer, some block differs in its share of them or fewer, so that asking each table for all values that near loses
-nothing within the radius. What the tables name goes through the full Hamming check and is compared exactly. Shingles are compared by 64-bit hashes. At similarity 0.8
-about 19 of 128 bits differ, with a deviation of 4; the radius of 44 bits lies six deviations off.
+size, which running counts tell for all starts at once. It gets a SimHash fingerprint of 128 bits, in which each occurrence of a shingle
+votes with a hash of its own, and is looked up in a multi-index over the items' fingerprints: ten blocks, a table for each, from a
+block's value to the items that have it. If two fingerprints differ in ``RADIUS`` bits or fewer, some block differs in its share of them
+or fewer, so that asking each table for all values that near loses nothing within the radius. What the tables name goes through the full
+Hamming check and is compared exactly. Shingles are compared by 64-bit hashes.
+
+At similarity 0.8 about 19 of 128 bits differ, with a deviation of 4, but that is no bound. A bound is each item's own: a bit can turn
+only if its votes are as close as the shingles that may be replaced (:func:`may_turn`). Items with more such bits than the radius, and
+all items of texts shorter than they are, are looked for a second time: by how many of a window's shingles each of them has, whatever
+the fingerprint. So no similar window is lost.
 
 The benchmark's different texts go to all tasks, ``ROUND_BYTES`` of them at a time; documents are read once for each such round, so
 once for a benchmark up to that size. Each row is judged by itself: hot groups,
@@ -62,6 +67,28 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def numbered(h: np.ndarray) -> np.ndarray:
+    """Hashes in which a shingle's second, third, ... occurrences differ from its first one."""
+    order = np.argsort(h, kind="stable")
+    at = np.arange(len(h))
+    again = at - np.maximum.accumulate(np.where(np.append(True, h[order][1:] != h[order][:-1]), at, 0)) if len(h) else at
+    out = h.copy()
+    later = order[again > 0]
+    out[later] = mixed(h[later] + again[again > 0].astype(np.uint64) * np.uint64(BASES[1]))
+    return out
+
+
+def needed(m: int, width: int) -> int:
+    """Shingles that multisets of m and width have in common at least, if they are alike."""
+    return int(np.ceil(SIMILAR * (m + width) / (1 + SIMILAR) - 1e-9))
+
+
+def may_turn(sums: np.ndarray, m: int) -> np.ndarray:
+    """Bits of each item of ``m`` shingles that may differ in a window alike: each shingle replaced takes a vote and adds one."""
+    change = 2 * (m - needed(m, m))
+    return ((np.where(sums > 0, sums, 1 - sums)) <= change).sum(axis=1)
+
+
 class MultiIndex:
     """A table for each block of a fingerprint, from the block's value to the items that have it, asked for all values near enough.
 
@@ -117,6 +144,35 @@ class MultiIndex:
         return np.repeat(np.arange(len(prints)), n), item[at], d[at]
 
 
+class Shared:
+    """From a shingle to the items that have it, for items whose fingerprints say too little (``far``)."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], far: np.ndarray):
+        keys = np.concatenate([k for k, _ in counts])
+        owner = np.repeat(np.arange(len(counts)), [len(k) for k, _ in counts])
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first, self.owner, self.far = np.append(first, len(keys)), owner[order], far
+
+    def enough(self, h: np.ndarray, run: np.ndarray, width: int, need: int, all_items: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Row of ``run`` and item, where ``need`` of the window's shingles occur in the item, of ``far`` ones or all."""
+        rows, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if not (all_items or self.far.any()):
+            return rows[0], items[0]
+        span = h[run[0] : run[-1] + width]
+        at = np.minimum(np.searchsorted(self.keys, span), len(self.keys) - 1)
+        begin, many = self.first[at], np.where(self.keys[at] == span, self.first[at + 1] - self.first[at], 0)
+        ends = np.cumsum(many)
+        owner = self.owner[np.repeat(begin - ends + many, many) + np.arange(many.sum())]
+        ends = np.append(0, ends)
+        for r, s in enumerate((run - run[0]).tolist()):
+            n = np.bincount(owner[ends[s] : ends[s + width]], minlength=len(self.far))
+            found = np.flatnonzero((n >= need) & (all_items | self.far))
+            rows.append(np.full(len(found), r))
+            items.append(found)
+        return np.concatenate(rows), np.concatenate(items)
+
+
 class Items:
     """Different texts of the benchmark, ready to be looked for: an index for each size in words."""
 
@@ -129,9 +185,10 @@ class Items:
                 by_size.setdefault(len(words), []).append((ids, shingles(words, min(SHINGLE, len(words)))))
         self.sizes, owned = {}, {}
         for n, found in by_size.items():
-            prints = np.concatenate([packed(votes(h).sum(axis=0, keepdims=True)) for _, h in found])
+            sums = np.concatenate([votes(numbered(h)).sum(axis=0, keepdims=True) for _, h in found])
             counts = [np.unique(h, return_counts=True) for _, h in found]
-            self.sizes[n] = [ids for ids, _ in found], counts, MultiIndex(prints)
+            far = may_turn(sums, n - min(SHINGLE, n) + 1) > RADIUS
+            self.sizes[n] = [ids for ids, _ in found], counts, MultiIndex(packed(sums)), Shared(counts, far)
             owned.setdefault(min(SHINGLE, n), []).append((np.unique(np.concatenate([c[0] for c in counts])), n))
         # for each length of shingles: all of them, and the sizes of items that have each one
         self.known = {}
@@ -156,17 +213,16 @@ class Items:
             place = np.repeat(hits, many)
             owner = sizes[np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())]
             for n in np.unique(owner).tolist():
-                ids, counts, index = self.sizes[n]
-                for item, found in self._best(h, place[owner == n], n - size + 1, counts, index).items():
+                ids, counts, index, shared = self.sizes[n]
+                for item, found in self._best(h, place[owner == n], n - size + 1, counts, index, shared).items():
                     out.append((ids[item], found[1], min(n, len(words)), found[0], found[2]))
         return out
 
-    def _best(self, h: np.ndarray, hits: np.ndarray, m: int, counts: list[tuple[np.ndarray, np.ndarray]], index: MultiIndex) -> dict[int, tuple[float, int, int]]:
+    def _best(self, h: np.ndarray, hits: np.ndarray, m: int, counts: list[tuple[np.ndarray, np.ndarray]], index: MultiIndex, shared: Shared) -> dict[int, tuple[float, int, int]]:
         """Item -> similarity, first word and differing bits, over windows of ``m`` shingles; ``hits`` are the shingles that some item of the size has."""
         best: dict[int, tuple[float, int, int]] = {}
         width = min(m, len(h))
-        # of two multisets of m and width shingles that are alike, so many are shared
-        need = SIMILAR * (m + width) / (1 + SIMILAR) - 1e-9
+        need = needed(m, width)
         if width < need or len(hits) < need:
             return best
         within = np.zeros(len(h) + 1, np.int64)
@@ -175,18 +231,28 @@ class Items:
         starts = np.flatnonzero(within[width:] - within[:-width] >= need)
         # windows that lie close together share their running votes
         for run in np.split(starts, np.flatnonzero((np.diff(starts) > width) | (np.diff(starts // AT_ONCE) > 0)) + 1) if len(starts) else []:
-            sums = np.concatenate([np.zeros((1, 64 * WORDS), np.int32), np.cumsum(votes(h[run[0] : run[-1] + width]), axis=0)])
-            rows, items, bits = index.near(packed(sums[run - run[0] + width] - sums[run - run[0]]))
-            for s, item, d in zip(run[rows].tolist(), items.tolist(), bits.tolist(), strict=True):
+            prints = self._prints(h, run, width)
+            rows, items, bits = index.near(prints)
+            more, which = shared.enough(h, run, width, need, width < m)
+            rows, items, bits = np.concatenate([rows, more]), np.concatenate([items, which]), np.concatenate([bits, apart(prints[more], index.prints[which])])
+            _, first = np.unique(rows * len(counts) + items, return_index=True)
+            for s, item, d in zip(run[rows[first]].tolist(), items[first].tolist(), bits[first].tolist(), strict=True):
                 own, times = counts[item]
                 there, again = np.unique(h[s : s + width], return_counts=True)
                 _, i, j = np.intersect1d(own, there, assume_unique=True, return_indices=True)
                 both = int(np.minimum(times[i], again[j]).sum())
                 alike = both / (m + width - both)
-                if alike >= SIMILAR and (item not in best or alike > best[item][0]):
+                if alike >= SIMILAR - 1e-12 and (item not in best or alike > best[item][0]):
                     best[item] = alike, s, d
         return best
 
+    def _prints(self, h: np.ndarray, run: np.ndarray, width: int) -> np.ndarray:
+        span = h[run[0] : run[-1] + width]
+        if len(np.unique(span)) < len(span):
+            return packed(np.concatenate([votes(numbered(h[s : s + width])).sum(axis=0, keepdims=True) for s in run.tolist()]))
+        sums = np.concatenate([np.zeros((1, 64 * WORDS), np.int32), np.cumsum(votes(span), axis=0)])
+        return packed(sums[run - run[0] + width] - sums[run - run[0]])
+
 
 def rounds(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", round_bytes: int = ROUND_BYTES) -> Iterator[Items]:
     """The benchmark's different texts, as many at a time as may be shipped to tasks."""
