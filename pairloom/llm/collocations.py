@@ -9,11 +9,12 @@ occurrences of up to ``max_n`` words in a row within pieces. Candidates are phra
 drop nothing else. Of each language the ``top`` best stay, by score, then a, both falling, then the phrase in order of its bytes.
 
 All n-grams are exploded into rows and summed by hash aggregation, with one prune that loses nothing: a phrase is as frequent as the
-rarest phrase in it at most. So words come first; pairs of words are exploded where both words are frequent; and longer phrases where
-all their pairs are. Sets that decide this are broadcast up to ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``, both counted first; beyond
-that, pairs are summed unpruned and longer phrases meet the pairs in shuffled joins, which split hot keys. Sums combine before the
-shuffle, so that a phrase that holds a third of all rows is one row of each task. Ranks are taken in two steps, by a hash of the phrase
-and then of what is left, so that no task ranks all candidates of a language.
+rarest pair of words in it at most. So pairs are counted first, by a hash of two bytes more than it takes to number all words, and
+phrases are exploded from each word on as far as the hashes of all their pairs are frequent; then they are counted as they are, so that a
+hash that several pairs share lets some more rows through and changes nothing. The frequent hashes are broadcast if they are
+``BROADCAST_ROWS`` at most, which is counted first; beyond that, rows meet them in shuffled joins, which split hot keys. Sums combine
+before the shuffle, so that a phrase that holds a third of all rows is one row of each task. Ranks are taken in two steps, by a hash of
+the phrase and then of what is left, so that no task ranks all candidates of a language.
 
 Repeated rows and null ids count as rows of their own; no other column is read, whatever its name; a very long text is cut into pieces
 in its task; empty tables give empty results.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import column, materialized, release, table
 
 MAX_N, LEAST, KEEP, TOP = 5, 100, 100, 2000
-#: A set is broadcast if it has so many rows and bytes of text at most.
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+#: Hashes (numbers) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,15 +48,15 @@ def _counted(rows: DataFrame, words: Column, least: int) -> DataFrame:
     return materialized(f.select("lang", "phrase", words.cast("int").alias("m"), "f"))
 
 
-def _fits(df: DataFrame) -> bool:
-    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase") + F.octet_length("lang")), F.lit(0))).first()
-    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+def _hot_pairs(parts: DataFrame, bits: int, least: int) -> DataFrame:
+    """pair: hashes of two neighbouring words that occur ``least`` times, as a written table."""
+    rows = parts.filter("n > 1").select("lang", F.split("piece", " ").alias("w"))
+    keys = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: _pair(F.get("w", i), F.get("w", i + 1), bits))
+    return materialized(rows.select(F.explode(keys).alias("pair")).groupBy("pair").agg(F.count("*").alias("f")).filter(F.col("f") >= least).select("pair"))
 
 
-def _known(rows: DataFrame, keys: DataFrame, at: str, how: str, small: bool) -> DataFrame:
-    """``rows`` whose ``at`` is in ``keys``; with ``how`` left, all of them and ``<at>_in`` (null: it is not)."""
-    keys = keys.select(F.col("lang"), F.col("phrase").alias(at), *([F.lit(True).alias(at + "_in")] if how == "left" else []))
-    return rows.join(F.broadcast(keys) if small else keys.hint("merge"), ["lang", at], how)
+def _pair(x: Column, y: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("lang", x, y), 64 - bits)
 
 
 def frequent(parts: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
@@ -64,27 +65,24 @@ def frequent(parts: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFr
     words = _counted(parts.select("lang", F.explode(ws).alias("phrase")), F.lit(1), least)
     if max_n < 2:
         return words
-    longer = parts.filter("n > 1").select("lang", ws.alias("w"))
-    pair = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("x"), F.get("w", i + 1).alias("y")))
-    pairs = longer.select("lang", F.explode(pair).alias("p")).select("lang", "p.*")
-    if _fits(words):
-        pairs = _known(_known(pairs, words, "x", "left_semi", True), words, "y", "left_semi", True)
-    pairs = _counted(pairs.select("lang", F.concat("x", F.lit(" "), "y").alias("phrase")), F.lit(2), least)
-    if max_n < 3:
-        return _united(words, pairs)
-    small = _fits(pairs)
-    grams = parts.filter("n > 2").select("lang", ws.alias("w"))
-    grams = grams.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.slice("w", i, F.lit(max_n)))).alias("g"))
+    bits = min(64, 16 + int(parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).bit_length())
+    hot = _hot_pairs(parts, bits, least)
+    small = hot.count() <= BROADCAST_ROWS
+    grams = parts.filter("n > 1").select("lang", ws.alias("w"))
+    grams = grams.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, F.lit(max_n)))).alias("g"))
     for k in range(max_n - 1):
-        grams = grams.withColumn(f"p{k}", F.concat(F.get("g", F.lit(k)), F.lit(" "), F.get("g", F.lit(k + 1))))
-        grams = _known(grams, pairs, f"p{k}", "left_semi" if k < 2 else "left", small)
+        x, y = F.get("g", F.lit(k)), F.get("g", F.lit(k + 1))
+        grams = grams.withColumn(f"p{k}", F.when(y.isNotNull(), _pair(x, y, bits)))
+        keys = hot.select(F.col("pair").alias(f"p{k}"), *([F.lit(True).alias(f"in{k}")] if k else []))
+        grams = grams.join(F.broadcast(keys) if small else keys.hint("merge"), f"p{k}", "left" if k else "left_semi")
     # words from the first one on, as far as all pairs are frequent
     reach = F.lit(max_n)
-    for k in reversed(range(2, max_n - 1)):
-        reach = F.when(F.col(f"p{k}_in"), reach).otherwise(F.lit(k + 1))
-    phrases = F.transform(F.sequence(F.lit(3), reach), lambda m: F.array_join(F.slice("g", 1, m), " "))
-    found = grams.select("lang", F.explode(phrases).alias("phrase"))
-    return _united(words, pairs, _counted(found, F.size(F.split("phrase", " ")), least))
+    for k in reversed(range(1, max_n - 1)):
+        reach = F.when(F.col(f"in{k}"), reach).otherwise(F.lit(k + 1))
+    phrases = F.transform(F.sequence(F.lit(2), reach), lambda m: F.array_join(F.slice("g", 1, m), " "))
+    found = _counted(grams.select("lang", F.explode(phrases).alias("phrase")), F.size(F.split("phrase", " ")), least)
+    release(hot)
+    return _united(words, found)
 
 
 def _united(*parts: DataFrame) -> DataFrame:
@@ -118,7 +116,7 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", max_n: i
     total = materialized(parts.groupBy("lang").agg(F.sum("n").cast("long").alias("n")))
     freq = frequent(parts, max_n, least)
     release(parts)
-    few = total.select(F.count("*") <= BROADCAST_ROWS // 10).first()[0]
+    few = total.select(F.count("*") <= 10_000).first()[0]
     big = lambda c: F.col(c).cast("decimal(19,0)")
     cuts = _cuts(freq).join(F.broadcast(total) if few else total, "lang")
     cuts = cuts.select("*", (F.lit(1000).cast("decimal(4,0)") * big("a") * big("n")).alias("up"), (big("l") * big("r")).alias("down"))
