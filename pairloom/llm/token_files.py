@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -50,8 +51,9 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same over visible characters below U+0100 in lower case, where normal forms and classes are plain.
 VISIBLE = re.compile("[!-~\xa1-\xff]*")
+PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
 LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}\t-\r ]+")
 
 
 def tokenizer_path() -> str:
@@ -82,8 +84,8 @@ class Held(dict):
 class Encoder:
     """Texts as ids, packed in ``width`` bytes each.
 
-    Where the tokenizer's steps never look across white space, parts between blanks and line breaks are encoded by themselves and kept;
-    of those, parts of visible characters below U+0100 go to the model word by word, all others through the tokenizer.
+    Where the tokenizer's steps never look across white space, texts of characters below U+0100 go to the model word by word, and what
+    it says is kept. Other texts go by the parts between blanks and line breaks: parts with other characters through the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -102,15 +104,18 @@ class Encoder:
         self.words, self.parts = Held(self._word), Held(self._part)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
 
     def _word(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letters)
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return self._packed([t.id for t in self.tokenizer.model.tokenize(letters)])
 
     def _part(self, part: str) -> bytes:
         if VISIBLE.fullmatch(part) and not any(t in part for t in self.special):
-            return b"".join(map(self.words.__getitem__, WORDS.findall(part.lower())))
+            return self._plain(part)
         return self._whole(part)
 
     def _whole(self, text: str) -> bytes:
@@ -119,6 +124,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.by_part:
             return self._whole(text)
+        if PLAIN.fullmatch(text) and not any(t in text for t in self.special):
+            return self._plain(text)
         return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
 
 
