@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom import functions as P
-from pairloom.operators import evaluate, features, inference, prior, ratings, staking
-from pairloom.plans.catalog import C, bets, half_years, query, r, rounded
+from pairloom.operators import evaluate, features, folds, inference, prior, staking
+from pairloom.plans.catalog import SKILLS, C, bets, query, r, rounded, skills
 from pairloom.plans.contests import contests, participants, table
 
 KIND = "CASE method WHEN 'R' THEN CASE WHEN contest_id % 2 = 0 THEN 'KO' ELSE 'DOC' END WHEN 'A' THEN CASE WHEN contest_id % 13 = 0 THEN 'DQ' ELSE 'SUB' END ELSE CASE contest_id % 3 WHEN 0 THEN 'U-DEC' WHEN 1 THEN 'S-DEC' ELSE 'M-DEC' END END"
@@ -177,11 +177,11 @@ def gain_interval(spark, d):
     return inference.paired_bootstrap(c, "contest_id", evaluate.log_loss(F.col("y"), F.col("p_open")) - evaluate.log_loss(F.col("y"), F.col("p_close")), 200)
 
 
-@query("win_counts", C + """, n AS (SELECT class, count(*)::DOUBLE AS n, sum(y) AS wins FROM contests WHERE y IN (0, 1) AND contest_id % 20 = 0 GROUP BY class), k AS (SELECT class, n, wins, i, exp(lgamma(n + 1) - lgamma(i + 1.0) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE)) AS p FROM n, unnest(range(0, n::BIGINT + 1)) u(i))
+@query("win_counts", C + """, n AS (SELECT class, count(*)::DOUBLE AS n, sum(y) AS wins FROM contests WHERE y IN (0, 1) GROUP BY class), k AS (SELECT class, n, wins, i, exp(lgamma(n + 1) - lgamma(i + 1.0) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE)) AS p FROM n, unnest(range(0, n::BIGINT + 1)) u(i))
 SELECT class, n, wins, round(wins / n, 6) AS rate, round(least(sum(CASE WHEN p <= o * (1 + 1e-7) THEN p ELSE 0 END), 1), 6) AS p FROM k JOIN (SELECT class, p AS o FROM k WHERE i = wins) USING (class) GROUP BY class, n, wins""")
 def win_counts(spark, d):
-    """Exact test that side a wins half of the contests (every twentieth order, as one day's cards)."""
-    c = contests(spark, d).filter(F.col("y").isin(0.0, 1.0) & (F.col("contest_id") % 20 == 0))
+    """Exact test that side a wins half of the contests."""
+    c = contests(spark, d).filter(F.col("y").isin(0.0, 1.0))
     return inference.binomial(c, ["class"], F.col("y")).select("class", "n", "wins", r("rate").alias("rate"), r("p").alias("p"))
 
 
@@ -312,26 +312,25 @@ def fresh_quotes(spark, d):
 
 @query("skill_snapshot")
 def skill_snapshot(spark, d):
-    """Expected counts of both sides and side a's share of them, before each contest."""
-    c = half_years(contests(spark, d)).select("contest_id", "period", "day", "a_id", "b_id", F.col("a_score").alias("a_count"), F.col("b_score").alias("b_count"), F.lit(25.0).alias("exposure"))
-    c = ratings.league_level(c, "period", ["a_count", "b_count"], "exposure")
-    s = ratings.rated(c, {"skill": ratings.PoissonSkills()}, "period").join(c.select("contest_id", "level", "exposure"), "contest_id")
-    return s.select("contest_id", *(v.alias(n) for n, v in ratings.PoissonSkills.expected(F.col("level"), F.col("exposure")).items()))
+    """Expected rates of both sides and their shares in seven statistics, before each contest's date."""
+    c, model = skills(spark, d)
+    s = folds.folded(c, {"skill": model}).join(c.select("contest_id", *(f"before_{n}" for n in SKILLS)), "contest_id")
+    return s.select("contest_id", *(v.alias(n) for n, v in model.expected({n: F.col(f"before_{n}") for n in SKILLS}, "skill").items()))
 
 
 @query("record_ratings")
 def record_ratings(spark, d):
-    """Ratings over all records: one result for each day and pair (the mean, if records differ), as of each period's beginning."""
-    p = half_years(contests(spark, d)).withColumns({"lo": F.least("a_id", "b_id"), "hi": F.greatest("a_id", "b_id"), "own": F.when(F.col("a_id") <= F.col("b_id"), F.col("y")).otherwise(1 - F.col("y"))})
-    pairs = p.groupBy("period", "day", F.col("lo").alias("a_id"), F.col("hi").alias("b_id")).agg(F.avg("own").alias("y"), F.min("contest_id").alias("contest_id"))
-    return ratings.rated(pairs, {"elo": ratings.Elo(k=80.0, decay=2.0)}, "period")
+    """Ratings over all records and how many lie before: one result for each date and pair (the mean, if records differ)."""
+    p = contests(spark, d).filter("y IS NOT NULL").withColumns({"lo": F.least("a_id", "b_id"), "hi": F.greatest("a_id", "b_id"), "own": F.when(F.col("a_id") <= F.col("b_id"), F.col("y")).otherwise(1 - F.col("y"))})
+    pairs = p.groupBy("day", F.col("lo").alias("a_id"), F.col("hi").alias("b_id")).agg(F.avg("own").alias("y"), F.min("contest_id").alias("contest_id"))
+    return folds.folded(pairs, {"elo": folds.Elo(k=80.0, decay=2.0)}, order=["a_id", "b_id"])
 
 
 @query("rating_grid")
 def rating_grid(spark, d):
-    """Log loss of Elo in several settings (steps, weight of margins, rust after a rest), all folded in one pass."""
-    c = half_years(contests(spark, d)).withColumns({"margin": 1 + F.abs(F.col("a_score") - F.col("b_score")) / 50, "title": F.when(F.col("contest_id") % 10 == 0, 1.5).otherwise(1.0)})
-    cells = {f"k{k}_{n}": ratings.Elo(k=float(k), **more) for k in (20, 60) for n, more in {"plain": {}, "margin": {"weight": "margin"}, "title": {"weight": "title"}, "rust": {"layoff": 180, "keep": 0.8}}.items()}
-    s = ratings.rated(c, cells, "period").join(c.select("contest_id", "y"), "contest_id").filter(F.col("y").isin(0.0, 1.0))
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("setting"), ratings.expectation(F.col(f"a_{n}"), F.col(f"b_{n}")).alias("p")) for n in cells))).alias("g")
+    """Log loss of Elo in 64 settings (steps, start, weight of finishes, rust, steps of new entities), all folded in one pass."""
+    c = contests(spark, d).withColumn("finished", F.col("method") == "R")
+    cells = {f"k{k}_i{i}_f{int(10 * f)}_r{int(10 * rust)}_n{int(n)}": folds.Elo(k=float(k), initial=float(i), finish=f, finished="finished", fade=rust, decay=n) for k in (20, 40, 60, 90) for i in (1450, 1500) for f in (1.0, 1.5) for rust in (0.0, 0.1) for n in (0.0, 2.0)}
+    s = folds.folded(c, cells).join(c.select("contest_id", "y"), "contest_id").filter(F.col("y").isin(0.0, 1.0))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("setting"), (1 / (1 + F.pow(F.lit(10.0), (F.col(f"b_{n}") - F.col(f"a_{n}")) / 400))).alias("p")) for n in cells))).alias("g")
     return s.select("y", each).select("y", "g.*").groupBy("setting").agg(F.count("*").alias("n"), F.avg(evaluate.log_loss(F.col("y"), F.col("p"))).alias("log_loss"))

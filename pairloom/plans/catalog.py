@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators import evaluate, joins, learn, match, prior, ratings, sides, staking
+from pairloom.operators import evaluate, folds, joins, learn, match, prior, sides, staking
 from pairloom.plans.contests import CONTESTS, contests, participants, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,16 +387,42 @@ def travel(spark, d):
     return s.join(b, "s_suppkey").select(F.col("s_suppkey").alias("a"), "b", r(12742 * F.asin(F.sqrt(h)), 4).alias("km"))
 
 
-def half_years(c: DataFrame) -> DataFrame:
-    return c.withColumn("period", F.year("date") * 2 + (F.month("date") > 6).cast("int"))
+def rated_contests(spark, d) -> DataFrame:
+    """Contests with what ratings are folded from: a finish, shares of four counts and the log odds of the closing line."""
+    c = skill_counts(contests(spark, d))
+    share = lambda a, b, least: F.when(a + b > least, a / (a + b))
+    grapple = lambda s: F.coalesce(F.col(f"{s}_ctl"), F.lit(0.0)) + 30 * F.col(f"{s}_td")
+    shares = {"strike": share(F.col("a_str"), F.col("b_str"), 4), "grapple": share(grapple("a"), grapple("b"), 30)} | {k: share(F.col(f"a_{k}"), F.col(f"b_{k}"), 0) for k in ("kd", "sub")}
+    return c.withColumns({"finished": F.col("method") == "R", "line": staking.logit(F.col("p_close"))} | {f"share_{k}": v for k, v in shares.items()})
+
+
+#: Seven statistics: what a new entity's variance is, how it grows in a year, and the usual rate for each unit of exposure.
+SKILLS = {"str": (0.12, 0.03, 1.0), "td": (0.5, 0.08, 0.1), "kd": (0.5, 0.08, 0.03), "sub": (0.5, 0.08, 0.05), "ctl": (0.4, 0.08, 0.5), "kof": (0.6, 0.1, 0.02), "sbf": (0.6, 0.1, 0.01)}
+
+
+def skill_counts(c: DataFrame) -> DataFrame:
+    """Contests with seven counts of both sides, an exposure (missing now and then) and a group."""
+    counts = {}
+    for s, won in (("a", 1.0), ("b", 0.0)):
+        price, score = F.col(f"{s}_price"), F.col(f"{s}_score")
+        counts |= {f"{s}_str": score, f"{s}_td": F.floor(price) % 5, f"{s}_kd": F.floor(price / 7) % 2, f"{s}_sub": F.floor(price / 11) % 3, f"{s}_ctl": F.when(F.col("contest_id") % 7 != 0, score / 4)}
+        counts |= {f"{s}_{k}": ((F.col("y") == won) & (F.col("method") == m)).cast("double") for k, m in (("kof", "R"), ("sbf", "A"))}
+    return c.withColumns(counts | {"exposure": F.when(F.col("contest_id") % 11 != 0, 5.0 + F.col("contest_id") % 21), "group": (F.col("class") % 3).cast("int")})
 
 
 @query("ratings")
 def all_ratings(spark, d):
-    """Elo in five settings, Glicko-2, a share rating and a line filter of all entities, folded by half-years."""
-    c = half_years(contests(spark, d)).select("contest_id", "period", "day", "a_id", "b_id", "y", (F.col("method") == "R").alias("finished"), (F.col("a_score") / (F.col("a_score") + F.col("b_score"))).alias("share"), staking.logit(F.col("p_close")).alias("line"))
-    made = {"elo": ratings.Elo(), "elo_finish": ratings.Elo(finish=1.5, finished="finished"), "elo_fast": ratings.Elo(k=80.0), "elo_decay": ratings.Elo(k=32.0, decay=2.0), "elo_tuned": ratings.Elo(k=90.0, decay=2.0)}
-    return ratings.rated(c, made | {"glicko": ratings.Glicko2(), "share": ratings.Elo("share", k=80.0), "market": ratings.LineFilter()}, "period")
+    """Elo in five settings, Glicko-2, four share ratings and a line filter of all entities, folded by date."""
+    made = {"elo": folds.Elo(), "elo_finish": folds.Elo(finish=1.5, finished="finished"), "elo_fast": folds.Elo(k=80.0), "elo_decay": folds.Elo(k=32.0, decay=2.0), "elo_tuned": folds.Elo(k=90.0, decay=2.0)}
+    made |= {"glicko": folds.Glicko2(), "market": folds.LineFilter()} | {f"share_{k}": folds.Elo(f"share_{k}", k=v) for k, v in (("strike", 80.0), ("grapple", 80.0), ("kd", 40.0), ("sub", 40.0))}
+    return folds.folded(rated_contests(spark, d), made)
+
+
+@query("elo_by_date")
+def elo_by_date(spark, d):
+    """Elo of both sides before each contest's date."""
+    f = folds.folded(contests(spark, d), {"elo": folds.Elo()})
+    return f.select("contest_id", r("a_elo", 3).alias("a_elo"), r("b_elo", 3).alias("b_elo"))
 
 
 @query("linked_records")
@@ -518,11 +544,17 @@ def opponent_reach_all(spark, d):
     return joins.frontier(e, e.agg(F.min("a_id").alias("node")), "a_id", "b_id")
 
 
+def skills(spark, d) -> tuple[DataFrame, folds.Skills]:
+    """Contests with league levels, and the model of their seven statistics."""
+    c = folds.league_levels(skill_counts(contests(spark, d)), {n: (f"a_{n}", f"b_{n}", rate) for n, (*_, rate) in SKILLS.items()}, "group")
+    return c, folds.Skills({n: (f"a_{n}", f"b_{n}", f"level_{n}", p0, q, 1.0) for n, (p0, q, _) in SKILLS.items()})
+
+
 @query("skill_filters")
 def skill_filters(spark, d):
-    """Poisson attack and defence from counts, over a league level that fades, of all entities, folded by half-years."""
-    c = half_years(contests(spark, d)).select("contest_id", "period", "day", "a_id", "b_id", F.col("a_score").alias("a_count"), F.col("b_score").alias("b_count"), F.lit(25.0).alias("exposure"))
-    return ratings.rated(ratings.league_level(c, "period", ["a_count", "b_count"], "exposure"), {"skill": ratings.PoissonSkills()}, "period")
+    """Attack and defence in seven statistics, over league levels that fade, of all entities before each contest's date."""
+    c, model = skills(spark, d)
+    return folds.folded(c, {"skill": model})
 
 
 def stacked(spark, d, years=None):
