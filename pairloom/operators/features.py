@@ -30,13 +30,15 @@ def decision_margin(res: Column, method: Column, margin: Column) -> Column:
     return F.when(method.isin(DECISION) & (res == 1), margin).when(method.isin(DECISION) & (res == 0), -margin)
 
 
-def targets(method: Column, y: Column, time_format: Column, sched_rounds: Column, secs: Column, unders: int = 4) -> dict[str, Column]:
-    """itd (ended inside the distance), meth3 (KO, SUB or DEC) and under_k (ended before the middle of round k + 1): null outside standard formats."""
-    ended, standard = method.isin([*KNOCKOUT, *SUBMISSION, "DQ"]), time_format.isin(STANDARD)
-    known = standard & (ended | method.isin(DECISION))
-    meth3 = F.when(method.isin(KNOCKOUT), "KO").when(method.isin(SUBMISSION), "SUB").when(method.isin(DECISION), "DEC")
-    out = {"itd": F.when(known, ended.cast("double")), "meth3": F.when(standard & y.isNotNull(), meth3)}
-    return out | {f"under_{k}": F.when(known & (sched_rounds > k), (ended & (secs < 300 * k + 150)).cast("double")) for k in range(1, unders + 1)}
+def targets(method: Column, y: Column, time_format: Column, sched_rounds: Column, secs: Column, unders: int = 4, round_secs: int = 300) -> dict[str, Column]:
+    """itd (ended inside the distance), meth3 (KO, SUB or DEC) and under_k (ended in the first half of round k + 1 or before): null outside
+    standard formats, and for methods of no group."""
+    groups = {m: g for g, ms in (("KO", KNOCKOUT), ("SUB", SUBMISSION), ("DEC", DECISION), ("void", ["DQ"])) for m in ms}
+    group = F.when(time_format.isin(STANDARD), F.try_element_at(F.create_map(*(F.lit(x) for pair in groups.items() for x in pair)), method))
+    inside = group != "DEC"
+    halfway = {k: (k + 0.5) * round_secs for k in range(1, unders + 1)}
+    before = {f"under_{k}": F.when(sched_rounds > k, (inside & (secs < end)).cast("double")) for k, end in halfway.items()}
+    return {"itd": inside.cast("double"), "meth3": F.when(y.isNotNull() & (group != "void"), group)} | {n: F.when(group.isNotNull(), c) for n, c in before.items()}
 
 
 def soft_label(y: Column, method: Column, q: float = 0.7) -> Column:

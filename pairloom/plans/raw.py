@@ -199,6 +199,19 @@ def card_notes(spark, d):
     return s.groupBy("k").agg(F.count_if("missed").alias("missed"), F.count_if("replaced").alias("replaced"), F.count("*").alias("sentences"), named("Man", "Rival").alias("on_name"), named("Rival", "Man").alias("on_other"))
 
 
+@query("article_heads", """SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'Card ' || s_suppkey END AS redirect, CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 4 THEN NULL ELSE DATE '2001-03-04' + (s_suppkey % 20)::INT END AS date,
+CASE WHEN s_suppkey % 5 <> 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END END::BIGINT AS over FROM supplier""")
+def article_heads(spark, d):
+    """Redirects, dates and weights over the limit in articles whose templates lie in one another."""
+    k = F.col("s_suppkey")
+    day = F.date_add(F.lit("2001-03-04").cast("date"), (k % 20).cast("int"))
+    date = F.when(k % 5 < 3, F.concat(F.lit("{{start date|"), F.date_format(day, "yyyy|M|d"), F.lit("|df={{yes|{{no}}}}}}"))).when(k % 5 == 3, F.date_format(day, "MMMM d, yyyy")).otherwise("unknown")
+    body = F.concat(F.lit("{{Infobox\n|name = x\n|date = "), date, F.lit("\n|place = {{flag|{{a|{{b}}}}}}\n}}The [[a b|A]] "), F.when(k % 2 == 0, "weighed in at 171.5 pounds, over the limit").otherwise("weighed in at 170 pounds"), F.lit(". All was well.\n== Results ==\nX missed weight."))
+    t = table(spark, d, "supplier").select(k.alias("k"), F.when(k % 5 == 0, F.concat(F.lit("#REDIRECT [[Card "), k, F.lit("#top]]"))).otherwise(body).alias("text"))
+    s = pages.background(t, "text", ["k"]).groupBy("k").agg(F.count_if("missed").alias("over"))
+    return t.select("k", *(c.alias(n) for n, c in pages.article_head("text").items())).join(s, "k").withColumn("over", F.when(F.col("redirect").isNull(), F.col("over")))
+
+
 @query("piped_profiles", """SELECT s_suppkey AS k, 'Name ' || s_suppkey AS name, (s_suppkey % 50 + 1)::VARCHAR AS rank, NULL::VARCHAR AS note FROM supplier""")
 def piped_profiles(spark, d):
     """Fields of a tooltip split at bars; ordinals become numbers, blanks null."""

@@ -113,8 +113,13 @@ def records(raw: DataFrame, flag: str) -> DataFrame:
 
 
 def promotion(event: Column | str, aliases: dict[str, str] | None = None) -> Column:
-    """What stands before `` - ``, without a number or Roman numeral at its end; ``aliases`` rename."""
-    c = F.trim(F.regexp_replace(F.substring_index(P.collapse(event), " - ", 1), r"[ #]*([0-9]+|[IVX]+)$", ""))
+    """What stands before `` - ``, without the number (``7``, ``#7``, ``12.5``, also right behind a name) or Roman numeral that ends it; ``aliases`` rename."""
+    name = F.split(F.trim(F.substring_index(P.collapse(event), " - ", 1)), " ")
+    last = F.ltrim(F.element_at(name, -1), F.lit("#"))
+    numeral = (last != "") & ((F.translate(last, "IVX", "") == "") | last.try_cast("decimal(20,4)").isNotNull())
+    glued = F.rtrim(F.rtrim(F.rtrim(F.element_at(name, -1), F.lit("0123456789")), F.lit("#")))
+    rest = F.array_join(F.slice(name, 1, F.size(name) - 1), " ")
+    c = F.when(numeral, rest).when(last.rlike("[0-9]$"), F.concat_ws(" ", F.when(rest != "", rest), glued)).otherwise(F.array_join(name, " "))
     for old, new in (aliases or {}).items():
         c = F.when(c == old, F.lit(new)).otherwise(c)
     return c

@@ -200,3 +200,17 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["run", "travel", str(tmp_path / "nowhere"), str(tmp_path / "u")]) == 1 and "travel" in capsys.readouterr().err
     with pytest.raises(SystemExit):
         main(["run", "no_such", SF, str(tmp_path / "v")])
+
+
+def test_markup_goes_at_any_depth(spark):
+    cases = {"a{{b{{c{{d}}e}}f}}g": "ag", "x {y} {{z {1} }}w": "x {y} w", "open {{ stays": "open {{ stays", "}} here": "}} here", "a<ref name=\"p/q\"/>b<ref>c\nd</ref>e<references/>": "abe<references/>", "": ""}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", P.strip_markup("t").alias("got")).collect())
+
+
+def test_promotions_lose_their_numbers(spark):
+    from pairloom.sources import bouts
+
+    cases = {"Cage 12.5 - A vs B": "Cage", "UFC 7": "UFC", "UFC7": "UFC", "Deep #12": "Deep", "King of IX": "King of", "Titan FC": "Titan FC", "Bellator XX1": "Bellator XX", "9": ""}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert {r.t: r.got for r in df.select("t", bouts.promotion("t").alias("got")).collect()} == cases
