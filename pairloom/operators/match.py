@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.tables import release, written
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence by bit-parallel steps over ``b``."""
@@ -41,59 +43,120 @@ def partial_ratio(a: str | None, b: str | None) -> float:
     return max(ratio(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
 
 
-def _pairs(score: Callable[[str | None, str | None], float]):
-    @F.pandas_udf("double")
-    def run(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.Series:
-        rows = zip(a1, a2, b1, b2, strict=True)
-        return pd.Series([max(score(p, r) + score(q, s), score(p, s) + score(q, r)) / 2 for p, q, r, s in rows], dtype=float)
+def either_ratio(a: str | None, b: str | None) -> float:
+    """The greater of ``ratio`` and ``token_sort_ratio`` with hyphens as spaces."""
+    return max(ratio(a, b), token_sort_ratio((a or "").replace("-", " "), (b or "").replace("-", " ")))
 
-    return run
+
+def _sorted(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")), " ")
+
+
+#: Scores of two names, and the strings of a name one of whose ``ratio`` a score is.
+SCORES: dict[Callable[[str | None, str | None], float], Callable[[Column], list[Column]]] = {
+    ratio: lambda c: [c],
+    token_sort_ratio: lambda c: [_sorted(c)],
+    either_ratio: lambda c: [c, _sorted(F.replace(c, F.lit("-"), F.lit(" ")))],
+}
 
 
-def _best_name(score: Callable[[str | None, str | None], float]):
+def _of_pairs(f: Callable[..., float], n: int):
     @F.pandas_udf("double")
-    def run(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.Series:
-        rows = zip(a1, a2, b1, b2, strict=True)
-        return pd.Series([max(score(x, y) for x in (p, q) for y in (r, s)) for p, q, r, s in rows], dtype=float)
+    def run(*names: pd.Series) -> pd.Series:
+        return pd.Series([f(*row) for row in zip(*names, strict=True)], dtype=float)
 
     return run
 
 
-def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, when: str = "date", names: tuple[str, str] = ("n1", "n2"), days: int = 1, threshold: float = 80.0, penalty: float = 2.0, weak: float | None = None, strong: float = 92.0) -> DataFrame:
+def _ends(n: Column, k: Column) -> Column:
+    """Ends of ``k`` even parts of ``n`` characters."""
+    return F.transform(F.sequence(F.lit(1), k), lambda i: F.floor(i * n / k).cast("int"))
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float, score: Callable[[str | None, str | None], float] = token_sort_ratio) -> DataFrame:
+    """x, y: the names of ``left`` and of ``right`` (one column each, no nulls) whose score is ``threshold`` or more, as a written table.
+
+    Strings of lengths m <= n with that ratio are ``d = (1 - threshold / 100) (m + n)`` insertions and deletions apart at most. Of d + 1
+    parts of the shorter one, some part is touched by none of them, and stands in the longer one, shifted by the insertions and deletions
+    before it: (d + n - m) / 2 to the right or (d - n + m) / 2 to the left at most. So names meet by equal parts of equal places, and
+    only those are scored. Where d is too great for parts of a character, all strings of two lengths meet.
+    """
+    share = 1 - threshold / 100
+    strings = lambda df, out: df.toDF(out).distinct().select(out, F.posexplode(F.array(*SCORES[score](F.col(out)))).alias("kind", "s")).withColumn("n", F.length("s"))
+    apart = lambda m, n: F.floor(share * (m + n) + 1e-9).cast("int")
+    ratio_of = max(threshold, 1e-9) / (200 - max(threshold, 1e-9))
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        """Parts of a shorter string, for each length that the longer one may have."""
+        rows = df.select(name, "kind", "s", F.col("n").alias("short"), F.explode(F.sequence(F.col("n"), F.least(F.floor(F.col("n") / ratio_of + 1e-9), F.col("longest")).cast("int"))).alias("long"))
+        rows = rows.withColumn("k", apart(F.col("short"), F.col("long")) + 1)
+        ends = _ends(F.col("short"), F.col("k"))
+        each = F.transform(ends, lambda e, i: F.struct(i.alias("i"), F.expr("s").substr(F.coalesce(F.get(ends, i - 1), F.lit(0)) + 1, e - F.coalesce(F.get(ends, i - 1), F.lit(0))).alias("part")))
+        rows = rows.select(name, "kind", "short", "long", F.explode(F.when(F.col("k") > F.greatest("short", F.lit(1)), F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("part")))).otherwise(each)).alias("p"))
+        return rows.select(name, "kind", "short", "long", "p.*")
+
+    def places(df: DataFrame, name: str) -> DataFrame:
+        """Stretches of a longer string where a part of a shorter one may stand."""
+        rows = df.select(name, "kind", "s", F.col("n").alias("long"), F.explode(F.sequence(F.ceil(F.col("n") * ratio_of - 1e-9).cast("int"), F.col("n"))).alias("short"))
+        rows = rows.withColumn("d", apart(F.col("short"), F.col("long")))
+        ends = _ends(F.col("short"), F.col("d") + 1)
+        rows = rows.select("*", F.posexplode(F.when(F.col("d") + 1 > F.greatest("short", F.lit(1)), F.array(F.lit(-1))).otherwise(ends)).alias("i", "end"))
+        rows = rows.withColumn("begin", F.when(F.col("end") < 0, 0).when(F.col("i") == 0, 0).otherwise(F.floor(F.col("i") * F.col("short") / (F.col("d") + 1)).cast("int")))
+        extra = F.col("long") - F.col("short")
+        lo = F.greatest(F.lit(0), F.col("begin") - F.floor((F.col("d") - extra) / 2).cast("int"))
+        hi = F.least(F.col("long") - (F.col("end") - F.col("begin")), F.col("begin") + F.floor((F.col("d") + extra) / 2).cast("int"))
+        at = F.when(F.col("end") < 0, F.array(F.lit(0))).when(lo <= hi, F.sequence(lo, hi))
+        rows = rows.select(name, "kind", "short", "long", "s", F.when(F.col("end") < 0, -1).otherwise(F.col("i")).alias("i"), "begin", "end", F.explode(at).alias("at"))
+        part = F.when(F.col("end") < 0, "").otherwise(F.col("s").substr(F.col("at") + 1, F.col("end") - F.col("begin")))
+        return rows.select(name, "kind", "short", "long", "i", part.alias("part")).distinct()
+
+    x, y = written(strings(left, "x")), written(strings(right, "y"))
+    longest = max(df.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] for df in (x, y))
+    on = ["kind", "short", "long", "i", "part"]
+    longer = lambda df: df.withColumn("longest", F.lit(longest))
+    met = parts(longer(x), "x").join(places(y, "y"), on).select("x", "y").union(parts(longer(y), "y").join(places(x, "x"), on).select("x", "y")).distinct()
+    out = written(met.filter(_of_pairs(score, 2)("x", "y") >= threshold - 1e-9))
+    release(x, y)
+    return out
+
+
+def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, when: str = "date", names: tuple[str, str] = ("n1", "n2"), days: int = 1, threshold: float = 80.0, penalty: float = 2.0, weak: float | None = None, strong: float = 92.0, score: Callable[[str | None, str | None], float] = token_sort_ratio, undated_from: Column | str | None = None, undated_penalty: float = 5.0) -> DataFrame:
     """left_id, right_id, score of the best right row within ``days`` whose names match in either order, ``penalty`` lost for each day apart.
 
     With ``weak``, a pair between it and the threshold counts as well if one name alone scores ``strong`` and no other right row of that
-    left row has so strong a name.
+    left row has so strong a name. With ``undated_from``, left rows of that day or later also meet right rows without a date, at a loss
+    of ``undated_penalty``.
 
-    Every pair within ``days`` is a candidate of an equi-join on the date, as no key of first letters holds all pairs of a score; work
-    grows with the square of the rows of a date. Pairs that can't reach the threshold by letters that only one name has are not scored. Then
-    scores take the best, ties to the least right id, one right row for each left row and back.
+    The mean of two names' scores is no greater than the better one. So some name of the one row has the threshold (or ``strong``, if that
+    is less and ``weak`` is given) with some name of the other. Similar names are found first, among different names and whatever the
+    dates; rows meet by date and similar names, and are scored. Work on a date follows its rows and the similar names in them, not all
+    pairs. Then scores take the best, ties to the least right id, one right row for each left row and back.
     """
-    l = left.select(F.col(left_id).alias("__l"), F.col(names[0]).alias("a1"), F.col(names[1]).alias("a2"), F.posexplode(F.array(*(F.date_add(when, o) for o in range(-days, days + 1)))).alias("__o", "__d"))  # noqa: E741
-    r = right.select(F.col(right_id).alias("__r"), F.col(names[0]).alias("b1"), F.col(names[1]).alias("b2"), F.col(when).alias("__d"))
-    c = l.join(r, "__d").select("__l", "__r", "a1", "a2", "b1", "b2", F.abs(F.col("__o") - days).alias("gap"))
-    most = lambda a, b: (_most(a[0], b[0]) + _most(a[1], b[1])) / 2
-    bound = F.greatest(most(("a1", "a2"), ("b1", "b2")), most(("a1", "a2"), ("b2", "b1")))
-    c = c.filter(bound - penalty * F.col("gap") >= (threshold if weak is None else weak) - 1e-6)
-    s = c.withColumn("score", _pairs(token_sort_ratio)("a1", "a2", "b1", "b2") - penalty * F.col("gap"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    l = left.select(F.col(left_id).alias("__l"), text(names[0]).alias("a1"), text(names[1]).alias("a2"), F.col(when).alias("__d"))  # noqa: E741
+    r = right.select(F.col(right_id).alias("__r"), text(names[0]).alias("b1"), text(names[1]).alias("b2"), F.col(when).alias("__d"))
+    each = lambda df, one, two, out: df.select(F.explode(F.array(one, two)).alias(out))
+    near = similar_names(each(l, "a1", "a2", "x"), each(r, "b1", "b2", "y"), threshold if weak is None else min(threshold, strong), score)
+    mine = l.select("*", F.explode(F.array_distinct(F.array("a1", "a2"))).alias("x")).join(near, "x").select("__l", "a1", "a2", "__d", "y").distinct()
+    theirs = r.select("*", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("y"))
+    dated = mine.select("__l", "a1", "a2", "y", F.posexplode(F.array(*(F.date_add("__d", o) for o in range(-days, days + 1)))).alias("__o", "__d"))
+    pairs = dated.join(theirs, ["__d", "y"]).select("__l", "a1", "a2", "__r", "b1", "b2", (penalty * F.abs(F.col("__o") - days)).alias("loss"))
+    if undated_from is not None:
+        free = theirs.filter("__d IS NULL").drop("__d")
+        pairs = pairs.unionByName(mine.filter(F.col("__d") >= (F.to_date(F.lit(undated_from)) if isinstance(undated_from, str) else undated_from)).join(free, "y").select("__l", "a1", "a2", "__r", "b1", "b2", F.lit(float(undated_penalty)).alias("loss")))
+    means = _of_pairs(lambda p, q, r, s: max(score(p, r) + score(q, s), score(p, s) + score(q, r)) / 2, 4)
+    s = pairs.distinct().withColumn("score", means("a1", "a2", "b1", "b2") - F.col("loss"))
     if weak is None:
         s = s.select("__l", "__r", "score").filter(F.col("score") >= threshold)
     else:
-        s = s.filter(F.col("score") >= weak).withColumn("strong", _best_name(token_sort_ratio)("a1", "a2", "b1", "b2") >= strong)
+        best_name = _of_pairs(lambda p, q, r, s: max(score(x, y) for x in (p, q) for y in (r, s)), 4)
+        s = s.filter(F.col("score") >= weak).withColumn("strong", best_name("a1", "a2", "b1", "b2") >= strong)
         alone = F.col("strong") & (F.sum(F.col("strong").cast("int")).over(Window.partitionBy("__l")) == 1)
         s = s.withColumn("ok", (F.col("score") >= threshold) | alone).filter("ok").select("__l", "__r", "score")
     best = lambda df, k, o: df.withColumn("__n", F.row_number().over(Window.partitionBy(k).orderBy(F.col("score").desc(), o))).filter("__n = 1").drop("__n")
     return best(best(s, "__l", "__r"), "__r", "__l").select(F.col("__l").alias(left_id), F.col("__r").alias(right_id), "score")
 
 
-def _most(a: str, b: str) -> Column:
-    """No ratio of the sorted tokens is greater: letters that the other name lacks are never common; white space counts as if it were."""
-    letters = lambda n: F.filter(F.split(F.regexp_replace(F.coalesce(F.col(n), F.lit("")), r"(?U)[\s\x1c-\x1f]", ""), ""), lambda c: c != "")
-    x, y, n = letters(a), letters(b), F.length(F.coalesce(F.col(a), F.lit(""))) + F.length(F.coalesce(F.col(b), F.lit("")))
-    lone = F.size(F.filter(x, lambda c: ~F.array_contains(y, c))) + F.size(F.filter(y, lambda c: ~F.array_contains(x, c)))
-    return F.lit(100.0) * (1 - lone / F.greatest(n, F.lit(1)))
-
-
 def vote(links: DataFrame, entity: str, candidate: str, score: str = "score") -> DataFrame:
     """For each entity the candidate with the greatest sum of scores (ties: the least)."""
     total = links.groupBy(entity, candidate).agg(F.sum(score).alias("votes"))

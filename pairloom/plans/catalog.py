@@ -434,6 +434,37 @@ def linked_records(spark, d):
     return match.link(left, right, "contest_id", "page")
 
 
+def two_sources(spark, d, spoil: Callable[[Column, Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Contests with names of two tokens, and the same from a second source: other days, sides swapped, each name as ``spoil`` (name, number) makes it."""
+    digest = F.sha1(F.col("s_suppkey").cast("string"))
+    name = table(spark, d, "supplier").select("s_suppkey", F.concat(digest.substr(1, 6), F.lit(" "), digest.substr(7, 9)).alias("name"))
+    of = lambda key, out: name.select(F.col("s_suppkey").alias(key), F.col("name").alias(out))
+    c = contests(spark, d).join(of("a_id", "n1"), "a_id").join(of("b_id", "n2"), "b_id").select("contest_id", "date", "n1", "n2")
+    k = F.col("contest_id")
+    right = c.select((k * 10).alias("page"), F.when(k % 50 != 0, F.date_add("date", (k % 3 - 1).cast("int"))).alias("date"), spoil(F.col("n2"), k).alias("n1"), spoil(F.col("n1"), k + 1).alias("n2"))
+    return c, right
+
+
+def spoilt(name: Column, k: Column) -> Column:
+    """Tokens swapped, another initial, or a hyphen."""
+    x, y = F.get(F.split(name, " "), 0), F.get(F.split(name, " "), 1)
+    return F.when(k % 4 == 0, F.concat(y, F.lit(" "), x)).when(k % 4 == 1, F.concat(F.lit("z"), name.substr(F.lit(2), F.length(name)))).when(k % 4 == 2, F.concat(y, F.lit("-"), x)).otherwise(name)
+
+
+@query("linked_lines")
+def linked_lines(spark, d):
+    """Lines linked within three days at 80, with a loss for each day apart, and lines without a date to the contests of the last year."""
+    left, right = two_sources(spark, d, spoilt)
+    return match.link(left, right, "contest_id", "page", days=3, score=match.either_ratio, undated_from="2001-01-01")
+
+
+@query("linked_quotes")
+def linked_quotes(spark, d):
+    """Quotes linked within two days at 85, or from 70 on if a single one has one of the names."""
+    left, right = two_sources(spark, d, spoilt)
+    return match.link(left, right, "contest_id", "page", days=2, threshold=85.0, penalty=0.0, weak=70.0, score=match.either_ratio)
+
+
 @query("walk_forward_logit")
 def walk_forward_logit(spark, d):
     """Yearly refits of a symmetric ridge logistic layer over the opening line, scored on the year after."""
