@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom import functions as P
-from pairloom.operators import evaluate, features, folds, inference, prior, staking
+from pairloom.operators import bankroll, evaluate, features, folds, inference, prior, staking
 from pairloom.plans.catalog import SKILLS, C, bets, query, r, rounded, skills
 from pairloom.plans.contests import contests, participants, table
 
@@ -279,6 +279,16 @@ def any_week_starts(spark, d):
     return rounded(staking.starts(days, ["class"], [7, 30, 91, 365]))
 
 
+@query("bankroll_systems")
+def bankroll_systems(spark, d):
+    """Bankrolls of each class and of all bets in three systems, placed 14, 3 and 0 days ahead, and with a cap, a least stake and deposits."""
+    b = bets(spark, d).withColumns({"month": F.year("date") * 12 + F.month("date"), "units": F.when(F.col("stake") >= 0.25, F.round(F.col("stake") * 2) / 2), "gain": F.col("profit") / F.col("stake")})
+    made = {f"{name} {lead}": bankroll.System(start, unit, lead=lead) for name, start, unit in (("hundreds", 100.0, bankroll.whole_hundreds), ("bold", 200.0, bankroll.bold), ("flat", 100.0, bankroll.one)) for lead in (14, 3, 0)}
+    made["saver"] = bankroll.System(300.0, bankroll.whole_hundreds, lead=3, least=1.0, most=50.0, deposit=25.0)
+    each = b.select(F.explode(F.array(F.lit(-1), F.col("class").cast("int"))).alias("class"), "day", "month", "units", "gain")
+    return bankroll.bankrolls(each, made, ["class"], "day", "month", "units", "gain")
+
+
 @query("resampled_paths")
 def resampled_paths(spark, d):
     """Percentiles of growth and deepest fall over paths of 36 months drawn from the months of all bets."""

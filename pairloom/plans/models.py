@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,36 +57,38 @@ def market_layers(spark, d):
     return s.select("contest_id", "date", "year", "y", one.alias("stack"), two.alias("edge"), ((one + two) / 2).alias("p"))
 
 
+def each_year(m: DataFrame, predict: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``predict(train, test)`` of every year after the first, from all years before it."""
+    return learn.walk_forward(m, "date", years_of(m)[1:], predict) if len(years_of(m)) > 1 else predict(m, m.limit(0))
+
+
 @query("scaled_model")
 def scaled_model(spark, d):
-    """Filled, scaled and softly labelled logistic model of the last year from all before it, both orientations averaged."""
-    m = design(spark, d)
-    last = years_of(m)[-1]
+    """Filled, scaled and softly labelled logistic model of each year from all before it, both orientations averaged."""
     x = ["opening", *X]
-    train = m.filter(F.col("year") < last).withColumn("soft", features.soft_label(F.col("y"), F.col("method")))
-    rows = learn.soft_rows(train.unionByName(train.withColumns({c: -F.col(c) for c in x} | {"soft": 1 - F.col("soft")})), "y", "soft")
-    model = learn.scaled_logit(rows, x, "y", 0.05, weight="weight")
-    test = m.filter(F.col("year") == last)
-    one, two = model.predict(test, "p1"), model.predict(test.withColumns({c: -F.col(c) for c in x}), "p2").select("contest_id", "p2")
-    return one.join(two, "contest_id").select("contest_id", "date", "y", learn.symmetric(F.col("p1"), F.col("p2")).alias("p"))
+
+    def predict(train: DataFrame, test: DataFrame) -> DataFrame:
+        train = train.withColumn("soft", features.soft_label(F.col("y"), F.col("method")))
+        rows = learn.soft_rows(train.unionByName(train.withColumns({c: -F.col(c) for c in x} | {"soft": 1 - F.col("soft")})), "y", "soft")
+        model = learn.scaled_logit(rows, x, "y", 0.05, weight="weight")
+        one, two = model.predict(test, "p1"), model.predict(test.withColumns({c: -F.col(c) for c in x}), "p2").select("contest_id", "p2")
+        return one.join(two, "contest_id").select("contest_id", "date", "y", learn.symmetric(F.col("p1"), F.col("p2")).alias("p"))
+
+    return each_year(design(spark, d), predict)
 
 
 @query("boosted_model")
 def boosted_model(spark, d):
-    """Boosted trees and a logistic model of the last year, and their mean."""
-    m = design(spark, d)
-    last = years_of(m)[-1]
-    return learn.trees_and_line(m.filter(F.col("year") < last), m.filter(F.col("year") == last), ["opening", *X], "y").select("contest_id", "date", "y", "p_trees", "p_line", "p")
+    """Boosted trees and a logistic model of each year from all before it, and their mean."""
+    return each_year(design(spark, d), lambda train, test: learn.trees_and_line(train, test, ["opening", *X], "y").select("contest_id", "date", "y", "p_trees", "p_line", "p"))
 
 
 @query("method_model")
 def method_model(spark, d):
-    """Shares of knockouts, submissions and decisions in the last year."""
-    m = design(spark, d)
-    last = years_of(m)[-1]
+    """Shares of knockouts, submissions and decisions in each year, from all before it."""
     label = F.when(F.col("method").isin(features.KNOCKOUT), "KO").when(F.col("method").isin(features.SUBMISSION), "SUB").when(F.col("method").isin(features.DECISION), "DEC")
-    m = m.withColumn("way", label)
-    return learn.method_shares(m.filter(F.col("year") < last), m.filter(F.col("year") == last), ["line", *X], "way", ["KO", "SUB", "DEC"]).select("contest_id", "date", "way", "p_KO", "p_SUB", "p_DEC")
+    predict = lambda train, test: learn.method_shares(train, test, ["line", *X], "way", ["KO", "SUB", "DEC"]).select("contest_id", "date", "way", "p_KO", "p_SUB", "p_DEC")
+    return each_year(design(spark, d).withColumn("way", label), predict)
 
 
 @query("prop_layer")
@@ -103,13 +107,15 @@ def prop_layer(spark, d):
 
 @query("line_movement")
 def line_movement(spark, d):
-    """Movement of the line in the last year by form and price, learned before it on mirrored rows: out-of-sample R2 and correlation."""
+    """Movement of the line in each year by form and price, learned before it on mirrored rows: out-of-sample R2 and correlation."""
     m = design(spark, d).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in X}).withColumn("moved", F.col("line") - F.col("opening"))
-    last = years_of(m)[-1]
     x = ["opening", *X]
-    beta = learn.ridge_linear(m.filter(F.col("year") < last), x, "moved", 50.0)  # mirrored rows only double all sums, as both sides change sign
-    said = m.filter(F.col("year") == last).withColumn("said", sum((F.col(c) * float(b) for c, b in zip(x, beta, strict=True)), F.lit(0.0)))
-    return said.agg(F.count("*").alias("n"), (1 - F.avg((F.col("moved") - F.col("said")) ** 2) / F.avg(F.col("moved") ** 2)).alias("r2"), F.corr("moved", "said").alias("r"))
+
+    def predict(train: DataFrame, test: DataFrame) -> DataFrame:
+        beta = learn.ridge_linear(train, x, "moved", 50.0)  # mirrored rows only double all sums, as both sides change sign
+        return test.select("year", "moved", sum((F.col(c) * float(b) for c, b in zip(x, beta, strict=True)), F.lit(0.0)).alias("said"))
+
+    return each_year(m, predict).groupBy("year").agg(F.count("*").alias("n"), (1 - F.avg((F.col("moved") - F.col("said")) ** 2) / F.avg(F.col("moved") ** 2)).alias("r2"), F.corr("moved", "said").alias("r"))
 
 
 @query("spline_scan")
@@ -144,16 +150,15 @@ def context_scan(spark, d):
 
 @query("ablation")
 def ablation(spark, d):
-    """Log loss of the last year without each group of features, all variants fitted at once."""
+    """Log loss of all years after the first without each group of features; all variants and years are fitted at once."""
     m = design(spark, d).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in X})
-    last = years_of(m)[-1]
     x = ["opening", *X]
     groups = {"nothing": [], "line": ["opening"], "form": ["d_rate", "d_n"], "rest": ["d_idle"], "price": ["d_price"]}
     variant = lambda g: F.struct(F.lit(g).alias("without"), *((F.lit(0.0) if c in groups[g] else F.col(c)).alias(c) for c in x))
     long = written(m.select("contest_id", "y", "year", F.explode(F.array(*map(variant, groups))).alias("v")).select("contest_id", "y", "year", "v.*"))
-    beta = learn.grouped_logit(long.filter(F.col("year") < last), ["without"], x, "y", 5.0)
+    beta = learn.grouped_logit(learn.with_earlier(long, "year", "cut", years_of(m)[1:]), ["without", "cut"], x, "y", 5.0).withColumnRenamed("cut", "year")
     eta = sum((F.col(c) * F.get("beta", i) for i, c in enumerate(x)), F.lit(0.0))
-    return long.filter(F.col("year") == last).join(F.broadcast(beta), "without").groupBy("without").agg(F.count("*").alias("n"), F.avg(evaluate.log_loss(F.col("y"), 1 / (1 + F.exp(-eta)))).alias("log_loss"))
+    return long.join(F.broadcast(beta), ["without", "year"]).groupBy("without").agg(F.count("*").alias("n"), F.avg(evaluate.log_loss(F.col("y"), 1 / (1 + F.exp(-eta)))).alias("log_loss"))
 
 
 @query("penalty_search")

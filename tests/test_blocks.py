@@ -214,3 +214,15 @@ def test_promotions_lose_their_numbers(spark):
     cases = {"Cage 12.5 - A vs B": "Cage", "UFC 7": "UFC", "UFC7": "UFC", "Deep #12": "Deep", "King of IX": "King of", "Titan FC": "Titan FC", "Bellator XX1": "Bellator XX", "9": ""}
     df = spark.createDataFrame(list(cases.items()), "t string, want string")
     assert {r.t: r.got for r in df.select("t", bouts.promotion("t").alias("got")).collect()} == cases
+
+
+@pytest.mark.parametrize("name", ["scaled_model", "boosted_model", "method_model"])
+def test_models_score_every_year_after_the_first(spark, name):
+    from collections import Counter
+
+    from pairloom.plans import catalog, contests
+
+    rows = contests.contests(spark, SF).filter("y IN (0, 1)").select("contest_id", "date").collect()
+    first = min(r.date.year for r in rows)
+    got = Counter(r.contest_id for r in catalog.QUERIES[name](spark, SF).select("contest_id").collect())
+    assert set(got) == {r.contest_id for r in rows if r.date.year > first} and set(got.values()) == {1}
