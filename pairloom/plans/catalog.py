@@ -560,12 +560,15 @@ def news_sentences(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.size(F.filter(s, hit)).cast("long").alias("n_notices"), F.array_max(F.transform(s, F.length)).alias("longest"))
 
 
-@query("opponent_reach", C + """, e AS (SELECT DISTINCT a_id, b_id FROM contests WHERE class = 1 AND y = 1), r AS (SELECT min(a_id) AS node, 0 AS depth FROM e), r1 AS (SELECT DISTINCT b_id AS node FROM e JOIN r ON a_id = node WHERE b_id NOT IN (SELECT node FROM r)), k1 AS (SELECT node, depth FROM r UNION ALL SELECT node, 1 FROM r1), r2 AS (SELECT DISTINCT b_id AS node FROM e JOIN r1 ON a_id = node WHERE b_id NOT IN (SELECT node FROM k1)), k2 AS (SELECT * FROM k1 UNION ALL SELECT node, 2 FROM r2),
-r3 AS (SELECT DISTINCT b_id AS node FROM e JOIN r2 ON a_id = node WHERE b_id NOT IN (SELECT node FROM k2)) SELECT node, depth::INT AS depth FROM k2 UNION ALL SELECT node, 3 FROM r3""")
+@query("opponent_reach", "WITH RECURSIVE " + CONTESTS + """, e AS (SELECT DISTINCT class, a_id, b_id FROM contests WHERE y = 1), r AS (SELECT class, min(a_id) AS node, 0 AS depth FROM e GROUP BY class UNION SELECT e.class, b_id, depth + 1 FROM e JOIN r ON e.class = r.class AND a_id = node WHERE depth < (SELECT count(DISTINCT a_id) FROM e))
+SELECT class::INT AS class, node, min(depth)::INT AS depth FROM r GROUP BY class, node""")
 def opponent_reach(spark, d):
-    """Whom a crawl over beaten opponents reaches in three rounds."""
-    e = contests(spark, d).filter("class = 1 AND y = 1").select("a_id", "b_id").distinct()
-    return joins.frontier(e, e.agg(F.min("a_id").alias("node")), "a_id", "b_id", 3)
+    """Whom a crawl over beaten opponents reaches in each class, until a round finds nobody new."""
+    place = lambda c: F.col("class").cast("long") * F.lit(1 << 40) + F.col(c)
+    e = contests(spark, d).filter("y = 1").select("class", "a_id", "b_id").distinct()
+    first = e.groupBy("class").agg(F.min("a_id").alias("a_id")).select(place("a_id").alias("node"))
+    found = joins.frontier(e.select(place("a_id").alias("a"), place("b_id").alias("b")), first, "a", "b")
+    return found.select(F.shiftright("node", 40).cast("int").alias("class"), F.col("node").bitwiseAND(F.lit((1 << 40) - 1)).alias("node"), "depth")
 
 
 @query("opponent_reach_all", "WITH RECURSIVE " + CONTESTS + """, e AS (SELECT DISTINCT a_id, b_id FROM contests WHERE y = 1), r AS (SELECT min(a_id) AS node, 0 AS depth FROM e UNION SELECT b_id, depth + 1 FROM e JOIN r ON a_id = node WHERE depth < (SELECT count(DISTINCT a_id) FROM e)) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""")
@@ -606,8 +609,8 @@ def stacked(spark, d, years=None):
 
 @query("stage_stack")
 def stage_stack(spark, d):
-    """The stack in the two years that its test allows; stage_stack_years has all."""
-    return stacked(spark, d, [1998, 1999])
+    """The stack in every year with an earlier one, with each contest's stages in order."""
+    return stacked(spark, d).orderBy("date", "contest_id", "s")
 
 
 @query("stage_stack_years")

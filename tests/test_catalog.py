@@ -51,7 +51,7 @@ def test_stage_stack_scores_each_stage_of_later_years(spark):
     r = catalog.QUERIES["stage_stack"](spark, SF).toPandas()
     assert len(r) and r.p.between(0, 1).all()
     assert not r.duplicated(["contest_id", "s"]).any()
-    assert {d.year for d in r.date} <= {1998, 1999}
+    assert len({d.year for d in r.date}) > 2 and r.date.is_monotonic_increasing
 
 
 @pytest.mark.parametrize("name, rows", [("walk_forward_logit", 1), ("stage_stack_years", 4)])
