@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.ranks import ranged, running_before
+
 
 def log_loss(y: Column, p: Column, clip: float = 1e-6) -> Column:
     q = F.greatest(F.least(p, F.lit(1 - clip)), F.lit(clip))
@@ -12,10 +14,9 @@ def log_loss(y: Column, p: Column, clip: float = 1e-6) -> Column:
 
 
 def auc(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """Area under the curve by rank sums with average ranks: scores are counted by value first, so that ties and large inputs are cheap."""
+    """Area under the curve by rank sums with average ranks: scores are counted by value first, and values are ranked in ranges."""
     v = df.groupBy(*keys, p).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = v.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running_before(v, keys, [p], "n", "before").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     pos, n = F.sum("pos"), F.sum("n")
     return ranked.groupBy(*keys).agg(((F.sum(F.col("rank") * F.col("pos")) - pos * (pos + 1) / 2) / (pos * (n - pos))).alias("auc"))
 
@@ -31,18 +32,17 @@ def scores(df: DataFrame, keys: list[str], y: str, p: str, bins: int = 10) -> Da
     return base.join(auc(d, keys, y, p), keys).join(ece, keys)
 
 
-def q_values(df: DataFrame, p: str, name: str, blocks: int = 1024) -> DataFrame:
+def q_values(df: DataFrame, p: str, name: str, blocks: int = 64) -> DataFrame:
     """Benjamini-Hochberg q-values over a table of hypotheses (one row each; ties in ``p`` in order of ``name``).
 
-    Hypotheses are ranked inside blocks of p and blocks are counted, then the least of later blocks is carried over, so that no window
-    holds more than a block or the blocks.
+    Hypotheses are ranked inside ``blocks`` ranges of about as many rows each, however close their p-values lie, and ranges are counted; then
+    the least of later ranges is carried over, so that no window holds more than a range or the ranges.
     """
-    block = F.greatest(F.least(F.floor(F.col(p) * blocks), F.lit(blocks - 1)), F.lit(0))
-    rows = df.withColumn("__b", block)
+    rows = ranged(df, [F.col(p).asc_nulls_last(), F.col(name)], blocks).withColumnRenamed("__range", "__b")
     sizes = rows.groupBy("__b").agg(F.count("*").alias("__n"))
     order = Window.orderBy("__b")
     sizes = sizes.select("__b", F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"))
-    inside = Window.partitionBy("__b").orderBy(p, name)
+    inside = Window.partitionBy("__b").orderBy(F.col(p).asc_nulls_last(), name)
     ranked = rows.join(F.broadcast(sizes), "__b").withColumn("rank", F.row_number().over(inside) + F.col("__before"))
     ranked = ranked.withColumn("__raw", F.col(p) * F.col("m") / F.col("rank"))
     least = ranked.groupBy("__b").agg(F.min("__raw").alias("__least"))

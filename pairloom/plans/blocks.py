@@ -157,10 +157,10 @@ def predictive_scores(spark, d):
 @query("z_scores", C + """, m AS (SELECT class, avg(a_price) AS m, stddev_pop(a_price) AS s FROM contests WHERE contest_id % 6 <> 0 GROUP BY class) SELECT contest_id, round(CASE WHEN contest_id % 6 <> 0 THEN (a_price - m) / s END, 6) AS z, CASE WHEN contest_id % 6 <> 0 THEN 0.0::DOUBLE END AS flat FROM contests JOIN m USING (class)""")
 def z_scores(spark, d):
     """Standardised by class; missing values stay missing, and what doesn't vary is zero."""
-    w = Window.partitionBy("class")
     c = contests(spark, d).select("contest_id", "class", F.when(F.col("contest_id") % 6 != 0, F.col("a_price")).alias("x"), F.when(F.col("contest_id") % 6 != 0, F.lit(3.0)).alias("k"))
-    z = lambda c: P.z_score(F.col(c), F.avg(c).over(w), F.stddev_pop(c).over(w))
-    return c.select("contest_id", r(z("x")).alias("z"), z("k").alias("flat"))
+    of = c.groupBy("class").agg(*(f(v).alias(f"{n}_{v}") for v in ("x", "k") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))))
+    z = lambda v: P.z_score(F.col(v), F.col(f"mean_{v}"), F.col(f"sd_{v}"))
+    return c.join(of, "class").select("contest_id", r(z("x")).alias("z"), z("k").alias("flat"))
 
 
 @query("paired_gain", C + """, g AS (SELECT class, -(y * ln(p_open) + (1 - y) * ln(1 - p_open)) + (y * ln(p_close) + (1 - y) * ln(1 - p_close)) AS g FROM contests WHERE y IN (0, 1)) SELECT class, count(*) AS n, round(avg(g), 6) AS mean, round(stddev_samp(g), 6) AS sd, round(avg(g) / stddev_samp(g) * sqrt(count(*)), 5) AS t FROM g GROUP BY class""")
