@@ -211,7 +211,7 @@ def test_markup_goes_at_any_depth(spark):
 def test_promotions_lose_their_numbers(spark):
     from pairloom.sources import bouts
 
-    cases = {"Cage 12.5 - A vs B": "Cage", "UFC 7": "UFC", "UFC7": "UFC", "Deep #12": "Deep", "King of IX": "King of", "Titan FC": "Titan FC", "Bellator XX1": "Bellator XX", "9": ""}
+    cases = {"Cage 12.5 - A vs B": "Cage", "Arena 7": "Arena", "Arena7": "Arena", "Deep #12": "Deep", "King of IX": "King of", "Titan FC": "Titan FC", "Bellator XX1": "Bellator XX", "9": ""}
     df = spark.createDataFrame(list(cases.items()), "t string, want string")
     assert {r.t: r.got for r in df.select("t", bouts.promotion("t").alias("got")).collect()} == cases
 
