@@ -99,3 +99,30 @@ def test_linked_queries_find_the_spoilt_names(spark):
     for name in ("linked_lines", "linked_quotes"):
         r = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
         assert (r.page == r.contest_id * 10).mean() > 0.95 and r.page.is_unique and r.contest_id.is_unique and len(r) > 900
+
+
+@pytest.mark.parametrize("threshold", [67.0, 85.0])
+@pytest.mark.parametrize("score", [match.ratio, match.either_ratio])
+def test_no_similar_name_is_lost(spark, threshold, score):
+    rnd = random.Random(threshold)
+
+    def near(s):
+        for _ in range(rnd.randint(0, 5)):
+            i = rnd.randint(0, len(s))
+            s = s[:i] + rnd.choice(["", "a", "- "]) + s[i + rnd.randint(0, 2) :]
+        return s
+
+    left = {"".join(rnd.choice("abc -é") for _ in range(rnd.choice([0, 1, 3, 8, 16, 16, 30]))) for _ in range(40)}
+    right = {near(s) for s in left} | {near(s) for s in left}
+    frame = lambda names: spark.createDataFrame([(s,) for s in names], "name string")
+    got = {(r.x, r.y) for r in match.similar_names(frame(left), frame(right), threshold, score).collect()}
+    assert got == {(a, b) for a in left for b in right if score(a, b) >= threshold - 1e-9}
+
+
+def test_keys_of_names_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Exploded keys have no size that Spark knows: their joins go by sort and merge, however small the names' table."""
+    plans, write = [], match.written
+    monkeypatch.setattr(match, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    names = spark.createDataFrame([("ann lee",), ("bo chan",)], "name string")
+    assert match.similar_names(names, names, 80.0).count() == 2
+    assert "SortMergeJoin" in plans[-1] and "Broadcast" not in plans[-1]
