@@ -9,7 +9,7 @@ then repeated digests are compared byte for byte: a digest that stands for two d
 repeated chunk, empty texts, single lines and empty tables pass unchanged; a null text stays null. Other columns are kept, whatever
 their names; a very long text is one row, whose chunks are held in memory.
 
-A short repeat mostly holds no complete chunk. So the pipeline's stage compares every two neighbouring lines instead.
+A short repeat mostly holds no complete chunk. So the pipeline's stage compares every two neighbouring lines that the chunks leave.
 """
 
 from __future__ import annotations
@@ -68,23 +68,37 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return c.filter(F.col("c.txt").rlike(r"[^\x20\x09-\x0D]")).select("__own", "__tx", F.md5("c.txt").alias("__key"), F.col("c.txt").alias("__txt"))
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept_text", counts: str = "line_dedup") -> DataFrame:
-    """``df`` plus ``out`` (the remaining text) and ``counts`` (n_lines, n_chunks, n_removed_chunks, n_removed_lines); names that ``df`` has already are refused."""
-    _new(df, out, counts)
-    rows = _keyed(df, doc_id, text)
+def _drops(rows: DataFrame) -> DataFrame:
+    """__own, __tx and the digests of repeated chunks that stand in an earlier document (__later) or first in this one (__here)."""
     found = _candidates(rows)
     repeated = found.groupBy("__key").agg(F.count("*").alias("n"), F.min("__own").alias("__first")).filter("n > 1").select("__key", "__first")
     # byte comparison of all copies, with map-side combining: equal least and greatest text means one text
     same = found.join(repeated, "__key").groupBy("__key", "__first").agg(F.min("__txt").alias("lo"), F.max("__txt").alias("hi")).filter("lo = hi").select("__key", "__first")
-    drops = (
+    return (
         found.select("__own", "__tx", "__key").join(same, "__key").groupBy("__own", "__tx")
         .agg(F.collect_set(F.when(F.col("__own") > F.col("__first"), F.col("__key"))).alias("__later"), F.collect_set(F.when(F.col("__own") == F.col("__first"), F.col("__key"))).alias("__here"))
     )
+
+
+def _keys() -> Column:
+    """Digests of ``__chunks`` that may be removed."""
+    return F.transform("__chunks", lambda c: F.when(c["n_lines"] >= MIN_LINES, F.md5(c["txt"])))
+
+
+def _again(keys: Column, i: Column) -> Column:
+    """Whether chunk ``i`` has come before."""
+    k = F.get(keys, i)
+    return F.coalesce(F.array_contains("__later", k) | (F.array_contains("__here", k) & (F.array_position(keys, k) < i + 1)), F.lit(False))
+
+
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept_text", counts: str = "line_dedup") -> DataFrame:
+    """``df`` plus ``out`` (the remaining text) and ``counts`` (n_lines, n_chunks, n_removed_chunks, n_removed_lines); names that ``df`` has already are refused."""
+    _new(df, out, counts)
+    rows = _keyed(df, doc_id, text)
+    drops = _drops(rows)
     # only the whole text crosses this join; its chunks are cut anew behind it
     j = rows.join(drops, ["__own", "__tx"], "left").select("*", F.explode(F.array(chunks_of(F.col("__text")))).alias("__chunks"))
-    keys = F.transform("__chunks", lambda c: F.when(c["n_lines"] >= MIN_LINES, F.md5(c["txt"])))
-    again = lambda ks, k, i: F.array_contains("__later", k) | (F.array_contains("__here", k) & (F.array_position(ks, k) < i + 1))
-    keep = _bind(keys, lambda ks: F.filter("__chunks", lambda c, i: ~F.coalesce(again(ks, F.get(ks, i), i), F.lit(False))))
+    keep = _bind(_keys(), lambda ks: F.filter("__chunks", lambda c, i: ~_again(ks, i)))
     j = j.select("*", F.explode(F.array(F.when(F.col("__later").isNull(), F.col("__chunks")).otherwise(keep))).alias("__kept"))
     lines = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["n_lines"])
     removed = F.size("__chunks") - F.size("__kept")
@@ -124,9 +138,10 @@ def _pair(lines: Column, i: Column) -> Column:
 
 
 def dedup_line_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept_text", removed: str = "n_removed_lines") -> DataFrame:
-    """``df`` plus ``out`` (the remaining text) and ``removed``: every repeat of two or more lines goes, wherever chunks would be cut.
+    """``df`` plus ``out`` (the remaining text) and ``removed``: every repeat of two or more lines goes, wherever chunks are cut.
 
-    Each two neighbouring lines with a word count by their digest. All but the first occurrence (by id, text hash and place; null ids
+    Repeated chunks go first, as in :func:`dedup_lines`. What they leave is compared by neighbouring lines, judged on the input: each two
+    with a word, not both in a chunk that went, count by their digest. All but the first occurrence (by id, text hash and place; null ids
     after all others) lose both lines, so that a longer passage goes as a chain of pairs. Rows with equal id and text keep the same
     lines. The first occurrence of a line is in no later pair, so that one copy of each line stays. Digests that stand for two
     different pairs are found byte for byte and never removed.
@@ -134,7 +149,7 @@ def dedup_line_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     _new(df, out, removed)
     lines = F.split(F.coalesce(F.col("__text"), F.lit("")), "\n")
     rows = _keyed(df, doc_id, text)
-    digests = _bind(lines, lambda ls: F.transform(F.slice(ls, 1, F.size(ls) - 1), lambda _, i: _bind(_pair(ls, i), lambda t: F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(t))))))
+    pair_digests = _bind(lines, lambda ls: F.transform(F.slice(ls, 1, F.size(ls) - 1), lambda _, i: _bind(_pair(ls, i), lambda t: F.when(t.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(t))))))
     place = F.struct("__own", "__tx", "__i")
 
     def drops(pairs: DataFrame) -> DataFrame:
@@ -143,17 +158,30 @@ def dedup_line_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         at = pairs.join(repeated.hint("merge"), "__key").groupBy("__own", "__tx")
         return materialized(at.agg(F.collect_set(F.when(place > F.col("__first"), F.col("__i"))).alias("__later"), F.collect_set(F.when(place == F.col("__first"), F.col("__i"))).alias("__here")))
 
+    def cut() -> DataFrame:
+        """__own, __tx and, for each line (__cut), whether its chunk goes."""
+        j = rows.join(_drops(rows).hint("merge"), ["__own", "__tx"]).select("*", F.explode(F.array(chunks_of(F.col("__text")))).alias("__chunks"))
+        flags = _bind(_keys(), lambda ks: F.flatten(F.transform("__chunks", lambda c, i: F.array_repeat(_again(ks, i), c["n_lines"]))))
+        return materialized(j.select("__own", "__tx", flags.alias("__cut")).filter(F.array_contains("__cut", True)).dropDuplicates(["__own", "__tx"]))
+
+    chunks = alone(cut)
+    rows = rows.join(chunks.hint("merge"), ["__own", "__tx"], "left")
+    went = lambda i: F.coalesce(F.get("__cut", i), F.lit(False))
+
     def decided() -> DataFrame:
-        pairs = materialized(rows.select("__own", "__tx", F.posexplode(digests).alias("__i", "__key")).filter("__key IS NOT NULL"))
+        pairs = rows.select("__own", "__tx", "__cut", F.posexplode(pair_digests).alias("__i", "__key"))
+        pairs = materialized(pairs.filter(F.col("__key").isNotNull() & ~(went(F.col("__i")) & went(F.col("__i") + 1))).drop("__cut"))
         at = drops(pairs)
         copies = rows.join(at.hint("merge"), ["__own", "__tx"]).select(F.explode(_bind(lines, lambda ls: F.transform(F.array_union("__later", "__here"), lambda i: _pair(ls, i)))).alias("t"))
         mixed = materialized(copies.groupBy(F.unhex(F.md5("t")).alias("__key")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("__key"))
         return at if mixed.isEmpty() else drops(pairs.join(mixed, "__key", "left_anti"))
 
     m = rows.join(alone(decided).hint("merge"), ["__own", "__tx"], "left")
-    gone = F.array_union("__later", F.transform("__later", lambda i: i + 1))
+    later = F.coalesce("__later", F.array().cast("array<int>"))
+    in_chunks = F.when(F.col("__cut").isNull(), F.array().cast("array<int>")).otherwise(F.filter(F.transform("__cut", lambda c, i: F.when(c, i)), lambda i: i.isNotNull()))
+    gone = F.array_union(F.array_union(later, F.transform(later, lambda i: i + 1)), in_chunks)
     keep = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i))
-    changed = F.size("__later") > 0
+    changed = (F.size(later) > 0) | F.col("__cut").isNotNull()
     n = F.when(changed, F.size(gone)).otherwise(0).cast("long")
     return m.select(*_back(df, text), F.when(changed, F.array_join(_bind(lines, keep), "\n")).otherwise(F.col("__text")).alias(out), n.alias(removed))
 

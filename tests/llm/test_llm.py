@@ -1,6 +1,7 @@
 """Text operators against brute-force versions on small tables with nulls, empty and repeated rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -294,3 +295,18 @@ def test_stages_leave_the_tables_of_others(spark):
         assert two.result() == d.count() > one.result() > 0
     decontaminate.stage(spark, b, SF).count()
     assert b.count() == d.count() == line_dedup.stage(spark, d, SF).count()
+
+
+def test_stage_removes_whole_chunks_and_the_lines_around_them(spark):
+    """Repeated chunks go with lines that hold no word, and what stands at their edges goes by pairs."""
+    rnd = random.Random(4)
+    lines = [rnd.choice(["", "", "", f"line {rnd.random()}"]) for _ in range(80)]
+    texts = {1: "\n".join(lines), 2: "\n".join(["new one", *lines[7:71], "new two"]), 3: "\n".join(lines)}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    chunks = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup_line_pairs(df).collect()}
+    assert got[1].kept_text == texts[1] and got[1].n_removed_lines == 0
+    # blank lines within chunks go too
+    assert got[3].kept_text.strip("\n") == "" and got[3].n_removed_lines >= chunks[3].line_dedup.n_removed_lines > 60
+    assert [w for w in got[2].kept_text.split("\n") if w] == ["new one", "new two"]
+    assert got[2].n_removed_lines >= chunks[2].line_dedup.n_removed_lines > 30
