@@ -34,6 +34,10 @@ def rounded(df: DataFrame, n: int = 6) -> DataFrame:
     return df.select(*(F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+#: Words of 64 bits in a side's bitmap of opponents.
+BITS = 32
+
+
 def w1():
     return prior.before(["id"])
 
@@ -126,7 +130,12 @@ def common_opponents(spark, d):
     met = p.select("id", "opp", "then", F.lead("then", 1, 1 << 30).over(Window.partitionBy("id", "opp").orderBy("then")).alias("upto"), F.sum("s").over(pair).alias("s"), F.sum("k").over(pair).alias("k"))
     a = met.select(F.col("id").alias("a_id"), "opp", F.col("then").alias("fa"), F.col("upto").alias("ta"), (F.col("s") / F.col("k")).alias("ma"))
     b = met.select(F.col("id").alias("b_id"), "opp", F.col("then").alias("fb"), F.col("upto").alias("tb"), (F.col("s") / F.col("k")).alias("mb"))
-    left = c.select("contest_id", "day", "a_id", "b_id").join(a, "a_id").filter((F.col("fa") < F.col("day")) & (F.col("day") <= F.col("ta")) & (F.col("opp") != F.col("b_id")) & (F.col("opp") != F.col("a_id")))
+    # most opponents of side a are strangers to side b: a bitmap of those whom b ever meets drops them before rows are shuffled once more
+    spot = F.pmod(F.xxhash64("opp"), F.lit(64 * BITS))
+    word = lambda i: F.coalesce(F.bit_or(F.when(F.floor(spot / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)).cast("int")))), F.lit(0).cast("long"))
+    known = p.groupBy(F.col("id").alias("b_id")).agg(F.array(*map(word, range(BITS))).alias("known"))
+    may_know = F.call_function("getbit", F.get("known", F.floor(spot / 64).cast("int")), F.pmod(spot, F.lit(64)).cast("int")) == 1
+    left = c.select("contest_id", "day", "a_id", "b_id").join(known, "b_id").join(a, "a_id").filter((F.col("fa") < F.col("day")) & (F.col("day") <= F.col("ta")) & (F.col("opp") != F.col("b_id")) & (F.col("opp") != F.col("a_id")) & may_know).drop("known")
     both = left.join(b, ["b_id", "opp"]).filter((F.col("fb") < F.col("day")) & (F.col("day") <= F.col("tb"))).groupBy("contest_id").agg(F.count("*").alias("n_common"), F.avg(F.col("ma") - F.col("mb")).alias("d_common"))
     h2h = c.select("contest_id", "day", F.col("a_id").alias("id"), F.col("b_id").alias("opp")).join(met, ["id", "opp"]).filter((F.col("then") < F.col("day")) & (F.col("day") <= F.col("upto"))).select("contest_id", (F.col("s") - F.col("k") * 0.5).alias("h2h"))
     return c.select("contest_id").join(both, "contest_id", "left").join(h2h, "contest_id", "left").select("contest_id", F.coalesce("n_common", F.lit(0)).alias("n_common"), r("d_common", 9).alias("d_common"), r("h2h").alias("h2h"))

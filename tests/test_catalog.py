@@ -65,3 +65,9 @@ def test_every_year_with_a_history_is_scored(spark, name, rows):
     r = catalog.QUERIES[name](spark, SF).toPandas()
     assert Counter(d.year for d in r.date) == {y: rows * n for y, n in all_rows.items()} and len(all_rows) > 2
     assert r.p.between(0, 1).all()
+
+
+def test_common_opponents_drop_strangers_before_the_second_join(spark):
+    """The rows of a side's record meet a bitmap of the other side's opponents, so that the join on opponents is not given all of them."""
+    plan = catalog.QUERIES["common_opponents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan or "bit_get" in plan
