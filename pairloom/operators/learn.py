@@ -228,13 +228,13 @@ def trees_and_line(train: DataFrame, test: DataFrame, x: list[str], y: str, c: f
     return scored.select(*test.columns, vector_to_array("probability")[1].alias("p_trees"), "p_line").withColumn("p", (F.col("p_trees") + F.col("p_line")) / 2)
 
 
-def method_shares(train: DataFrame, test: DataFrame, x: list[str], label: str, labels: list[str], c: float = 0.05) -> DataFrame:
-    """``test`` plus ``p_<label>`` for each of ``labels``: a multinomial logistic model over filled and scaled columns."""
+def method_shares(train: DataFrame, test: DataFrame, x: list[str], label: str, labels: list[str], c: float = 0.05, given: Scale | None = None) -> DataFrame:
+    """``test`` plus ``p_<label>`` for each of ``labels``: a multinomial logistic model over filled and scaled columns (``given``: their scale, if known)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    s = scale(train, x)
+    s = given or scale(train, x)
     assembler = VectorAssembler(inputCols=["z_" + k for k in x], outputCol="__x")
     number = F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1
     rows = written(assembler.transform(s.apply(train.filter(F.col(label).isin(labels)))).select("__x", number.cast("double").alias("__k")))

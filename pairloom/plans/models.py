@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators import evaluate, features, inference, learn, staking
+from pairloom.operators import evaluate, features, inference, learn, packed, staking
 from pairloom.plans.blocks import kind
 from pairloom.plans.catalog import C, QUERIES, query, r
 from pairloom.plans.contests import contests
@@ -64,17 +66,29 @@ def each_year(m: DataFrame, predict: Callable[[DataFrame, DataFrame], DataFrame]
 
 @query("scaled_model")
 def scaled_model(spark, d):
-    """Filled, scaled and softly labelled logistic model of each year from all before it, both orientations averaged."""
-    x = ["opening", *X]
+    """Filled, scaled and softly labelled logistic model of each year from all before it, both orientations averaged.
 
-    def predict(train: DataFrame, test: DataFrame) -> DataFrame:
-        train = train.withColumn("soft", features.soft_label(F.col("y"), F.col("method")))
-        rows = learn.soft_rows(train.unionByName(train.withColumns({c: -F.col(c) for c in x} | {"soft": 1 - F.col("soft")})), "y", "soft")
-        model = learn.scaled_logit(rows, x, "y", 0.05, weight="weight")
-        one, two = model.predict(test, "p1"), model.predict(test.withColumns({c: -F.col(c) for c in x}), "p2").select("contest_id", "p2")
-        return one.join(two, "contest_id").select("contest_id", "date", "y", learn.symmetric(F.col("p1"), F.col("p2")).alias("p"))
+    With its mirror image each row leaves medians, means and the intercept at zero and counts twice, so that the images need not be made,
+    and both orientations predict the same. A row whose label is soft is two rows in the deviations.
+    """
+    x, m = ["opening", *X], design(spark, d)
+    n, cuts = len(x), years_of(m)[1:]
+    blocks = packed.packed(m.withColumn("soft", features.soft_label(F.col("y"), F.col("method"))), "year", [*x, "soft"])
+
+    def squares(year: int, b):
+        for c, cut in enumerate(cuts):
+            if year < cut:
+                copies = 1.0 + ((b[n] > 0) & (b[n] < 1))
+                yield c, np.append((copies * np.nan_to_num(b[:n]) ** 2).sum(axis=1), copies.sum())
+
+    got = packed.summed(blocks, squares, n + 1)
+    scales = {cut: learn.Scale(x, [0.0] * n, [0.0] * n, [(got[c].get(i, 0.0) / got[c][n]) ** 0.5 for i in range(n)]) for c, cut in enumerate(cuts)}
+
+    def rows(year: int, b):
+        yield from ((cut, packed.scaled(scales[cut], b[:n]), b[n], 2.0, 0.0) for cut in cuts if year < cut)
 
-    return each_year(design(spark, d), predict)
+    beta = packed.logits(blocks, n + 1, rows, cuts, np.full(n, 1 / 0.05))
+    return packed.score(m, "year", {cut: (scales[cut], beta[cut]) for cut in cuts}, x, "p").select("contest_id", "date", "y", "p")
 
 
 @query("boosted_model")
