@@ -93,8 +93,21 @@ def scaled_model(spark, d):
 
 @query("boosted_model")
 def boosted_model(spark, d):
-    """Boosted trees and a logistic model of each year from all before it, and their mean."""
-    return each_year(design(spark, d), lambda train, test: learn.trees_and_line(train, test, ["opening", *X], "y").select("contest_id", "date", "y", "p_trees", "p_line", "p"))
+    """Boosted trees and a logistic model of each year from all before it, and their mean. All years are learned at once."""
+    x, m = ["opening", *X], design(spark, d)
+    n, cuts = len(x), years_of(m)[1:]
+    blocks = packed.packed(m, "year", [*x, "y", "contest_id"])
+    scales = packed.scales(blocks, n + 2, list(range(n)), x, cuts)
+
+    def rows(year: int, b):
+        yield from ((cut, np.vstack([packed.scaled(scales[cut], b[:n]), np.ones(b.shape[1])]), b[n], 1.0, 0.0) for cut in cuts if year < cut)
+
+    beta = packed.logits(blocks, n + 2, rows, cuts, np.array([1 / 0.05] * n + [0.0]))
+    fills = {cut: s.medians for cut, s in scales.items()}
+    trees = packed.boosted(blocks, n + 2, n + 1, n, list(range(n)), fills)
+    scored = packed.score(m, "year", {cut: (scales[cut], beta[cut]) for cut in cuts}, x, "p_line")
+    scored = scored.withColumn("p_trees", packed.boosted_share(trees, fills)("year", *x))
+    return scored.select("contest_id", "date", "y", "p_trees", "p_line", ((F.col("p_trees") + F.col("p_line")) / 2).alias("p"))
 
 
 @query("method_model")
