@@ -114,8 +114,11 @@ def boosted_model(spark, d):
 def method_model(spark, d):
     """Shares of knockouts, submissions and decisions in each year, from all before it."""
     label = F.when(F.col("method").isin(features.KNOCKOUT), "KO").when(F.col("method").isin(features.SUBMISSION), "SUB").when(F.col("method").isin(features.DECISION), "DEC")
-    predict = lambda train, test: learn.method_shares(train, test, ["line", *X], "way", ["KO", "SUB", "DEC"]).select("contest_id", "date", "way", "p_KO", "p_SUB", "p_DEC")
-    return each_year(design(spark, d).withColumn("way", label), predict)
+    x, m = ["line", *X], design(spark, d).withColumn("way", label)
+    years = years_of(m)
+    scales = packed.scales(packed.packed(m, "year", x), len(x), list(range(len(x))), x, years[1:])
+    predict = lambda cut: learn.method_shares(m.filter(F.col("year") < cut), m.filter(F.col("year") == cut), x, "way", ["KO", "SUB", "DEC"], given=scales.get(cut)).select("contest_id", "date", "way", "p_KO", "p_SUB", "p_DEC")
+    return reduce(DataFrame.unionByName, map(predict, years[1:])) if len(years) > 1 else m.limit(0).select("contest_id", "date", "way", *(F.lit(None).cast("double").alias(c) for c in ("p_KO", "p_SUB", "p_DEC")))
 
 
 @query("prop_layer")
