@@ -152,20 +152,31 @@ def line_movement(spark, d):
 def spline_scan(spark, d):
     """Each feature alone as a smooth curve over the line: log loss gained on the last two years. All features are fitted at once."""
     m = design(spark, d)
-    knots = {c: list(v) for c, v in zip(X, m.agg(*(F.percentile(c, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias(c) for c in X)).first(), strict=True)}
-    usable = [c for c in X if knots[c] and all(a < b for a, b in zip(knots[c], knots[c][1:], strict=False))]
-    size = len(learn.spline_basis(F.lit(0.0), [0.0, 1.0, 2.0, 3.0, 4.0]))
-    one = lambda c: F.struct(F.lit(c).alias("feature"), *(b.alias(f"b{i}") for i, b in enumerate(learn.spline_basis(F.col(c), knots[c]))))
-    names = [f"b{i}" for i in range(size)]
-    late = F.col("year") >= years_of(m)[-1] - 1
+    years = years_of(m)
+    blocks = packed.packed(m, "year", ["y", "line", *X])
+    found = packed.quantiles(blocks, len(X) + 2, lambda _, b: enumerate(b[2:]), [0.0, 0.25, 0.5, 0.75, 1.0])
+    usable = [i for i in found if all(a < b for a, b in zip(found[i], found[i][1:], strict=False))]
+    empty = spark.createDataFrame([], "feature string, n long, gain double")
     if not usable:
-        return spark.createDataFrame([], "feature string, n long, gain double")
-    long = written(m.select("y", "line", late.alias("late"), F.explode(F.array(*map(one, usable))).alias("f")).select("y", "line", "late", "f.*").na.drop())
-    beta = learn.grouped_logit(long.filter("NOT late"), ["feature"], names, "y", 5.0, offset="line")
-    eta = sum((F.col(c) * F.get("beta", i) for i, c in enumerate(names)), F.col("line"))
-    null = 1 / (1 + F.exp(-F.col("line")))
-    gain = evaluate.log_loss(F.col("y"), null) - evaluate.log_loss(F.col("y"), 1 / (1 + F.exp(-eta)))
-    return long.filter("late").join(F.broadcast(beta), "feature").groupBy("feature").agg(F.count("*").alias("n"), F.avg(gain).alias("gain"))
+        return empty
+    size = len(packed.splines(np.zeros(1), found[usable[0]]))
+
+    def rows(year: int, b, late: bool = False):
+        if (year >= years[-1] - 1) == late:
+            for i in usable:
+                y, line, x = b[[0, 1, i + 2]][:, ~np.isnan(b[:2]).any(axis=0)]
+                yield i, packed.splines(np.where(np.isnan(x), found[i][-1], x), found[i]), y, 1.0, line  # not known: counts as the last knot, as in the columns' basis
+
+    beta = packed.logits(blocks, len(X) + 2, rows, usable, np.full(size, 5.0), rounds=30)
+
+    def gains(year: int, b):
+        loss = lambda y, eta: -np.log(np.clip(np.where(y == 1, 1 / (1 + np.exp(-eta)), 1 - 1 / (1 + np.exp(-eta))), 1e-6, 1 - 1e-6))
+        yield from ((i, np.array([len(y), (loss(y, line) - loss(y, beta[i] @ x + line)).sum(), 0])) for i, x, y, _, line in rows(year, b, True))
+        yield from ((i, np.array([0, 0, len(y)])) for i, _, y, _, _ in rows(year, b))
+
+    sums = packed.summed(blocks, gains, len(X) + 2)
+    got = [(X[i], int(v[0]), v.get(1, 0.0) / v[0]) for i, v in sorted(sums.items()) if v.get(0) and v.get(2)]
+    return spark.createDataFrame(got, empty.schema)
 
 
 @query("context_scan")
