@@ -195,11 +195,16 @@ def ablation(spark, d):
     m = design(spark, d).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in X})
     x = ["opening", *X]
     groups = {"nothing": [], "line": ["opening"], "form": ["d_rate", "d_n"], "rest": ["d_idle"], "price": ["d_price"]}
-    variant = lambda g: F.struct(F.lit(g).alias("without"), *((F.lit(0.0) if c in groups[g] else F.col(c)).alias(c) for c in x))
-    long = written(m.select("contest_id", "y", "year", F.explode(F.array(*map(variant, groups))).alias("v")).select("contest_id", "y", "year", "v.*"))
-    beta = learn.grouped_logit(learn.with_earlier(long, "year", "cut", years_of(m)[1:]), ["without", "cut"], x, "y", 5.0).withColumnRenamed("cut", "year")
-    eta = sum((F.col(c) * F.get("beta", i) for i, c in enumerate(x)), F.lit(0.0))
-    return long.join(F.broadcast(beta), ["without", "year"]).groupBy("without").agg(F.count("*").alias("n"), F.avg(evaluate.log_loss(F.col("y"), 1 / (1 + F.exp(-eta)))).alias("log_loss"))
+    blocks, cuts = packed.packed(m, "year", [*x, "y"]), years_of(m)[1:]
+    kept = [np.array([[c not in g] for c in x], float) for g in groups.values()]
+
+    def rows(year: int, b):
+        yield from ((v * len(cuts) + c, b[:-1] * keep, b[-1], 1.0, 0.0) for v, keep in enumerate(kept) for c, cut in enumerate(cuts) if year < cut)
+
+    beta = packed.logits(blocks, len(x) + 1, rows, list(range(len(kept) * len(cuts))), np.full(len(x), 5.0), rounds=30)
+    table = spark.createDataFrame([(g, cut, beta[v * len(cuts) + c].tolist()) for v, g in enumerate(groups) for c, cut in enumerate(cuts)], "without string, year int, beta array<double>")
+    eta = sum((F.col(c) * F.get("beta", F.lit(i)) for i, c in enumerate(x)), F.lit(0.0))  # what a variant leaves out has a coefficient of zero
+    return m.join(F.broadcast(table), "year").groupBy("without").agg(F.count("*").alias("n"), F.avg(evaluate.log_loss(F.col("y"), 1 / (1 + F.exp(-eta)))).alias("log_loss"))
 
 
 @query("penalty_search")
