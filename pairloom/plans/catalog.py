@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators import evaluate, folds, joins, learn, match, prior, sides, staking
+from pairloom.operators import evaluate, folds, joins, learn, match, packed, prior, sides, staking
 from pairloom.plans.contests import CONTESTS, contests, participants, table
 from pairloom.tables import written
 
@@ -607,16 +608,23 @@ def stacked(spark, d, years=None):
     """A stack of line and ratings over stages of a line, with interactions, learned without an intercept on mirrored rows before each year (default: all after the first)."""
     form = QUERIES["prior_form"](spark, d).select("contest_id", F.coalesce("d_rate", F.lit(0.0)).alias("model"))
     c = contests(spark, d).filter(F.col("y").isin(0.0, 1.0)).join(form, "contest_id")
-    k = F.col("s")
-    m = c.select("contest_id", "date", "y", "model", "p_open", "p_close", F.explode(F.array(*(F.lit(i / 9) for i in (0, 3, 6, 9)))).alias("s"))
-    m = m.select("contest_id", "date", "y", "s", staking.logit(F.col("p_open") + (F.col("p_close") - F.col("p_open")) * k).alias("line"), "model")
-    m = m.select("*", (F.col("line") * k).alias("line_s"), (F.col("model") * k).alias("model_s"))
-    x = ["line", "model", "line_s", "model_s"]
-
-    def predict(train: DataFrame, test: DataFrame) -> DataFrame:
-        return test.select("contest_id", "s", "date", "y", learn.score_logit(x, learn.ridge_logit(learn.mirrored(train, x, "y"), x, "y", 0.1)).alias("p"))
-
-    return learn.walk_forward(m, "date", years or learn.later_years(m, "date"), predict)
+    stages = [i / 9 for i in (0, 3, 6, 9)]
+    lines = [f"line{i}" for i in range(len(stages))]
+    m = written(c.select("contest_id", "date", F.year("date").alias("year"), "y", "model", *(staking.logit(F.col("p_open") + (F.col("p_close") - F.col("p_open")) * k).alias(n) for n, k in zip(lines, stages, strict=True))))
+    years = years or learn.later_years(m, "date")
+    # a row's mirror image only doubles what the row gives, and its stages are made in each pass
+    x = lambda line, model, k: (line, model, line * k, model * k)
+
+    def rows(year: int, b):
+        for cut in years:
+            if year < cut:
+                yield from ((cut, np.stack(x(line, b[1], k)), b[0], 2.0, 0.0) for line, k in zip(b[2:], stages, strict=True))
+
+    beta = packed.logits(packed.packed(m, "year", ["y", "model", *lines]), len(lines) + 2, rows, years, np.full(4, 0.1))
+    table = spark.createDataFrame([(y, b.tolist()) for y, b in beta.items()], "year int, beta array<double>")
+    long = m.join(F.broadcast(table), "year").select("contest_id", "date", "y", "model", "beta", F.explode(F.array(*(F.struct(F.lit(k).alias("s"), F.col(n).alias("line")) for n, k in zip(lines, stages, strict=True)))).alias("l")).select("*", "l.*")
+    eta = sum((c * F.get("beta", F.lit(i)) for i, c in enumerate(x(F.col("line"), F.col("model"), F.col("s")))), F.lit(0.0))
+    return long.select("contest_id", "s", "date", "y", (1 / (1 + F.exp(-eta))).alias("p"))
 
 
 @query("stage_stack")

@@ -70,7 +70,7 @@ def test_a_tree_is_the_best_one(rows):
     assert tree[1] == [best] and np.allclose(tree[2], [y[bins <= best].mean(), y[bins > best].mean()])
 
 
-@pytest.mark.parametrize("name, jobs", [("boosted_model", 320), ("scaled_model", 60), ("spline_scan", 70), ("ablation", 60)])
+@pytest.mark.parametrize("name, jobs", [("boosted_model", 320), ("scaled_model", 60), ("spline_scan", 70), ("ablation", 60), ("stage_stack_years", 60)])
 def test_a_pass_serves_all_years_at_once(spark, name, jobs):
     """Jobs follow the passes of one model, not the number of years, and no aggregate gathers a column's values."""
     from pairloom.plans import catalog
