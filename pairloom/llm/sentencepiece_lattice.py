@@ -2,11 +2,11 @@
 
 A text (null: empty) gets a leading space, spaces become ``▁``, and it is cut into fragments at places that no piece of the
 vocabulary spans, so that the best path of a text is the best paths of its fragments one after the other. Substrings of a fragment are
-exploded, up to the longest piece that begins with the same three characters, and equi-joined to the piece table (bounded, checked,
-broadcast); the edges of a fragment are grouped, and a fold over them in order of their ends keeps the best score for each position:
-Viterbi over the sum of piece scores, ties going to the longer last piece. Characters that no piece covers cost the least score minus
-10 and become byte pieces. Long fragments are exploded in parts of ``PART`` starts, and their fold keeps the last scores and one edge
-for each position, in blocks, instead of whole paths, so that a word of 100,000 letters and more is no special case.
+exploded, up to the longest piece that begins with the same four characters, and equi-joined to the piece table (bounded, checked,
+broadcast); the edges of a fragment are grouped, and a fold over them in order of their ends keeps the best score for each
+position: Viterbi over the sum of piece scores, ties going to the longer last piece. All fragments of a bucket take a step at a time,
+as arrays; what lies behind the first ``LONG`` characters, 100,000 letters and more, is folded for one at a time. Characters that no piece
+covers cost the least score minus 10 and become byte pieces. Long fragments are exploded in parts of ``PART`` starts.
 
 Texts are dealt once, compressed, to blocks of about ``BLOCK_BYTES``, whose number follows the input. ``REGION`` blocks form a region,
 and a region's different fragments are dealt to buckets: packed words go out for each block and bucket, each different word of a
@@ -24,7 +24,8 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,8 @@ TEXTS_AT_ONCE = 128
 #: Bytes of text that a task holds before it deals them.
 PACK_BYTES = 16 << 20
 LETTERS = r"[\p{L}\p{M}]"
-#: Starts of a fragment that are exploded from one row; edges up to which a fold keeps whole paths.
-PART, FEW_EDGES = 1024, 2048
+#: Starts of a fragment that are exploded from one row; characters of fragments that are folded side by side.
+PART, LONG = 1024, 200
 #: From here on an edge's code is a character without a piece.
 UNKNOWN = 1 << 22
 
@@ -90,20 +91,19 @@ def fragments(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
 
 
-def encode_fragments(words: DataFrame, model: str = MODEL, keys: tuple[str, ...] = ("word",)) -> DataFrame:
-    """Distinct ``keys`` (with ``word``, not empty) plus ``ids`` array<int>, the pieces on the best path."""
+def lattice_edges(words: DataFrame, model: str = MODEL, keys: tuple[str, ...] = ("word",)) -> DataFrame:
+    """``keys`` (distinct, with ``word``, not empty) and ``edges``, in any order: one for each piece at each place of a word, and for each character."""
     import pandas as pd  # on the driver only: the tasks' processes do without it
 
     spark = words.sparkSession
-    pieces, byte_ids, _ = read_model(model)
+    pieces, _, _ = read_model(model)
     longest = max(len(p) for p, _, _ in pieces)
-    unknown = min(s for _, _, s in pieces) - UNKNOWN_PENALTY
     reach: dict[str, int] = {}
     for p, _, _ in pieces:
-        if len(p) > 2:
-            reach[p[:3]] = max(len(p), reach.get(p[:3], 0))
+        if len(p) > 3:
+            reach[p[:4]] = max(len(p), reach.get(p[:4], 0))
     vocabulary = spark.createDataFrame(pd.DataFrame([p[:2] for p in pieces], columns=["__sub", "id"]), "__sub string, id int")
-    beginnings = spark.createDataFrame(pd.DataFrame(list(reach.items()) or [("", 0)], columns=["__three", "reach"]), "__three string, reach int")
+    beginnings = spark.createDataFrame(pd.DataFrame(list(reach.items()) or [("", 0)], columns=["__four", "reach"]), "__four string, reach int")
     if len(pieces) <= MAX_BROADCAST_PIECES:
         vocabulary, beginnings = F.broadcast(vocabulary), F.broadcast(beginnings)
     n_chars = F.length("word")
@@ -112,94 +112,93 @@ def encode_fragments(words: DataFrame, model: str = MODEL, keys: tuple[str, ...]
     parts = parts.select(*keys, "k", F.col("word").substr(part + 1, F.lit(PART + longest - 1)).alias("part"), F.least(F.lit(PART), n_chars - part).alias("own"))
     at = parts.select(*keys, "k", "part", F.explode(F.sequence(F.lit(1), "own")).alias("s"))
     at = at.select(*keys, (part + F.col("s") - 1).alias("b"), F.col("part").substr(F.col("s"), F.lit(longest)).alias("w"))
-    at = at.join(beginnings, at["w"].substr(1, 3) == F.col("__three"), "left")
-    spans = at.select(*keys, "b", "w", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), F.length("w")))).alias("n"))
+    at = at.join(beginnings, at["w"].substr(1, 4) == F.col("__four"), "left")
+    spans = at.select(*keys, "b", "w", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(3)), F.length("w")))).alias("n"))
     subs = spans.select(*keys, "b", "n", F.col("w").substr(F.lit(1), F.col("n")).alias("__sub"))
     edges = subs.join(vocabulary, "__sub", "left").filter("id IS NOT NULL OR n = 1")
     # an edge is one number: its end, its length (longer ones first) and its piece or character
     code = F.coalesce(F.col("id"), F.ascii("__sub") + UNKNOWN).cast("long")
     edge = F.shiftleft((F.col("b") + F.col("n")).cast("long"), 32).bitwiseOR(F.shiftleft((255 - F.col("n")).cast("long"), 24)).bitwiseOR(code)
-    grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    known = {i: s for _, i, s in pieces}
-    scores = F.split(F.lit(",".join(repr(known.get(i, unknown)) for i in range(max(known) + 1))), ",").cast("array<double>")
-    path = F.when(F.size("edges") <= FEW_EDGES, _short_path(F.col("edges"), scores, unknown)).otherwise(_long_path(F.col("edges"), scores, unknown, longest))
-    bound = grouped.select(*keys, F.explode(F.array(path)).alias("path"))
-    byte_table = F.array(*(F.lit(i) for i in byte_ids))
-    spelled = F.flatten(F.transform("path", lambda i: F.when(i < UNKNOWN, F.array(i)).otherwise(F.transform(_utf8(i - UNKNOWN), lambda x: F.get(byte_table, x)))))
-    return bound.select(*keys, F.when(F.array_max("path") >= UNKNOWN, spelled).otherwise(F.col("path")).alias("ids"))
-
-
-def _utf8(point: Column) -> Column:
-    """The bytes of a code point."""
-    tail = lambda k: F.shiftright(point, 6 * k).bitwiseAND(F.lit(63)) + 128
-    head = lambda k, mark: F.shiftright(point, 6 * k) + mark
-    return (
-        F.when(point < 0x80, F.array(point))
-        .when(point < 0x800, F.array(head(1, 0xC0), tail(0)))
-        .when(point < 0x10000, F.array(head(2, 0xE0), tail(1), tail(0)))
-        .otherwise(F.array(head(3, 0xF0), tail(2), tail(1), tail(0)))
-    )
-
-
-def _edge(x: Column) -> tuple[Column, Column, Column]:
-    """End, begin and code of an edge."""
-    e = F.shiftright(x, 32).cast("int")
-    return e, e - 255 + F.shiftright(x, 24).bitwiseAND(F.lit(255)).cast("int"), x.bitwiseAND(F.lit(0xFFFFFF)).cast("int")
-
-
-def _short_path(edges: Column, scores: Column, unknown: float) -> Column:
-    """State: for each position from 0 the best score and the codes on the way there. Edges come in order of their ends, so that an end is either new or the last one known."""
-    node = lambda score, path: F.struct(score.alias("score"), path.alias("path"))
-
-    def step(best: Column, x: Column) -> Column:
-        e, b, i = _edge(x)
-        score = F.get(best, b)["score"] + F.coalesce(F.get(scores, i), F.lit(unknown))
-        new = F.array(node(score, F.concat(F.get(best, b)["path"], F.array(i))))
-        return F.when(e == F.size(best), F.concat(best, new)).when(score > F.get(best, e)["score"], F.concat(F.slice(best, F.lit(1), e), new)).otherwise(best)
-
-    return F.element_at(F.aggregate(edges, F.array(node(F.lit(0.0), F.array().cast("array<int>"))), step), -1)["path"]
-
-
-def _long_path(edges: Column, scores: Column, unknown: float, longest: int) -> Column:
-    """As ``_short_path`` in blocks of edges: the state is the scores of the last positions and the edges that were best when they came; then a fold from the end follows them."""
-    longs, ints, doubles = "array<bigint>", "array<int>", "array<double>"
-    bind = lambda value, use: F.transform(F.array(value), use)[0]
-    size = F.greatest(F.lit(256), F.ceil(F.sqrt(F.size(edges).cast("double")))).cast("int")
-    numbers = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / size).cast("int"))
-    state = lambda first, near, kept: F.struct(first.alias("first"), near.alias("near"), kept.alias("kept"))
-
-    def step(a: Column, x: Column) -> Column:
-        e, b, i = _edge(x)
-        at, known = e - a["first"], F.size(a["near"])
-        score = F.get(a["near"], b - a["first"]) + F.coalesce(F.get(scores, i), F.lit(unknown))
-        better = (at == known) | (score > F.get(a["near"], at))
-        return F.when(better, state(a["first"], F.concat(F.slice(a["near"], F.lit(1), at), F.array(score)), F.concat(a["kept"], F.array(x)))).otherwise(a)
-
-    def block(a: Column, k: Column) -> Column:
-        got = F.aggregate(F.slice(edges, k * size + 1, size), state(a["first"], a["near"], F.array().cast(longs)), step)
-        gone = lambda r: F.greatest(F.lit(0), F.size(r["near"]) - longest)
-        return bind(got, lambda r: state(r["first"] + gone(r), F.slice(r["near"], gone(r) + 1, F.lit(longest)), F.concat(a["kept"], F.array(r["kept"]))))
+    return edges.groupBy(*keys).agg(F.collect_list(edge).alias("edges"))
 
-    kept = F.aggregate(numbers, state(F.lit(0), F.array(F.lit(0.0)).cast(doubles), F.array().cast(f"array<{longs}>")), block)["kept"]
-    way = lambda at, codes: F.struct(at.alias("at"), codes.alias("codes"))
 
-    def follow(a: Column, x: Column) -> Column:
-        e, b, i = _edge(x)
-        return F.when(e == a["at"], way(b, F.concat(a["codes"], F.array(i)))).otherwise(a)
-
-    def back(a: Column, xs: Column) -> Column:
-        return bind(F.aggregate(F.reverse(xs), way(a["at"], F.array().cast(ints)), follow), lambda r: way(r["at"], F.concat(a["codes"], F.array(r["codes"]))))
-
-    end = F.shiftright(F.element_at(edges, -1), 32).cast("int")
-    return F.reverse(F.flatten(F.aggregate(F.reverse(kept), way(end, F.array().cast(f"array<{ints}>")), back)["codes"]))
-
-
-class Numbers(dict):
-    """Numbers its keys in the order in which they are first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
+@lru_cache(maxsize=4)
+def _scores(model: str) -> tuple[np.ndarray, float, np.ndarray]:
+    """Scores by id, the score of a character without a piece, and the ids of the 256 byte pieces."""
+    pieces, byte_ids, _ = read_model(model)
+    unknown = min(s for _, _, s in pieces) - UNKNOWN_PENALTY
+    scores = np.full(max(i for _, i, _ in pieces) + 1, unknown)
+    scores[[i for _, i, _ in pieces]] = [s for _, _, s in pieces]
+    return scores, unknown, np.array(byte_ids, np.int32)
+
+
+def best_paths(lattice: pa.Table, model: str = MODEL) -> tuple[pa.ListArray, int]:
+    """The pieces on the best path of each word, in order of ``__nth``, from ``edges``; and how many words there are."""
+    lists = lattice["edges"].combine_chunks()
+    nth, edges = np.repeat(lattice["__nth"].to_numpy(), lists.value_lengths()), np.asarray(lists.flatten())
+    if not len(nth):
+        return _lists(pa.array([], pa.int32()), np.zeros(1, np.int64)), 0
+    scores, unknown, byte_ids = _scores(model)
+    # by ends, then words, longer ones first; a bucket's characters fit into far fewer bits than 55
+    order = np.argsort(edges >> 32 << int(nth.max()).bit_length() + 8 | nth.astype(np.int64) << 8 | edges >> 24 & 255)
+    nth, edges = nth[order], edges[order]
+    end, length, code = edges >> 32, 255 - (edges >> 24 & 255), edges & 0xFFFFFF
+    gain = np.where(code < UNKNOWN, scores[np.minimum(code, len(scores) - 1)], unknown)
+    sizes = np.zeros(int(nth.max()) + 1, np.int64)
+    sizes[nth] = end  # the last one stays
+    # a node for each position of each word, from 0
+    roots, n_nodes = _ends(sizes + 1)[:-1], int((sizes + 1).sum())
+    to = roots[nth] + end
+    best, back = np.zeros(n_nodes), np.zeros(n_nodes, np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(end[: np.searchsorted(end, LONG, "right")], prepend=0)), np.searchsorted(end, LONG, "right")).tolist()
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        nodes = to[i:j]
+        score = best[nodes - length[i:j]] + gain[i:j]
+        new = np.diff(nodes, prepend=-1) > 0
+        starts = np.flatnonzero(new)
+        top = np.maximum.reduceat(score, starts)
+        group = np.cumsum(new) - 1
+        hits = np.flatnonzero(score == top[group])
+        hits = hits[np.diff(group[hits], prepend=-1) > 0]
+        best[nodes[starts]], back[nodes[starts]] = top, hits + i
+    late = np.arange(cuts[-1], len(end))
+    late = late[np.argsort(nth[late], kind="stable")]
+    for ks in np.split(late, np.flatnonzero(np.diff(nth[late])) + 1) if len(late) else []:
+        root = int(roots[nth[ks[0]]])
+        known, ways = best[root : root + LONG + 1].tolist(), []
+        for k, e, n, g in zip(ks.tolist(), end[ks].tolist(), length[ks].tolist(), gain[ks].tolist(), strict=True):
+            score = known[e - n] + g
+            if e == len(known):
+                known.append(score)
+                ways.append(k)
+            elif score > known[e]:
+                known[e], ways[-1] = score, k
+        back[root + LONG + 1 : root + LONG + 1 + len(ways)] = ways
+    taken, now, left = np.zeros(len(edges), bool), roots + sizes, np.flatnonzero(sizes)
+    while len(left):
+        if len(left) <= 8:  # long words
+            for w in left.tolist():
+                node, root = int(now[w]), int(roots[w])
+                while node > root:
+                    k = int(back[node])
+                    taken[k] = True
+                    node -= int(length[k])
+            break
+        ways = back[now[left]]
+        taken[ways] = True
+        now[left] -= length[ways]
+        left = left[now[left] > roots[left]]
+    taken = np.flatnonzero(taken)
+    taken = taken[np.argsort(nth[taken], kind="stable")]
+    code, nth = code[taken], nth[taken]
+    # characters without a piece are spelled in bytes
+    odd = code >= UNKNOWN
+    points = code[odd] - UNKNOWN
+    n = np.ones(len(code), np.int64)
+    n[odd] = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    ids, spelled = np.repeat(code, n).astype(np.int32), np.repeat(odd, n)
+    ids[spelled] = byte_ids[np.frombuffer("".join(map(chr, points.tolist())).encode(errors="surrogatepass"), np.uint8)]
+    return _lists(pa.array(ids), _ends(np.bincount(nth, n, len(sizes)).astype(np.int64))), int((sizes > 0).sum())
 
 
 class Cut:
@@ -235,13 +234,18 @@ class Cut:
         return letters + rest + blank, [MARK + u for u in letters] + found + [MARK * (len(u) + 1) for u in blank]
 
     def buckets(self, fragments: list[str], n: int) -> dict[int, list[str]]:
-        """Different fragments by bucket, sorted."""
-        words = sorted(set(fragments))
-        of = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.uint32, len(words)) % n
-        order = np.argsort(of, kind="stable")
-        cuts = np.flatnonzero(np.diff(of[order], prepend=n)).tolist() + [len(words)]
+        """Different fragments by bucket, in an order of their own, whatever the order in which they come."""
+        words = list(set(fragments))
+        crc = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.int64, len(words))
+        of = crc % n
+        order = np.argsort(of << 32 | crc)
+        crc, of = crc[order], of[order]
         placed = list(map(words.__getitem__, order.tolist()))
-        return {int(of[order[i]]): placed[i:j] for i, j in zip(cuts, cuts[1:], strict=False)}
+        for i in np.flatnonzero(np.diff(crc) == 0).tolist()[::-1]:  # a run of equal ones is sorted from its end on
+            j = i + int((crc[i : i + 100] == crc[i]).sum())
+            placed[i:j] = sorted(placed[i:j])
+        cuts = np.flatnonzero(np.diff(of, prepend=-1)).tolist() + [len(words)]
+        return {int(of[i]): placed[i:j] for i, j in zip(cuts, cuts[1:], strict=False)}
 
 
 def _squeezed(data: bytes) -> bytes:
@@ -331,24 +335,28 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
-def _answers(packs: pa.Table, lattice: pa.Table) -> pa.Table:
+def _answers(model: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """For each pack of words their pieces in the same order: how many each has, and all of them, compressed."""
-    words = [_unpacked_words(w, n) for w, n in zip(packs["__words"].to_pylist(), packs["__size"].to_pylist(), strict=True)]
-    nth = {w: i for i, w in enumerate(sorted(set().union(*words)))}
-    if len(nth) != lattice.num_rows:
-        raise ValueError(f"{len(nth)} words, but {lattice.num_rows} paths")
-    lists = lattice.take(pa.array(np.argsort(lattice["__nth"].to_numpy())))["ids"].combine_chunks()
-    counts, sizes, data = [], [], []
-    for ws in words:
-        got = lists.take(pa.array(np.fromiter(map(nth.__getitem__, ws), np.int64, len(ws))))
-        both = np.concatenate([np.asarray(got.value_lengths()), np.asarray(got.flatten())]).astype(np.int32)
-        # bytes of equal weight lie together, which compresses well
-        raw = np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes()
-        counts.append(len(ws))
-        sizes.append(len(raw))
-        data.append(_squeezed(raw))
-    pa.default_memory_pool().release_unused()
-    return pa.table({"__for": packs["__block"], "__bucket": packs["__bucket"], "__count": pa.array(counts, pa.int32()), "__size": pa.array(sizes, pa.int32()), "__ids": pa.array(data, pa.binary())})
+
+    def run(packs: pa.Table, lattice: pa.Table) -> pa.Table:
+        words = [_unpacked_words(w, n) for w, n in zip(packs["__words"].to_pylist(), packs["__size"].to_pylist(), strict=True)]
+        nth = {w: i for i, w in enumerate(sorted(set().union(*words)))}
+        paths, n_paths = best_paths(lattice, model)
+        if len(nth) != n_paths:
+            raise ValueError(f"{len(nth)} words, but {n_paths} paths")
+        counts, sizes, data = [], [], []
+        for ws in words:
+            got = paths.take(pa.array(np.fromiter(map(nth.__getitem__, ws), np.int64, len(ws))))
+            both = np.concatenate([np.asarray(got.value_lengths()), np.asarray(got.flatten())]).astype(np.int32)
+            # bytes of equal weight lie together, which compresses well
+            raw = np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes()
+            counts.append(len(ws))
+            sizes.append(len(raw))
+            data.append(_squeezed(raw))
+        pa.default_memory_pool().release_unused()
+        return pa.table({"__for": packs["__block"], "__bucket": packs["__bucket"], "__count": pa.array(counts, pa.int32()), "__size": pa.array(sizes, pa.int32()), "__ids": pa.array(data, pa.binary())})
+
+    return run
 
 
 def _piece_bytes(model: str) -> pa.Array:
@@ -371,14 +379,20 @@ def _ends(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
-def _assemble(model: str, buckets: int, pieces: pa.Array | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _assemble(model: str, buckets: int, and_decode: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Pieces of a block's texts: of its different fragments, then of its different units, then of its texts, by taking lists at once."""
 
     def glue(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        cut = Cut(model)
+        cut, pieces = Cut(model), _piece_bytes(model) if and_decode else None
         packs = list(zip(texts["__keys"], texts["__sizes"].to_pylist(), texts["__packed"].to_pylist(), strict=True))
-        numbers = Numbers()
-        rows = [np.fromiter(map(numbers.__getitem__, us), np.int32, len(us)) for _, sizes, packed in packs for part in _unpacked(sizes, packed) for us in map(cut.units, part)]
+        numbers: dict[str, int] = {}
+        parts = []  # the numbers of all units of some texts, and where each text ends
+        for _, sizes, packed in packs:
+            for part in map(list, map(partial(map, cut.units), _unpacked(sizes, packed))):
+                units = list(chain.from_iterable(part))
+                for u in set(units).difference(numbers):
+                    numbers[u] = len(numbers)
+                parts.append((np.fromiter(map(numbers.__getitem__, units), np.int32, len(units)), _ends(np.fromiter(map(len, part), np.int64, len(part)))))
         order, fragments = cut.fragments(numbers)
         given = {b: (n, s, x) for b, n, s, x in zip(*(answers[c].to_pylist() for c in ("__bucket", "__count", "__size", "__ids")), strict=True)}
         first = texts["__block"][0].as_py() // REGION * buckets
@@ -409,13 +423,12 @@ def _assemble(model: str, buckets: int, pieces: pa.Array | None) -> Callable[[pa
         place = np.empty(len(order), np.int64)
         place[np.fromiter(map(numbers.__getitem__, order), np.int64, len(order))] = np.arange(len(order))
         del row, words, order, numbers, fragments, flat, given
-        out, done = [], 0
+        out, done = [], iter(parts)
         for keys, sizes, _ in packs:
             for at in range(0, len(sizes), TEXTS_AT_ONCE):
-                part = rows[done : done + min(TEXTS_AT_ONCE, len(sizes) - at)]
-                done += len(part)
-                flat, marks = place[np.concatenate(part)], _ends(np.array([len(r) for r in part]))
-                found = {"__key": keys.values.slice(at, len(part)), "ids": _lists(lists.take(pa.array(flat)).flatten(), _ends(size[flat])[marks])}
+                units, marks = next(done)
+                flat = place[units]
+                found = {"__key": keys.values.slice(at, len(marks) - 1), "ids": _lists(lists.take(pa.array(flat)).flatten(), _ends(size[flat])[marks])}
                 out.append(pa.table(found if pieces is None else found | {"decoded": _texts(as_bytes, pa.array(flat), marks)}))
         pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
@@ -436,10 +449,10 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", model: str =
     texts = df.select(key_.alias("__key"), t.alias("__text"), F.pmod(F.xxhash64(key_, t), F.lit(n)).cast("int").alias("__block"))
     dealt = texts.mapInArrow(_pack, f"__block int, __keys array<{key_type}>, __sizes array<int>, __packed binary").repartition(n, "__block")
     words = dealt.mapInArrow(_words_of_blocks(model, buckets), "__block int, __bucket int, __size int, __words binary").repartition(total, "__bucket")
-    lattice = encode_fragments(words.mapInArrow(_different, "__of int, __nth int, word string").repartition(total, "__of"), model, ("__of", "__nth"))
-    answers = words.groupBy("__bucket").cogroup(lattice.groupBy("__of")).applyInArrow(_answers, "__for int, __bucket int, __count int, __size int, __ids binary")
+    lattice = lattice_edges(words.mapInArrow(_different, "__of int, __nth int, word string").repartition(total, "__of"), model, ("__of", "__nth"))
+    answers = words.groupBy("__bucket").cogroup(lattice.groupBy("__of")).applyInArrow(_answers(model), "__for int, __bucket int, __count int, __size int, __ids binary")
     glued = dealt.groupBy("__block").cogroup(answers.groupBy("__for")).applyInArrow(
-        _assemble(model, buckets, _piece_bytes(model) if and_decode else None), f"__key {key_type}, ids array<int>" + ", decoded string" * and_decode
+        _assemble(model, buckets, and_decode), f"__key {key_type}, ids array<int>" + ", decoded string" * and_decode
     )
     return glued.withColumnRenamed("__key", key)
 

@@ -113,6 +113,29 @@ def test_a_word_of_100000_letters_is_encoded(spark):
     assert got[1].ids == ids[::-1]
 
 
+def test_no_plan_of_the_lattice_holds_the_model(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert len(sentencepiece_lattice.encode(df, and_decode=True)._jdf.queryExecution().toString()) < 100_000
+
+
+def test_best_paths_of_many_words_equal_a_plain_loop(spark):
+    at = sentencepiece_lattice.LONG
+    words = ["▁" + "ab" * at, "▁日本語🙂é", "x" * (at - 1), "the" * (at // 3), "y" * (at + 1), "▁" + "information" * 40, "▁", "a", "e\u0301\u0301", "\x00\x7f\x80", "▁international"]
+    rows = spark.createDataFrame(list(enumerate(words)), "__nth int, word string")
+    got, n = sentencepiece_lattice.best_paths(sentencepiece_lattice.lattice_edges(rows, keys=("__nth",)).toArrow())
+    pieces, byte_ids, _ = sentencepiece_lattice.read_model()
+    table, least = {p: (i, s) for p, i, s in pieces}, min(s for _, _, s in pieces) - sentencepiece_lattice.UNKNOWN_PENALTY
+    assert n == len(words)
+    for w, ids in zip(words, got.to_pylist(), strict=True):
+        best, back = [0.0], [[]]
+        for e in range(1, len(w) + 1):
+            ways = [(b, *table.get(w[b:e], ([byte_ids[x] for x in w[b:e].encode()], least))) for b in range(max(0, e - 16), e) if w[b:e] in table or b == e - 1]
+            b, i, s = max(ways, key=lambda x: best[x[0]] + x[2])  # the first of equal ones: the longest
+            best.append(best[b] + s)
+            back.append(back[b] + (i if isinstance(i, list) else [i]))
+        assert ids == back[-1]
+
+
 def test_secrets_are_told_from_look_alikes_on_findings_not_learned_from(spark):
     model = secret_scan.fit(secret_scan.labelled_findings(spark))
     fresh = secret_scan.labelled_findings(spark, 2000, first=10_000).withColumn("doc_id", F.monotonically_increasing_id())
