@@ -1,8 +1,9 @@
 """A bankroll along its bets: stakes that follow what it holds, lead days until bets settle, caps, least stakes, deposits and ruin.
 
-Each stake depends on all results before it, so that a path is one fold. A task gets its paths' rows sorted by day and folds them as they
-stream by: it holds one day's bets and the days that have not settled yet, however long the path is. Different paths (scenarios, and
-the values of ``keys``) run side by side.
+Each stake depends on all results before it, so that a path is one fold. A day's bets of equal units have equal stakes, so that their
+number and the sum of their gains stand for them: rows are summed up by day and units before they are dealt to systems and sorted. A
+task gets its paths' rows sorted by day and folds them as they stream by: it holds one day's rows and the days that have not settled
+yet, however long the path is. Different paths (scenarios, and the values of ``keys``) run side by side.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Products of stakes beyond this leave the range of doubles.
+ENDLESS = 1e290
+
 
 @dataclass(frozen=True)
 class System:
@@ -25,7 +29,8 @@ class System:
     A day's bets are placed ``lead`` days ahead, when only days that ended before that have settled. ``unit`` says what one unit is worth
     at a bankroll; stakes are cut at ``most``, and left out below ``least``; if a day's stakes are more than the cash that is not tied
     up, all are scaled down to it. ``deposit`` is added at the start of each calendar month after the first (at its first day with bets,
-    for all months since). Below ``ruin`` when bets are to be placed, it is over.
+    for all months since). Below ``ruin`` when bets are to be placed, it is over. A bankroll above ``ENDLESS`` counts as infinite and
+    places no more; cash below a billionth of the bankroll is rounding.
     """
 
     start: float
@@ -77,8 +82,8 @@ class Path:
             self.lowest, self.highest = min(self.lowest, self.held), max(self.highest, self.held)
             self.down = max(self.down, 1 - self.held / self.highest)
 
-    def day(self, day: int, month: int, units: np.ndarray, gains: np.ndarray) -> None:
-        """``gains``: profit for each unit staked."""
+    def day(self, day: int, month: int, units: np.ndarray, counts: np.ndarray, gains: np.ndarray) -> None:
+        """``counts``: bets of so many units; ``gains``: sum of their profits for each unit staked."""
         s = self.system
         if self.ruined:
             return
@@ -90,19 +95,23 @@ class Path:
         if self.held < s.ruin:
             self.ruined = True
             return
+        if self.held > ENDLESS:
+            self.held = self.highest = math.inf
+            self.open.clear()
+            return
         cash = self.held - sum(stake for _, stake, _ in self.open)
         stakes = units * s.unit(self.held)
         if s.most is not None:
             stakes = np.minimum(stakes, s.most)
         keep = stakes >= s.least
-        stakes, gains = stakes[keep], gains[keep]
-        total = float(stakes.sum())
-        if total <= 0 or cash <= 0:
+        stakes, counts, gains = stakes[keep], counts[keep], gains[keep]
+        total = float((stakes * counts).sum())
+        if total <= 0 or cash <= 1e-9 * self.held:
             return
         if total > cash:
-            stakes, total = stakes * cash / total, cash
+            stakes, total = stakes * (cash / total), cash
         self.open.append((day, total, float((stakes * gains).sum())))
-        self.bets += len(stakes)
+        self.bets += int(counts.sum())
         self.staked += total
 
     def end(self) -> dict[str, object]:
@@ -118,12 +127,13 @@ def bankrolls(bets: DataFrame, systems: dict[str, System], keys: list[str], day:
     """
     kinds = {f.name: f.dataType.simpleString() for f in bets.schema}
     rows = bets.select(*keys, F.col(day).cast("int").alias("__day"), F.col(month).cast("int").alias("__month"), F.col(units).cast("double").alias("__units"), F.col(gain).cast("double").alias("__gain")).dropna(subset=["__day", "__month", "__units", "__gain"])
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, systems))).alias("system")).repartition(*keys, "system").sortWithinPartitions(*keys, "system", "__day", "__units", "__gain")
+    rows = rows.groupBy(*keys, "__day", "__month", "__units").agg(F.count("*").alias("__n"), F.sum("__gain").alias("__gain"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, systems))).alias("system")).repartition(*keys, "system").sortWithinPartitions(*keys, "system", "__day", "__month", "__units")
     path_keys = [*keys, "system"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = path = today = None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def close_day() -> None:
             if held:
@@ -150,7 +160,7 @@ def bankrolls(bets: DataFrame, systems: dict[str, System], keys: list[str], day:
                 if today is None or not held or days[i] != today[0]:
                     close_day()
                     today = int(days[i]), int(months[i])
-                held.append((b["__units"].to_numpy()[i:j], b["__gain"].to_numpy()[i:j]))
+                held.append(tuple(b[c].to_numpy()[i:j] for c in ("__units", "__n", "__gain")))
         if path is not None:
             yield result()
 

@@ -70,3 +70,17 @@ def test_query_has_a_row_for_each_path(spark):
 
     r = catalog.QUERIES["bankroll_systems"](spark, "/root/testdata/sf0.001").toPandas()
     assert len(r) == 50 and r.bets.gt(0).all() and r.down.between(0, 2).all()
+
+
+def test_a_bankroll_beyond_1e155_keeps_growing_and_one_beyond_doubles_is_infinite(spark):
+    rows = spark.createDataFrame([(k, day, 0, 300.0, gain) for k, days in (("a", 200), ("b", 400)) for day in range(days) for gain in (9.0, 7.0, -1.0)], "k string, day int, month int, units double, gain double")
+    got = {r.k: r for r in bankroll.bankrolls(rows, {"hundreds": bankroll.System(100.0, bankroll.whole_hundreds)}, ["k"], "day", "month", "units", "gain").collect()}
+    assert got["a"].final == pytest.approx(100 * 6.0**200, rel=1e-9) and got["a"].bets == 600
+    assert got["b"].final == float("inf") and not got["b"].ruined
+
+
+def test_a_path_gets_a_row_for_a_days_equal_units(spark):
+    rows = spark.range(5000).selectExpr("cast(id % 3 as int) AS day", "0 AS month", "double(id % 2) AS units", "double(id % 5) - 1 AS gain")
+    done = bankroll.bankrolls(rows, {"flat": bankroll.System(1e6, bankroll.one)}, [], "day", "month", "units", "gain")
+    assert "HashAggregate" in done._jdf.queryExecution().executedPlan().toString()
+    assert [r.bets for r in done.collect()] == [5000]
