@@ -103,11 +103,7 @@ def market_lines(spark, d):
     spark_text = F.array_join(F.concat(F.array_repeat(F.lit("1.25"), (k % 7).cast("int")), F.array(last.cast("string"))), ",")
     raw = c.select(spelled_day("date", k).alias("date"), F.concat(F.lit("u"), "a_id").alias("f1_url"), F.concat(F.lit("u"), "b_id").alias("f2_url"), F.concat(F.lit("+"), 100 + k % 200).alias("f1_open"), F.concat(F.lit("−"), 100 + k % 150).alias("f2_open"), F.lit("-110").alias("f1_close"), F.lit("").alias("f2_close"), spark_text.alias("spark"))
     m = bouts.lines(raw)
-    n = c.groupBy("date", F.concat(F.lit("u"), F.least(F.col("a_id").cast("string"), F.col("b_id").cast("string"))).alias("f1_url"), F.concat(F.lit("u"), F.greatest(F.col("a_id").cast("string"), F.col("b_id").cast("string"))).alias("f2_url")).agg(F.count("*").alias("n_rows"))
-    openings = raw.select(P.any_date("date").alias("date"), F.least("f1_url", "f2_url").alias("f1_url"), F.greatest("f1_url", "f2_url").alias("f2_url"), F.when(F.col("f1_url") <= F.col("f2_url"), P.signed_int("f1_open")).otherwise(P.signed_int("f2_open")).alias("o"))
-    one = openings.groupBy("date", "f1_url", "f2_url").agg(F.count_distinct("o").alias("n"), F.min("o").alias("o"))
-    j = m.join(n, ["date", "f1_url", "f2_url"]).join(one, ["date", "f1_url", "f2_url"])
-    return j.select("date", "f1_url", "f2_url", "n_rows", "f1_last", "f2_last", "n_spark", F.when((F.col("n") == 1) & (F.col("o") == F.col("f1_open")), True).alias("one_open"))
+    return m.select("date", "f1_url", "f2_url", "n_rows", "f1_last", "f2_last", "n_spark", F.when(F.col("one_open") & F.col("f1_open").isNotNull(), True).alias("one_open"))
 
 
 @query("line_stages", C + """SELECT contest_id, CASE WHEN abs(p_close - p_open) < 0.003 THEN 0 ELSE least(greatest(1 - (contest_id % 40) / 28.0::DOUBLE, 1 / 9.0::DOUBLE), 1) END::DOUBLE AS stage FROM contests""")

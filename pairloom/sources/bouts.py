@@ -82,7 +82,8 @@ def lines(raw: DataFrame) -> DataFrame:
     """One row for each date and pair of pages, oriented by the lesser lower-cased url.
 
     ``raw`` has date, and for each side f1, f2: _url, _open, _close (American odds) and ``spark`` (prices of f1, joined by commas). Rows
-    of both pages collapse: of each value the first that is known, rows in order of their own text.
+    of both pages collapse: of each value the first that is known, rows in order of their own text. ``n_rows`` is how many there were,
+    and ``one_open`` whether all known openings of f1 are one number.
     """
     r = raw.filter("f1_url IS NOT NULL AND f2_url IS NOT NULL").withColumn("swap", F.lower("f1_url") > F.lower("f2_url"))
     side = lambda k, c: F.when(F.col("swap"), F.col(f"f{3 - k}_{c}")).otherwise(F.col(f"f{k}_{c}"))
@@ -93,8 +94,9 @@ def lines(raw: DataFrame) -> DataFrame:
     )
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__order"))).alias(c)
     odds = [P.signed_int(f"f{k}_{c}").alias(f"f{k}_{c}") for c in ("open", "close") for k in (1, 2)]
-    g = o.groupBy("date", "f1_url", "f2_url").agg(*(first(f"f{k}_{c}") for c in ("open", "close") for k in (1, 2)), F.max("f1_last").alias("f1_last"), F.max("f2_last").alias("f2_last"), F.max("n_spark").alias("n_spark"))
-    return g.select("date", "f1_url", "f2_url", *odds, "f1_last", "f2_last", "n_spark")
+    opened = P.signed_int("f1_open")
+    g = o.groupBy("date", "f1_url", "f2_url").agg(*(first(f"f{k}_{c}") for c in ("open", "close") for k in (1, 2)), F.max("f1_last").alias("f1_last"), F.max("f2_last").alias("f2_last"), F.max("n_spark").alias("n_spark"), F.count("*").alias("n_rows"), (F.min(opened) == F.max(opened)).alias("one_open"))
+    return g.select("date", "f1_url", "f2_url", *odds, "f1_last", "f2_last", "n_spark", "n_rows", "one_open")
 
 
 def line_stage(days: Column, now: Column, opened: Column, horizon: float = 28.0, stages: int = 9, still: float = 0.003) -> Column:
