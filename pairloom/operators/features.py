@@ -62,14 +62,19 @@ def history(rows: DataFrame, events: DataFrame, keys: list[str], day: str, aggs:
     return found.filter("__row IS NOT NULL").select("__row.*", *aggs)
 
 
-def running(events: DataFrame, keys: list[str], day: str, order: list[str], res: str, last: int = 5) -> DataFrame:
-    """keys, day and ``state`` (streak, mean of the last results, last result) after each day's known results: for ``history`` to pick the latest of."""
+def states(events: DataFrame, keys: list[str], day: str, order: list[str], res: str, last: int = 5) -> DataFrame:
+    """The events of known result plus ``state`` (number, streak, mean of the last results, last result) after each."""
     o = Window.partitionBy(*keys).orderBy(day, *order)
-    k = events.filter(F.col(res).isNotNull()).select(*keys, day, F.col(res).alias("r"), F.row_number().over(o).alias("i"), F.avg(res).over(o.rowsBetween(1 - last, 0)).alias("mean"))
-    upto = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    broken = lambda v: F.coalesce(F.max(F.when(F.col("r") != v, F.col("i"))).over(upto), F.lit(0))
-    run = F.when(F.col("r") == 1, F.col("i") - broken(1)).when(F.col("r") == 0, broken(0) - F.col("i")).otherwise(0)
-    return k.select(*keys, day, F.struct("i", run.alias("streak"), "mean", F.col("r").alias("last")).alias("state")).groupBy(*keys, day).agg(F.max("state").alias("state"))
+    k = events.filter(F.col(res).isNotNull()).withColumns({"__i": F.row_number().over(o), "__mean": F.avg(res).over(o.rowsBetween(1 - last, 0))})
+    upto = Window.partitionBy(*keys).orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    broken = lambda v: F.coalesce(F.max(F.when(F.col(res) != v, F.col("__i"))).over(upto), F.lit(0))
+    run = F.when(F.col(res) == 1, F.col("__i") - broken(1)).when(F.col(res) == 0, broken(0) - F.col("__i")).otherwise(0)
+    return k.withColumn("state", F.struct(F.col("__i").alias("i"), run.alias("streak"), F.col("__mean").alias("mean"), F.col(res).alias("last"))).drop("__i", "__mean")
+
+
+def running(events: DataFrame, keys: list[str], day: str, order: list[str], res: str, last: int = 5) -> DataFrame:
+    """keys, day and ``state`` after each day's known results: for ``history`` to pick the latest of."""
+    return states(events, keys, day, order, res, last).groupBy(*keys, day).agg(F.max("state").alias("state"))
 
 
 def weighted(value: Column, weight: Column, w, k: float) -> Column:

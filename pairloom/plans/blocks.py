@@ -55,22 +55,24 @@ round(coalesce(sum(CASE WHEN (ko OR sub) AND res = 1 THEN 1 ELSE 0 END), 0) / gr
 def record_block(spark, d):
     """A side's record up to four days before: counts, rates, form, and wins over those who had been in the top class by then."""
     p = participants(contests(spark, d))
-    rec = p.select("id", "opp", "day", "res", (F.col("method") == "R").alias("ko"), (F.col("method") == "A").alias("sub"), (F.col("class") == 1).alias("top"))
-    rows = p.select("contest_id", "side", "id", "day")
+    rec = p.select("contest_id", "side", "id", "opp", "day", "res", (F.col("method") == "R").alias("ko"), (F.col("method") == "A").alias("sub"), (F.col("class") == 1).alias("top"))
     won = F.col("res") == 1
     some = lambda c: F.coalesce(c, F.lit(0))
-    count = lambda c: lambda w: some(F.sum(F.when(c, 1).otherwise(0)).over(w))
-    base = features.history(rows, rec, ["id"], "day", {
-        "n": lambda w: some(F.sum(F.when(F.col("top").isNotNull(), 1)).over(w)), "wins": count(won), "decided": count(F.col("res").isin(0.0, 1.0)), "ko_wins": count(F.col("ko") & won), "finishes": count((F.col("ko") | F.col("sub")) & won),
-        "other_n": count(~F.col("top")), "first": lambda w: F.min(F.when(F.col("top").isNotNull(), F.col("day"))).over(w), "latest": lambda w: F.max(F.when(F.col("top").isNotNull(), F.col("day"))).over(w),
-        "n_2y": lambda w: some(F.sum(F.when(F.col("top").isNotNull(), 1)).over(Window.partitionBy("id").orderBy("day").rangeBetween(-729, -4))),
-    }, guard=4)
+    count = lambda c: some(F.sum(F.when(c, 1).otherwise(0)).over(w))
     # a win counts from the day on which the beaten side had been in the top class, if that is later
     debut = rec.filter("top").groupBy(F.col("id").alias("opp")).agg(F.min("day").alias("first_top"))
     beaten = rec.filter(won).join(debut, "opp").select("id", F.greatest("day", "first_top").alias("day"), F.lit(1).alias("one"))
-    top = features.history(rows, beaten, ["id"], "day", {"top_wins": lambda w: some(F.sum("one").over(w))}, guard=4)
-    form = features.history(rows, features.running(rec, ["id"], "day", ["opp", "ko", "sub", "res"], "res"), ["id"], "day", {"s": lambda w: F.max(F.when(F.col("state").isNotNull(), F.struct("day", "state"))).over(w)}, guard=4)
-    j = base.join(top, ["contest_id", "side", "id", "day"]).join(form, ["contest_id", "side", "id", "day"])
+    # rows are their own events, so that they go through one window; only wins that count later are rows of their own
+    known = features.states(rec, ["id"], "day", ["opp", "ko", "sub", "res"], "res")
+    events = known.unionByName(rec.filter("res IS NULL"), allowMissingColumns=True).drop("opp").unionByName(beaten, allowMissingColumns=True)
+    w, older = prior.before(["id"], guard=4), prior.before(["id"], guard=730)
+    fought = F.col("contest_id").isNotNull()
+    n = lambda w: some(F.sum(F.when(fought, 1)).over(w))
+    latest = F.max(F.when(F.col("state").isNotNull(), F.struct("day", "state"))).over(w)
+    j = events.select(
+        "contest_id", "side", "day", n(w).alias("n"), count(won).alias("wins"), count(F.col("res").isin(0.0, 1.0)).alias("decided"), count(F.col("ko") & won).alias("ko_wins"), count((F.col("ko") | F.col("sub")) & won).alias("finishes"),
+        count(~F.col("top")).alias("other_n"), F.min(F.when(fought, F.col("day"))).over(w).alias("first"), F.max(F.when(fought, F.col("day"))).over(w).alias("latest"), (n(w) - n(older)).alias("n_2y"), some(F.sum("one").over(w)).alias("top_wins"), latest.alias("s"),
+    ).filter(fought)
     return j.select(
         "contest_id", "side", F.col("n").cast("long").alias("n"), F.col("wins").cast("long").alias("wins"), r((F.col("wins") + 1) / (F.col("decided") + 2)).alias("winrate"), F.col("ko_wins").cast("long").alias("ko_wins"), r(F.col("finishes") / F.greatest("wins", F.lit(1))).alias("finish_rate"),
         F.col("other_n").cast("long").alias("other_n"), r(F.when(F.col("n") > 0, (F.col("day") - F.col("first")) / 365.25).otherwise(0.0)).alias("years"), (F.col("day") - F.col("latest")).alias("idle"), F.col("n_2y").cast("long").alias("n_2y"), F.col("top_wins").cast("long").alias("top_wins"),
