@@ -12,7 +12,8 @@ All n-grams are exploded into rows and summed by hash aggregation, with one prun
 rarest pair of words in it at most. So pairs are counted first, by a hash of two bytes more than it takes to number all words, and
 phrases are exploded from each word on as far as the hashes of all their pairs are frequent; then they are counted as they are, so that a
 hash that several pairs share lets some more rows through and changes nothing. The frequent hashes are broadcast if they are
-``BROADCAST_ROWS`` at most, which is counted first; beyond that, rows meet them in shuffled joins, which split hot keys. Sums combine
+``BROADCAST_ROWS`` at most, which is counted first; beyond that, the first bits of each are broadcast, as a map of ``2**MAP_BITS`` bits
+whatever their number: it lets some more rows through, and no row is shuffled before it is counted. Sums combine
 before the shuffle, so that a phrase that holds a third of all rows is one row of each task. Ranks are taken in two steps, by a hash of
 the phrase and then of what is left, so that no task ranks all candidates of a language.
 
@@ -22,6 +23,8 @@ in its task; empty tables give empty results.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from pairloom.llm.common import column, materialized, release, table
 MAX_N, LEAST, KEEP, TOP = 5, 100, 100, 2000
 #: Hashes (numbers) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
+#: Bits of the map of hashes (32 MB), and of a row of it.
+MAP_BITS, ROW_BITS = 28, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,6 +64,20 @@ def _pair(x: Column, y: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64("lang", x, y), 64 - bits)
 
 
+def _bit_map(hot: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """block, words: a map in which the first bits of each hash are set, as a written table; and how many bits those are."""
+    width = min(bits, MAP_BITS)
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        at = rows["at"].to_numpy(np.int64).astype(np.uint64)
+        words = np.zeros(1 << ROW_BITS - 6, np.uint64)
+        np.bitwise_or.at(words, (at >> np.uint64(6)) & np.uint64(len(words) - 1), np.uint64(1) << (at & np.uint64(63)))
+        return pd.DataFrame({"block": [int(at[0]) >> ROW_BITS], "words": [words.view(np.int64)]})
+
+    at = hot.select(F.shiftrightunsigned("pair", bits - width).alias("at")).distinct()
+    return materialized(at.groupBy(F.shiftright("at", ROW_BITS).alias("b")).applyInPandas(block, "block long, words array<long>")), width
+
+
 def frequent(parts: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFrame:
     """lang, phrase, m, f of all phrases of up to ``max_n`` words that occur ``least`` times, from :func:`pieces`; a written table."""
     ws = F.split("piece", " ")
@@ -68,20 +87,28 @@ def frequent(parts: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> DataFr
     bits = min(64, 16 + int(parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).bit_length())
     hot = _hot_pairs(parts, bits, least)
     small = hot.count() <= BROADCAST_ROWS
+    bit_map, width = (None, bits) if small else _bit_map(hot, bits)
     grams = parts.filter("n > 1").select("lang", ws.alias("w"))
     grams = grams.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, F.lit(max_n)))).alias("g"))
     for k in range(max_n - 1):
         x, y = F.get("g", F.lit(k)), F.get("g", F.lit(k + 1))
         grams = grams.withColumn(f"p{k}", F.when(y.isNotNull(), _pair(x, y, bits)))
-        keys = hot.select(F.col("pair").alias(f"p{k}"), *([F.lit(True).alias(f"in{k}")] if k else []))
-        grams = grams.join(F.broadcast(keys) if small else keys.hint("merge"), f"p{k}", "left" if k else "left_semi")
+        if small:
+            keys = hot.select(F.col("pair").alias(f"p{k}"), *([F.lit(True).alias(f"in{k}")] if k else []))
+            grams = grams.join(F.broadcast(keys), f"p{k}", "left" if k else "left_semi")
+            continue
+        grams = grams.withColumn(f"p{k}", F.shiftrightunsigned(f"p{k}", bits - width))
+        rows = F.broadcast(bit_map.select(F.col("block").alias(f"b{k}"), F.col("words").alias(f"w{k}")))
+        grams = grams.join(rows, F.shiftright(f"p{k}", ROW_BITS) == F.col(f"b{k}"), "left" if k else "inner")
+        isin = F.expr(f"coalesce((shiftrightunsigned(get(w{k}, cast(shiftright(p{k}, 6) & {(1 << ROW_BITS - 6) - 1} AS int)), cast(p{k} & 63 AS int)) & 1) = 1, false)")
+        grams = (grams.withColumn(f"in{k}", isin) if k else grams.filter(isin)).drop(f"b{k}", f"w{k}", f"p{k}")
     # words from the first one on, as far as all pairs are frequent
     reach = F.lit(max_n)
     for k in reversed(range(1, max_n - 1)):
         reach = F.when(F.col(f"in{k}"), reach).otherwise(F.lit(k + 1))
     phrases = F.transform(F.sequence(F.lit(2), reach), lambda m: F.array_join(F.slice("g", 1, m), " "))
     found = _counted(grams.select("lang", F.explode(phrases).alias("phrase")), F.size(F.split("phrase", " ")), least)
-    release(hot)
+    release(hot, *([] if small else [bit_map]))
     return _united(words, found)
 
 

@@ -53,6 +53,22 @@ def test_is_the_plain_count(spark, monkeypatch, max_n, least, keep, top, rows):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+@pytest.mark.parametrize("bits", [3, 9, 28])
+def test_many_frequent_pairs_are_a_map_of_bits(spark, monkeypatch, bits):
+    """Beyond what is broadcast as rows, grams are not shuffled to meet the frequent pairs; a map with too few bits changes nothing."""
+    plans, write = [], collocations.materialized
+    monkeypatch.setattr(collocations, "materialized", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(collocations, "MAP_BITS", bits)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string").repartition(3)
+    parts = collocations.pieces(df)
+    plans.clear()
+    freq = {(r.lang, r.phrase): r.f for r in collocations.frequent(parts, 5, 5).collect()}
+    assert not any("SortMergeJoin" in p for p in plans) and any(p.count("BroadcastHashJoin") >= 4 for p in plans)
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 500_000)
+    assert freq == {(r.lang, r.phrase): r.f for r in collocations.frequent(parts, 5, 5).collect()} and len(freq) > 20
+
+
 def test_scores_pass_64_bits(spark):
     """A product beyond 2**63 over another one, against whole numbers of Python."""
     a, n, left, right = 3 * 10**12 + 7, 10**13 + 9, 4 * 10**12 + 1, 5 * 10**12 + 3
