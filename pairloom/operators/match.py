@@ -260,6 +260,16 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: float, score: Ca
     return out
 
 
+def _by_name(l: DataFrame, r: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame, str]:  # noqa: E741
+    """Rows of both sides, one for each of their names and, on the side with more different names, for each similar one of the other side; and the column in which they meet."""
+    mine = l.select("*", F.explode(F.array_distinct(F.array("a1", "a2"))).alias("x"))
+    theirs = r.select("*", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("y"))
+    names = near.agg(F.count_distinct("x").alias("x"), F.count_distinct("y").alias("y")).first()
+    if names.y > names.x:
+        return mine, theirs.join(near.hint("merge"), "y").drop("y"), "x"
+    return mine.join(near.hint("merge"), "x").drop("x"), theirs, "y"
+
+
 def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, when: str = "date", names: tuple[str, str] = ("n1", "n2"), days: int = 1, threshold: float = 80.0, penalty: float = 2.0, weak: float | None = None, strong: float = 92.0, score: Callable[[str | None, str | None], float] = token_sort_ratio, undated_from: Column | str | None = None, undated_penalty: float = 5.0) -> DataFrame:
     """left_id, right_id, score of the best right row within ``days`` whose names match in either order, ``penalty`` lost for each day apart.
 
@@ -277,18 +287,17 @@ def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, when: s
     r = right.select(F.col(right_id).alias("__r"), text(names[0]).alias("b1"), text(names[1]).alias("b2"), F.col(when).alias("__d"))
     either = lambda df, one, two, out: df.select(F.explode(F.array(one, two)).alias(out))
     near = similar_names(either(l, "a1", "a2", "x"), either(r, "b1", "b2", "y"), threshold if weak is None else min(threshold, strong), score)
-    mine = l.select("*", F.explode(F.array_distinct(F.array("a1", "a2"))).alias("x")).join(near.hint("merge"), "x").drop("x")
-    theirs = r.select("*", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("y"))
+    mine, theirs, name = _by_name(l, r, near)
     # the days around a right row lie in two stretches of that many days at most, and a left row in one
     stretch = lambda day: F.floor(day / (2 * days + 1))
-    dated = theirs.select("__r", "b1", "b2", "y", F.unix_date(F.to_date("__d")).alias("__e"))
+    dated = theirs.select("__r", "b1", "b2", name, F.unix_date(F.to_date("__d")).alias("__e"))
     dated = dated.select("*", F.explode(F.array_distinct(F.array(stretch(F.col("__e") - days), stretch(F.col("__e") + days)))).alias("__s"))
     apart = F.abs(F.col("__f") - F.col("__e"))
-    pairs = mine.withColumn("__f", F.unix_date(F.to_date("__d"))).withColumn("__s", stretch(F.col("__f"))).join(dated.hint("merge"), ["__s", "y"]).filter(apart <= days)
+    pairs = mine.withColumn("__f", F.unix_date(F.to_date("__d"))).withColumn("__s", stretch(F.col("__f"))).join(dated.hint("merge"), ["__s", name]).filter(apart <= days)
     pairs = pairs.select("__l", "a1", "a2", "__r", "b1", "b2", (penalty * apart).alias("loss"))
     if undated_from is not None:
         free = theirs.filter("__d IS NULL").drop("__d").hint("merge")
-        pairs = pairs.unionByName(mine.filter(F.col("__d") >= (F.to_date(F.lit(undated_from)) if isinstance(undated_from, str) else undated_from)).join(free, "y").select("__l", "a1", "a2", "__r", "b1", "b2", F.lit(float(undated_penalty)).alias("loss")))
+        pairs = pairs.unionByName(mine.filter(F.col("__d") >= (F.to_date(F.lit(undated_from)) if isinstance(undated_from, str) else undated_from)).join(free, name).select("__l", "a1", "a2", "__r", "b1", "b2", F.lit(float(undated_penalty)).alias("loss")))
     s = pairs.distinct().withColumn("__v", _of_rows(score)("a1", "a2", "b1", "b2")).select("__l", "__r", (F.col("__v.mean") - F.col("loss")).alias("score"), F.col("__v.best").alias("best"))
     if weak is None:
         s = s.select("__l", "__r", "score").filter(F.col("score") >= threshold)

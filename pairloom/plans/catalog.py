@@ -450,7 +450,8 @@ def two_sources(spark, d, spoil: Callable[[Column, Column], Column]) -> tuple[Da
     digest = F.sha1(F.col("s_suppkey").cast("string"))
     name = table(spark, d, "supplier").select("s_suppkey", F.concat(digest.substr(1, 6), F.lit(" "), digest.substr(7, 9)).alias("name"))
     of = lambda key, out: name.select(F.col("s_suppkey").alias(key), F.col("name").alias(out))
-    c = contests(spark, d).join(of("a_id", "n1"), "a_id").join(of("b_id", "n2"), "b_id").select("contest_id", "date", "n1", "n2")
+    # both sources are read twice
+    c = written(contests(spark, d).join(of("a_id", "n1"), "a_id").join(of("b_id", "n2"), "b_id").select("contest_id", "date", "n1", "n2"))
     k = F.col("contest_id")
     right = c.select((k * 10).alias("page"), F.when(k % 50 != 0, F.date_add("date", (k % 3 - 1).cast("int"))).alias("date"), spoil(F.col("n2"), k).alias("n1"), spoil(F.col("n1"), k + 1).alias("n2"))
     return c, right

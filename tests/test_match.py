@@ -126,3 +126,21 @@ def test_keys_of_names_are_not_sent_to_the_driver(spark, monkeypatch):
     names = spark.createDataFrame([("ann lee",), ("bo chan",)], "name string")
     assert match.similar_names(names, names, 80.0).count() == 2
     assert "SortMergeJoin" in plans[-1] and "Broadcast" not in plans[-1]
+
+
+def test_rows_are_multiplied_on_the_side_with_more_names(spark):
+    """Four spoilt names for each name of the left side: left rows meet by their own two names."""
+    left = spark.createDataFrame([(i, f"name{i}", f"other{i}") for i in range(5)], "__l long, a1 string, a2 string")
+    right = spark.createDataFrame([(i, f"name{i % 5}{i}", f"other{i % 5}") for i in range(20)], "__r long, b1 string, b2 string")
+    near = spark.createDataFrame([(f"name{i % 5}", f"name{i % 5}{i}") for i in range(20)] + [(f"other{i}", f"other{i}") for i in range(5)], "x string, y string")
+    mine, theirs, name = match._by_name(left, right, near)
+    assert name == "x" and mine.count() == 10 and theirs.count() == 40
+    back = match._by_name(right.toDF("__l", "a1", "a2"), left.toDF("__r", "b1", "b2"), near.select(near.y.alias("x"), near.x.alias("y")))
+    assert back[2] == "y" and back[0].count() == 40 and back[1].count() == 10
+
+
+def test_sources_of_links_are_made_once(spark):
+    from pairloom.plans import catalog
+
+    for df in catalog.two_sources(spark, "/root/testdata/sf0.001", catalog.spoilt):
+        assert "lineitem" not in df._jdf.queryExecution().toString() and df.count() > 900
